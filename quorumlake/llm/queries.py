@@ -2,20 +2,36 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, near_dedup, packing, sharding, tokens
 from .scratch import bounded_batches, documents
 
+#: The tokenizer that the queries use; operators take any file as a parameter.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(documents(spark, sf_dir))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(documents(spark, sf_dir), TOKENIZER)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), TOKENIZER)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return mixing.mix(documents(spark, sf_dir))
@@ -23,7 +39,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_near_dedup": op4_near_dedup,
     "op5_sharding": op5_sharding,
+    "op6_token_counts": op6_token_counts,
+    "op7_packing": op7_packing,
     "op10_mixing": op10_mixing,
 }
 
