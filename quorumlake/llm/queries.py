@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, packing, sharding, tokens
+from . import exact_dedup, mixing, near_dedup, packing, quality_rules, sharding, tokens
 from .scratch import bounded_batches, documents
 
 #: The tokenizer that the queries use; operators take any file as a parameter.
@@ -32,6 +32,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), TOKENIZER)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(documents(spark, sf_dir))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return mixing.mix(documents(spark, sf_dir))
@@ -43,6 +47,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
+    "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
 }
 
