@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, packing, quality_rules, sharding, tokens
-from .scratch import bounded_batches, documents
+from . import exact_dedup, mixing, near_dedup, packing, quality_model, quality_rules, sharding, tokens
+from .scratch import bounded_batches, documents, labels
 
 #: The tokenizer that the queries use; operators take any file as a parameter.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -42,6 +46,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_model": op1_quality_model,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op5_sharding": op5_sharding,

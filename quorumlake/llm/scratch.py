@@ -61,6 +61,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names that do not clash with any column of ``df``."""
     taken = {c.lower() for c in df.columns}
