@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, quality_model, quality_rules, sharding, tokens, toxicity
+from . import exact_dedup, mixing, near_dedup, packing, quality_model, quality_rules, repeats, sharding, tokens, toxicity
 from .scratch import bounded_batches, documents, labels
 
 #: The tokenizer that the queries use; operators take any file as a parameter.
@@ -20,6 +21,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.repeats_removed(documents(spark, sf_dir))
+    return cut.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(documents(spark, sf_dir))
 
@@ -52,6 +58,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_model": op1_quality_model,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_repeats": op3_repeats,
     "op4_near_dedup": op4_near_dedup,
     "op5_sharding": op5_sharding,
     "op6_token_counts": op6_token_counts,
