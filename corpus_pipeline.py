@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quorumlake.llm import exact_dedup, mixing
-from quorumlake.llm.scratch import bounded_batches, stored
+from quorumlake.llm import exact_dedup, mixing, near_dedup, packing, quality_model
+from quorumlake.llm.queries import TOKENIZER
+from quorumlake.llm.scratch import bounded_batches, labels, stored
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents that it predicts to be of low quality go."""
+    model = quality_model.fit_quality(docs, labels(spark, sf_dir))
+    return docs.where(quality_model.scored(docs, model) >= quality_model.THRESHOLD)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,15 +21,28 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return exact_dedup.exact_dedup(docs)
 
 
+def keep_unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: one document of each group stays, that of the smallest doc_id."""
+    return near_dedup.near_dedup(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing to target weights: documents as often as the mix takes them."""
     bounded_batches(spark)
     return mixing.mixed_documents(docs)
 
 
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: pieces of token ids in sequences."""
+    return packing.pack(docs, TOKENIZER)
+
+
 STAGES = [
+    ("quality classifier", keep_quality),
     ("exact dedup", keep_distinct),
+    ("near dedup", keep_unlike),
     ("mixing", mix_sources),
+    ("packing", pack_windows),
 ]
 
 #: Models and near-duplicate groups are beyond SQL; tests hold the stages against brute force.
