@@ -2,9 +2,9 @@
 
 Rules vote good (1), bad (-1) or abstain (0). Expectation-maximisation over the counts of vote
 patterns estimates how often each rule votes so on good and on bad documents; the posterior
-probability of good replaces a filter that asks every rule to pass. Two assumptions tell the classes
-apart without labels: a rule's bad vote falls on few good documents (MAX_FALSE), and an abstention
-says nothing.
+probability of good replaces a filter that asks every rule to pass. Three assumptions tell the
+classes apart without labels: a rule's bad vote falls on few good documents (MAX_FALSE), an
+abstention says nothing, and at least half of the documents are good.
 """
 
 from __future__ import annotations
@@ -118,7 +118,7 @@ def estimated(votes: DataFrame, names: list[str], rounds: int = ROUNDS, prior: f
         if not row["all"]:
             break
         n_good, n_bad = row["good"], row["all"] - row["good"]
-        prior = min(0.999, max(0.001, n_good / row["all"]))
+        prior = min(0.999, max(0.5, n_good / row["all"]))
         share = lambda key, n: (row[key] + 1) / (n + 3)  # noqa: E731  no chance is 0 or 1
         tables = {}
         for name in names:
