@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import exprs as X
+from .functions import prompts as P
 from .operators import agreement as A
 from .operators import bootstrap as B
 from .operators import cascade as C
@@ -522,3 +523,53 @@ _register(
     """WITH e AS (SELECT value AS v, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS n FROM events WHERE value IS NOT NULL)
     SELECT count(*) AS n, round(avg(v), 6) AS mean, round(min(v), 6) AS min, round(max(v), 6) AS max, round(min(v) FILTER (k = n // 2), 6) AS p50, round(min(v) FILTER (k = least(floor(n * 0.95), n - 1)), 6) AS p95 FROM e""",
 )
+
+
+# --- beyond SQL: distribution functions, Python judges, streams and loops -------------------------
+
+
+def _p_values(spark, d):
+    from .functions.special import t_two_sided
+
+    p = F.udf(lambda t, n: None if t is None or n < 2 else t_two_sided(t, n - 1), "double")
+    r = R.with_p(R.spearman(_pairs(spark, d), ["g"], "pred", "true"), "spearman").select("g", "n", "spearman", "p_value")
+    return r.join(D.bias(_pairs(spark, d), ["g"]).select("g", "t", p("t", "n").alias("bias_p")), "g")
+
+
+def _answer(prompt: str) -> dict:
+    """A stand-in for a remote judge: it fails on some prompts and is sure of the rest."""
+    if prompt.endswith("7"):
+        raise TimeoutError("no answer")
+    return {"verdict": MET if len(prompt) % 2 else "UNMET", "confidence": 0.9}
+
+
+def _remote(spark, d):
+    from .sources.judges import RemoteJudge
+
+    cells_ = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("item_idx"), F.lit(0).alias("criterion_idx"), F.concat(F.lit("judge "), F.col("doc_id").cast("string")).alias("prompt"))
+    return RemoteJudge("remote", _answer, F.col("prompt"), attempts=2, pause=0.0).vote(cells_)
+
+
+def _improve(spark, d):
+    from .plans.improve import improve
+    from .plans.runner import Grader
+    from .rubric import Criterion, Rubric
+    from .sources.judges import NoisyJudge, RuleJudge
+
+    items = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("item_idx"), "quality")
+    truth = items.select("item_idx", F.lit(0).alias("criterion_idx"), F.when(F.col("quality") == 1, MET).otherwise("UNMET").alias("verdict"), F.lit(None).cast("int").alias("option_idx"))
+    rule = RuleJudge("rule", F.when(F.col("quality") == 1, MET).otherwise("UNMET"))
+    grader = lambda r: Grader([(NoisyJudge(rule, "noisy", 0.3 / (1 + len(r.guidelines or "")), 0.0), 1.0)])
+    steps = improve(Rubric((Criterion("well formed", name="quality"),)), items, truth, grader, lambda r, wrong: Rubric(r.criteria, (r.guidelines or "") + "x"), iterations=3)
+    return spark.createDataFrame([(s.iteration, s.scores["accuracy"], s.scores["kappa"], s.accepted) for s in steps], "iteration int, accuracy double, kappa double, accepted boolean")
+
+
+_register("p_values", _p_values)
+_register("remote_judge_fake", _remote)
+_register("improve_loop", _improve)
+_register(
+    "prompts",
+    lambda s, d: s.read.parquet(f"{d}/documents.parquet").join(F.broadcast(fx.criteria(s).where("criterion_idx = 2")), F.lit(True)).select(
+        "doc_id", F.sha2(P.choice_prompt(F.col("requirement"), P.presented(F.col("options"), P.shuffled_order(3, F.col("doc_id"), F.col("criterion_idx"), F.lit("ja"), F.col("options"))), F.col("text"), F.lit("Judge it."), F.lit(None).cast("string"), F.lit(None).cast("string")), 256).alias("prompt_sha256")
+    ),
+)
