@@ -8,37 +8,35 @@ from pyspark.sql import functions as F
 from .scratch import stored
 
 
+def _large_star(edges: DataFrame) -> DataFrame:
+    """The larger neighbours of each node link to its least neighbour, or to itself if that is less."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """A node and its smaller neighbours link to the least of them; edges lead from larger to smaller."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    moved = edges.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node with a link to another; root is the component's smallest node.
 
-    ``links`` has two long columns a and b. Each round replaces the links by no more links that lead
-    to smaller nodes, until they are stars; a round is aggregations and joins on nodes, where the
-    neighbours of a node are combined before the shuffle, and its result is a written table. Empty
-    links give an empty table; self links and repeated links change nothing.
+    ``links`` has two long columns a and b. A round replaces the links by no more links that lead to
+    smaller nodes, until a round changes nothing: then they are stars. Each is aggregations and joins
+    on nodes and ends in a written table. Empty links give an empty table; self links and repeated
+    links change nothing.
     """
-    edges = stored(
-        links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "links"
-    )
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
+    before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        # large star: larger neighbours of a node link to its least neighbour
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        large = stored(large, "large-star")
-        # small star: a node and its smaller neighbours link to the least of them
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(lowest, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(lowest.select("a", F.col("m").alias("b")))
-            .where("a > b").distinct()
-        )
-        small = stored(small, "small-star")
-        state = [
-            [r[0], r[1], r[2]]
-            for r in (x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first() for x in (edges, small))
-        ]
-        edges = small
-        if state[0] == state[1]:
+        edges = stored(_small_star(_large_star(edges)), "stars")
+        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
+        before = state

@@ -4,7 +4,7 @@ Every distinct shingle set gets a signature of HASHES minhashes. Sets that share
 hashes are candidates; inside their bucket their signatures are compared batch by batch, and a pair
 is dropped as soon as the posterior probability that its similarity reaches the threshold falls
 below MISS. Survivors are verified on the full shingle sets of the texts. Equal sets are one node
-throughout, and a bucket never emits all its pairs: see ``_compare``.
+throughout, and a large bucket never emits all its pairs: see SMALL.
 """
 
 from __future__ import annotations
@@ -32,12 +32,14 @@ BATCH = 32
 MISS = 1e-4
 #: A bucket of more nodes is compared in pairs of blocks of at most this many.
 BLOCK = 2048
-#: A bucket of at most this many nodes sends all its surviving pairs; of a larger one, each node
-#: sends those with its 3, then 24, then 192 most similar partners, then the rest, as long as they
-#: lie in different components of what is verified so far.
-SMALL = 12
-PARTNERS = (3, 24, 192, 1 << 30)
-
+#: A bucket of at most this many nodes sends all its surviving pairs. Of a larger one, each node sends
+#: those with its PARTNERS most similar partners; the rest, where its ends are not connected by then,
+#: are verified inside the bucket, which gets its texts and sends links only. A pair belongs to its
+#: first large bucket.
+SMALL = 32
+PARTNERS = 4
+
+_KEY = ["bucket", "lo", "hi"]
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -104,26 +106,38 @@ def _described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"n": n, "fp": fp, "sig": sig, "bands": bands})
 
 
-def _surviving(sig: np.ndarray, lo: np.ndarray | None, least: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i < j) of rows of ``sig`` that no batch drops, and their matches. With ``lo``, only
-    pairs of a row of one block with a row of the other."""
+def _surviving(sig: np.ndarray, block: np.ndarray | None, bands: np.ndarray | None, least: list[int]):
+    """Pairs (i < j) of rows of ``sig`` that no batch drops, and their matches. With ``block``, only
+    pairs of rows of different blocks; with ``bands``, only those that share none of these."""
     first, second, matches = [], [], []
     for i in range(len(sig) - 1):
         j = np.arange(i + 1, len(sig))
-        if lo is not None:
-            j = j[lo[j] != lo[i]]
+        if block is not None:
+            j = j[block[j] != block[i]]
         m = np.zeros(len(j), np.int64)
         for b, need in enumerate(least):
             at = slice(b * BATCH, (b + 1) * BATCH)
             m = m + (sig[j, at] == sig[i, at]).sum(1)
             on = m >= need
             j, m = j[on], m[on]
+        if bands is not None and bands.shape[1]:
+            on = ~(bands[j] == bands[i]).any(1)
+            j, m = j[on], m[on]
         first.append(np.full(len(j), i)), second.append(j), matches.append(m)
-    if not first:
-        return (np.zeros(0, np.int64),) * 3
     return tuple(map(np.concatenate, (first, second, matches)))
 
 
+def _surviving_twos(sig: np.ndarray, least: list[int]) -> np.ndarray:
+    """Which of the pairs of rows 0 and 1, 2 and 3, and so on no batch drops."""
+    on = np.arange(len(sig) // 2)
+    m = np.zeros(len(on), np.int64)
+    for b, need in enumerate(least):
+        at = slice(b * BATCH, (b + 1) * BATCH)
+        m = m + (sig[2 * on, at] == sig[2 * on + 1, at]).sum(1)
+        on, m = on[m >= need], m[m >= need]
+    return on
+
+
 def _ranked(i: np.ndarray, j: np.ndarray, m: np.ndarray) -> np.ndarray:
     """For each pair the lower of its ranks among the partners of its two ends, most similar first."""
     n = len(i)
@@ -136,62 +150,122 @@ def _ranked(i: np.ndarray, j: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.minimum(rank[:n], rank[n:])
 
 
-def _compare(batches, round_: int, least: list[int]):
-    """Sends the pairs of this round of each bucket: rows arrive sorted by bucket and blocks.
+def _large(rows: dict, least: list[int]):
+    """Nodes of a large bucket in order, and the surviving pairs that belong to it."""
+    order = np.argsort(rows["nid"])
+    sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(order), HASHES)[order]
+    bands = np.stack(rows["bands"])[order]
+    bands = bands[:, : int(np.flatnonzero(bands[0] == rows["bucket"][0])[0])]
+    split = rows["lo"][0] != rows["hi"][0]
+    return order, *_surviving(sig, rows["block"][order] if split else None, bands, least)
 
-    In round 0 small buckets send every survivor; large ones the pairs of rank below PARTNERS[0].
-    Later rounds send, of large buckets, the pairs of the next ranks whose ends are not connected
-    yet. A row with na null says that pairs of higher rank remain.
-    """
-    held: list[pd.DataFrame] = []
-
-    def group(pdf: pd.DataFrame):
-        nodes = pdf["nid"].to_numpy(np.int64)
-        order = np.argsort(nodes)
-        nodes, th = nodes[order], pdf["th"].to_numpy(np.int64)[order]
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(nodes), HASHES)[order]
-        split = pdf["lo"].iat[0] != pdf["hi"].iat[0]
-        i, j, m = _surviving(sig, pdf["block"].to_numpy()[order] if split else None, least)
-        more = False
-        if len(nodes) > SMALL:
-            rank = _ranked(i, j, m)
-            on = rank < PARTNERS[round_]
-            if round_:
-                root = pdf["root"].to_numpy(np.int64)[order]
-                apart = root[i] != root[j]
-                more = bool((apart & ~on).any())
-                on &= apart & (rank >= PARTNERS[round_ - 1])
-            else:
-                more = not on.all()
-            i, j = i[on], j[on]
-        elif round_:
-            return
-        for b in range(0, len(i), 1 << 16):
-            s, t = i[b : b + (1 << 16)], j[b : b + (1 << 16)]
-            yield pd.DataFrame({"na": nodes[s], "nb": nodes[t], "tha": th[s], "thb": th[t]}).astype("Int64")
-        if more:
-            yield pd.DataFrame({"na": [None], "nb": [None], "tha": [None], "thb": [None]}).astype("Int64")
-
-    key = ["bucket", "lo", "hi"]
+
+def _grouped_rows(batches):
+    """Rows of whole buckets, as arrays by column; rows arrive sorted by bucket and blocks."""
+    held: dict | None = None
     for pdf in batches:
-        new = (pdf[key].ne(pdf[key].shift())).any(axis=1).to_numpy()
-        cuts = np.flatnonzero(new).tolist() + [len(pdf)]
-        if held and (pdf[key].iloc[0] != held[-1][key].iloc[0]).any():
-            yield from _all(group, [pd.concat(held)])
-            held = []
-        if len(cuts) > 2:
-            yield from _all(group, [pd.concat([*held, pdf.iloc[: cuts[1]]])] + [pdf.iloc[b:e] for b, e in zip(cuts[1:-2], cuts[2:-1])])
-            held = [pdf.iloc[cuts[-2] :]]
-        elif len(pdf):
-            held.append(pdf)
-    if held:
-        yield from _all(group, [pd.concat(held)])
-
-
-def _all(group, parts):
-    out = [x for p in parts for x in group(p)]
-    if out:
-        yield pd.concat(out)
+        rows = {c: pdf[c].to_numpy() for c in pdf.columns}
+        if held is not None:
+            rows = {c: np.concatenate([held[c], v]) for c, v in rows.items()}
+        if not len(rows["nid"]):
+            continue
+        same = np.ones(len(rows["nid"]), bool)
+        for c in _KEY:
+            same &= rows[c] == rows[c][-1]
+        last = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if last:
+            yield {c: v[:last] for c, v in rows.items()}
+        held = {c: v[last:] for c, v in rows.items()}
+    if held is not None and len(held["nid"]):
+        yield held
+
+
+def _cuts(rows: dict) -> tuple[np.ndarray, np.ndarray]:
+    size = len(rows["nid"])
+    new = np.zeros(size, bool)
+    new[0] = True
+    for c in _KEY:
+        new[1:] |= rows[c][1:] != rows[c][:-1]
+    cuts = np.flatnonzero(new)
+    return cuts, np.append(cuts[1:], size)
+
+
+def _compare(batches, least: list[int]):
+    """Sends the pairs to verify: all survivors of small buckets, and of large ones those of rank below
+    PARTNERS. A row of -1 says that pairs of higher rank remain."""
+
+    def large(rows: dict):
+        order, i, j, m = _large(rows, least)
+        nodes, th = rows["nid"][order], rows["th"][order]
+        on = _ranked(i, j, m) < PARTNERS
+        out = [_pairs(nodes, th, i[on], j[on])]
+        if not on.all():
+            out.append(np.full((1, 4), -1, np.int64))
+        return out
+
+    def small(rows: dict, cuts: np.ndarray, ends: np.ndarray):
+        out = []
+        two = cuts[ends - cuts == 2]
+        both = np.column_stack([two, two + 1]).ravel()
+        if len(both):
+            sig = np.frombuffer(b"".join(rows["sig"][both]), np.uint8).reshape(len(both), HASHES)
+            at = two[_surviving_twos(sig, least)]
+            out.append(_pairs(rows["nid"], rows["th"], at, at + 1))
+        for b, e in zip(cuts.tolist(), ends.tolist()):
+            if e - b > 2:
+                sig = np.frombuffer(b"".join(rows["sig"][b:e]), np.uint8).reshape(e - b, HASHES)
+                i, j, _ = _surviving(sig, None, None, least)
+                out.append(_pairs(rows["nid"], rows["th"], i + b, j + b))
+        return out
+
+    for rows in _grouped_rows(batches):
+        cuts, ends = _cuts(rows)
+        is_large = rows["n"][cuts] > SMALL
+        out = small(rows, cuts[~is_large], ends[~is_large])
+        for b, e in zip(cuts[is_large].tolist(), ends[is_large].tolist()):
+            out += large({c: v[b:e] for c, v in rows.items()}) if e - b > 1 else []
+        yield pd.DataFrame(np.concatenate([np.zeros((0, 4), np.int64), *out]), columns=["na", "nb", "tha", "thb"])
+
+
+def _link_inside(batches, least: list[int], percent: int):
+    """Links that connect what is not connected yet, of large buckets whose rows have their texts.
+
+    Survivors are verified most similar first, and only while their ends lie apart; so each link sent
+    joins two components, and there are fewer of them than nodes.
+    """
+    for rows in _grouped_rows(batches):
+        for b, e in zip(*(x.tolist() for x in _cuts(rows))):
+            own = {c: v[b:e] for c, v in rows.items()}
+            order, i, j, m = _large(own, least)
+            nodes, root = own["nid"][order], dict(zip(own["root"].tolist(), own["root"].tolist()))
+            at = own["root"][order].tolist()
+
+            def find(x):
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            apart = own["root"][order][i] != own["root"][order][j]
+            i, j, m = i[apart], j[apart], m[apart]
+            used = np.unique(np.concatenate([i, j]))
+            sets = dict(zip(used.tolist(), shingle_sets(own["text"][order][used].tolist())))
+            out = []
+            for k in np.argsort(-m, kind="stable").tolist():
+                x, y = int(i[k]), int(j[k])
+                if (a := find(at[x])) == (c := find(at[y])):
+                    continue
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                    root[a] = c
+                    out.append((nodes[x], nodes[y]))
+            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def _pairs(nodes: np.ndarray, th: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """(smaller node, larger node, their text hashes) of pairs of rows."""
+    a, b = np.where(nodes[i] <= nodes[j], i, j), np.where(nodes[i] <= nodes[j], j, i)
+    return np.column_stack([nodes[a], nodes[b], th[a], th[b]])
 
 
 def _verified(batches, percent: int):
@@ -203,13 +277,16 @@ def _verified(batches, percent: int):
         yield pdf.loc[100 * both >= percent * union, ["na", "nb"]].rename(columns={"na": "a", "nb": "b"})
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, text: Column, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold. A filter on the hashes of the texts asked for
-    keeps all other texts from being shuffled."""
-    ends = pairs.select(F.col("tha").alias("th")).unionByName(pairs.select(F.col("thb").alias("th"))).distinct()
-    ends = stored(ends, "ends")
+def _texts_of(ends: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """(th, text) of the text hashes ``ends``: a filter on them keeps other texts from being shuffled."""
     wanted = possibly_in(ends, "th", ends.count())
-    texts = docs.select(F.xxhash64(text).alias("th"), text.alias("text")).where(wanted(F.col("th"))).dropDuplicates(["th"])
+    return docs.select(F.xxhash64(text).alias("th"), text.alias("text")).where(wanted(F.col("th"))).dropDuplicates(["th"])
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, text: Column, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
+    ends = stored(pairs.select(F.col("tha").alias("th")).unionByName(pairs.select(F.col("thb").alias("th"))).distinct(), "ends")
+    texts = _texts_of(ends, docs, text)
     joined = (
         pairs.join(texts.select(F.col("th").alias("tha"), F.col("text").alias("ta")), "tha")
         .join(texts.select(F.col("th").alias("thb"), F.col("text").alias("tb")), "thb")
@@ -262,26 +339,24 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, miss: fl
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("bucket", "n", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "nid")
     )
-    members = stored(members.join(nodes.select("nid", "th", "sig"), "nid"), "near-members")
+    own = nodes.select("nid", "th", "sig", "bands")
+    members = stored(members.join(own, "nid").withColumn("bands", F.when(F.col("n") > SMALL, F.col("bands"))), "near-members")
     least = least_matches(percent, miss)
-    links, stars = None, None
-    for round_ in range(len(PARTNERS)):
-        rows = members.withColumn("root", F.col("nid"))
-        if round_:
-            rows = members.where(F.col("n") > SMALL).join(stars.withColumnRenamed("node", "nid"), "nid", "left").withColumn(
-                "root", F.coalesce("root", "nid")
-            )
-        rows = rows.select("bucket", "lo", "hi", "block", "nid", "th", "sig", "root")
-        dealt = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-        sent = dealt.mapInPandas(partial(_compare, round_=round_, least=least), "na long, nb long, tha long, thb long").groupBy("na", "nb").agg(
-            F.min("tha").alias("tha"), F.min("thb").alias("thb")
-        )
-        sent = stored(sent, "candidates")
-        found = _verify(sent.where(F.col("na").isNotNull()), docs, text, percent)
-        links = found if links is None else links.unionByName(found)
-        stars = components(links)
-        if not sent.where(F.col("na").isNull()).limit(1).count():
-            break
+    dealt = members.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    sent = dealt.mapInPandas(partial(_compare, least=least), "na long, nb long, tha long, thb long").groupBy("na", "nb").agg(
+        F.min("tha").alias("tha"), F.min("thb").alias("thb")
+    )
+    sent = stored(sent, "candidates")
+    links = _verify(sent.where("na >= 0"), docs, text, percent)
+    stars = components(links)
+    if sent.where("na < 0").limit(1).count():
+        rows = members.where(F.col("n") > SMALL).join(stars.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+        apart = rows.groupBy(*_KEY).agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select(*_KEY)
+        rows = stored(rows.join(apart, _KEY), "near-apart")
+        texts = _texts_of(stored(rows.select("th").distinct(), "ends"), docs, text)
+        dealt = rows.join(texts, "th").repartition(*_KEY).sortWithinPartitions(*_KEY)
+        more = dealt.mapInPandas(partial(_link_inside, least=least, percent=percent), "a long, b long")
+        stars = components(links.unionByName(stored(more, "verified")))
     named = sets.join(stars.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     table = stored(named.join(ids, "root").select("fp", "n_rows", "component_id"), "near-components")
