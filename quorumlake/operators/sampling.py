@@ -67,21 +67,28 @@ def balanced_examples(labels: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return joined.withColumn("pick", F.row_number().over(order)).where(F.col("pick") <= n).select("criterion_idx", "item_idx", "class", "pick")
 
 
-def covering_items(labels: DataFrame, n: int, max_items: int = 10_000) -> list[int]:
-    """Up to ``n`` items that greedily cover most (criterion, class) pairs; ties to the lowest item.
+def covering_items(labels: DataFrame, n: int) -> list[int]:
+    """Up to ``n`` labelled items that greedily cover most (criterion, class) pairs; ties to the lowest item.
 
-    Greedy cover is sequential; the driver sees the pairs of at most ``max_items`` items, those with
-    the least hashes, a documented bound.
+    Each pick is one aggregation over the distinct sets of pairs, with the lowest item of each set: the
+    driver sees the picked sets only. When no item adds a pair, the lowest of the others follow.
     """
-    pair = F.concat_ws(":", "criterion_idx", F.coalesce("verdict", F.col("option_idx").cast("string")))
-    sets = labels.groupBy("item_idx").agg(F.collect_set(pair).alias("s")).orderBy(seeded(0, "item_idx"), "item_idx").limit(max_items).collect()
-    todo = {r["item_idx"]: set(r["s"]) for r in sets}
+    cls = F.coalesce("verdict", F.col("option_idx").cast("string"))
+    own = labels.where(cls.isNotNull()).select("item_idx", F.concat_ws(":", "criterion_idx", cls).alias("pair"))
+    sets = own.groupBy("item_idx").agg(F.array_sort(F.collect_set("pair")).alias("s")).groupBy("s").agg(F.min("item_idx").alias("item_idx")).persist()
     seen: set[str] = set()
     out: list[int] = []
-    while todo and len(out) < n:
-        item = min(todo, key=lambda i: (-len(todo[i] - seen), i))
-        out.append(item)
-        seen |= todo.pop(item)
+    while len(out) < n:
+        new = F.size(F.array_except("s", F.array(*map(F.lit, sorted(seen))).cast("array<string>")))
+        best = sets.agg(F.min(F.struct((-new).alias("less"), "item_idx", "s")).alias("b")).first()["b"]
+        if best is None or best["less"] == 0:
+            break
+        out.append(best["item_idx"])
+        seen |= set(best["s"])
+    sets.unpersist()
+    if len(out) < n:
+        lowest = [r["item_idx"] for r in own.select("item_idx").distinct().orderBy("item_idx").limit(n).collect()]
+        out += [i for i in lowest if i not in out][: n - len(out)]
     return out
 
 

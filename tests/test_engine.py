@@ -192,6 +192,16 @@ def test_splits(spark):
     assert len(sampling.covering_items(labels, 2)) == 2
 
 
+def test_covering_finds_a_rare_class_among_many_items(spark):
+    items = spark.range(20_000).select(F.col("id").alias("item_idx"), F.lit(0).alias("criterion_idx"))
+    rare = items.orderBy(sampling.seeded(0, "item_idx").desc()).first()["item_idx"]
+    verdict = F.when(F.col("item_idx") == rare, "MET").when(F.col("item_idx") > 0, "UNMET")
+    labels = items.select("item_idx", "criterion_idx", verdict.alias("verdict"), F.lit(None).cast("int").alias("option_idx"))
+    assert sampling.covering_items(labels, 2) == [1, rare]
+    assert sampling.covering_items(labels, 4) == [1, rare, 2, 3]
+    assert sampling.covering_items(labels.limit(0), 2) == []
+
+
 def word_judge(name):
     return judges.RuleJudge(name, F.when(F.col("submission").contains("good"), "MET").otherwise("UNMET"))
 
