@@ -303,7 +303,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id share what their texts are linked to; null ids never name a component that has another id, and
     are not kept. Texts of any length are read whole. An empty table gives no rows.
     """
-    return _grouped(docs, id_col, text_col, percent, miss).drop("row_key")
+    return _grouped(docs, id_col, text_col, percent, miss).drop("row_key", "root", "group_rows")
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
@@ -358,29 +358,42 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, miss: fl
         more = dealt.mapInPandas(partial(_link_inside, least=least, percent=percent), "a long, b long")
         stars = components(links.unionByName(stored(more, "verified")))
     named = sets.join(stars.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    table = stored(named.join(ids, "root").select("fp", "n_rows", "component_id"), "near-components")
+    ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("n_rows").alias("group_rows"))
+    table = stored(named.join(ids, "root").select("fp", "n_rows", "component_id", "root", "group_rows"), "near-components")
     linked = join_keyed(full.select("doc_id", "row_key", "n", "fp"), table, "fp", "n_rows", total)
     alone = described.where(F.col("fp").isNull()).withColumn("component_id", F.col("doc_id"))
     return linked.unionByName(alone, allowMissingColumns=True).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id",
-        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "row_key",
+        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "row_key", "root", "group_rows",
     )
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, miss: float = MISS) -> DataFrame:
-    """``docs`` without the rows that are not kept, all columns kept; rows with a null id stay only
-    if their text is linked with nothing.
+    """One row of each group of linked rows of ``docs``, and all rows that are linked with nothing; all
+    columns kept.
 
-    Rows to keep pass straight through; only those that a filter of the dropped rows may hold are
-    shuffled.
+    The row with the least id stays, one with a null id only where all are null; of several with that id,
+    the one with the least hash of id and text, and any one of those that have both in common.
+
+    Rows to keep pass straight through; only those that a filter of the dropped and the repeated rows
+    may hold are shuffled.
     """
     grouped = _grouped(docs, id_col, text_col, percent, miss)
-    dropped = stored(grouped.where(~F.col("kept") & ~(F.col("doc_id").isNull() & F.col("component_id").isNull())).select("row_key").distinct(), "near-dropped")
+    linked = stored(grouped.where("group_rows > 1").select("row_key", "root", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("first")), "near-linked")
+    stay = linked.where("first").groupBy("root").agg(F.min("row_key").alias("row_key")).select("row_key", F.lit(True).alias("stays"))
+    keys = linked.groupBy("row_key").agg(F.count("*").alias("n")).join(stay, "row_key", "left").withColumn("stays", F.col("stays").isNotNull())
+    held = stored(keys.where("n > 1 or not stays").select("row_key", "stays"), "near-dropped")
     key, maybe = fresh(docs, "key", "maybe")
-    may_be_dropped = possibly_in(dropped, "row_key", dropped.count())
-    marked = docs.withColumn(key, _row_key(id_col, text_col)).withColumn(maybe, may_be_dropped(F.col(key)))
-    kept = marked.where(~F.col(maybe)).unionByName(
-        marked.where(F.col(maybe)).join(dropped.withColumnRenamed("row_key", key), key, "left_anti").select(*[F.col(f"`{c}`") for c in marked.columns])
+    may_be_held = possibly_in(held, "row_key", held.count())
+    marked = docs.withColumn(key, _row_key(id_col, text_col))
+    split = marked.withColumn(maybe, may_be_held(F.col(key)))
+    own = [F.col(f"`{c}`") for c in marked.columns]
+    kept = split.where(~F.col(maybe)).select(*own).unionByName(
+        split.where(F.col(maybe)).join(held.select(F.col("row_key").alias(key)), key, "left_anti").select(*own)
     )
+    repeated = held.where("stays").select("row_key")
+    if n := repeated.count():
+        may_be_repeated = possibly_in(repeated, "row_key", n)
+        single = marked.where(may_be_repeated(F.col(key))).dropDuplicates([key])
+        kept = kept.unionByName(single.join(repeated.withColumnRenamed("row_key", key), key, "left_semi").select(*own))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -149,6 +149,25 @@ def test_near_dedup_keeps_columns(docs):
     assert {i for i in kept if i is not None} == {r["doc_id"] for r in near_dedup.near_groups(docs).where("kept").collect()}
 
 
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    rnd = random.Random(9)
+    bases = [words(rnd, 60).split() for _ in range(7)]
+    near = lambda b, k: " ".join([*bases[b][:k], "zz", *bases[b][k + 1 :]])
+    rows = [(None, near(0, k)) for k in (0, 1, 58, 59)]  # null ids only
+    rows += [(7, near(1, 0)), (7, near(1, 59)), (8, near(1, 1))]  # the least id twice, with two texts
+    rows += [(9, near(2, 0)), (9, near(2, 0)), (9, near(2, 0))]  # equal rows
+    rows += [(None, near(3, 0))] * 3  # equal rows with a null id
+    rows += [(None, near(4, 0)), (11, near(4, 59)), (None, near(4, 1))]  # an id among nulls
+    rows += [(7, near(5, 0)), (7, near(5, 59))]  # an id that another group has too
+    rows += [(None, near(6, 0)), (None, None), (None, None), (3, ""), (3, "")]  # linked with nothing
+    frame = spark.createDataFrame([(i, t, "en", None, k, None, None) for k, (i, t) in enumerate(rows)], SCHEMA).repartition(3)
+    got = near_dedup.near_dedup(frame).collect()
+    group = [0] * 4 + [1] * 3 + [2] * 3 + [3] * 3 + [4] * 3 + [5] * 2 + [6, 7, 8, 9, 10]
+    assert sorted(group[r["n_chars"]] for r in got) == list(range(11))
+    assert all((r["doc_id"], r["text"]) == rows[r["n_chars"]] for r in got)
+    assert {group[r["n_chars"]]: r["doc_id"] for r in got} == {0: None, 1: 7, 2: 9, 3: None, 4: 11, 5: 7, 6: None, 7: None, 8: None, 9: 3, 10: 3}
+
+
 def test_posterior_bounds_rise():
     least = near_dedup.least_matches()
     assert least == sorted(least) and 0.55 * 128 < least[-1] < 0.75 * 128
