@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import CANNOT_ASSESS, MET, UNMET
 
-_CRITERION = "struct<name:string,weight:double,requirement:string,options:array<struct<label:string,value:double,na:boolean>>,scale_type:string,aggregation:string>"
+_CRITERION = "name:string,weight:double,requirement:string,options:array<struct<label:string,value:double,na:boolean>>,scale_type:string,aggregation:string"
+#: A list holds criteria, or sections that have criteria themselves.
+_ENTRIES = f"array<struct<{_CRITERION},criteria:array<struct<{_CRITERION}>>>>"
+_RUBRIC = f"struct<guidelines:string,rubric:string,sections:{_ENTRIES},criteria:{_ENTRIES}>"
+#: Rubrics come in several forms, so they are read as text first.
 DATASET = (
-    f"name string, prompt string, reference_submission string, rubric array<{_CRITERION}>, "
-    f"items array<struct<submission:string,description:string,ground_truth:array<string>,ground_truth_reasons:array<string>,rubric:array<{_CRITERION}>,reference_submission:string,prompt:string>>"
+    "name string, prompt string, reference_submission string, rubric string, "
+    "items array<struct<submission:string,description:string,ground_truth:array<string>,ground_truth_reasons:array<string>,rubric:string,reference_submission:string,prompt:string>>"
 )
 REPORT = (
     "item_idx bigint, duration_seconds double, error string, report struct<score:double,raw_score:double,error:string,cannot_assess_count:bigint,mean_agreement:double,"
@@ -18,10 +22,31 @@ REPORT = (
 )
 
 
+def _entries(text: Column) -> Column:
+    """The entries of a rubric that is a list, or a dict with sections or criteria."""
+    own = F.from_json(text, _RUBRIC)
+    return F.when(text.startswith("["), F.from_json(text, _ENTRIES)).otherwise(F.coalesce(own["sections"], own["criteria"]))
+
+
+def parsed_rubric(text: Column) -> Column:
+    """struct<guidelines, criteria> of a rubric's JSON, in the forms of ``Rubric.from_dict``; a rubric
+    without criteria is an error."""
+    own = F.from_json(F.when(text.startswith("{"), text), _RUBRIC)
+    inner = own["rubric"]
+    beside = F.from_json(F.when(inner.startswith("{"), inner), _RUBRIC)["guidelines"]
+    entries = F.when(inner.isNotNull(), _entries(inner)).otherwise(_entries(text))
+    bare = lambda c: F.struct(*[c[n].alias(n) for n in ("name", "weight", "requirement", "options", "scale_type", "aggregation")])
+    flat = F.flatten(F.transform(entries, lambda e: F.when(e["criteria"].isNotNull(), F.transform(e["criteria"], bare)).otherwise(F.array(bare(e)))))
+    flat = F.when(F.size(flat) > 0, flat).otherwise(F.raise_error(F.concat(F.lit("no criteria in the rubric "), text)))
+    guidelines = F.coalesce(beside, own["guidelines"])
+    return F.when(text.isNotNull(), F.struct(F.when(F.trim(guidelines) != "", guidelines).alias("guidelines"), flat.alias("criteria")))
+
+
 def read_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """``items``, ``criteria`` and ``labels`` of dataset files: one file, or a folder of them.
 
-    An item's own rubric, prompt and reference come before the dataset's. Labels are verdicts, or
+    An item's own rubric, prompt and reference come before the dataset's, and its own rubric's
+    guidelines, even none, before those of the dataset's rubric. Labels are verdicts, or
     option labels that are matched whatever their case and outer space; one that matches nothing has
     neither verdict nor option.
     """
@@ -29,9 +54,9 @@ def read_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     each = files.select("dataset", "name", "prompt", "reference_submission", "rubric", F.posexplode("items").alias("pos", "item"))
     own = lambda c: F.coalesce(F.col(f"item.{c}"), F.col(c)).alias(c)
     items = each.select(
-        "dataset", F.col("pos").cast("long").alias("item_idx"), "item.submission", "item.description", own("prompt"), own("reference_submission"), own("rubric"),
-        "item.ground_truth", "item.ground_truth_reasons", F.col("item.rubric").isNotNull().alias("has_own_rubric"),
-    )
+        "dataset", "name", F.col("pos").cast("long").alias("item_idx"), "item.submission", "item.description", own("prompt"), own("reference_submission"),
+        parsed_rubric(own("rubric")).alias("parsed"), "item.ground_truth", "item.ground_truth_reasons", F.col("item.rubric").isNotNull().alias("has_own_rubric"),
+    ).withColumns({"guidelines": F.col("parsed.guidelines"), "rubric": F.col("parsed.criteria")}).drop("parsed")
     criteria = items.select("dataset", "item_idx", "has_own_rubric", F.posexplode("rubric").alias("criterion_idx", "c")).select(
         "dataset", F.when(F.col("has_own_rubric"), F.col("item_idx")).alias("item_idx"), "criterion_idx", "c.name", "c.requirement",
         F.coalesce("c.weight", F.lit(10.0)).alias("weight"), F.when(F.col("c.options").isNull(), "binary").otherwise(F.coalesce("c.scale_type", F.lit("ordinal"))).alias("scale"),
@@ -50,12 +75,54 @@ def read_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def write_dataset(items: DataFrame, labels: DataFrame, criteria: DataFrame, path: str) -> None:
-    """JSON lines of items with their labels in criterion order: the inverse of reading, by item."""
-    named = labels.join(criteria.select("criterion_idx", "options"), "criterion_idx").withColumn(
-        "text", F.coalesce("verdict", F.get("options", F.col("option_idx"))["label"])
+    """Dataset files from tables such as ``read_dataset`` returns, which reads them back: one file for
+    each dataset, as a whole, with its items in order of item_idx.
+
+    Tables without a dataset column are one dataset. Criteria without item_idx make the dataset's
+    rubric, the others their item's own. Prompts and references are written with the items.
+    """
+    items = _filled(items, "dataset", "name", "description", "prompt", "reference_submission", "guidelines")
+    criteria, labels = _filled(criteria, "dataset", "item_idx:bigint"), _filled(labels, "dataset", "reason")
+    na = lambda o: F.struct(o["label"].alias("label"), o["value"].alias("value"), o["na"].alias("na"))
+    one = F.struct(
+        "criterion_idx", "name", "weight", "requirement", F.transform("options", na).alias("options"),
+        F.when(F.col("options").isNotNull(), F.col("scale")).alias("scale_type"), "aggregation",
     )
-    truth = named.groupBy("item_idx").agg(F.array_sort(F.collect_list(F.struct("criterion_idx", "text"))).alias("g"))
-    items.join(truth, "item_idx", "left").withColumn("ground_truth", F.transform("g", lambda x: x["text"])).drop("g").write.mode("overwrite").json(path)
+    listed = F.array_sort(F.collect_list(one))
+    shared = criteria.where("item_idx is null").groupBy("dataset").agg(listed.alias("shared"))
+    own = criteria.where("item_idx is not null").groupBy("dataset", "item_idx").agg(listed.alias("own"))
+    entry = F.struct("criterion_idx", F.struct("verdict", "option_idx", "reason"))
+    given = labels.groupBy("dataset", "item_idx").agg(F.map_from_entries(F.collect_list(entry)).alias("given"))
+    full = items.join(own, ["dataset", "item_idx"], "left").join(given, ["dataset", "item_idx"], "left").join(shared, "dataset", "left")
+
+    def written(rubric: Column) -> Column:
+        bare = F.transform(rubric, lambda c: c.dropFields("criterion_idx"))
+        as_dict = F.to_json(F.struct(F.col("guidelines").alias("guidelines"), bare.alias("criteria")))
+        return F.when(rubric.isNotNull(), F.when(F.col("guidelines").isNull(), F.to_json(bare)).otherwise(as_dict))
+
+    rubric = F.coalesce("own", "shared")
+    last = F.greatest(F.coalesce(F.size(rubric), F.lit(0)) - 1, F.array_max(F.map_keys("given")))
+    at = F.when(F.col("given").isNotNull() & (last >= 0), F.sequence(F.lit(0), last))
+    label = lambda i: F.coalesce(F.col("given")[i]["verdict"], F.get(F.get(rubric, i)["options"], F.col("given")[i]["option_idx"])["label"])
+    reasons = F.transform(at, lambda i: F.col("given")[i]["reason"])
+    item = F.struct(
+        "item_idx", "submission", "description", F.transform(at, label).alias("ground_truth"),
+        F.when(F.exists(reasons, lambda r: r.isNotNull()), reasons).alias("ground_truth_reasons"),
+        written(F.col("own")).alias("rubric"), "reference_submission", "prompt",
+    )
+    parsed = lambda x: x.dropFields("item_idx").withField("rubric", F.try_parse_json(x["rubric"]))
+    dataset = full.withColumns({"item": item, "rubric": F.when(F.col("own").isNull(), written(F.col("shared")))}).groupBy("dataset").agg(
+        F.max("name").alias("name"), F.try_parse_json(F.max("rubric")).alias("rubric"), F.transform(F.array_sort(F.collect_list("item")), parsed).alias("items")
+    )
+    dataset.drop("dataset").write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
+
+
+def _filled(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with those of ``columns`` (strings, or name:type) that it lacks: null, and "" for dataset."""
+    for name, _, kind in (c.partition(":") for c in columns):
+        if name not in df.columns:
+            df = df.withColumn(name, F.lit("" if name == "dataset" else None).cast(kind or "string"))
+    return df
 
 
 def write_reports(reports: DataFrame, path: str, run_id: str) -> None:

@@ -180,6 +180,36 @@ def test_dataset_round_trip(spark, tmp_path):
     assert got["criteria"].count() == 2
 
 
+def test_dataset_with_guidelines_is_written_and_read(spark, tmp_path):
+    choice = {"name": "c", "weight": 2.5, "requirement": "b", "options": [{"label": o.label, "value": o.value, "na": o.na} for o in STANDARD], "scale_type": "nominal"}
+    shared = {"guidelines": "be strict", "criteria": [{"requirement": "a"}, choice]}
+    sections = {"rubric": {"sections": [{"criteria": [{"requirement": "x"}]}, {"criteria": [choice, {"requirement": "z", "weight": -1}]}]}, "guidelines": "own"}
+    data = {"name": "d", "prompt": "p", "rubric": shared, "items": [
+        {"submission": "s0", "ground_truth": ["MET", " GOOD "], "ground_truth_reasons": ["why", None]}, {"submission": "s1", "rubric": [choice], "ground_truth": ["bad"]},
+        {"submission": "s2", "rubric": sections, "prompt": "q", "ground_truth": ["UNMET", None, "CANNOT_ASSESS"]}, {"submission": "s3"}]}
+    other = {"rubric": [{"requirement": "only"}], "items": [{"submission": "t0", "ground_truth": ["UNMET"]}]}
+    (tmp_path / "in").mkdir()
+    for name, own in (("d", data), ("e", other)):
+        (tmp_path / "in" / f"{name}.json").write_text(json.dumps(own, indent=1))
+    first = datasets.read_dataset(spark, str(tmp_path / "in"))
+    datasets.write_dataset(first["items"], first["labels"], first["criteria"], str(tmp_path / "out"))
+    for got in (first, datasets.read_dataset(spark, str(tmp_path / "out"))):
+        assert [(r["submission"], r["guidelines"], r["prompt"], r["name"]) for r in got["items"].orderBy("submission").collect()] == [
+            ("s0", "be strict", "p", "d"), ("s1", None, "p", "d"), ("s2", "own", "q", "d"), ("s3", "be strict", "p", "d"), ("t0", None, None, None)]
+        named = got["labels"].join(got["items"].select("dataset", "item_idx", "submission"), ["dataset", "item_idx"]).orderBy("submission", "criterion_idx").collect()
+        assert [(r["submission"], r["criterion_idx"], r["verdict"], r["option_idx"], r["reason"]) for r in named] == [
+            ("s0", 0, "MET", None, "why"), ("s0", 1, None, 2, None), ("s1", 0, None, 0, None),
+            ("s2", 0, "UNMET", None, None), ("s2", 1, None, None, None), ("s2", 2, "CANNOT_ASSESS", None, None), ("t0", 0, "UNMET", None, None)]
+        own = got["criteria"].orderBy(F.col("item_idx").asc_nulls_first(), "criterion_idx", "requirement").collect()
+        assert [(r["item_idx"], r["criterion_idx"], r["requirement"], r["weight"], r["scale"]) for r in own] == [
+            (None, 0, "a", 10.0, "binary"), (None, 0, "only", 10.0, "binary"), (None, 1, "b", 2.5, "nominal"), (1, 0, "b", 2.5, "nominal"),
+            (2, 0, "x", 10.0, "binary"), (2, 1, "b", 2.5, "nominal"), (2, 2, "z", -1.0, "binary")]
+        assert [(o["label"], o["value"], o["na"]) for o in own[2]["options"]] == [(o.label, o.value, o.na) for o in STANDARD]
+    (tmp_path / "bad.json").write_text(json.dumps({"rubric": {"guidelines": "g"}, "items": [{"submission": "s"}]}))
+    with pytest.raises(Exception, match="no criteria in the rubric"):
+        datasets.read_dataset(spark, str(tmp_path / "bad.json"))["criteria"].collect()
+
+
 def test_splits(spark):
     items = spark.range(1000).select(F.col("id").alias("item_idx"), (F.col("id") % 3).cast("string").alias("signature"))
     for n in (0, 137, 1000, 2000):
