@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +18,8 @@ from .scratch import scratch_path, stored, utf8
 
 #: Slots are fixed when a corpus is first sharded; a slot holds 1/SLOTS of the records.
 SLOTS = 4096
+#: Equal rows are made again from their count in runs of this many, each in a task of its own.
+RUN = 4096
 _MAP = "version long, virtual_slot int, shard int, bytes long, rows long"
 
 
@@ -108,16 +111,33 @@ class SlotMap:
             raise ValueError(f"no version {version} of the slot map at {path}")
         return SlotMap(version, max(r["shard"] for r in rows) + 1, *(tuple(r[c] for r in rows) for c in ("shard", "bytes", "rows")))
 
+    @staticmethod
+    def latest(spark: SparkSession, path: str) -> SlotMap | None:
+        """The latest version at ``path``, or None if nothing is stored there."""
+        try:
+            return SlotMap.load(spark, path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
 
 def hashed_slots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual_slot of every row."""
+    """doc_id, size, text_crc32 and virtual_slot of every row.
+
+    Rows with the same id and text differ in nothing here, so they are counted and made again from
+    their count: the first copy's slot is by id and text, that of each other one by its number too.
+    """
     crc = F.crc32(utf8(text_col).cast("binary"))
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
-        (F.octet_length(utf8(text_col)).cast("long") + 1).alias("size"),
-        crc.alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col(id_col), crc), F.lit(slots)).cast("int").alias("virtual_slot"),
-    )
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(utf8(text_col)).cast("long") + 1).alias("size"), crc.alias("text_crc32"))
+    counted = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    zero = F.lit(0).cast("long")
+    few = counted.where(F.col("n") <= RUN).withColumn("from", zero)
+    many = counted.where(F.col("n") > RUN).withColumn("from", F.explode(F.sequence(zero, F.col("n") - 1, F.lit(RUN).cast("long"))))
+    many = many.repartition("doc_id", "text_crc32", "from")
+    copies = few.unionByName(many).withColumn("copy", F.explode(F.sequence("from", F.least(F.col("n"), F.col("from") + RUN) - 1)))
+    own = F.when(F.col("copy") == 0, F.xxhash64("doc_id", "text_crc32")).otherwise(F.xxhash64("doc_id", "text_crc32", "copy"))
+    return copies.select("doc_id", "size", "text_crc32", F.pmod(own, F.lit(slots)).cast("int").alias("virtual_slot"))
 
 
 def slot_sizes(hashed: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
@@ -146,13 +166,20 @@ def assigned(hashed: DataFrame, slot_map: SlotMap) -> DataFrame:
 def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """Put all rows into ``shards`` shards of near-equal bytes; the map is stored at ``map_path``.
 
+    If a map is stored there, its latest version is rebalanced for these rows and stored as the next one,
+    so most slots stay where they are. Without ``map_path`` the map is new.
+
     Returns doc_id, size (UTF-8 bytes plus 1; a null text has none), text_crc32, law ("bytes"), shard,
     slot (place in the shard, gapless from 0), grown_shard (null: the law is not "key") and
-    virtual_slot. Null ids hash by their text; repeated rows share a slot but take places of their
-    own; ties are placed by id, then text. An empty table gives no rows and an even, empty map.
+    virtual_slot. Null ids hash by their text; repeated rows are dealt over slots and take places of
+    their own; ties are placed by id, then text. An empty table gives no rows and an even, empty map.
     """
     spark = docs.sparkSession
     hashed = stored(hashed_slots(docs, id_col, text_col, slots), "slots")
-    slot_map = SlotMap.balanced(*slot_sizes(hashed, slots), shards)
+    sizes = slot_sizes(hashed, slots)
+    before = SlotMap.latest(spark, map_path) if map_path else None
+    if before and len(before.shard_of) != slots:
+        raise ValueError(f"the slot map at {map_path} has {len(before.shard_of)} slots, not {slots}")
+    slot_map = before.rebalanced(*sizes, shards) if before else SlotMap.balanced(*sizes, shards)
     slot_map.save(spark, map_path or scratch_path(spark, "slot-map"))
     return assigned(hashed, slot_map)

@@ -363,3 +363,33 @@ def test_toxicity(spark, docs, empty):
 
 def test_tokenizer_is_public():
     assert TOKENIZER == public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_sharding_again_edits_the_stored_map(spark, tmp_path):
+    path = str(tmp_path / "map")
+    rows = [(i, "x" * (i % 50), "en", None, None, None, None) for i in range(3000)]
+    sharding.shard(spark.createDataFrame(rows[:2000], SCHEMA), 4, map_path=path)
+    first = sharding.SlotMap.load(spark, path)
+    got = sharding.shard(spark.createDataFrame(rows, SCHEMA), 5, map_path=path).collect()
+    second = sharding.SlotMap.load(spark, path)
+    assert (first.version, second.version, second.shards) == (1, 2, 5)
+    assert len(second.shard_of) == sharding.SLOTS and sum(second.rows_of) == len(got) == 3000
+    assert all(second.shard_of[r["virtual_slot"]] == r["shard"] for r in got)
+    assert sum(a != b for a, b in zip(first.shard_of, second.shard_of)) < sharding.SLOTS / 2
+    assert sharding.SlotMap.load(spark, path, 1) == first
+    with pytest.raises(ValueError, match="4096 slots"):
+        sharding.shard(spark.createDataFrame(rows, SCHEMA), 5, slots=64, map_path=path)
+
+
+@pytest.mark.parametrize("doc_id", [None, 5])
+def test_sharding_deals_equal_rows(spark, monkeypatch, doc_id):
+    monkeypatch.setattr(sharding, "RUN", 300)
+    rows = [(doc_id, "same text", "en", None, None, None, None)] * 1000 + [(100 + i, "other text", "en", None, None, None, None) for i in range(1000)]
+    got = sharding.shard(spark.createDataFrame(rows, SCHEMA), 8).collect()
+    loads, places = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        loads[r["shard"]] += r["size"]
+        places[r["shard"]].append(r["slot"])
+    assert collections.Counter((r["doc_id"], r["size"]) for r in got) == collections.Counter((r[0], len(r[1]) + 1) for r in rows)
+    assert len(loads) == 8 and max(loads.values()) - min(loads.values()) <= 11
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
