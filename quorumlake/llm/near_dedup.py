@@ -1,7 +1,7 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-Every distinct shingle set gets a signature of HASHES minhashes. Sets that share a band of ROWS
-hashes are candidates; inside their bucket their signatures are compared batch by batch, and a pair
+Every distinct shingle set gets a signature of HASHES minhashes. Sets that share a band of up to ROWS
+hashes (fewer for a threshold under 75 %: see band_rows) are candidates; inside their bucket their signatures are compared batch by batch, and a pair
 is dropped as soon as the posterior probability that its similarity reaches the threshold falls
 below MISS. Survivors are verified on the full shingle sets of the texts. Equal sets are one node
 throughout, and a large bucket never emits all its pairs: see SMALL.
@@ -26,10 +26,11 @@ from .shingles import mixed, shingle_sets
 #: Similarity as intersection over union, in whole percent.
 PERCENT = 75
 HASHES, ROWS = 128, 4
-BANDS = HASHES // ROWS
 BATCH = 32
 #: Probability of dropping a pair that reaches the threshold, at each batch.
 MISS = 1e-4
+#: Largest probability that a pair exactly at the threshold shares no band.
+UNSEEN = 1e-4
 #: A bucket of more nodes is compared in pairs of blocks of at most this many.
 BLOCK = 2048
 #: A bucket of at most this many nodes sends all its surviving pairs. Of a larger one, each node sends
@@ -43,7 +44,16 @@ _KEY = ["bucket", "lo", "hi"]
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
-_SEED = _rng.integers(0, 1 << 63, BANDS, dtype=np.uint64)
+_SEED = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+
+
+def band_rows(percent: int) -> int:
+    """Hashes in a band: the most, up to ROWS, at which a pair of ``percent`` is a candidate but with
+    probability UNSEEN. Single hashes serve 7 % and more; a lower threshold is refused."""
+    for rows in range(ROWS, 0, -1):
+        if 0 < percent <= 100 and (1 - (percent / 100) ** rows) ** (HASHES // rows) <= UNSEEN:
+            return rows
+    raise ValueError(f"percent must be from 7 to 100, not {percent}: {HASHES} hashes do not find pairs of lower similarity")
 
 
 def least_matches(percent: int = PERCENT, miss: float = MISS, batch: int = BATCH) -> list[int]:
@@ -65,16 +75,17 @@ def least_matches(percent: int = PERCENT, miss: float = MISS, batch: int = BATCH
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Byte signatures and 64-bit band hashes of non-empty sets."""
+def signatures(sets: list[np.ndarray], in_band: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Byte signatures and 64-bit hashes of the bands of ``in_band`` minhashes, of non-empty sets."""
     heads = np.cumsum([0] + [len(s) for s in sets])[:-1]
     h = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     least = np.empty((len(sets), HASHES), np.uint32)
     for k in range(HASHES):
         least[:, k] = np.minimum.reduceat(h * _MULTIPLY[k] + _ADD[k], heads)
-    rows = least.astype(np.uint64).reshape(len(sets), BANDS, ROWS)
-    bands = np.broadcast_to(_SEED, (len(sets), BANDS)).copy()
-    for r in range(ROWS):
+    n = HASHES // in_band
+    rows = least[:, : n * in_band].astype(np.uint64).reshape(len(sets), n, in_band)
+    bands = np.broadcast_to(_SEED[:n], (len(sets), n)).copy()
+    for r in range(in_band):
         bands = mixed(bands + rows[:, :, r] * np.uint64(0x9E3779B97F4A7C15))
     return ((least * np.uint32(0x85EBCA6B)) >> np.uint32(24)).astype(np.uint8), bands.view(np.int64)
 
@@ -90,7 +101,7 @@ def _chunks(sets: list[np.ndarray], most: int = 1 << 18):
         yield begin, len(sets)
 
 
-def _described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _described(batches: Iterator[pd.Series], in_band: int) -> Iterator[pd.DataFrame]:
     for texts in batches:
         sets = shingle_sets(texts.tolist())
         n = np.array([len(s) for s in sets], np.int64)
@@ -98,7 +109,7 @@ def _described(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         full = np.flatnonzero(n)
         own = [sets[i] for i in full]
         for b, e in _chunks(own):
-            s, hashes = signatures(own[b:e])
+            s, hashes = signatures(own[b:e], in_band)
             for i, at in enumerate(full[b:e].tolist()):
                 x = own[b + i]
                 fp[at] = b"".join(int(v.sum(dtype=np.uint64)).to_bytes(8, "little") for v in (mixed(x), mixed(x ^ np.uint64(0x5851F42D4C957F2D))))
@@ -301,7 +312,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents are linked when 100 * intersection >= percent * union of their shingle sets. Null and
     empty texts, and texts without words, have an empty set and are their own component. Rows of one
     id share what their texts are linked to; null ids never name a component that has another id, and
-    are not kept. Texts of any length are read whole. An empty table gives no rows.
+    are not kept. Texts of any length are read whole. An empty table gives no rows. ``percent`` is from
+    7 to 100; a pair exactly at it is missed by the bands with probability UNSEEN at most, and by each
+    batch of the signatures with probability ``miss``.
     """
     return _grouped(docs, id_col, text_col, percent, miss).drop("row_key", "root", "group_rows")
 
@@ -314,7 +327,12 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, miss: fl
     spark = docs.sparkSession
     bounded_batches(spark)
     text = utf8(text_col)
-    describe = F.pandas_udf(_described, "n long, fp binary, sig binary, bands array<long>")
+    in_band = band_rows(percent)
+
+    @F.pandas_udf("n long, fp binary, sig binary, bands array<long>")
+    def describe(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from _described(batches, in_band)
+
     described = stored(
         docs.select(
             F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), _row_key(id_col, text_col).alias("row_key"),

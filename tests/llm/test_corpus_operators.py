@@ -168,6 +168,24 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
     assert {group[r["n_chars"]]: r["doc_id"] for r in got} == {0: None, 1: 7, 2: 9, 3: None, 4: 11, 5: 7, 6: None, 7: None, 8: None, 9: 3, 10: 3}
 
 
+def test_near_groups_at_lower_thresholds(spark):
+    assert [near_dedup.band_rows(p) for p in (100, 75, 50, 40, 20, 7)] == [4, 4, 2, 2, 1, 1]
+    for percent in (0, 6, 101):
+        with pytest.raises(ValueError, match="percent"):
+            near_dedup.band_rows(percent)
+    rnd = random.Random(11)
+    rows = []
+    for k in range(150):  # pairs of 80 shingles each that share 40: a third of the union
+        own = [f"w{k}x{i}" for i in range(128)]
+        rows += [(2 * k, " ".join(own[:84])), (2 * k + 1, " ".join(own[40:124]))]
+    rnd.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(len(shingles(t)) == 80 for _, t in rows)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(frame, percent=33).collect()}
+    assert got == {i: i - i % 2 for i in range(300)}
+    assert near_dedup.near_groups(frame, percent=34).where("kept").count() == 300
+
+
 def test_posterior_bounds_rise():
     least = near_dedup.least_matches()
     assert least == sorted(least) and 0.55 * 128 < least[-1] < 0.75 * 128
