@@ -1,8 +1,8 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
 Voters are lexicons of words and of word beginnings, mined from labelled rows that may be learnt
-from, and patterns of form. They vote toxic, clean or abstain on a bounded sample of documents,
-labelled or not. The label model estimates each voter's accuracy by expectation-maximisation, and
+from, and patterns of form. They vote toxic, clean or abstain on that bounded sample of labelled
+documents; no unlabelled ones are learnt from. The label model estimates each voter's accuracy by expectation-maximisation, and
 the correlation of voters beyond what the labels explain, which lowers the weight of voters that
 repeat each other. Its posteriors are the labels on which the linear classifier is trained.
 """
@@ -29,7 +29,7 @@ THRESHOLD = 0.3
 #: A term is a word, or its first PREFIXES characters and "*". It enters a lexicon if at least
 #: MIN_DOCS documents with it are toxic and its smoothed precision reaches PRECISION.
 PREFIXES = (4, 5, 6)
-MIN_DOCS, PRECISION, MAX_TERMS = 4, 0.8, 600
+MIN_DOCS, PRECISION = 4, 0.8
 #: Lexicon voters: each has a share of the terms, so that one bad term spoils one voter only.
 LEXICONS = 12
 
@@ -53,7 +53,8 @@ def _exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def mined_terms(sample: DataFrame) -> dict[str, float]:
-    """At most MAX_TERMS terms with their smoothed precision, those of most toxic documents first.
+    """Every term that qualifies with its smoothed precision, those of most toxic documents first; the
+    sampled rows bound them.
 
     ``sample`` has a text and a label y. A beginning that is no better than the words that it stands
     for is left to them only if they are as frequent.
@@ -64,7 +65,7 @@ def mined_terms(sample: DataFrame) -> dict[str, float]:
     precision = F.col("toxic") / (F.col("toxic") + F.col("clean") + 0.5)
     best = (
         counted.where(F.col("toxic") >= MIN_DOCS).withColumn("precision", precision).where(F.col("precision") >= PRECISION)
-        .orderBy(F.desc("toxic"), "term").limit(MAX_TERMS).collect()
+        .orderBy(F.desc("toxic"), "term").collect()
     )
     return {r["term"]: r["precision"] for r in best}
 
@@ -165,7 +166,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_FIT_ROWS) -> ToxicityModel:
     """Mines the lexicon and fits both models on at most about ``most`` rows outside the held-out fold.
 
-    The driver gets at most MAX_TERMS terms and a few numbers of each sampled row, no texts.
+    The driver gets the qualifying terms and a few numbers of each sampled row, no texts.
     """
     bounded_batches(docs.sparkSession)
     sample = stored(

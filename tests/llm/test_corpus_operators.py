@@ -411,3 +411,10 @@ def test_sharding_deals_equal_rows(spark, monkeypatch, doc_id):
     assert collections.Counter((r["doc_id"], r["size"]) for r in got) == collections.Counter((r[0], len(r[1]) + 1) for r in rows)
     assert len(loads) == 8 and max(loads.values()) - min(loads.values()) <= 11
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
+def test_toxic_terms_are_all_kept(spark):
+    name = lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:03d}")
+    rows = [(" ".join(name(k) for k in range(700)), 1)] * 5 + [("xyz " * 3, 1)] * 4 + [("all is well", 0)] * 5
+    got = toxicity.mined_terms(spark.createDataFrame(rows, "text string, y int"))
+    assert set(got) == {name(k) for k in range(700)} | {"xyz"}
