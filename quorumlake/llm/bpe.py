@@ -2,8 +2,9 @@
 
 The library splits a text into words before BPE and encodes each word by itself, so a word seen
 before need not be encoded again. Here the split is one vectorised pass over the code points of a
-whole batch, words are looked up by a 64-bit hash of their code points and length, and only words
-not seen yet go through the library. Character classes are asked of the library's own splitter.
+whole batch, words are looked up by a hash and compared with the word found, code point by code
+point, and only words not seen yet go through the library. Character classes are asked of the
+library's own splitter.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ _LETTER, _NUMBER, _OTHER, _SPACE = 0, 1, 2, 3
 _BLOCK = 4096
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
-#: Words held at once, and code points of one vectorised pass.
-MAX_WORDS = 1_000_000
-PASS_CHARS = 1 << 20
+#: Words held at once and their code points, and code points of one vectorised pass.
+MAX_WORDS = 400_000
+MAX_HELD = 1 << 22
+PASS_CHARS = 1 << 18
 _SLOT_BITS = 20
 
 
@@ -46,13 +48,42 @@ class BatchEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[int, int] = {}
+        #: Hashes of words (0: none) and their numbers, in the first free slot from the hash's own on; and
+        #: numbers of words whose hash another word has.
         self.slot_key = np.zeros(1 << _SLOT_BITS, np.uint64)
-        self.slot_word = np.zeros(1 << _SLOT_BITS, np.int64)
-        self.count = np.zeros(1 << 16, np.int64)
-        self.first = np.zeros(1 << 16, np.int64)
-        self.flat = np.zeros(1 << 18, np.uint32)
-        self.used = 0
+        self.slot_word = np.zeros(1 << _SLOT_BITS, np.int32)
+        self.same_hash: dict[str, int] = {}
+        self.known = 0
+        #: Of each word: tokens and the first one's place in flat, code points and the first one's place in held.
+        self.count, self.first, self.size, self.place = (np.zeros(1 << 14, np.int32) for _ in range(4))
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.held = np.zeros(1 << 18, np.uint32)
+        self.used = self.held_used = 0
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the words of hashes ``h``, -1 for unknown ones."""
+        word = np.full(len(h), -1, np.int64)
+        todo, slot = np.arange(len(h)), (h >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        while len(todo):
+            key = self.slot_key[slot]
+            hit = key == h[todo]
+            word[todo[hit]] = self.slot_word[slot[hit]]
+            on = ~hit & (key != 0)
+            todo, slot = todo[on], (slot[on] + 1) & ((1 << _SLOT_BITS) - 1)
+        return word
+
+    def _put(self, h: np.ndarray, number: np.ndarray) -> None:
+        """Different hashes, unknown so far."""
+        slot = (h >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        while len(h):
+            free = self.slot_key[slot] == 0
+            self.slot_key[slot[free]] = h[free]
+            own = self.slot_key[slot] == h  # of several that want a slot, one has it
+            self.slot_word[slot[own]] = number[own]
+            h, number, slot = h[~own], number[~own], (slot[~own] + 1) & ((1 << _SLOT_BITS) - 1)
+
+    def _full(self) -> bool:
+        return self.known > MAX_WORDS or self.held_used > MAX_HELD
 
     def _class_of(self, cp: np.ndarray) -> np.ndarray:
         for block in np.flatnonzero(np.bincount(cp >> 12, minlength=1)):
@@ -100,50 +131,58 @@ class BatchEncoder:
         """Starts of the words of ``text`` and their numbers in the table."""
         cp = np.frombuffer(text.encode("utf-32-le"), "<u4")
         starts = self._split(cp, heads)
-        length = np.diff(np.append(starts, len(cp))).astype(np.uint64)
+        ends = np.append(starts[1:], len(cp))
+        length = ends - starts
         h = np.add.reduceat((cp.astype(np.uint64) + np.uint64(1)) * self.power[: len(cp)], starts) * self.inverse[starts]
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + length * np.uint64(0x94D049BB133111EB)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + length.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB) | np.uint64(1)
-        slot = (h >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
-        word = self.slot_word[slot]
-        miss = np.flatnonzero(self.slot_key[slot] != h)
+        word = self._find(h)
+        miss = np.flatnonzero(word < 0)
         if len(miss):
             keys, at, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            found = np.fromiter((self.index.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
-            new = np.flatnonzero(found < 0)
-            if len(new):
-                begin = starts[miss[at[new]]]
-                end = begin + length[miss[at[new]]].astype(np.int64)
-                found[new] = self._learn(keys[new], [text[b:e] for b, e in zip(begin.tolist(), end.tolist())])
-            word[miss] = found[back]
-            where = slot[miss[at]]
-            self.slot_key[where], self.slot_word[where] = keys, found
-            # two new words may want one slot; the last one has it, in both tables alike
-            bad = self.slot_key[where] != keys
-            if bad.any():
-                self.slot_word[where] = np.where(bad, [self.index[k] for k in self.slot_key[where].tolist()], found)
+            own = miss[at]
+            number = self._learn([text[b:e] for b, e in zip(starts[own].tolist(), ends[own].tolist())])
+            self._put(keys, number)
+            word[miss] = number[back]
+        for i in self._unlike(cp, starts, length, word).tolist():
+            own = text[starts[i] : ends[i]]
+            if own not in self.same_hash:
+                self.same_hash[own] = int(self._learn([own])[0])
+            word[i] = self.same_hash[own]
         return starts, word
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> np.ndarray:
+    def _unlike(self, cp: np.ndarray, starts: np.ndarray, length: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Which words differ from the word of the table that their hash led to."""
+        same_size = self.size[word] == length
+        # a word of another size is compared with whatever is held there, within bounds
+        at = np.repeat(self.place[word].astype(np.int64) - starts, length) + np.arange(len(cp))
+        equal = self.held[np.minimum(at, len(self.held) - 1)] == cp
+        return np.flatnonzero(~(same_size & np.logical_and.reduceat(equal, starts)))
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Numbers of new words."""
         merge, char = self.library.model.tokenize, self.char_of_byte
         ids = [[t.id for t in merge("".join(map(char.__getitem__, w.encode())))] for w in words]
-        n = len(self.index)
-        number = np.arange(n, n + len(words))
-        self.index.update(zip(keys.tolist(), number.tolist()))
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(size.sum())
-        while n + len(words) > len(self.count):
-            self.count, self.first = (np.concatenate([x, np.zeros_like(x)]) for x in (self.count, self.first))
-        while self.used + total > len(self.flat):
+        number = np.arange(self.known, self.known + len(words))
+        self.known += len(words)
+        tokens, chars = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids, words))
+        while self.known > len(self.count):
+            self.count, self.first, self.size, self.place = (np.concatenate([x, np.zeros_like(x)]) for x in (self.count, self.first, self.size, self.place))
+        while self.used + tokens.sum() > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.count[number] = size
-        self.first[number] = self.used + np.cumsum(size) - size
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.used += total
+        while self.held_used + chars.sum() > len(self.held):
+            self.held = np.concatenate([self.held, np.zeros_like(self.held)])
+        self.count[number], self.size[number] = tokens, chars
+        self.first[number] = self.used + np.cumsum(tokens) - tokens
+        self.place[number] = self.held_used + np.cumsum(chars) - chars
+        self.flat[self.used : self.used + tokens.sum()] = np.fromiter((i for x in ids for i in x), np.uint32, tokens.sum())
+        self.held[self.held_used : self.held_used + chars.sum()] = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        self.used += int(tokens.sum())
+        self.held_used += int(chars.sum())
         return number
 
     def _ids(self, word: np.ndarray) -> np.ndarray:
-        size = self.count[word]
+        size = self.count[word].astype(np.int64)
         ends = np.cumsum(size)
         return self.flat[np.repeat(self.first[word] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
@@ -157,7 +196,7 @@ class BatchEncoder:
             if special is not None:
                 starts.append(np.array([at])), sizes.append(np.array([1])), ids.append(np.array([special], np.uint32))
             elif part:
-                if len(self.index) > MAX_WORDS:
+                if self._full():
                     self._forget()
                 s, w = self._words(part, np.array([0]))
                 starts.append(s + at), sizes.append(self.count[w]), ids.append(self._ids(w))
@@ -194,12 +233,12 @@ class BatchEncoder:
             nonlocal group, size
             if not group:
                 return
-            if len(self.index) > MAX_WORDS:
+            if self._full():
                 self._forget()
             own = [texts[i] for i in group]
             heads = np.cumsum([0] + [len(t) for t in own])
             starts, word = self._words("".join(own), heads[:-1])
-            n = self.count[word]
+            n = self.count[word].astype(np.int64)
             counts[group] = np.add.reduceat(n, np.searchsorted(starts, heads[:-1]))
             if with_ids:
                 ids.append(self._ids(word))
@@ -236,13 +275,12 @@ def spliced(encoder: BatchEncoder, text: str, chunk: int = CHUNK, overlap: int =
     overlap), the earlier chunk is widened and encoded again, at last to the end of the text.
     """
     margin = encoder.longest_special + 4
-    begin, splice = 0, 0
-    width = max(chunk, 4 * margin)
-    lap = max(overlap, 2 * margin)
-    ahead = None
+    least, lap_least = max(chunk, 4 * margin), max(overlap, 2 * margin)
+    begin, splice, width, lap = 0, 0, least, lap_least
+    own = encoded(encoder, text[:width])
     while True:
         end = min(len(text), begin + width)
-        starts, sizes, ids = ahead if ahead and ahead[3] == (begin, end) else (*encoded(encoder, text[begin:end]),)
+        starts, sizes, ids = own
         starts = starts + begin
         first = np.searchsorted(starts, splice)
         skip = int(sizes[:first].sum())
@@ -250,18 +288,19 @@ def spliced(encoder: BatchEncoder, text: str, chunk: int = CHUNK, overlap: int =
             yield int(sizes[first:].sum()), ids[skip:]
             return
         nxt = max(splice + 1, end - lap)
-        after = encoded(encoder, text[nxt : min(len(text), nxt + max(chunk, 4 * margin))])
+        after = encoded(encoder, text[nxt : min(len(text), nxt + least)])
         common = np.intersect1d(starts[first:], after[0] + nxt)
         common = common[(common > splice) & (common <= end - margin)]
         if not len(common):
             width, lap = 2 * width, 2 * lap
+            own = encoded(encoder, text[begin : min(len(text), begin + width)])
             continue
         place = int(common[-1])
         last = np.searchsorted(starts, place)
         taken = int(sizes[first:last].sum())
         yield taken, ids[skip : skip + taken]
-        splice, begin = place, nxt
-        width, lap = max(chunk, 4 * margin), max(overlap, 2 * margin)
+        splice, begin, own = place, nxt, after
+        width, lap = least, lap_least
 
 
 def encoded(encoder: BatchEncoder, text: str):

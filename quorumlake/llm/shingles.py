@@ -1,4 +1,4 @@
-"""Sets of word shingles as 64-bit hashes, computed for many texts at once.
+"""Sets of word shingles, as 64-bit hashes and exactly.
 
 Words are the runs between ASCII white space of the text with A-Z lower-cased. A text's set holds
 its distinct five-word shingles; a text of fewer words has its whole sequence as one; a text without
@@ -7,23 +7,36 @@ words has none.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 SIZE = 5
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_PASS = 1 << 20
-_powers: dict[str, np.ndarray] = {}
+#: Bytes of one vectorised pass.
+_PASS = 1 << 18
+#: Words are named by polynomials in two bases modulo a prime: unlike modulo a power of two, no texts
+#: collide in every base.
+PRIME = np.uint64((1 << 31) - 1)
+BASES = (1103515245, 1566083941)
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), int(PRIME))) % PRIME])
+    return out[:n].astype(np.uint32)
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, _PASS + 1)
-        _powers["up"] = np.cumprod(np.full(size, _BASE, np.uint64))
-        _powers["down"] = np.cumprod(np.full(size, pow(_BASE, -1, 1 << 64), np.uint64))
-    return _powers["up"], _powers["down"]
+def prime_powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers of each base and of its inverse, at least ``n`` of them."""
+    if not _powers or len(_powers[0][0]) < n:
+        size = max(n, _PASS + 2)
+        _powers[:] = [(_powers_of(b, size), _powers_of(pow(b, -1, int(PRIME)), size)) for b in BASES]
+    return _powers
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -39,10 +52,16 @@ def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     if not len(starts):
         return starts, np.zeros(0, np.uint64)
-    up, down = _tables(len(buf))
-    value = (buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)]
+    value = buf.astype(np.uint64) + np.uint64(1)
     value[space] = 0
-    return starts, mixed(np.add.reduceat(value, starts) * down[starts])
+    # a sum has at most 2^18 terms below 2^40: a longer word of a longer pass is summed in parts
+    h = np.zeros(len(starts), np.uint64)
+    for up, down in prime_powers(len(buf)):
+        own = value * up[: len(buf)]
+        if len(buf) > _PASS:
+            own %= PRIME
+        h = (h << np.uint64(31)) | (np.add.reduceat(own, starts) % PRIME * down[starts] % PRIME)
+    return starts, mixed(h)
 
 
 def _long_word_hashes(raw: bytes) -> np.ndarray:
@@ -62,19 +81,16 @@ def _joined(words: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     n = len(words)
     rolled = np.zeros(max(0, n - SIZE + 1), np.uint64)
     for k in range(SIZE):
-        rolled = rolled * _STEP + words[k : n - SIZE + 1 + k] if n >= SIZE else rolled
-    rolled = mixed(rolled + np.uint64(SIZE))
+        rolled = mixed(rolled * _STEP + words[k : n - SIZE + 1 + k]) if n >= SIZE else rolled
     out, begin = [], 0
     for end in ends.tolist():
         if end - begin >= SIZE:
             out.append(np.unique(rolled[begin : end - SIZE + 1]))
-        elif end > begin:
-            h = np.zeros(1, np.uint64)
-            for w in words[begin:end]:
-                h = h * _STEP + w
-            out.append(mixed(h + np.uint64(end - begin)))
         else:
-            out.append(np.zeros(0, np.uint64))
+            h = np.full(min(end - begin, 1), end - begin, np.uint64)
+            for w in words[begin:end]:
+                h = mixed(h * _STEP + w)
+            out.append(h)
         begin = end
     return out
 
@@ -106,3 +122,45 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
         size += len(raw) + 1
     flush()
     return out
+
+
+def words_of(text: str) -> list[bytes]:
+    """The words; bytes.split() and bytes.lower() know the same white space and letters."""
+    return text.encode().lower().split()
+
+
+def set_digest(shingles: np.ndarray) -> bytes:
+    """128 bits that stand for a sorted set."""
+    return blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def _numbered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs (a, b), the same for equal pairs."""
+    return np.unique((a << 32) | b, return_inverse=True)[1]
+
+
+def exact_sets(texts: list[str]) -> list[np.ndarray]:
+    """Sorted distinct numbers of each text's shingles. Equal shingles of these texts, and no others, have
+    the same number: words are numbered, then pairs of numbers, without any hash that decides."""
+    number: dict[bytes, int] = {}
+    parts = []
+    for t in texts:
+        words = words_of(t)
+        parts.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
+    long = [p for p in parts if len(p) >= SIZE]
+    cuts = np.cumsum([0] + [len(p) for p in long])
+    flat = np.concatenate(long) if long else np.zeros(0, np.int64)
+    if len(flat):
+        two = _numbered(flat[:-1], flat[1:])
+        four = _numbered(two[:-2], two[2:])
+        five = _numbered(four[:-1], flat[SIZE - 1 :])
+    short: dict[tuple, int] = {}
+    out, k = [], 0
+    for p in parts:
+        if len(p) >= SIZE:
+            out.append(np.unique(five[cuts[k] : cuts[k + 1] - SIZE + 1]))
+            k += 1
+        else:
+            own = tuple(p.tolist())
+            out.append(np.array([-1 - short.setdefault(own, len(short))] if own else [], np.int64))
+    return out
