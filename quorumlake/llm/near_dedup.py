@@ -3,7 +3,7 @@
 Every distinct shingle set gets a signature of HASHES minhashes. Sets that share a band of up to ROWS
 hashes (fewer for a threshold under 75 %: see band_rows) are candidates; inside their bucket their signatures are compared batch by batch, and a pair
 is dropped as soon as the posterior probability that its similarity reaches the threshold falls
-below MISS. Survivors are verified on the full shingle sets of the texts. Equal sets are one node
+below MISS. Survivors are verified on the words of the full texts. Equal sets are one node
 throughout, and a large bucket never emits all its pairs: see SMALL.
 """
 
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .bloom import possibly_in
 from .components import components
-from .scratch import bounded_batches, fresh, join_keyed, stored, utf8
-from .shingles import mixed, shingle_sets
+from .scratch import bounded_batches, fresh, join_keyed, join_salted, released, stored, utf8
+from .shingles import exact_sets, mixed, set_digest, shingle_sets
 
 #: Similarity as intersection over union, in whole percent.
 PERCENT = 75
@@ -31,12 +31,14 @@ BATCH = 32
 MISS = 1e-4
 #: Largest probability that a pair exactly at the threshold shares no band.
 UNSEEN = 1e-4
-#: A bucket of more nodes is compared in pairs of blocks of at most this many.
-BLOCK = 2048
+#: A bucket of more nodes than two blocks is compared in pairs of blocks of about BLOCK nodes; where
+#: their texts are needed too, of at most about BLOCK_BYTES of them.
+BLOCK = 1024
+BLOCK_BYTES = 8 << 20
 #: A bucket of at most this many nodes sends all its surviving pairs. Of a larger one, each node sends
 #: those with its PARTNERS most similar partners; the rest, where its ends are not connected by then,
-#: are verified inside the bucket, which gets its texts and sends links only. A pair belongs to its
-#: first large bucket.
+#: are verified inside the bucket, which gets the texts of such ends and sends links only. A pair
+#: belongs to its first large bucket.
 SMALL = 32
 PARTNERS = 4
 
@@ -111,31 +113,49 @@ def _described(batches: Iterator[pd.Series], in_band: int) -> Iterator[pd.DataFr
         for b, e in _chunks(own):
             s, hashes = signatures(own[b:e], in_band)
             for i, at in enumerate(full[b:e].tolist()):
-                x = own[b + i]
-                fp[at] = b"".join(int(v.sum(dtype=np.uint64)).to_bytes(8, "little") for v in (mixed(x), mixed(x ^ np.uint64(0x5851F42D4C957F2D))))
+                fp[at] = set_digest(own[b + i])
                 sig[at], bands[at] = s[i].tobytes(), hashes[i].tolist()
         yield pd.DataFrame({"n": n, "fp": fp, "sig": sig, "bands": bands})
+    released()
 
 
-def _surviving(sig: np.ndarray, block: np.ndarray | None, bands: np.ndarray | None, least: list[int]):
-    """Pairs (i < j) of rows of ``sig`` that no batch drops, and their matches. With ``block``, only
-    pairs of rows of different blocks; with ``bands``, only those that share none of these."""
-    first, second, matches = [], [], []
-    for i in range(len(sig) - 1):
-        j = np.arange(i + 1, len(sig))
-        if block is not None:
-            j = j[block[j] != block[i]]
-        m = np.zeros(len(j), np.int64)
-        for b, need in enumerate(least):
-            at = slice(b * BATCH, (b + 1) * BATCH)
-            m = m + (sig[j, at] == sig[i, at]).sum(1)
-            on = m >= need
-            j, m = j[on], m[on]
-        if bands is not None and bands.shape[1]:
-            on = ~(bands[j] == bands[i]).any(1)
+def _survivors(sig: np.ndarray, i: int, j: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the rows ``j`` whose pair with row ``i`` no batch drops, and their matches."""
+    m = np.zeros(len(j), np.int64)
+    for b, need in enumerate(least):
+        at = slice(b * BATCH, (b + 1) * BATCH)
+        m = m + np.count_nonzero(sig[j, at] == sig[i, at], axis=1)
+        on = m >= need
+        j, m = j[on], m[on]
+    return j, m
+
+
+class _Bucket:
+    """A bucket, or a pair of its blocks: its nodes in order and who is compared with whom."""
+
+    def __init__(self, rows: dict):
+        self.order = np.argsort(rows["nid"])
+        self.nodes = rows["nid"][self.order]
+        self.sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(self.order), HASHES)[self.order]
+        bands = np.stack(rows["bands"])[self.order]
+        self.earlier = bands[:, : int(np.flatnonzero(bands[0] == rows["bucket"][0])[0])]
+        self.block = rows["block"][self.order] if rows["lo"][0] != rows["hi"][0] else None
+        self.root = rows["root"][self.order] if "root" in rows else None
+
+    def partners(self, i: int, least: list[int], after: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the other block, if there are two, and of other roots, if these are known, that share
+        no earlier band with row ``i`` and survive with it; ``after``: only those that follow it."""
+        j = np.arange(i + 1 if after else 0, len(self.sig))
+        on = j != i
+        if self.block is not None:
+            on &= self.block[j] != self.block[i]
+        if self.root is not None:
+            on &= self.root[j] != self.root[i]
+        j, m = _survivors(self.sig, i, j[on], least)
+        if self.earlier.shape[1]:
+            on = ~(self.earlier[j] == self.earlier[i]).any(1)
             j, m = j[on], m[on]
-        first.append(np.full(len(j), i)), second.append(j), matches.append(m)
-    return tuple(map(np.concatenate, (first, second, matches)))
+        return j, m
 
 
 def _surviving_twos(sig: np.ndarray, least: list[int]) -> np.ndarray:
@@ -149,28 +169,6 @@ def _surviving_twos(sig: np.ndarray, least: list[int]) -> np.ndarray:
     return on
 
 
-def _ranked(i: np.ndarray, j: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """For each pair the lower of its ranks among the partners of its two ends, most similar first."""
-    n = len(i)
-    ends, others, both = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([m, m])
-    order = np.lexsort((others, -both, ends))
-    sorted_ends = ends[order]
-    heads = np.flatnonzero(np.concatenate([[True], sorted_ends[1:] != sorted_ends[:-1]])) if n else np.zeros(0, int)
-    rank = np.empty(2 * n, np.int64)
-    rank[order] = np.arange(2 * n) - np.repeat(heads, np.diff(np.append(heads, 2 * n)))
-    return np.minimum(rank[:n], rank[n:])
-
-
-def _large(rows: dict, least: list[int]):
-    """Nodes of a large bucket in order, and the surviving pairs that belong to it."""
-    order = np.argsort(rows["nid"])
-    sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(order), HASHES)[order]
-    bands = np.stack(rows["bands"])[order]
-    bands = bands[:, : int(np.flatnonzero(bands[0] == rows["bucket"][0])[0])]
-    split = rows["lo"][0] != rows["hi"][0]
-    return order, *_surviving(sig, rows["block"][order] if split else None, bands, least)
-
-
 def _grouped_rows(batches):
     """Rows of whole buckets, as arrays by column; rows arrive sorted by bucket and blocks."""
     held: dict | None = None
@@ -202,17 +200,17 @@ def _cuts(rows: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compare(batches, least: list[int]):
-    """Sends the pairs to verify: all survivors of small buckets, and of large ones those of rank below
-    PARTNERS. A row of -1 says that pairs of higher rank remain."""
+    """Sends the pairs to verify: all survivors of small buckets, and of large ones those of each node
+    with its PARTNERS most similar partners. A row of -1 says that more pairs remain."""
 
     def large(rows: dict):
-        order, i, j, m = _large(rows, least)
-        nodes, th = rows["nid"][order], rows["th"][order]
-        on = _ranked(i, j, m) < PARTNERS
-        out = [_pairs(nodes, th, i[on], j[on])]
-        if not on.all():
-            out.append(np.full((1, 4), -1, np.int64))
-        return out
+        own, out, more = _Bucket(rows), [], False
+        for i in range(len(own.nodes)):
+            j, m = own.partners(i, least)
+            more |= len(j) > PARTNERS
+            j = j[np.argsort(-m, kind="stable")[:PARTNERS]]
+            out.append(_pairs(own.nodes, np.full(len(j), i), j))
+        return [*out, np.full((1, 2), -1, np.int64)] if more else out
 
     def small(rows: dict, cuts: np.ndarray, ends: np.ndarray):
         out = []
@@ -221,12 +219,13 @@ def _compare(batches, least: list[int]):
         if len(both):
             sig = np.frombuffer(b"".join(rows["sig"][both]), np.uint8).reshape(len(both), HASHES)
             at = two[_surviving_twos(sig, least)]
-            out.append(_pairs(rows["nid"], rows["th"], at, at + 1))
+            out.append(_pairs(rows["nid"], at, at + 1))
         for b, e in zip(cuts.tolist(), ends.tolist()):
             if e - b > 2:
                 sig = np.frombuffer(b"".join(rows["sig"][b:e]), np.uint8).reshape(e - b, HASHES)
-                i, j, _ = _surviving(sig, None, None, least)
-                out.append(_pairs(rows["nid"], rows["th"], i + b, j + b))
+                for i in range(e - b - 1):
+                    j, _ = _survivors(sig, i, np.arange(i + 1, e - b), least)
+                    out.append(_pairs(rows["nid"], np.full(len(j), b + i), b + j))
         return out
 
     for rows in _grouped_rows(batches):
@@ -235,7 +234,26 @@ def _compare(batches, least: list[int]):
         out = small(rows, cuts[~is_large], ends[~is_large])
         for b, e in zip(cuts[is_large].tolist(), ends[is_large].tolist()):
             out += large({c: v[b:e] for c, v in rows.items()}) if e - b > 1 else []
-        yield pd.DataFrame(np.concatenate([np.zeros((0, 4), np.int64), *out]), columns=["na", "nb", "tha", "thb"])
+        yield pd.DataFrame(np.concatenate([np.zeros((0, 2), np.int64), *out]), columns=["na", "nb"])
+    released()
+
+
+def _each_bucket(batches):
+    for rows in _grouped_rows(batches):
+        for b, e in zip(*(x.tolist() for x in _cuts(rows))):
+            yield {c: v[b:e] for c, v in rows.items()}
+
+
+def _still_apart(batches, least: list[int]):
+    """The nodes of large buckets that survive with a node of another root."""
+    for rows in _each_bucket(batches):
+        own = _Bucket(rows)
+        on = np.zeros(len(own.nodes), bool)
+        for i in range(len(on)):
+            j, _ = own.partners(i, least, after=True)
+            on[j] = True
+            on[i] |= len(j) > 0
+        yield pd.DataFrame({"bucket": rows["bucket"][0], "nid": own.nodes[on]})
 
 
 def _link_inside(batches, least: list[int], percent: int):
@@ -244,66 +262,89 @@ def _link_inside(batches, least: list[int], percent: int):
     Survivors are verified most similar first, and only while their ends lie apart; so each link sent
     joins two components, and there are fewer of them than nodes.
     """
-    for rows in _grouped_rows(batches):
-        for b, e in zip(*(x.tolist() for x in _cuts(rows))):
-            own = {c: v[b:e] for c, v in rows.items()}
-            order, i, j, m = _large(own, least)
-            nodes, root = own["nid"][order], dict(zip(own["root"].tolist(), own["root"].tolist()))
-            at = own["root"][order].tolist()
-
-            def find(x):
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            apart = own["root"][order][i] != own["root"][order][j]
-            i, j, m = i[apart], j[apart], m[apart]
-            used = np.unique(np.concatenate([i, j]))
-            sets = dict(zip(used.tolist(), shingle_sets(own["text"][order][used].tolist())))
-            out = []
-            for k in np.argsort(-m, kind="stable").tolist():
-                x, y = int(i[k]), int(j[k])
-                if (a := find(at[x])) == (c := find(at[y])):
-                    continue
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
-                    root[a] = c
-                    out.append((nodes[x], nodes[y]))
-            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-
-def _pairs(nodes: np.ndarray, th: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """(smaller node, larger node, their text hashes) of pairs of rows."""
-    a, b = np.where(nodes[i] <= nodes[j], i, j), np.where(nodes[i] <= nodes[j], j, i)
-    return np.column_stack([nodes[a], nodes[b], th[a], th[b]])
+    for rows in _each_bucket(batches):
+        own = _Bucket(rows)
+        root = dict(zip(own.root.tolist(), own.root.tolist()))
+        at = own.root.tolist()
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        found = [own.partners(i, least, after=True) for i in range(len(at))]
+        i = np.repeat(np.arange(len(at), dtype=np.int32), [len(j) for j, _ in found])
+        j, m = (np.concatenate([f[k] for f in found]).astype(np.int32) for k in (0, 1))
+        used = np.unique(np.concatenate([i, j]))
+        sets = dict(zip(used.tolist(), exact_sets(rows["text"][own.order][used].tolist())))
+        out = []
+        for k in np.argsort(-m, kind="stable").tolist():
+            x, y = int(i[k]), int(j[k])
+            if (a := find(at[x])) == (c := find(at[y])):
+                continue
+            if _alike(sets[x], sets[y], percent):
+                root[a] = c
+                out.append((own.nodes[x], own.nodes[y]))
+        yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    released()
+
+
+def _pairs(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """(smaller node, larger node) of pairs of rows."""
+    return np.column_stack([np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])])
+
+
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def _verified(batches, percent: int):
     for pdf in batches:
-        sets = shingle_sets(pdf["ta"].tolist() + pdf["tb"].tolist())
         n = len(pdf)
-        both = np.array([len(np.intersect1d(sets[k], sets[n + k], assume_unique=True)) for k in range(n)], np.int64)
-        union = np.array([len(sets[k]) + len(sets[n + k]) for k in range(n)], np.int64) - both
-        yield pdf.loc[100 * both >= percent * union, ["na", "nb"]].rename(columns={"na": "a", "nb": "b"})
+        sets = exact_sets(pdf["ta"].tolist() + pdf["tb"].tolist())
+        on = np.array([_alike(sets[k], sets[n + k], percent) for k in range(n)], bool)
+        yield pdf.loc[on, ["na", "nb"]].rename(columns={"na": "a", "nb": "b"})
+    released()
+
 
+def _text_key(text: Column) -> Column:
+    return F.md5(text.cast("binary"))
 
-def _texts_of(ends: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
-    """(th, text) of the text hashes ``ends``: a filter on them keeps other texts from being shuffled."""
-    wanted = possibly_in(ends, "th", ends.count())
-    return docs.select(F.xxhash64(text).alias("th"), text.alias("text")).where(wanted(F.col("th"))).dropDuplicates(["th"])
 
+def _texts_of(wanted: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """(nid, text) of the nodes ``wanted`` (nid, th): a filter keeps other texts from being shuffled."""
+    wanted = stored(wanted, "ends")
+    short = lambda c: F.xxhash64(c)
+    hit = possibly_in(wanted.select(short(F.col("th")).alias("h")), "h", wanted.count())
+    texts = docs.select(_text_key(text).alias("th"), text.alias("text")).where(hit(short(F.col("th")))).dropDuplicates(["th"])
+    return texts.join(wanted, "th").select("nid", "text")
 
-def _verify(pairs: DataFrame, docs: DataFrame, text: Column, percent: int) -> DataFrame:
+
+def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: Column, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
-    ends = stored(pairs.select(F.col("tha").alias("th")).unionByName(pairs.select(F.col("thb").alias("th"))).distinct(), "ends")
-    texts = _texts_of(ends, docs, text)
-    joined = (
-        pairs.join(texts.select(F.col("th").alias("tha"), F.col("text").alias("ta")), "tha")
-        .join(texts.select(F.col("th").alias("thb"), F.col("text").alias("tb")), "thb")
-        .select("na", "nb", "ta", "tb")
+    ends = pairs.select(F.col("na").alias("nid")).unionByName(pairs.select(F.col("nb").alias("nid"))).distinct()
+    texts = _texts_of(ends.join(nodes.select("nid", "th"), "nid"), docs, text)
+    a, b = (texts.select(F.col("nid").alias(f"n{x}"), F.col("text").alias(f"t{x}")) for x in "ab")
+    total = pairs.count()
+    joined = join_salted(join_salted(pairs, a, "na", total, "nb"), b, "nb", total, "na", pairs)
+    return stored(joined.select("na", "nb", "ta", "tb").mapInPandas(partial(_verified, percent=percent), "a long, b long"), "verified")
+
+
+def _in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
+    """Each node of a bucket of several ``blocks`` once for each pair of blocks that holds its own."""
+    return (
+        members.withColumn("blocks", blocks.cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+        .drop("blocks", "other")
     )
-    return stored(joined.mapInPandas(partial(_verified, percent=percent), "a long, b long"), "verified")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*_KEY).sortWithinPartitions(*_KEY)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, miss: float = MISS) -> DataFrame:
@@ -335,46 +376,28 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, miss: fl
 
     described = stored(
         docs.select(
-            F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), _row_key(id_col, text_col).alias("row_key"),
+            F.col(id_col).alias("doc_id"), _text_key(text).alias("th"), F.octet_length(text).alias("size"), _row_key(id_col, text_col).alias("row_key"),
             F.monotonically_increasing_id().alias("rid"), describe(text).alias("d"),
-        ).select("doc_id", "th", "row_key", "rid", "d.*"),
+        ).select("doc_id", "th", "size", "row_key", "rid", "d.*"),
         "near-signatures",
     )
     total = described.count()
     full = described.where(F.col("fp").isNotNull())
     sets = stored(full.groupBy("fp").agg(F.min("rid").alias("nid"), F.count("*").alias("n_rows"), F.min("doc_id").alias("least_id")), "near-sets")
     nodes = stored(
-        full.select("rid", "th", "sig", "bands").join(sets.select(F.col("nid").alias("rid")), "rid").withColumnRenamed("rid", "nid"), "near-nodes"
+        full.select("rid", "th", "size", "sig", "bands").join(sets.select(F.col("nid").alias("rid")), "rid").withColumnRenamed("rid", "nid"), "near-nodes"
     )
     banded = nodes.select("nid", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    blocks = F.when(F.col("n") > 2 * BLOCK, blocks).otherwise(1)
-    members = (
-        banded.join(shared, "bucket")
-        .withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", "n", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "nid")
-    )
-    own = nodes.select("nid", "th", "sig", "bands")
-    members = stored(members.join(own, "nid").withColumn("bands", F.when(F.col("n") > SMALL, F.col("bands"))), "near-members")
+    members = _in_blocks(banded.join(shared, "bucket"), F.when(F.col("n") > 2 * BLOCK, F.ceil(F.col("n") / BLOCK)).otherwise(1))
+    members = stored(members.join(nodes.select("nid", "sig", "bands"), "nid").withColumn("bands", F.when(F.col("n") > SMALL, F.col("bands"))), "near-members")
     least = least_matches(percent, miss)
-    dealt = members.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    sent = dealt.mapInPandas(partial(_compare, least=least), "na long, nb long, tha long, thb long").groupBy("na", "nb").agg(
-        F.min("tha").alias("tha"), F.min("thb").alias("thb")
-    )
-    sent = stored(sent, "candidates")
-    links = _verify(sent.where("na >= 0"), docs, text, percent)
+    sent = stored(_dealt(members).mapInPandas(partial(_compare, least=least), "na long, nb long").distinct(), "candidates")
+    links = _verify(sent.where("na >= 0"), nodes, docs, text, percent)
     stars = components(links)
     if sent.where("na < 0").limit(1).count():
-        rows = members.where(F.col("n") > SMALL).join(stars.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-        apart = rows.groupBy(*_KEY).agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select(*_KEY)
-        rows = stored(rows.join(apart, _KEY), "near-apart")
-        texts = _texts_of(stored(rows.select("th").distinct(), "ends"), docs, text)
-        dealt = rows.join(texts, "th").repartition(*_KEY).sortWithinPartitions(*_KEY)
-        more = dealt.mapInPandas(partial(_link_inside, least=least, percent=percent), "a long, b long")
-        stars = components(links.unionByName(stored(more, "verified")))
+        more = _rest_of_large(members.where(F.col("n") > SMALL), stars, nodes, docs, text, least, percent)
+        stars = components(links.unionByName(more))
     named = sets.join(stars.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("n_rows").alias("group_rows"))
     table = stored(named.join(ids, "root").select("fp", "n_rows", "component_id", "root", "group_rows"), "near-components")
@@ -386,6 +409,25 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, miss: fl
     )
 
 
+def _rest_of_large(members: DataFrame, stars: DataFrame, nodes: DataFrame, docs: DataFrame, text: Column, least: list[int], percent: int) -> DataFrame:
+    """Links between components that large buckets hold and their nodes' best partners did not show.
+
+    Only buckets of several components are looked at, and of these only nodes that survive with one of
+    another component get their texts.
+    """
+    rows = members.join(stars.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    apart = rows.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("bucket")
+    rows = stored(rows.join(apart, "bucket"), "near-apart")
+    on = stored(_dealt(rows).mapInPandas(partial(_still_apart, least=least), "bucket long, nid long").distinct(), "near-apart-nodes")
+    sized = on.join(nodes.select("nid", "size"), "nid")
+    per = sized.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    several = F.ceil(F.greatest(F.col("n") / (2 * BLOCK), F.col("bytes") / BLOCK_BYTES))
+    placed = _in_blocks(on.join(per, "bucket"), F.greatest(several, F.lit(1))).drop("n", "bytes")
+    own = rows.select("bucket", "nid", "root").distinct().join(placed, ["bucket", "nid"]).join(nodes.select("nid", "sig", "bands"), "nid")
+    texts = _texts_of(on.select("nid").distinct().join(nodes.select("nid", "th"), "nid"), docs, text)
+    return stored(_dealt(own.join(texts, "nid")).mapInPandas(partial(_link_inside, least=least, percent=percent), "a long, b long"), "verified")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, miss: float = MISS) -> DataFrame:
     """One row of each group of linked rows of ``docs``, and all rows that are linked with nothing; all
     columns kept.
@@ -415,3 +457,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         single = marked.where(may_be_repeated(F.col(key))).dropDuplicates([key])
         kept = kept.unionByName(single.join(repeated.withColumnRenamed("row_key", key), key, "left_semi").select(*own))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+#: Brute force over all pairs of documents that share a shingle: for small tables.
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS own FROM d),
+e AS (SELECT doc_id, len(own) AS n, unnest(own) AS x FROM s),
+link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS root FROM s UNION SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.doc_id),
+least AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, len(own)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN least USING (doc_id)
+"""

@@ -20,7 +20,7 @@ _local_root: list[str] = []
 
 #: Rows and bytes of one Arrow batch: whole texts can be long, so a batch is bounded in both.
 ARROW_ROWS = 512
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -83,26 +83,53 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 HOT_KEYS = 1000
 
 
-def join_keyed(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def join_keyed(rows: DataFrame, keyed: DataFrame, key: str | list[str], count: str, total: int) -> DataFrame:
     """Inner join of ``rows`` to ``keyed``, which has one row per key and the key's row count.
 
     Keys with at least ``max(1000, total / HOT_KEYS)`` rows are at most HOT_KEYS, so their side is
     broadcast and their rows do not move; all other keys meet in an ordinary shuffle join, where no
     key can weigh more than that.
     """
+    key = [key] if isinstance(key, str) else key
     least = max(1000, -(-total // HOT_KEYS))
-    hot = keyed.where(F.col(count) >= least)
-    cold = keyed.where(F.col(count) < least)
-    held = F.broadcast(hot)
+    held = F.broadcast(keyed.where(F.col(count) >= least))
     mark = fresh(rows, "hot")[0]
-    named = held.select(F.col(key), F.lit(True).alias(mark))
-    flagged = rows.join(F.broadcast(named), key, "left")
+    flagged = rows.join(F.broadcast(held.select(*key, F.lit(True).alias(mark))), key, "left")
     return (
         flagged.where(F.col(mark)).drop(mark).join(held, key)
-        .unionByName(flagged.where(F.col(mark).isNull()).drop(mark).join(cold, key))
+        .unionByName(flagged.where(F.col(mark).isNull()).drop(mark).join(keyed.where(F.col(count) < least), key))
     )
 
 
+def join_salted(rows: DataFrame, keyed: DataFrame, key: str, total: int, spread_by: str, counted: DataFrame | None = None) -> DataFrame:
+    """Inner join of ``rows`` to ``keyed``, which has one row per key and may be too large to broadcast.
+
+    A key with at least ``max(1000, total / HOT_KEYS)`` rows is dealt over as many copies of its row in
+    ``keyed`` as it has such shares, by hash of ``spread_by``: at most HOT_KEYS copies are added. Keys are
+    counted in ``counted``, by default in ``rows``.
+    """
+    least = max(1000, -(-total // HOT_KEYS))
+    salt, copies = fresh(rows, "salt", "copies")
+    per = (rows if counted is None else counted).groupBy(key).agg(F.count("*").alias(copies)).where(F.col(copies) >= least)
+    hot = F.broadcast(per.select(key, F.ceil(F.col(copies) / least).cast("int").alias(copies)))
+    dealt = rows.join(hot, key, "left").withColumn(salt, F.when(F.col(copies).isNull(), 0).otherwise(F.pmod(F.xxhash64(spread_by), F.col(copies)))).drop(copies)
+    spread = keyed.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(copies, F.lit(1)) - 1))).drop(copies)
+    return dealt.join(spread.withColumn(salt, F.col(salt).cast("long")), [key, salt]).drop(salt)
+
+
+def released() -> None:
+    """Give memory that a task's batches used back to the system, as Python workers are used again."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def utf8(text: str | Column) -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
