@@ -3,7 +3,9 @@
 A cell counts hits up to two. A hash whose two cells were both hit twice may be repeated; any other
 hash is certainly unique. Tasks send the cells they hit, slices of the cell range are merged in
 parallel, and only the "hit twice" bits are broadcast: ``cells / 8`` bytes, at most MAX_CELLS / 8.
-More hashes than such a filter serves well are split over rounds by hash, each with its own filter.
+A filter has CELLS_PER_ROW cells for each row, and fewer for more rows than that many cells serve, down
+to LEAST_PER_ROW, where about one unique hash in fourteen passes. Still more hashes are split into
+rounds by hash: each round is a part of a written table, so that its filter reads that part alone.
 """
 
 from __future__ import annotations
@@ -12,11 +14,14 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Cells for each row, and the most that one filter holds (32 MB of bits).
-CELLS_PER_ROW = 16
+from .scratch import scratch_path
+
+#: Cells for each row, the least of them, and the most that one filter holds (32 MB of bits).
+CELLS_PER_ROW, LEAST_PER_ROW = 16, 2
 MAX_CELLS = 1 << 28
 SLICE = 1 << 20
 _FLUSH = 1 << 21
@@ -30,8 +35,13 @@ def _cells(h: np.ndarray, log2: int) -> tuple[np.ndarray, np.ndarray]:
     return a.astype(np.int64), b.astype(np.int64)
 
 
-def _round_of(h: Column, rounds: int) -> Column:
-    return F.pmod(F.shiftright(h, 17), F.lit(rounds))
+def rounds_for(rows: int, max_cells: int = MAX_CELLS) -> int:
+    """Filters that so many rows need."""
+    return max(1, -(-rows * LEAST_PER_ROW // max_cells))
+
+
+def round_of(h: Column, rounds: int) -> Column:
+    return F.pmod(F.shiftright(h, 17), F.lit(rounds)).cast("int")
 
 
 def _hit(hashes: DataFrame, name: str, log2: int, most: int = 2) -> bytes:
@@ -93,29 +103,41 @@ def _member(spark, h: Column, bits: bytes, log2: int) -> Column:
 
 def possibly_repeated(hashes: DataFrame, name: str, rows: int, max_cells: int = MAX_CELLS):
     """First pass over ``hashes[name]`` (non-null longs); returns the second pass's test, a function
-    from a hash Column to a boolean Column that is false only for hashes that occur once."""
-    spark = hashes.sparkSession
-    rounds = max(1, -(-rows * CELLS_PER_ROW // max_cells))
-    log2 = _log2_for(-(-rows // rounds), max_cells)
-    filters = []
-    for r in range(rounds):
-        own = hashes if rounds == 1 else hashes.where(_round_of(F.col(name), rounds) == r)
-        filters.append(_hit(own, name, log2))
+    from a hash Column to a boolean Column that is false only for hashes that occur once.
 
-    def test(h: Column) -> Column:
-        if rounds == 1:
-            return _member(spark, h, filters[0], log2)
-        out = F.lit(False)
-        for r, bits in enumerate(filters):
-            out = out | ((_round_of(h, rounds) == r) & _member(spark, h, bits, log2))
-        return out
+    One filter, however many ``rows``: with more than it serves well, more hashes pass the test.
+    """
+    log2 = _log2_for(rows, max_cells)
+    bits = _hit(hashes, name, log2)
+    return lambda h: _member(hashes.sparkSession, h, bits, log2)
 
-    return test
+
+def in_rounds(hashes: DataFrame, name: str, rows: int, max_cells: int = MAX_CELLS) -> DataFrame:
+    """``hashes`` with ``maybe``, false only for rows whose hash occurs once.
+
+    What one filter cannot serve is written by round, and each round's part is filtered, tested and
+    written by itself: a row is read three times whatever the number of rounds, and one filter is in
+    memory at a time.
+    """
+    rounds = rounds_for(rows, max_cells)
+    if rounds == 1:
+        return hashes.withColumn("maybe", possibly_repeated(hashes, name, rows, max_cells)(F.col(name)))
+    spark = hashes.sparkSession
+    path, out = scratch_path(spark, "rounds"), scratch_path(spark, "tested")
+    hashes.withColumn("round", round_of(F.col(name), rounds)).write.partitionBy("round").parquet(path)
+    for r in range(rounds):
+        try:
+            own = spark.read.schema(hashes.schema).parquet(f"{path}/round={r}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        own.withColumn("maybe", possibly_repeated(own, name, -(-rows // rounds), max_cells)(F.col(name))).write.mode("append").parquet(out)
+    return spark.read.schema(hashes.withColumn("maybe", F.lit(True)).schema).parquet(out)
 
 
 def possibly_in(hashes: DataFrame, name: str, rows: int, max_cells: int = MAX_CELLS):
     """An ordinary Bloom filter of ``hashes[name]``: the test is false only for hashes not in it."""
-    spark = hashes.sparkSession
     log2 = _log2_for(rows, max_cells)
     bits = _hit(hashes, name, log2, most=1)
-    return lambda h: _member(spark, h, bits, log2)
+    return lambda h: _member(hashes.sparkSession, h, bits, log2)
