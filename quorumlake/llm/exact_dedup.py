@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import MAX_CELLS, possibly_repeated
+from .bloom import MAX_CELLS, in_rounds, possibly_in, possibly_repeated, rounds_for
 from .scratch import fresh, join_keyed, stored, utf8
 
 
@@ -19,8 +19,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal when identical; a null text counts as empty. Of equal texts the row with the
     largest id stays; among rows that tie on it (repeated rows) exactly one stays; null ids lose to
-    all others, and a group of null ids has a null keep_id. An empty table gives no rows. Other
-    columns, whatever their names, are not read.
+    all others, and a group of null ids has a null keep_id. Texts are hashed whole, whatever their
+    length. An empty table gives no rows. Other columns, whatever their names, are not read.
     """
     hashed = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -30,8 +30,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     held = stored(hashed, "exact-hashes")
     total = held.count()
-    test = possibly_repeated(held, "h", total, max_cells)
-    marked = held.withColumn("maybe", test(F.col("h"))).drop("h")
+    marked = in_rounds(held, "h", total, max_cells).drop("h")
     unique = marked.where(~F.col("maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256",
@@ -53,12 +52,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` without the rows that ``exact_groups`` drops, all columns kept.
 
     Only rows whose hash may be repeated are shuffled with their texts; the rest pass straight
-    through. Nulls, ties and empty tables as in ``exact_groups``.
+    through. Where one filter of all hashes is too small, one of the repeated hashes alone, which rounds
+    find first, is used, and lets more rows pass than it need where these are too many as well. Nulls,
+    ties, long texts and empty tables as in ``exact_groups``.
     """
     h, sha, maybe, row = fresh(docs, "h", "sha", "maybe", "row")
     hashed = docs.withColumn(h, F.xxhash64(utf8(text_col)))
     hashes = stored(hashed.select(F.col(h).alias("h")), "exact-hashes")
-    test = possibly_repeated(hashes, "h", hashes.count(), max_cells)
+    total = hashes.count()
+    if rounds_for(total, max_cells) == 1:
+        test = possibly_repeated(hashes, "h", total, max_cells)
+    else:
+        twice = stored(in_rounds(hashes, "h", total, max_cells).where("maybe").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
+        test = possibly_in(twice, "h", twice.count(), max_cells)
     marked = hashed.withColumn(maybe, test(F.col(h)))
     straight = marked.where(~F.col(maybe)).select(*[F.col(f"`{c}`") for c in docs.columns])
     grouped = (
