@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import fresh, stored, utf8
+from .scratch import stored, utf8
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
 #: Rows of one range of the random order that are sorted together.
 RANGE_ROWS = 20_000
+#: Sources whose cuts are broadcast; more are joined.
+MAX_SOURCES = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -51,50 +53,74 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     )
 
 
-def taken_sizes(sized: DataFrame, weights=WEIGHTS, share=SHARE, epochs=MAX_EPOCHS, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Adds source_size, target and taken to ``sized`` (rid, doc_id, source, size).
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """rid, skey, source, size and key: the hash-random place in the order of the source. A row without
+    an id has that of its text."""
+    text, own = utf8(text_col), F.col(id_col).cast("string")
+    source = F.col(source_col).cast("string")
+    return [
+        F.monotonically_increasing_id().alias("rid"), F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source)).alias("skey"), source.alias("source"),
+        word_count(text).alias("size"), F.md5(F.coalesce(own, F.md5(text.cast("binary"))).cast("binary")).alias("key"),
+    ]
 
-    Each source is put in the order of MD5 of the id (ties: id, then size) by ranges of the key; the
-    sums of earlier ranges and of earlier rows of the range say where a document starts. What the
-    budget holds beyond whole epochs is cut from the start of that order, inside a document if need be.
+
+def source_cuts(sized: DataFrame, weights=WEIGHTS, share=SHARE, epochs=MAX_EPOCHS, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(skey, source_size, target, whole, cut, rest): a source's rows are taken ``whole`` times, those
+    before the key ``cut`` once more, and at that key ``rest`` words more.
+
+    ``sized`` (rid, skey, source, size, key) is written and read more than once. Keys fall into ranges;
+    sums of the earlier ranges say in which range a source's budget ends, and only the rows of that
+    range are sorted, by key, and summed up to the budget.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    skey = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    total = sized.count()
-    log2 = min(32, max(0, math.ceil(math.log2(max(1, total) / range_rows))))
+    log2 = min(32, max(0, math.ceil(math.log2(max(1, sized.count()) / range_rows))))
     place = F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - log2)
-    keyed = sized.withColumn("key", key).withColumn("skey", skey).withColumn("range", place)
-    by_range = keyed.groupBy("skey", "range").agg(F.sum("size").alias("range_size"), F.first("source").alias("source"))
-    earlier = Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = by_range.withColumn("start", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)))
+    ranged = sized.withColumn("range", place)
+    by_range = ranged.groupBy("skey", "range").agg(F.sum("size").alias("range_size"), F.first("source").alias("source"))
     sources = by_range.groupBy("skey").agg(F.sum("range_size").alias("source_size"), F.first("source").alias("source"))
-    ranges = starts.select("skey", "range", "start").join(source_targets(sources, weights, share, epochs), "skey")
-    inside = Window.partitionBy("skey", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     budget = F.floor("target").cast("long")
     whole = F.coalesce(F.try_divide(budget - F.pmod(budget, F.greatest("source_size", F.lit(1))), F.col("source_size")), F.lit(0)).cast("long")
     rest = F.pmod(budget, F.greatest(F.col("source_size"), F.lit(1)))
-    cut = F.least(F.greatest(rest - F.col("before"), F.lit(0)), F.col("size"))
-    return (
-        keyed.join(ranges, ["skey", "range"])
-        .withColumn("before", before)
-        .withColumn("taken", (whole * F.col("size") + cut).cast("long"))
-        .select("rid", "doc_id", "size", "source_size", "target", "taken")
-    )
+    budgets = stored(source_targets(sources, weights, share, epochs).withColumns({"whole": whole, "rest": rest}), "mix-budgets")
+    earlier = Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = by_range.withColumn("start", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)))
+    ends_in = (F.col("start") <= F.col("rest")) & (F.col("rest") < F.col("start") + F.col("range_size"))
+    cut_range = starts.join(budgets.select("skey", "rest"), "skey").where(ends_in).select("skey", "range", (F.col("rest") - F.col("start")).alias("rest"))
+    keys = ranged.join(cut_range, ["skey", "range"]).groupBy("skey", "rest", "key").agg(F.sum("size").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("skey").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = keys.withColumn("before", before).where("before <= rest and rest < before + size").select("skey", F.col("key").alias("cut"), (F.col("rest") - F.col("before")).alias("rest"))
+    named = budgets.drop("rest").join(cut, "skey", "left")
+    return named.withColumns({"cut": F.coalesce("cut", F.lit("")), "rest": F.coalesce("rest", F.lit(0))})
+
+
+def with_taken(sized: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``sized`` (rid, skey, size, key and any more columns) with source_size, target and taken.
+
+    Only rows at the cuts' keys move. Rows of one key, be they copies of each other or not, are taken in
+    the order of their partition, then their place in it.
+    """
+    small = cuts.count() <= MAX_SOURCES
+    joined = sized.join(F.broadcast(cuts) if small else cuts, "skey")
+    epochs = F.col("whole") * F.col("size")
+    plain = joined.where("key <> cut").withColumn("taken", epochs + F.when(F.col("key") < F.col("cut"), F.col("size")).otherwise(0))
+    at = joined.where("key = cut").withColumn("part", F.shiftright("rid", 33))
+    parts = at.groupBy("skey", "part").agg(F.sum("size").alias("part_size"))
+    start = F.coalesce(F.sum("part_size").over(Window.partitionBy("skey").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("skey", "part").orderBy("rid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = F.col("rest") - F.col("start") - inside
+    edge = at.join(parts.select("skey", "part", start.alias("start")), ["skey", "part"]).withColumn("taken", epochs + F.least(F.greatest(left, F.lit(0)), F.col("size")))
+    return plain.unionByName(edge.drop("part", "start")).withColumn("taken", F.col("taken").cast("long"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row.
 
-    A null text has no words; null sources are one source, the last; null ids and repeated rows
-    keep their own share of the order. An empty table gives no rows; a source without words has
-    target 0.
+    A null text has no words; null sources are one source, the last; a null id has a place in the order
+    by its text; repeated rows keep their own share. Texts are counted whole, whatever their length, and
+    other columns, whatever their names, are not read. An empty table gives no rows; a source without
+    words has target 0.
     """
-    sized = docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        word_count(utf8(text_col)).alias("size"),
-    )
-    return taken_sizes(stored(sized, "mix-sizes"), **how).drop("rid")
+    sized = stored(docs.select(F.col(id_col).alias("doc_id"), *_keyed(docs, id_col, text_col, source_col)), "mix-sizes")
+    return with_taken(sized, source_cuts(sized, **how)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
@@ -102,22 +128,16 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A document taken for k whole epochs and a part appears k times whole and once cut after the
     words of the part; documents not taken do not appear. ``n_chars``, where there is such a column,
-    follows the text.
+    follows the text. The texts do not move: what is taken follows from a row's own key and its source.
     """
-    rid, size, taken, times, words = fresh(docs, "rid", "size", "taken", "times", "words")
-    held = stored(
-        docs.withColumn(rid, F.monotonically_increasing_id()).withColumn(size, word_count(utf8(text_col))), "mix-documents"
-    )
-    sized = held.select(
-        F.col(rid).alias("rid"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(size).alias("size")
-    )
-    shares = taken_sizes(sized, **how).where("taken > 0").select(F.col("rid").alias(rid), F.col("taken").alias(taken))
+    row = "doc"  # all columns of a document in one, so that no name clashes
+    held = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), *_keyed(docs, id_col, text_col, source_col)), "mix-documents")
+    shares = with_taken(held, source_cuts(held.drop(row), **how)).where("taken > 0")
     copies = F.transform(
-        F.sequence(F.lit(0), F.ceil(F.col(taken) / F.col(size)).cast("int") - 1),
-        lambda k: F.least(F.col(taken) - k * F.col(size), F.col(size)),
+        F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1),
+        lambda k: F.least(F.col("taken") - k * F.col("size"), F.col("size")),
     )
-    repeated = held.join(shares, rid).withColumn(words, F.explode(copies))
-    whole = repeated.where(F.col(words) == F.col(size))
+    repeated = shares.withColumn("words", F.explode(copies)).select(row, "size", "words")
 
     @F.pandas_udf("string")
     def first_words(texts, counts):
@@ -135,16 +155,17 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out.append(text[:end])
         return pd.Series(out, dtype=object)
 
-    part = repeated.where(F.col(words) < F.col(size)).withColumn(text_col, first_words(F.col(text_col), F.col(words)))
-    out = whole.unionByName(part)
+    whole = repeated.where("words = size").select(f"{row}.*")
+    part = repeated.where("words < size").withColumn("text", first_words(F.col(f"{row}.{text_col}"), F.col("words")))
+    changed = {text_col: F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col(words) < F.col(size), F.char_length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        changed["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return whole.unionByName(part.select(*[(changed[c] if c in changed else F.col(f"{row}.`{c}`")).alias(c) for c in docs.columns]))
 
 
 OP10_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS k,
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS k,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT source, source_size, 2.0::DOUBLE * source_size AS cap,
