@@ -20,7 +20,7 @@ from .scratch import scratch_path, stored, utf8
 SLOTS = 4096
 #: Equal rows are made again from their count in runs of this many, each in a task of its own.
 RUN = 4096
-_MAP = "version long, virtual_slot int, shard int, bytes long, rows long"
+_MAP = "version long, shards int, virtual_slot int, shard int, bytes long, rows long"
 
 
 @dataclass(frozen=True)
@@ -96,8 +96,11 @@ class SlotMap:
         )
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Append this version to the table of versions at ``path``."""
-        rows = [(self.version, i, self.shard_of[i], self.bytes_of[i], self.rows_of[i]) for i in range(len(self.shard_of))]
+        """Append this version to the table of versions at ``path``; a version that is there stays as it is."""
+        before = SlotMap.latest(spark, path)
+        if before is not None and before.version >= self.version:
+            raise ValueError(f"version {self.version} of the slot map at {path} is there")
+        rows = [(self.version, self.shards, i, self.shard_of[i], self.bytes_of[i], self.rows_of[i]) for i in range(len(self.shard_of))]
         spark.createDataFrame(rows, _MAP).coalesce(1).write.mode("append").parquet(path)
 
     @staticmethod
@@ -109,7 +112,7 @@ class SlotMap:
         rows = table.where(F.col("version") == version).orderBy("virtual_slot").collect()
         if not rows:
             raise ValueError(f"no version {version} of the slot map at {path}")
-        return SlotMap(version, max(r["shard"] for r in rows) + 1, *(tuple(r[c] for r in rows) for c in ("shard", "bytes", "rows")))
+        return SlotMap(version, rows[0]["shards"], *(tuple(r[c] for r in rows) for c in ("shard", "bytes", "rows")))
 
     @staticmethod
     def latest(spark: SparkSession, path: str) -> SlotMap | None:
@@ -172,7 +175,8 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     Returns doc_id, size (UTF-8 bytes plus 1; a null text has none), text_crc32, law ("bytes"), shard,
     slot (place in the shard, gapless from 0), grown_shard (null: the law is not "key") and
     virtual_slot. Null ids hash by their text; repeated rows are dealt over slots and take places of
-    their own; ties are placed by id, then text. An empty table gives no rows and an even, empty map.
+    their own; ties are placed by id, then text. A very long text is one row, never split; other columns,
+    whatever their names, are not read. An empty table gives no rows and an even, empty map.
     """
     spark = docs.sparkSession
     hashed = stored(hashed_slots(docs, id_col, text_col, slots), "slots")
