@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bounded_batches, utf8
+from .scratch import bounded_batches, released, utf8
 from .text_features import NAMES, matrix
 
 #: The most labelled rows a model is fitted on: a random sample by hash of the id beyond that.
@@ -140,16 +140,20 @@ def fold(id_col: str, folds: int) -> Column:
 def _featured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield pd.Series(list(matrix(texts.tolist())))
+    released()
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, learn: Column, most: int) -> DataFrame:
-    """Rows of ``docs`` with a label (column ``y``) that ``learn`` allows, at most about ``most`` by hash of the id."""
+    """Rows of ``docs`` with a label (column ``y``) that ``learn`` allows, at most about ``most`` by hash of the id.
+
+    The sampled ids, which ``most`` bounds, are broadcast, so no text moves.
+    """
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & learn)
     n = own.count()
     if n > most:
         own = own.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) < F.lit(int(most / n * (1 << 20))))
     own = own.groupBy(F.col("doc_id").alias("_label_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
-    return docs.join(own, docs[id_col] == own["_label_id"]).drop("_label_id")
+    return docs.join(F.broadcast(own), docs[id_col] == own["_label_id"]).drop("_label_id")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_FIT_ROWS) -> AdditiveModel:
@@ -158,7 +162,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_c
     bounded_batches(docs.sparkSession)
     featured = F.pandas_udf(_featured, "array<double>")
     rows = labelled_sample(docs.select(id_col, text_col), labels, label, id_col, fold("doc_id", FOLDS) != HELD_OUT, most)
-    got = rows.select(F.col(id_col).alias("id"), "y", featured(utf8(text_col)).alias("x")).orderBy("id").collect()
+    got = rows.select(F.col(id_col).alias("id"), "y", featured(utf8(text_col)).alias("x")).collect()
+    got.sort(key=lambda r: (r["id"], r["y"], r["x"]))
     x = np.array([r["x"] for r in got], np.float64).reshape(len(got), len(NAMES))
     return AdditiveModel.fit(x, np.array([r["y"] for r in got]))
 
@@ -171,6 +176,7 @@ def scored(docs: DataFrame, model: AdditiveModel, text_col: str = "text") -> Col
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(held.value.scores(matrix(texts.tolist())))
+        released()
 
     return F.pandas_udf(score, "double")(utf8(text_col))
 
@@ -179,8 +185,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """One row per row of ``docs``: doc_id, held_out, score, predicted (score >= threshold).
 
     A null text counts as empty and gets the score of a text without words; null ids are scored like
-    all others and never learnt from; of repeated labels the higher counts. Without labels, or with
-    one class, all scores are the base rate. An empty table gives no rows.
+    all others and never learnt from; of repeated labels the higher counts, and repeated rows are scored
+    each. Texts are read whole, whatever their length; other columns, whatever their names, are not read.
+    Without labels, or with one class, all scores are the base rate. An empty table gives no rows.
     """
     model = fit_quality(docs, labels, id_col=id_col, text_col=text_col)
     return docs.select(F.col(id_col).alias("doc_id"), (fold(id_col, FOLDS) == HELD_OUT).alias("held_out"), scored(docs, model, text_col).alias("score")).withColumn(

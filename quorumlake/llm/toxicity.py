@@ -1,15 +1,17 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
-Voters are lexicons of words and of word beginnings, mined from labelled rows that may be learnt
-from, and patterns of form. They vote toxic, clean or abstain on that bounded sample of labelled
-documents; no unlabelled ones are learnt from. The label model estimates each voter's accuracy by expectation-maximisation, and
-the correlation of voters beyond what the labels explain, which lowers the weight of voters that
-repeat each other. Its posteriors are the labels on which the linear classifier is trained.
+Each lexicon looks at one part of words: the word, its first four, five or six letters, or its last
+five. Lexicons are mined twice, first from labels that may be learnt from, then from the posteriors
+that the label model gives to documents without labels, each half of the documents by itself, so that
+two lexicons of a kind have seen different documents. Patterns of form vote by themselves. The label
+model is a tree: a voter's votes have chances that depend on the class and on the vote of one other
+voter, the one that it is most correlated with beyond the class. Expectation-maximisation estimates
+the chances, and from them accuracies and correlations. Its posteriors are the labels on which the
+linear classifier is trained.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,133 +21,212 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality_model import fold, labelled_sample
-from .scratch import bounded_batches, stored, utf8
-from .text_features import WORDS, matrix
+from .scratch import bounded_batches, released, stored, utf8
+from .text_features import WORDS
 
-#: The most labelled rows that lexicons are mined from, and the most rows the models are fitted on.
+#: The most labelled rows, and the most rows without a label, that lexicons and models are fitted on.
 MAX_FIT_ROWS = 20_000
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-#: A term is a word, or its first PREFIXES characters and "*". It enters a lexicon if at least
-#: MIN_DOCS documents with it are toxic and its smoothed precision reaches PRECISION.
-PREFIXES = (4, 5, 6)
-MIN_DOCS, PRECISION = 4, 0.8
-#: Lexicon voters: each has a share of the terms, so that one bad term spoils one voter only.
-LEXICONS = 12
-
-
-def terms_of(text: str) -> set[str]:
-    words = set(WORDS.findall(text.lower()))
-    out = set(words)
-    for n in PREFIXES:
-        out |= {w[:n] + "*" for w in words if len(w) > n}
-    return out
-
-
-def _exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents of each term of a batch, by label: summed up before the shuffle."""
+#: The parts of words that lexicons look at: the first letters, if positive, or the last, of longer words; 0 is the word.
+KINDS = (0, 4, 5, 6, -5)
+#: A term enters a lexicon if its documents' posteriors of toxic sum up to the first number or more, their smoothed
+#: share reaches the second, and they are more than chance would bring by the third, a log likelihood ratio: for terms
+#: mined from labels, and from posteriors, which ask for more.
+LABELLED = (2.5, 0.7, 7.0)
+POSTERIOR = (6.0, 0.9, 15.0)
+#: How far the label of a row that may be learnt from is trusted.
+TRUST = 0.95
+#: Words whose terms are held at once.
+MAX_WORDS = 200_000
+
+
+def part_of(word: str, kind: int) -> str | None:
+    if kind == 0 or len(word) <= abs(kind):
+        return word if kind == 0 else None
+    return word[:kind] + "*" if kind > 0 else "*" + word[kind:]
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents and toxic ones (the sum of ``p``) of each term and half, summed up before the shuffle."""
     for pdf in batches:
-        counts: dict[str, list[int]] = {}
-        for text, y in zip(pdf["text"], pdf["y"]):
-            for t in terms_of(text):
-                counts.setdefault(t, [0, 0])[y] += 1
-        yield pd.DataFrame({"term": list(counts), "clean": [c[0] for c in counts.values()], "toxic": [c[1] for c in counts.values()]})
-
-
-def mined_terms(sample: DataFrame) -> dict[str, float]:
-    """Every term that qualifies with its smoothed precision, those of most toxic documents first; the
-    sampled rows bound them.
-
-    ``sample`` has a text and a label y. A beginning that is no better than the words that it stands
-    for is left to them only if they are as frequent.
-    """
-    counted = sample.where("y in (0, 1)").mapInPandas(_exploded, "term string, clean long, toxic long").groupBy("term").agg(
-        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")
-    )
-    precision = F.col("toxic") / (F.col("toxic") + F.col("clean") + 0.5)
-    best = (
-        counted.where(F.col("toxic") >= MIN_DOCS).withColumn("precision", precision).where(F.col("precision") >= PRECISION)
-        .orderBy(F.desc("toxic"), "term").collect()
+        counts: dict[tuple, list[float]] = {}
+        for text, p, half in zip(pdf["text"], pdf["p"], pdf["half"]):
+            words = set(WORDS.findall(text.lower()))
+            for k, kind in enumerate(KINDS):
+                for t in {part_of(w, kind) for w in words} - {None}:
+                    c = counts.setdefault((half, k, t), [0, 0.0])
+                    c[0] += 1
+                    c[1] += p
+        yield pd.DataFrame([(*k, *c) for k, c in counts.items()], columns=["half", "kind", "term", "n", "toxic"])
+    released()
+
+
+def mined_terms(sample: DataFrame, need: tuple[float, float, float] = LABELLED) -> dict[tuple[int, int], set[str]]:
+    """The terms of each (half, kind) that qualify. ``sample`` has a text, p, how toxic it is held to be,
+    and a half. No lexicon is cut: the rows of the sample bound them."""
+    counted = sample.mapInPandas(_counted, "half int, kind int, term string, n long, toxic double").groupBy("half", "kind", "term").agg(
+        F.sum("n").alias("n"), F.sum("toxic").alias("toxic")
     )
-    return {r["term"]: r["precision"] for r in best}
+    sizes = {r["half"]: (r["n"], r["p"]) for r in sample.groupBy("half").agg(F.count("*").alias("n"), F.sum("p").alias("p")).collect()}
+    out: dict[tuple[int, int], set[str]] = {(h, k): set() for h in sizes for k in range(len(KINDS))}
+    clean = F.greatest(F.col("n") - F.col("toxic"), F.lit(0.0))
+    for half, (n, p) in sizes.items():
+        share = min(max(p / n, 1e-3), 0.5)
+        # log likelihood ratio of the term's own share of toxic documents against the share of all
+        own = F.col("toxic") / F.col("n")
+        ratio = F.col("toxic") * F.log(own / share) + F.when(clean > 0, clean * F.log(clean / F.col("n") / (1 - share))).otherwise(0.0)
+        good = (F.col("half") == half) & (F.col("toxic") >= need[0]) & (F.col("toxic") / (F.col("n") + 0.5) >= need[1])
+        for r in counted.where(good).where(ratio >= need[2]).select("kind", "term").collect():
+            out[half, r["kind"]].add(r["term"])
+    return out
 
 
-@dataclass
-class ToxicityModel:
-    """The lexicon, the columns' scales and the linear classifier's weights."""
+class _Hits(dict):
+    """The lexicons that a word hits, found once for each word."""
 
-    terms: dict[str, int]
-    bias: float
-    weights: np.ndarray
-    scale: np.ndarray
-
-    def scores(self, texts: list[str]) -> np.ndarray:
-        x = columns(texts, self.terms)[0] / self.scale
-        return 1 / (1 + np.exp(-np.clip(self.bias + x @ self.weights, -30, 30)))
+    def __init__(self, lexicons: list[tuple[int, set[str]]]):
+        super().__init__()
+        self.lexicons = lexicons
 
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        own = tuple(i for i, (kind, terms) in enumerate(self.lexicons) if part_of(word, kind) in terms)
+        if len(self) >= MAX_WORDS:
+            self.clear()
+        self[word] = own
+        return own
 
-def columns(texts: list[str], terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The classifier's columns, and the hits of each lexicon from which voters vote.
 
-    Columns: log of the number of different terms, their share of the different words, whether any
-    is there, log of the hits of each lexicon, and shares of capitals and exclamation marks.
-    """
-    form = matrix(texts)
-    hits = np.zeros((len(texts), LEXICONS))
-    n_words = np.zeros(len(texts))
-    for i, text in enumerate(texts):
-        words = set(WORDS.findall(text.lower()))
-        n_words[i] = len(words)
-        for w in words:
-            own = {t for t in (w, *(w[:n] + "*" for n in PREFIXES if len(w) > n)) if t in terms}
-            for t in own:
-                hits[i, terms[t]] += 1
-    total = hits.sum(1)
-    share = total / np.maximum(1, n_words)
-    x = np.column_stack([np.log1p(total), share * 20, total > 0, np.log1p(hits), form[:, 3], form[:, 6]])
-    return x, np.column_stack([hits, n_words, form[:, 3], form[:, 6], share])
-
-
-def votes(hits: np.ndarray) -> np.ndarray:
+@dataclass
+class Voters:
+    """The lexicons: the part of words that each looks at, and its terms."""
+
+    lexicons: list[tuple[int, set[str]]]
+
+    def __getstate__(self):
+        return self.lexicons
+
+    def __setstate__(self, lexicons):
+        self.lexicons = lexicons
+
+    def seen(self, texts: list[str]) -> np.ndarray:
+        """By text: words hit by each lexicon, different words, shares of capitals and of exclamation and
+        question marks, and the longest run of such marks."""
+        held = self.__dict__.setdefault("held", _Hits(self.lexicons))
+        out = np.zeros((len(texts), len(self.lexicons) + 4))
+        for i, text in enumerate(texts):
+            words = set(WORDS.findall(text.lower()))
+            for w in words:
+                for k in held[w]:
+                    out[i, k] += 1
+            kinds = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
+            upper, lower = kinds[65:91].sum(), kinds[97:123].sum()
+            out[i, -4:] = len(words), upper / max(1, upper + lower), (kinds[33] + kinds[63]) / max(1, len(words)), "!!" in text or "??" in text
+        return out
+
+
+def votes(seen: np.ndarray) -> np.ndarray:
     """1 toxic, -1 clean, 0 abstain, by row and voter.
 
-    Each lexicon votes toxic where a term of it occurs. Two halves of the lexicons vote clean on a
-    text of at least 5 different words where none of theirs occurs. Patterns: shouting (capitals with
-    exclamation marks) votes toxic only together with a term; a high share of terms votes toxic.
+    A lexicon votes toxic where a word hits it. On a text of at least 5 different words, the lexicons
+    mined from labels and those mined again vote clean together, where no word hits one of them.
+    Patterns: a share of hits, in the lexicon of most, of 2 % or more votes toxic; shouting in capitals,
+    many exclamation and question marks, and runs of these vote toxic, and texts with few capitals or
+    no marks clean, whatever their words.
     """
-    lexicon, n_words, upper, exclaim, share = hits[:, :LEXICONS] > 0, *hits[:, LEXICONS:].T
-    any_term, enough = lexicon.any(1), n_words >= 5
-    out = np.where(lexicon, 1, 0)
-    halves = [np.where(enough & ~lexicon[:, k::2].any(1), -1, 0) for k in (0, 1)]
-    shout = np.where(any_term & (upper > 0.3) & (exclaim > 0.1), 1, 0)
-    dense = np.where(share >= 0.02, 1, np.where(enough & ~any_term, -1, 0))
-    return np.column_stack([out, *halves, shout, dense]).astype(int)
+    hits, n_words, upper, marks, runs = seen[:, :-4], *seen[:, -4:].T
+    enough, k = n_words >= 5, len(KINDS)
+    none = [np.where(enough & ~(own > 0).any(1), -1, 0) for own in (hits[:, :k], hits[:, k:]) if own.shape[1]]
+    dense = np.where(hits.max(1, initial=0) / np.maximum(1, n_words) >= 0.02, 1, 0)
+    shout = np.where(upper > 0.5, 1, np.where(enough & (upper < 0.1), -1, 0))
+    excited = np.where(marks > 0.2, 1, np.where(enough & (marks == 0), -1, 0))
+    return np.column_stack([hits > 0, *none, dense, shout, excited, runs > 0]).astype(int)
 
 
-def label_model(v: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of toxic by row, accuracy by voter, correlation of voters.
+def columns(seen: np.ndarray) -> np.ndarray:
+    """The classifier's columns, from the same numbers."""
+    hits, n_words, upper, marks, runs = seen[:, :-4], *seen[:, -4:].T
+    most = hits.max(1, initial=0)
+    return np.column_stack([np.log1p(hits), np.minimum(hits, 1), np.minimum(most / np.maximum(1, n_words), 0.2) * 10, most > 0, upper, np.minimum(marks, 1), runs])
 
-    A voter that votes is right with its accuracy, whichever the class; an abstention says nothing.
-    The correlation of two voters' errors, once the posterior is known, gives each voter the weight
-    1 / (1 + sum of its positive correlations).
+
+@dataclass
+class LabelModel:
+    """Prior of toxic, and for each voter its parent (-1: none) and the chances [class, parent's vote, vote].
+    That a voter abstains says nothing about a text."""
+
+    prior: float
+    parent: list[int]
+    chances: list[np.ndarray]
+
+    def log_odds(self, v: np.ndarray) -> np.ndarray:
+        out = np.full(len(v), np.log(self.prior / (1 - self.prior)))
+        for j, (up, t) in enumerate(zip(self.parent, self.chances)):
+            above = v[:, up] + 1 if up >= 0 else np.zeros(len(v), int)
+            out += np.where(v[:, j] != 0, np.log(t[1, above, v[:, j] + 1] / t[0, above, v[:, j] + 1]), 0.0)
+        return out
+
+    def accuracy(self, v: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Of each voter, the share of its votes, abstentions apart, that the posterior ``p`` says are right."""
+        cast = v != 0
+        right = np.where(v == 1, p[:, None], 1 - p[:, None]) * cast
+        return (right.sum(0) + 1) / (cast.sum(0) + 2)
+
+
+def _joint(v: np.ndarray, w: np.ndarray, j: int, k: int) -> np.ndarray:
+    """Weights of the votes of ``j`` and ``k``, by class: [class, vote of k, vote of j]."""
+    cell = (v[:, k] + 1) * 3 + v[:, j] + 1
+    return np.stack([np.bincount(cell, w[c], 9).reshape(3, 3) for c in (0, 1)])
+
+
+def _tree(v: np.ndarray, w: np.ndarray) -> list[int]:
+    """Parents: the spanning tree of most correlation between voters beyond what the class explains, as
+    mutual information given the class; a link that explains next to nothing is left out."""
+    k = v.shape[1]
+    info = np.zeros((k, k))
+    for i in range(k):
+        for j in range(i):
+            t = _joint(v, w, i, j) + 1e-9
+            t /= t.sum()
+            each = t.sum((1, 2), keepdims=True)
+            info[i, j] = info[j, i] = (t * np.log(t * each / (t.sum(1, keepdims=True) * t.sum(2, keepdims=True)))).sum()
+    parent, inside = [-1] * k, [0]
+    while len(inside) < k:
+        rest = [i for i in range(k) if i not in inside]
+        _, i, j = max((info[i, j], i, j) for i in rest for j in inside)
+        parent[i] = j if info[i, j] > 1e-3 else -1
+        inside.append(i)
+    return parent
+
+
+def label_model(v: np.ndarray, y: np.ndarray, prior: float, most: int = 200, close: float = 1e-5) -> tuple[np.ndarray, LabelModel]:
+    """Posterior of toxic by row, and the model, by EM until posteriors move by less than ``close``.
+
+    ``v`` has the votes and ``y`` the labels, nan where there is none or it may not be learnt from: a label
+    is right with the chance TRUST. ``prior`` is the share of toxic rows among labels and stays. The tree is
+    found anew in the first rounds, then kept.
     """
-    n, k = v.shape
-    accuracy, weight = np.full(k, 0.85), np.full(k, 1.0)
-    cast, said = v != 0, v == 1
-    corr = np.eye(k)
-    p = np.full(n, prior)
-    for r in range(rounds):
-        odds = np.log(accuracy / (1 - accuracy)) * weight
-        p = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + v @ odds, -30, 30)))
-        right = np.where(said, p[:, None], 1 - p[:, None]) * cast
-        accuracy = np.clip((right.sum(0) + 8) / (cast.sum(0) + 10), 0.55, 0.99)
-        if r in (8, 16):
-            error = np.where(cast, v / 2 + 0.5 - p[:, None], 0.0)
-            error = error - error.mean(0)
-            sd = np.sqrt((error**2).mean(0)) + 1e-9
-            corr = (error.T @ error) / n / np.outer(sd, sd)
-            weight = 1 / (1 + np.clip(corr - np.eye(k), 0, 1).sum(1))
-    return p, accuracy, corr
+    known = np.where(np.isnan(y), 0.0, np.where(y == 1, 1.0, -1.0) * np.log(TRUST / (1 - TRUST)))
+    p = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + known + v.sum(1), -30, 30)))
+    model = LabelModel(prior, [-1] * v.shape[1], [])
+    for r in range(most):
+        w = np.stack([1 - p, p])
+        if r < 5:
+            model.parent = _tree(v, w)
+        model.chances = []
+        for j, up in enumerate(model.parent):
+            if up >= 0:
+                t = _joint(v, w, j, up)
+            else:
+                t = np.stack([np.bincount(v[:, j] + 1, w[c], 3) for c in (0, 1)])[:, None, :]
+            t = t + 0.5 * (t.sum(1, keepdims=True) + 1) / (t.sum((1, 2), keepdims=True) + 3)  # smoothed by the voter's own shares
+            model.chances.append(t / t.sum(2, keepdims=True))
+        new = 1 / (1 + np.exp(-np.clip(model.log_odds(v) + known, -30, 30)))
+        moved = np.abs(new - p).max(initial=0.0)
+        p = new
+        if r > 5 and moved < close:
+            break
+    return p, model
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> tuple[float, np.ndarray]:
@@ -154,7 +235,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-
     w = np.zeros(z.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        penalty = ridge * len(x) * np.r_[0, np.full(len(w) - 1, 0.01)]
+        penalty = np.r_[0, np.full(len(w) - 1, ridge * len(x) * 0.01)] + np.r_[0, np.full(len(w) - 1, 0.1)]
         grad = z.T @ (y - p) - penalty * w
         step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(penalty + 1e-3), grad)
         w += step
@@ -163,37 +244,67 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-
     return float(w[0]), w[1:]
 
 
+@dataclass
+class ToxicityModel:
+    """The voters, the columns' scales and the linear classifier's weights; and the label model."""
+
+    voters: Voters
+    bias: float
+    weights: np.ndarray
+    scale: np.ndarray
+    labels: LabelModel | None = None
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        x = columns(self.voters.seen(texts)) / self.scale
+        return 1 / (1 + np.exp(-np.clip(self.bias + x @ self.weights, -30, 30)))
+
+
+def _seen(sample: DataFrame, voters: Voters) -> dict:
+    """The driver's view of the sample: id, label and the voters' numbers of each row, no texts."""
+
+    def numbers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(list(voters.seen(texts.tolist())))
+
+    rows = sample.select("row", "y", F.pandas_udf(numbers, "array<double>")("text").alias("x")).collect()
+    rows.sort(key=lambda r: r["row"])
+    x = np.array([r["x"] for r in rows], np.float64).reshape(len(rows), len(voters.lexicons) + 4)
+    return {"row": [r["row"] for r in rows], "y": np.array([np.nan if r["y"] is None else r["y"] for r in rows], float), "x": x}
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_FIT_ROWS) -> ToxicityModel:
-    """Mines the lexicon and fits both models on at most about ``most`` rows outside the held-out fold.
+    """Mines the lexicons and fits both models on at most about ``most`` labelled rows outside the held-out
+    fold and as many rows without a label.
 
     The driver gets the qualifying terms and a few numbers of each sampled row, no texts.
     """
-    bounded_batches(docs.sparkSession)
-    sample = stored(
-        labelled_sample(docs.select(F.col(id_col), utf8(text_col).alias("text")), labels, label, id_col, fold("doc_id", FOLDS) != HELD_OUT, most)
-        .select(F.col(id_col).alias("id"), "text", "y"),
-        "toxic-sample",
-    )
-    precision = mined_terms(sample)
-    # a lexicon by the term's hash, the same whichever other terms there are
-    terms = {t: zlib.crc32(t.encode()) % LEXICONS for t in precision}
-
-    def seen(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            x, hits = columns(texts.tolist(), terms)
-            yield pd.Series(list(np.column_stack([x, hits])))
-
-    got = sample.select("id", "y", F.pandas_udf(seen, "array<double>")("text").alias("x")).orderBy("id").collect()
-    width = LEXICONS + 5
-    both = np.array([r["x"] for r in got], np.float64).reshape(len(got), width + LEXICONS + 4)
-    x, hits = both[:, :width], both[:, width:]
-    scale = np.maximum(x.std(0), 1e-3) if len(x) else np.ones(width)
-    share = (sum(r["y"] == 1 for r in got) + 1) / (len(got) + 10)
-    if not len(x):
-        return ToxicityModel(terms, float(np.log(share / (1 - share))), np.zeros(width), scale)
-    p, _, _ = label_model(votes(hits), share)
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    read = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
+    known = labelled_sample(read, labels, label, "id", fold("doc_id", FOLDS) != HELD_OUT, most).where("y in (0, 1)")
+    n = docs.count()
+    own = fold("id", FOLDS) != HELD_OUT
+    drawn = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 20)) < F.lit(int(min(1.0, most / max(1, n)) * (1 << 20)))
+    others = read.where(own & drawn & F.col("id").isNotNull()).dropDuplicates(["text"]).withColumn("y", F.lit(None).cast("int"))
+    sample = known.select("id", "text", "y").unionByName(others.select("id", "text", "y"))
+    sample = stored(sample.withColumn("row", F.monotonically_increasing_id()).withColumn("half", F.pmod(F.xxhash64("id"), F.lit(2)).cast("int")), "toxic-sample")
+    taught = sample.where("y is not null").withColumn("p", F.col("y").cast("double")).withColumn("half", F.lit(0))
+    n_toxic, n_known = taught.agg(F.sum("y"), F.count("*")).first()
+    prior = ((n_toxic or 0) + 1) / (n_known + 10)
+    if not n_toxic:
+        return ToxicityModel(Voters([]), float(np.log(prior / (1 - prior))), np.zeros(5), np.ones(5))
+    first = Voters([(KINDS[k], terms) for (_, k), terms in sorted(mined_terms(taught).items())])
+    got = _seen(sample, first)
+    p, _ = label_model(votes(got["x"]), got["y"], prior)
+    held = spark.createDataFrame(list(zip(got["row"], p.tolist())), "row long, p double")  # at most 2 * most rows
+    again = mined_terms(sample.join(F.broadcast(held), "row").select("text", "p", "half"), POSTERIOR)
+    voters = Voters(first.lexicons + [(KINDS[k], terms) for (_, k), terms in sorted(again.items())])
+    got = _seen(sample, voters)
+    p, model = label_model(votes(got["x"]), got["y"], prior)
+    x = columns(got["x"])
+    scale = np.maximum(x.std(0), 1e-3)
     bias, weights = _logistic(x / scale, p)
-    return ToxicityModel(terms, bias, weights, scale)
+    return ToxicityModel(voters, bias, weights, scale, model)
 
 
 def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Column:
@@ -203,6 +314,7 @@ def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Col
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(held.value.scores(texts.tolist()))
+        released()
 
     return F.pandas_udf(score, "double")(utf8(text_col))
 
@@ -211,8 +323,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """One row per row of ``docs``: doc_id, held_out, score, predicted (score >= threshold).
 
     A null text counts as empty and has no term; null ids are scored and never learnt from; of
-    repeated labels the higher counts. Without labels all scores are one low base rate. An empty table
-    gives no rows. The scored text is read whole, whatever its length.
+    repeated labels the higher counts, and repeated rows are scored each. Without toxic labels all scores
+    are one low base rate. An empty table gives no rows. The scored text is read whole, whatever its
+    length, and other columns, whatever their names, are not read.
     """
     model = fit_toxicity(docs, labels, id_col=id_col, text_col=text_col)
     return docs.select(F.col(id_col).alias("doc_id"), (fold(id_col, FOLDS) == HELD_OUT).alias("held_out"), scored(docs, model, text_col).alias("score")).withColumn(
