@@ -70,5 +70,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op3_repeats": repeats.OP3_SQL,
+    "op4_near_dedup": near_dedup.OP4_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }

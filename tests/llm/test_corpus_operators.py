@@ -13,7 +13,10 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from quorumlake.llm import bpe, components, exact_dedup, mixing, near_dedup, packing, quality_model, quality_rules, repeats, sharding, suffix_sort, tokens, toxicity
+from pyspark.sql import functions as F
+
+from quorumlake.llm import bloom, bpe, components, exact_dedup, mixing, near_dedup, packing, quality_model, quality_rules, repeats, sharding, suffix_sort, tokens, toxicity
+from quorumlake.llm import shingles as shingles_module
 from quorumlake.llm.queries import TOKENIZER
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, _q_h string"
@@ -78,7 +81,9 @@ def test_repeats(spark):
     rnd = random.Random(1)
     texts = ["".join(rnd.choice("ab ") for _ in range(rnd.randrange(0, 150))) for _ in range(40)]
     texts += [texts[1] + texts[2], texts[3][:60] * 2, "a" * 90, texts[4], None, ""]
-    frame = spark.createDataFrame([(i % 40, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    shared = "the same passage of text"
+    texts += ["".join(rnd.choice("abcdefgh") for _ in range(30)) + shared[: rnd.randrange(12, 24)] + "".join(rnd.choice("abcdefgh") for _ in range(30)) for _ in range(30)]
+    frame = spark.createDataFrame([(None if i == 7 else i % 40, t, "clash", "clash") for i, t in enumerate(texts)], "doc_id long, text string, kept string, rid string")
     n = 20
     seen = collections.Counter(t.encode()[i : i + n] for t in map(lambda t: t or "", texts) for i in range(len(t) - n + 1))
     want = []
@@ -90,8 +95,8 @@ def test_repeats(spark):
                 cover[i : i + n] = True
         spans = int(np.count_nonzero(np.diff(np.concatenate([[0], cover.astype(int)])) == 1))
         want.append((len(raw), int(cover.sum()), spans, bytes(np.frombuffer(raw, np.uint8)[~cover])))
-    for most in (20_000, 3):
-        got = [(r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeats.repeats_removed(frame, n, 6, most).collect()]
+    for most, piece in ((4096, 1 << 17), (3, 1 << 17), (4096, 61)):  # all sorts at once, in ranges and by strings, in pieces
+        got = [(r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeats.repeats_removed(frame, n, 6, most, piece).collect()]
         assert sorted(got) == sorted(want)
     assert repeats.repeats_removed(frame.limit(0)).count() == 0
 
@@ -415,6 +420,44 @@ def test_sharding_deals_equal_rows(spark, monkeypatch, doc_id):
 
 def test_toxic_terms_are_all_kept(spark):
     name = lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:03d}")
-    rows = [(" ".join(name(k) for k in range(700)), 1)] * 5 + [("xyz " * 3, 1)] * 4 + [("all is well", 0)] * 5
-    got = toxicity.mined_terms(spark.createDataFrame(rows, "text string, y int"))
-    assert set(got) == {name(k) for k in range(700)} | {"xyz"}
+    rows = [(" ".join(name(k) for k in range(700)), 1.0)] * 5 + [("xyz " * 3, 1.0)] * 4 + [("all is well", 0.0)] * 5
+    got = toxicity.mined_terms(spark.createDataFrame(rows, "text string, p double").withColumn("half", F.lit(0)), (2.5, 0.7, 1.5))
+    assert got[0, 0] == {name(k) for k in range(700)} | {"xyz"}
+
+
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_collide_in_every_base(spark, n):
+    """Two such words have one polynomial hash modulo 2^64, whatever the base."""
+    a, b = thue_morse(n)
+    text = f"{a}1{b}"
+    assert bpe.BatchEncoder(TOKENIZER).encode([text, b + " " + a])[1].tolist() == [i for t in (text, b + " " + a) for i in LIBRARY.encode(t, add_special_tokens=False).ids]
+    rows = [(1, " ".join([a] * 7)), (2, " ".join([b] * 7)), (3, " ".join([a] * 7)), (4, a), (5, b)]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {1: (1, 1), 2: (1, 2), 3: (1, 1), 4: (1, 4), 5: (1, 5)}
+
+
+def test_long_texts_of_one_pass_and_more(spark):
+    rnd = random.Random(8)
+    long = words(rnd, 60_000)
+    texts = [long, long.upper() + " end", "x" * 300_000 + " " + words(rnd, 20), "", "a b c"]
+    assert [len(s) for s in shingles_module.shingle_sets(texts)] == [len(shingles(t)) for t in texts]
+    assert [len(s) for s in shingles_module.exact_sets(texts)] == [len(shingles(t)) for t in texts]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(frame, TOKENIZER).collect()}
+    assert counts == {i: len(LIBRARY.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_filters_in_rounds(spark):
+    frame = spark.range(6000).select(F.xxhash64(F.col("id") % 5000).alias("h"))
+    got = bloom.in_rounds(frame, "h", 6000, max_cells=1 << 11)
+    assert bloom.rounds_for(6000, 1 << 11) == 6 and got.count() == 6000
+    twice = {r["h"] for r in frame.groupBy("h").count().where("count > 1").collect()}
+    maybe = {r["h"] for r in got.where("maybe").collect()}
+    assert twice <= maybe and len(maybe) < 2500
