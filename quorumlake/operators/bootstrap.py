@@ -1,12 +1,23 @@
-"""Bootstrap intervals by item resampling, with all replicates in one job."""
+"""Bootstrap intervals by item resampling, with all replicates in one job.
+
+Each item has in each replicate a Poisson(1) number of draws, which a hash of seed, item and replicate
+gives: the limit of drawing as many items as there are with replacement, without an order of the items
+that all draws would have to share. Draws are made where an item's row is and summed up there.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .agreement import accuracy, kappa
+from .agreement import measured
+
+#: Draws that one MD5 gives.
+_DRAWS = 4
+#: A 32-bit hash of at least the k-th number means more than k draws.
+CUTS = tuple(int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(9))
 
 
 def hash32(text: Column) -> Column:
@@ -14,27 +25,36 @@ def hash32(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def resampled(items: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
-    """(replicate, item_idx, times): for each replicate as many draws with replacement as items.
+def drawn(items: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
+    """``items``, which have an item_idx, with replicate and times, once for each replicate that draws them."""
+    block = items.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // _DRAWS) - 1))))
+    text = F.md5(F.concat_ws(":", F.lit(seed), "item_idx", "_block").cast("binary"))
+    hashed = block.withColumn("_md5", text)
+
+    def one(k: int) -> Column:
+        h = F.conv(F.substring("_md5", 8 * k + 1, 8), 16, 10).cast("long")
+        times = sum(((h >= c).cast("int") for c in CUTS[1:]), (h >= CUTS[0]).cast("int"))
+        return F.struct((F.col("_block") * _DRAWS + k).alias("replicate"), times.alias("times"))
 
-    Draw k of replicate b is the item whose position is a hash of (seed, b, k) modulo the number of
-    items. Draws of the same item are one row with their number.
-    """
-    placed = items.select("item_idx").distinct().withColumn("pos", F.row_number().over(Window.orderBy("item_idx")).cast("long") - 1)
-    n = placed.count()
-    draws = placed.select(F.col("pos").alias("k")).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    at = F.pmod(hash32(F.concat_ws(":", F.lit(seed), "replicate", "k")), F.lit(max(1, n)))
-    drawn = draws.select("replicate", at.alias("pos")).groupBy("replicate", "pos").agg(F.count("*").alias("times"))
-    return drawn.join(placed, "pos").select("replicate", "item_idx", "times")
+    each = hashed.withColumn("_d", F.explode(F.array(*[one(k) for k in range(_DRAWS)])))
+    return each.where(F.col("_d.times") > 0).where(F.col("_d.replicate") < replicates).select(*items.columns, "_d.replicate", "_d.times")
 
 
-def replicate_metrics(classed: DataFrame, draws: DataFrame) -> DataFrame:
-    """(replicate, accuracy, mean_kappa): pooled accuracy and the mean of the criteria's defined kappas."""
-    own = classed.select("item_idx", "criterion_idx", "t", "p").join(draws, "item_idx")
-    tp = own.groupBy("replicate", "criterion_idx", "t", "p").agg(F.sum("times").alias("n"))
-    acc = accuracy(tp, ["replicate"])
-    kap = kappa(tp, ["replicate", "criterion_idx"]).groupBy("replicate").agg(F.avg("kappa").alias("mean_kappa"))
-    return acc.select("replicate", "accuracy").join(kap, "replicate", "left")
+def replicate_metrics(classed: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
+    """(replicate, accuracy, mean_kappa): pooled accuracy and the mean of the criteria's defined kappas,
+    weighted by squares on ordinal scales."""
+    items = classed.groupBy("item_idx").agg(F.collect_list(F.struct("criterion_idx", "scale", "t", "p")).alias("cells"))
+    own = drawn(items, replicates, seed).select("replicate", "times", F.explode("cells").alias("c"))
+    tp = own.groupBy("replicate", "c.criterion_idx", "c.scale", "c.t", "c.p").agg(F.sum("times").alias("n"))
+    each = measured(tp, ["replicate", "criterion_idx", "scale"], F.col("scale") == "ordinal", rates=False)
+    return each.groupBy("replicate").agg(F.try_divide(F.sum(F.col("n") * F.col("accuracy")), F.sum("n")).alias("accuracy"), F.avg("kappa").alias("mean_kappa"))
+
+
+def replicate_errors(pairs: DataFrame, replicates: int, seed: int = 0, pred: str = "pred", true: str = "true") -> DataFrame:
+    """(replicate, rmse) of the scores of item_idx."""
+    d = F.col(pred) - F.col(true)
+    own = drawn(pairs.where(d.isNotNull()).select("item_idx", (d * d).alias("_d2")), replicates, seed)
+    return own.groupBy("replicate").agg(F.sqrt(F.sum(F.col("times") * F.col("_d2")) / F.sum("times")).alias("rmse"))
 
 
 def interval(replicated: DataFrame, column: str, level: float = 0.95) -> DataFrame:
@@ -42,4 +62,3 @@ def interval(replicated: DataFrame, column: str, level: float = 0.95) -> DataFra
     tail = (1 - level) / 2
     q = F.percentile(column, F.array(F.lit(tail), F.lit(1 - tail)))
     return replicated.agg(F.lit(column).alias("metric"), F.count(column).alias("n"), F.avg(column).alias("mean"), q[0].alias("low"), q[1].alias("high"))
-

@@ -67,6 +67,9 @@ def classes(frame: DataFrame, cannot_assess: str = "exclude", na: str = "exclude
     for mode in (cannot_assess, na):
         if mode not in MODES:
             raise ValueError(f"mode must be one of {', '.join(MODES)}, not {mode!r}")
+    if na == "as_category":  # an NA option has no place in an order
+        ordinal_na = (F.col("scale") == "ordinal") & (_na("true_idx") | _na("pred_idx"))
+        frame = frame.withColumn("scale", F.when(F.coalesce(ordinal_na, F.lit(False)) & ~F.coalesce(F.col("failed"), F.lit(False)), F.raise_error(F.lit("NA as a category of an ordinal criterion"))).otherwise(F.col("scale")))
     binary = F.col("options").isNull()
     code = lambda c: F.when(F.col(c) == MET, 1).when(F.col(c) == UNMET, 0).otherwise(2)
     worst = X.worst_scored(F.col("options"), F.col("weight"))
@@ -84,15 +87,42 @@ def classes(frame: DataFrame, cannot_assess: str = "exclude", na: str = "exclude
     return noted.where(~drop).withColumn("t", number("true", "true_idx", "_nt")).withColumn("p", number("pred", "pred_idx", "_np")).drop("_nt", "_np")
 
 
-def abstentions(frame: DataFrame, by: list[str]) -> DataFrame:
-    """Counts of abstentions on both sides of judged cells, by ``by``."""
+def abstains() -> tuple[Column, Column]:
+    """Whether truth and prediction of a cell abstain."""
     binary = F.col("options").isNull()
     t = F.when(binary, F.col("true") == CANNOT_ASSESS).otherwise(_na("true_idx"))
     p = F.when(binary, F.col("pred") == CANNOT_ASSESS).otherwise(_na("pred_idx"))
-    out = judged(frame).withColumn("_t", t).withColumn("_p", p)
-    return out.groupBy(*by).agg(
-        F.count_if(F.col("_t") & F.col("_p")).alias("both"),
-        F.count_if(~F.col("_t") & F.col("_p")).alias("only_predicted"),
-        F.count_if(F.col("_t") & ~F.col("_p")).alias("only_true"),
-        F.count_if(~F.col("_t") & ~F.col("_p")).alias("neither"),
+    return F.coalesce(t, F.lit(False)), F.coalesce(p, F.lit(False))
+
+
+def abstentions(frame: DataFrame, by: list[str]) -> DataFrame:
+    """Counts of abstentions on both sides of judged cells, by ``by``."""
+    t, p = abstains()
+    return judged(frame).groupBy(*by).agg(
+        F.count_if(t & p).alias("both"), F.count_if(~t & p).alias("only_predicted"), F.count_if(t & ~p).alias("only_true"), F.count_if(~t & ~p).alias("neither")
     )
+
+
+def effective_criteria(criteria: DataFrame, *frames: DataFrame) -> DataFrame:
+    """Choices get the added NA option where a judged cell of ``frames`` names it, or chose no option.
+
+    A grader that may add an NA option puts it after the author's options, so an index past these, or none,
+    is what tells that it was shown. Failed cells, which no metric reads, tell nothing.
+    """
+    needs = None
+    for f in frames:
+        past = lambda c: F.col(c).isNull() | (F.col(c) >= F.size("options"))
+        true_past = F.coalesce(F.col("true_idx") >= F.size("options"), F.lit(False))
+        own = judged(f).where("options is not null").groupBy("criterion_idx").agg(F.bool_or(past("pred_idx") | true_past).alias("needs"))
+        needs = own if needs is None else needs.unionByName(own)
+    per = needs.groupBy("criterion_idx").agg(F.bool_or("needs").alias("needs"))
+    return criteria.join(per, "criterion_idx", "left").withColumn("options", F.when(F.coalesce("needs", F.lit(False)), X.with_na_option(F.col("options"))).otherwise(F.col("options"))).drop("needs")
+
+
+def with_effective_options(frame: DataFrame, effective: DataFrame) -> DataFrame:
+    """Cells under the effective criteria: no option chosen is the NA option, where there is one."""
+    own = frame.drop("options").join(dimension(effective.select("criterion_idx", "options")), "criterion_idx")
+    na = X.na_index(F.col("options"))
+    fill = lambda c: F.when(F.col("options").isNotNull(), F.coalesce(c, na))
+    value = lambda i: X.option_value(F.col("options"), F.col(i))
+    return own.withColumn("pred_idx", fill("pred_idx")).withColumns({"pred_value": value("pred_idx"), "true_value": value("true_idx")})

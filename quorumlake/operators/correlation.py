@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import exprs as X
 from ..functions.special import correlation_p
 
 
@@ -65,6 +67,10 @@ def kendall(pairs: DataFrame, by: list[str], x: str = "x", y: str = "y") -> Data
 
 
 def with_p(result: DataFrame, column: str) -> DataFrame:
-    """Adds the two-sided p-value of a coefficient; the table has a row per group."""
-    p = F.udf(lambda r, n: None if r is None else correlation_p(r, n), "double")
-    return result.withColumn("p_value", p(column, "n"))
+    """Adds the two-sided p-value of a coefficient and its band; the table has a row per group."""
+
+    @F.pandas_udf("double")
+    def p(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) or b < 3 else correlation_p(a, b) for a, b in zip(r, n)], dtype=float)
+
+    return result.withColumn("p_value", p(F.col(column).cast("double"), "n")).withColumn("band", X.correlation_band(F.col(column)))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import exprs as X
 from ..functions import special
 
 
@@ -26,13 +28,35 @@ def bias(pairs: DataFrame, by: list[str], pred: str = "pred", true: str = "true"
     )
 
 
-def bias_test(row, level: float = 0.95) -> dict:
-    """p-value and confidence interval of a row of ``bias``."""
-    n, m, sd = row["n"], row["mean_diff"], row["std_diff"]
-    if n < 2 or sd is None:
-        return {"p_value": None, "low": None, "high": None}
-    half = special.t_quantile(0.5 + level / 2, n - 1) * sd / math.sqrt(n)
-    return {"p_value": special.t_two_sided(row["t"], n - 1) if sd else (1.0 if m == 0 else 0.0), "low": m - half, "high": m + half}
+def with_test(biased: DataFrame, level: float = 0.95) -> DataFrame:
+    """Adds p-value, confidence interval of the mean difference and the effect's band to rows of ``bias``,
+    of which there is one per group. No spread: p is 1 without a difference, else 0."""
+
+    @F.pandas_udf("p_value double, low double, high double")
+    def tested(n: pd.Series, m: pd.Series, sd: pd.Series, t: pd.Series) -> pd.DataFrame:
+        out = []
+        for k, mean, s, stat in zip(n, m, sd, t):
+            if k < 2 or pd.isna(s):
+                out.append((None, None, None))
+                continue
+            half = special.t_quantile(0.5 + level / 2, k - 1) * s / math.sqrt(k)
+            out.append((special.t_two_sided(stat, k - 1) if s else float(mean == 0), mean - half, mean + half))
+        return pd.DataFrame(out, columns=["p_value", "low", "high"], dtype=float)
+
+    return biased.withColumn("_t", tested("n", "mean_diff", "std_diff", "t")).select(*biased.columns, "_t.*", X.effect_band(F.col("effect")).alias("band"))
+
+
+def unpaired_bias(a: DataFrame, b: DataFrame, by: list[str], column: str = "x") -> DataFrame:
+    """Difference of means of two groups of scores that are no pairs, its standard error, t, Welch's degrees
+    of freedom and the effect by the pooled deviation."""
+    side = lambda df, x: df.groupBy(*by).agg(F.count(column).alias(f"n{x}"), F.avg(column).alias(f"m{x}"), F.var_samp(column).alias(f"v{x}"))
+    s = side(a, "a").join(side(b, "b"), by) if by else side(a, "a").join(side(b, "b"), F.lit(True))
+    ea, eb = F.col("va") / F.col("na"), F.col("vb") / F.col("nb")
+    pooled = F.sqrt(F.try_divide((F.col("na") - 1) * F.col("va") + (F.col("nb") - 1) * F.col("vb"), F.col("na") + F.col("nb") - 2))
+    diff = F.col("ma") - F.col("mb")
+    freedom = F.try_divide((ea + eb) * (ea + eb), ea * ea / (F.col("na") - 1) + eb * eb / (F.col("nb") - 1))
+    return s.select(*by, "na", "nb", diff.alias("mean_diff"), F.sqrt(ea + eb).alias("std_error"), F.try_divide(diff, F.sqrt(ea + eb)).alias("t"),
+                    freedom.alias("df"), F.try_divide(diff, pooled).alias("effect"))
 
 
 def score_distribution(values: DataFrame, by: list[str], column: str = "x") -> DataFrame:
@@ -84,8 +108,6 @@ def ks_normal(values: DataFrame, column: str = "x") -> dict:
 
     The distribution is compared at the distinct values; the normal CDF is an Arrow function of them.
     """
-    import pandas as pd
-
     at = values.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("k"))
     s = values.agg(F.count(column).alias("n"), F.avg(column).alias("m"), F.stddev_pop(column).alias("sd")).first()
     if not s["n"] or not s["sd"]:

@@ -6,6 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..schema import CANNOT_ASSESS, MET, UNMET, dimension
+
+
+def rated(votes: DataFrame, criteria: DataFrame, cannot_assess: str = "exclude", superseded: bool = False) -> DataFrame:
+    """Votes as categories ``c`` of (item_idx, criterion_idx, judge_id): MET 0, UNMET 1, CANNOT_ASSESS 2 or the
+    option's index, an NA option like any other.
+
+    Failed votes are no ratings, and CANNOT_ASSESS is one by the mode: none, UNMET, or a category. Alpha
+    keeps superseded votes; Fleiss' kappa, which has no place for missing ones, does not, nor options
+    that the author did not write.
+    """
+    small = dimension(criteria.select("criterion_idx", "scale", F.size("options").alias("_k")))
+    own = votes.where("error is null").join(small, "criterion_idx")
+    unsure = {"exclude": F.lit(None), "as_unmet": F.lit(1), "as_category": F.lit(2)}[cannot_assess].cast("int")
+    binary = F.when(F.col("verdict") == MET, 0).when(F.col("verdict") == UNMET, 1).when(F.col("verdict") == CANNOT_ASSESS, unsure)
+    option = F.col("option_idx") if superseded else F.when(F.col("option_idx") < F.col("_k"), F.col("option_idx"))
+    out = own.withColumn("c", F.when(F.col("scale") == "binary", binary).otherwise(option)).where("c is not null")
+    if not superseded:
+        out = out.where(~F.coalesce(F.col("superseded"), F.lit(False)))
+    return out.select("item_idx", "criterion_idx", "judge_id", "scale", "c")
+
 
 def fleiss_kappa(ratings: DataFrame, by: list[str], unit: list[str], n_judges: int) -> DataFrame:
     """Over units that all ``n_judges`` (two at least) rated; null with fewer than two such units or

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.bootstrap import hash32
 from ..operators.voting import routed_votes
-from ..schema import CANNOT_ASSESS, CRITERIA, MET, NA_LABEL, UNMET
+from ..schema import CANNOT_ASSESS, CRITERIA, MET, NA_LABEL, UNMET, local_table
 
 LANGUAGES = ("de", "en", "es", "fr")
 JUDGES = (("ja", 1.0), ("jb", 1.0), ("jc", 3.0))
@@ -28,11 +28,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def criteria(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_RUBRIC, CRITERIA)
+    return local_table(spark, _RUBRIC, CRITERIA)
 
 
 def judges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(j, w) for j, w in JUDGES], "judge_id string, weight double")
+    return local_table(spark, list(JUDGES), "judge_id string, weight double")
 
 
 def _tagged(*parts: str | Column) -> Column:

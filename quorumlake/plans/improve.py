@@ -36,9 +36,8 @@ def converged(steps: list[Step], patience: int, target: float | None, key: str)
 
 def held_out_scores(reports: DataFrame, labels: DataFrame, criteria: DataFrame) -> tuple[dict[str, float], list[tuple[str, int]]]:
     """Mean accuracy and mean kappa over criteria, and each criterion's number of wrong cells."""
-    tp = A.counts(K.classes(K.cells(reports, labels, criteria)), ["criterion_idx"]).persist()  # a few rows, read several times
-    rows = A.accuracy(tp, ["criterion_idx"]).join(A.kappa(tp, ["criterion_idx"]), "criterion_idx").orderBy("criterion_idx").collect()
-    tp.unpersist()
+    tp = A.counts(K.classes(K.cells(reports, labels, criteria)), ["criterion_idx", "scale"])
+    rows = A.measured(tp, ["criterion_idx", "scale"], F.col("scale") == "ordinal", rates=False).orderBy("criterion_idx").collect()
     mean = lambda c: sum(r[c] or 0.0 for r in rows) / max(1, len(rows))
     wrong = [(str(r["criterion_idx"]), round(r["n"] * (1 - r["accuracy"]))) for r in rows if r["accuracy"] < 1]
     return {"accuracy": mean("accuracy"), "kappa": mean("kappa")}, wrong

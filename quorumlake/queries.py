@@ -221,7 +221,7 @@ def _same(a: str, b: str, by: str) -> str:
 
 def _criterion_metrics(spark, d, mode):
     tp = A.counts(K.classes(_cells(spark, d), mode, "exclude").where("scale = 'binary'"), ["criterion_idx"])
-    out = A.accuracy(tp, ["criterion_idx"]).drop("adjacent").join(A.binary_rates(tp, ["criterion_idx"]), "criterion_idx").join(A.kappa(tp, ["criterion_idx"]), "criterion_idx")
+    out = A.measured(tp, ["criterion_idx"])
     floats = ("accuracy", "precision", "recall", "f1", "fpr", "fnr", "phi", "kappa")
     return out.select("criterion_idx", "n", "tp", "fp", "fn", "tn", *map(_r, floats))
 
@@ -237,7 +237,7 @@ for _how in K.MODES:
 def _choice_metrics(spark, d, scale):
     own = K.classes(_cells(spark, d)).where(F.col("scale") == scale)
     tp, by = A.counts(own, ["criterion_idx"]), ["criterion_idx"]
-    out = A.accuracy(tp, by).join(A.kappa(tp, by, "quadratic" if scale == "ordinal" else "none"), by).join(A.value_errors(own, by), by)
+    out = A.measured(tp, by, "quadratic" if scale == "ordinal" else "none", rates=False)
     return out.select("criterion_idx", "n", *map(_r, ("accuracy", "adjacent", "kappa", "rmse", "mae")))
 
 
@@ -248,16 +248,17 @@ for _how, _weights in {"ordinal": "quadratic", "nominal": "none"}.items():
         SELECT c AS criterion_idx, n, round(acc, 6) AS accuracy, round(adj, 6) AS adjacent, round(kappa, 6) AS kappa, round(rmse, 6) AS rmse, round(mae, 6) AS mae FROM (SELECT c, count(*) AS n, avg((t = p)::INT)::DOUBLE AS acc,
         avg((abs(t - p) <= 1)::INT)::DOUBLE AS adj, sqrt(avg((pv - tv) ^ 2)) AS rmse, avg(abs(pv - tv)) AS mae FROM k GROUP BY c) JOIN {_kappa_sql('k', 'c', _weights)} USING (c)""",
     )
+_N_OPTIONS = F.when(F.col("criterion_idx") < 2, 2).otherwise(4)
 _register(
     "per_option_metrics",
-    lambda s, d: A.per_option(A.counts(K.classes(_cells(s, d)).where("options is not null"), ["criterion_idx"]), ["criterion_idx"]).select("criterion_idx", "class", _r("precision"), _r("recall"), _r("f1"), "support"),
-    _CELLS + f""", k AS (SELECT * FROM {_class_sql('cel', 'exclude', 'exclude')} WHERE c >= 2), cls AS (SELECT DISTINCT c, t AS x FROM k UNION SELECT DISTINCT c, p FROM k),
-    z AS (SELECT cls.c, x, sum((t = x)::INT) AS nt, sum((p = x)::INT) AS np, sum((t = x AND p = x)::INT) AS hit FROM cls JOIN k ON k.c = cls.c GROUP BY cls.c, x)
-    SELECT c AS criterion_idx, x::INT AS class, round(coalesce(hit / nullif(np, 0), 0.0), 6) AS precision, round(coalesce(hit / nullif(nt, 0), 0.0), 6) AS recall, round(coalesce(2 * hit / nullif(nt + np, 0), 0.0), 6) AS f1, nt::BIGINT AS support FROM z""",
+    lambda s, d: A.per_option(A.counts(K.classes(_cells(s, d)).where("options is not null"), ["criterion_idx"]), ["criterion_idx"], F.lit(4)).select("criterion_idx", "class", _r("precision"), _r("recall"), _r("f1"), "support", "support_pred"),
+    _CELLS + f""", k AS (SELECT * FROM {_class_sql('cel', 'exclude', 'exclude')} WHERE c >= 2),
+    z AS (SELECT opt.c, idx AS x, coalesce(sum((t = idx)::INT), 0) AS nt, coalesce(sum((p = idx)::INT), 0) AS np, coalesce(sum((t = idx AND p = idx)::INT), 0) AS hit FROM opt LEFT JOIN k ON k.c = opt.c GROUP BY opt.c, idx)
+    SELECT c AS criterion_idx, x::INT AS class, round(coalesce(hit / nullif(np, 0), 0.0), 6) AS precision, round(coalesce(hit / nullif(nt, 0), 0.0), 6) AS recall, round(coalesce(2 * hit / nullif(nt + np, 0), 0.0), 6) AS f1, nt::BIGINT AS support, np::BIGINT AS support_pred FROM z""",
 )
 _register(
     "confusion_matrix",
-    lambda s, d: A.confusion(A.counts(K.classes(_cells(s, d)), ["criterion_idx"]), ["criterion_idx"], F.when(F.col("criterion_idx") < 2, 2).otherwise(4)).select("criterion_idx", "t", "p", "n"),
+    lambda s, d: A.confusion(A.counts(K.classes(_cells(s, d)), ["criterion_idx"]), ["criterion_idx"], _N_OPTIONS).select("criterion_idx", "t", "p", "n"),
     _CELLS + f""", k AS (SELECT * FROM {_class_sql('cel', 'exclude', 'exclude')}), g AS (SELECT c, t, p FROM crit, (SELECT unnest(range(4))::INT AS t) x, (SELECT unnest(range(4))::INT AS p) y WHERE c >= 2 OR t < 2 AND p < 2)
     SELECT g.c AS criterion_idx, g.t, g.p, count(k.i) AS n FROM g LEFT JOIN k ON k.c = g.c AND k.t = g.t AND k.p = g.p GROUP BY ALL""",
 )
@@ -274,9 +275,7 @@ _register(
 )
 _register(
     "judge_metrics",
-    lambda s, d: (lambda tp: A.accuracy(tp, ["judge_id", "criterion_idx"]).join(A.kappa(tp, ["judge_id", "criterion_idx"]), ["judge_id", "criterion_idx"]).select("judge_id", "criterion_idx", "n", _r("accuracy"), _r("adjacent"), _r("kappa")))(
-        A.counts(K.classes(_judge_cells(s, d)), ["judge_id", "criterion_idx"])
-    ),
+    lambda s, d: A.measured(A.counts(K.classes(_judge_cells(s, d)), ["judge_id", "criterion_idx"]), ["judge_id", "criterion_idx"], rates=False).select("judge_id", "criterion_idx", "n", _r("accuracy"), _r("adjacent"), _r("kappa")),
     _CELLS + f", k AS (SELECT * FROM {_class_sql('jcel', 'exclude', 'exclude')}) SELECT j AS judge_id, c AS criterion_idx, n, round(acc, 6) AS accuracy, round(adj, 6) AS adjacent, round(kappa, 6) AS kappa FROM (SELECT j, c, count(*) AS n, avg((t = p)::INT)::DOUBLE AS acc, avg((abs(t - p) <= 1)::INT)::DOUBLE AS adj FROM k GROUP BY j, c) JOIN {_kappa_sql('k', 'j, c')} USING (j, c)",
 )
 _register(
@@ -310,11 +309,16 @@ for _name, _where in {"na_stats": "c >= 2", "cannot_assess_stats": "c < 2"}.item
 
 
 def _micro_macro(spark, d):
-    own = K.classes(_cells(spark, d)).where("scale = 'binary'").withColumn("all", F.lit(0))
-    tp = A.counts(own, ["criterion_idx", "all"])
-    micro = A.accuracy(tp, ["all"]).select("all", F.col("accuracy").alias("micro_accuracy")).join(A.binary_rates(tp, ["all"]).select("all", "f1", "phi"), "all")
-    macro = A.accuracy(tp, ["criterion_idx"]).join(A.kappa(tp, ["criterion_idx"]), "criterion_idx").agg(F.avg("accuracy").alias("macro_accuracy"), F.avg("kappa").alias("mean_kappa"))
-    return micro.join(macro, F.lit(True)).select(*map(_r, ("micro_accuracy", "f1", "phi", "macro_accuracy", "mean_kappa")))
+    """Per criterion and pooled measures of one table of counts, as grouping sets would give them."""
+    own = K.classes(_cells(spark, d)).where("scale = 'binary'")
+    tp = A.counts(own, ["criterion_idx"])
+    level = tp.withColumn("of", F.explode(F.array(F.col("criterion_idx"), F.lit(-1)))).groupBy("of", "t", "p").agg(F.sum("n").alias("n"))
+    each = A.measured(level, ["of"])
+    pooled, part = F.col("of") < 0, F.col("of") >= 0
+    pick = lambda c, name: F.max(F.when(pooled, F.col(c))).alias(name)
+    mean = lambda c, name: F.avg(F.when(part, F.col(c))).alias(name)
+    out = each.agg(pick("accuracy", "micro_accuracy"), pick("f1", "f1"), pick("phi", "phi"), mean("accuracy", "macro_accuracy"), mean("kappa", "mean_kappa"))
+    return out.select(*map(_r, ("micro_accuracy", "f1", "phi", "macro_accuracy", "mean_kappa")))
 
 
 _register(
@@ -325,36 +329,46 @@ _register(
 # --- inter-rater ----------------------------------------------------------------------------------
 
 
-def _ratings(spark, d, scales):
-    """Votes as categories: abstentions and failures are no ratings."""
-    own = fx.votes(spark, d).join(fx.criteria(spark).select("criterion_idx", "scale", "options"), "criterion_idx").where(F.col("scale").isin(*scales) & F.col("error").isNull())
-    c = F.when(F.col("scale") == "binary", F.when(F.col("verdict") == MET, 1).when(F.col("verdict") != CANNOT_ASSESS, 0)).otherwise(
-        F.when(~F.coalesce(F.get("options", F.col("option_idx"))["na"], F.lit(True)), F.col("option_idx"))
-    )
-    return own.withColumn("c", c).where("c is not null").select("item_idx", "criterion_idx", "judge_id", "c")
+#: Ratings as irr.rated has them, by mode: what becomes of a binary CANNOT_ASSESS.
+_UNSURE = {"exclude": "NULL", "as_unmet": "0", "as_category": "2"}
 
 
-_RATED = SQL + f", rt AS (SELECT i, c, j, pick AS x, scale FROM v WHERE err IS NULL AND NOT coalesce({_NA.format('pick')}, false))\n"
-_register(
-    "fleiss_kappa", lambda s, d: I.fleiss_kappa(_ratings(s, d, ("binary", "nominal", "ordinal")), ["criterion_idx"], ["item_idx"], 3).select("criterion_idx", "units", _r("fleiss_kappa")),
-    _RATED + """, per AS (SELECT c, i, x, count(*) AS k FROM rt GROUP BY c, i, x), whole AS (SELECT * FROM per QUALIFY sum(k) OVER (PARTITION BY c, i) = 3),
+def _rated_sql(mode: str) -> str:
+    x = f"CASE WHEN c < 2 AND pick = 2 THEN {_UNSURE[mode]} ELSE pick END"
+    return SQL + f", rt AS (SELECT i, c, j, {x} AS x, scale FROM v WHERE err IS NULL AND {x} IS NOT NULL)\n"
+
+
+_FLEISS_SQL = """, per AS (SELECT c, i, x, count(*) AS k FROM rt GROUP BY c, i, x), whole AS (SELECT * FROM per QUALIFY sum(k) OVER (PARTITION BY c, i) = 3),
     a AS (SELECT c, avg(pi) AS pbar, count(*) AS units FROM (SELECT c, i, (sum(k * k) - 3.0) / 6.0 AS pi FROM whole GROUP BY c, i) GROUP BY c),
     b AS (SELECT c, sum(kc * kc) / sum(kc) ^ 2 AS pe FROM (SELECT c, x, sum(k)::DOUBLE AS kc FROM whole GROUP BY c, x) GROUP BY c)
-    SELECT c AS criterion_idx, units, round(CASE WHEN units >= 2 THEN (pbar - pe) / nullif(1 - pe, 0) END, 6) AS fleiss_kappa FROM a JOIN b USING (c)""",
-)
+    SELECT c AS criterion_idx, units, round(CASE WHEN units >= 2 THEN (pbar - pe) / nullif(1 - pe, 0) END, 6) AS fleiss_kappa FROM a JOIN b USING (c)"""
+for _how in K.MODES:
+    _register(
+        "fleiss_kappa" + ("" if _how == "exclude" else f"_{_how}"),
+        lambda s, d, how=_how: I.fleiss_kappa(I.rated(fx.votes(s, d), fx.criteria(s), how), ["criterion_idx"], ["item_idx"], 3).select("criterion_idx", "units", _r("fleiss_kappa")),
+        _rated_sql(_how) + _FLEISS_SQL,
+    )
 _ALPHA_SQL = """, per AS (SELECT c, i, x, count(*) AS k FROM rt WHERE {where} GROUP BY c, i, x), pr AS (SELECT *, sum(k) OVER (PARTITION BY c, i) AS m FROM per QUALIFY sum(k) OVER (PARTITION BY c, i) > 1),
     o AS (SELECT a.c, a.x, b.x AS y, sum(a.k * (b.k - (a.x = b.x)::INT) / (a.m - 1)::DOUBLE) AS o FROM pr a JOIN pr b USING (c, i) GROUP BY a.c, a.x, b.x),
     nc AS (SELECT c, x, sum(k)::DOUBLE AS n FROM pr GROUP BY c, x),
     g AS (SELECT a.c, a.x, b.x AS y, a.n AS na, b.n AS nb, CASE WHEN a.x = b.x THEN 0.0 ELSE {delta} END AS d2 FROM nc a JOIN nc b USING (c))
     SELECT g.c AS criterion_idx, any_value(u.units) AS units, round(1 - (any_value(u.n) - 1) * sum(coalesce(o.o, 0) * d2) / nullif(sum(na * nb * d2), 0), 6) AS alpha
     FROM g LEFT JOIN o ON o.c = g.c AND o.x = g.x AND o.y = g.y JOIN (SELECT c, count(DISTINCT i) AS units, sum(k)::DOUBLE AS n FROM pr GROUP BY c) u ON u.c = g.c GROUP BY g.c"""
+
+
+def _alpha(s, d, how, ordinal):
+    own = I.rated(fx.votes(s, d), fx.criteria(s), how, superseded=True).where((F.col("scale") == "ordinal") == ordinal)
+    return I.krippendorff_alpha(own, ["criterion_idx"], ["item_idx"], "ordinal" if ordinal else "nominal").select("criterion_idx", "units", _r("alpha"))
+
+
+for _how in K.MODES:
+    _register(
+        "krippendorff_nominal" + ("" if _how == "exclude" else f"_{_how}"), partial(_alpha, how=_how, ordinal=False),
+        _rated_sql(_how) + _ALPHA_SQL.format(where="scale <> 'ordinal'", delta="1.0"),
+    )
 _register(
-    "krippendorff_nominal", lambda s, d: I.krippendorff_alpha(_ratings(s, d, ("binary", "nominal")), ["criterion_idx"], ["item_idx"]).select("criterion_idx", "units", _r("alpha")),
-    _RATED + _ALPHA_SQL.format(where="scale <> 'ordinal'", delta="1.0"),
-)
-_register(
-    "krippendorff_ordinal", lambda s, d: I.krippendorff_alpha(_ratings(s, d, ("ordinal",)), ["criterion_idx"], ["item_idx"], "ordinal").select("criterion_idx", "units", _r("alpha")),
-    _RATED + _ALPHA_SQL.format(where="scale = 'ordinal'", delta="((SELECT sum(z.n) FROM nc z WHERE z.c = a.c AND z.x BETWEEN least(a.x, b.x) AND greatest(a.x, b.x)) - (a.n + b.n) / 2) ^ 2"),
+    "krippendorff_ordinal", partial(_alpha, how="exclude", ordinal=True),
+    _rated_sql("exclude") + _ALPHA_SQL.format(where="scale = 'ordinal'", delta="((SELECT sum(z.n) FROM nc z WHERE z.c = a.c AND z.x BETWEEN least(a.x, b.x) AND greatest(a.x, b.x)) - (a.n + b.n) / 2) ^ 2"),
 )
 
 # --- scores ---------------------------------------------------------------------------------------
@@ -401,21 +415,27 @@ _register(
 )
 
 
+_REPLICATES = 1000
+
+
 def _bootstrap(spark, d):
-    own = K.classes(_cells(spark, d)).where("scale = 'binary'")
-    reps = B.replicate_metrics(own, B.resampled(fx.labels(spark, d).select("item_idx"), 40, seed=3))
-    both = B.interval(reps, "accuracy").unionByName(B.interval(reps, "mean_kappa"))
+    cells, pairs = _cells(spark, d), _pairs(spark, d)
+    reps = B.replicate_metrics(K.classes(cells).where("scale = 'binary'"), _REPLICATES, seed=3)
+    both = B.interval(reps, "accuracy").unionByName(B.interval(reps, "mean_kappa")).unionByName(B.interval(B.replicate_errors(pairs, _REPLICATES, seed=3), "rmse"))
     return both.select("metric", "n", _r("mean"), _r("low"), _r("high"))
 
 
+_TIMES = " + ".join(f"(h >= {c})::INT" for c in B.CUTS)
+_DRAWN = f"""SELECT *, {_TIMES} AS times FROM (SELECT *, ('0x' || substr(md5('3:' || i || ':' || (b // 4)), 8 * (b % 4) + 1, 8))::BIGINT AS h FROM {{0}}, (SELECT unnest(range({_REPLICATES})) AS b)) q"""
 _register(
     "bootstrap_ci", _bootstrap,
-    _CELLS + f""", k AS (SELECT i, c, t, p FROM {_class_sql('cel', 'exclude', 'exclude')} WHERE c < 2), it AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS pos FROM (SELECT DISTINCT i FROM lab)),
-    dr AS (SELECT b, ('0x' || substr(md5('3:' || b || ':' || pos), 1, 8))::BIGINT % (SELECT count(*) FROM it) AS pos FROM it, (SELECT unnest(range(40)) AS b)),
-    kb AS (SELECT b, c, t, p FROM dr JOIN it USING (pos) JOIN k USING (i)),
-    m AS (SELECT b, acc, mk FROM (SELECT b, avg((t = p)::INT)::DOUBLE AS acc FROM kb GROUP BY b) LEFT JOIN (SELECT b, avg(kappa) AS mk FROM {_kappa_sql('kb', 'b, c')} GROUP BY b) USING (b))
+    _PAIRS + ", " + _CELLS.removeprefix(REPORTS).removeprefix(", ") + f""", k AS (SELECT i, c, t, p FROM {_class_sql('cel', 'exclude', 'exclude')} WHERE c < 2),
+    kb AS (SELECT b, c, t, p FROM (SELECT b, c, t, p, unnest(range(times)) AS again FROM ({_DRAWN.format('k')}) x)),
+    m AS (SELECT b, acc, mk FROM (SELECT b, avg((t = p)::INT)::DOUBLE AS acc FROM kb GROUP BY b) LEFT JOIN (SELECT b, avg(kappa) AS mk FROM {_kappa_sql('kb', 'b, c')} GROUP BY b) USING (b)),
+    e AS (SELECT b, sqrt(sum(times * (x - y) ^ 2) / sum(times)) AS rmse FROM ({_DRAWN.format('pairs')}) z WHERE times > 0 GROUP BY b)
     SELECT 'accuracy' AS metric, count(acc) AS n, round(avg(acc), 6) AS mean, round(quantile_cont(acc, 0.025), 6) AS low, round(quantile_cont(acc, 0.975), 6) AS high FROM m
-    UNION ALL SELECT 'mean_kappa', count(mk), round(avg(mk), 6), round(quantile_cont(mk, 0.025), 6), round(quantile_cont(mk, 0.975), 6) FROM m""",
+    UNION ALL SELECT 'mean_kappa', count(mk), round(avg(mk), 6), round(quantile_cont(mk, 0.025), 6), round(quantile_cont(mk, 0.975), 6) FROM m
+    UNION ALL SELECT 'rmse', count(rmse), round(avg(rmse), 6), round(quantile_cont(rmse, 0.025), 6), round(quantile_cont(rmse, 0.975), 6) FROM e""",
 )
 
 
@@ -529,11 +549,8 @@ _register(
 
 
 def _p_values(spark, d):
-    from .functions.special import t_two_sided
-
-    p = F.udf(lambda t, n: None if t is None or n < 2 else t_two_sided(t, n - 1), "double")
-    r = R.with_p(R.spearman(_pairs(spark, d), ["g"], "pred", "true"), "spearman").select("g", "n", "spearman", "p_value")
-    return r.join(D.bias(_pairs(spark, d), ["g"]).select("g", "t", p("t", "n").alias("bias_p")), "g")
+    r = R.with_p(R.spearman(_pairs(spark, d), ["g"], "pred", "true"), "spearman").select("g", "n", "spearman", "p_value", "band")
+    return r.join(D.with_test(D.bias(_pairs(spark, d), ["g"])).select("g", "t", F.col("p_value").alias("bias_p"), "low", "high", F.col("band").alias("effect_band")), "g")
 
 
 def _answer(prompt: str) -> dict:

@@ -9,7 +9,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .schema import CRITERIA, NA_LABEL, NOMINAL_STRATEGIES, ORDINAL_STRATEGIES
+from .schema import CRITERIA, NA_LABEL, NOMINAL_STRATEGIES, ORDINAL_STRATEGIES, local_table
 
 
 @dataclass(frozen=True)
@@ -134,4 +134,4 @@ class Rubric:
             (k, c.name, c.requirement, c.weight, c.scale, c.aggregation, None if c.options is None else [(i, o.label, o.value, o.na) for i, o in enumerate(c.options)])
             for k, c in enumerate(self.criteria)
         ]
-        return spark.createDataFrame(rows, CRITERIA)
+        return local_table(spark, rows, CRITERIA)

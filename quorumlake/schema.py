@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OPTION = "struct<idx:int,label:string,value:double,na:boolean>"
 CRITERIA = f"criterion_idx int, name string, requirement string, weight double, scale string, aggregation string, options array<{OPTION}>"
@@ -21,13 +24,37 @@ ORDINAL_STRATEGIES = ("mean", "median", "weighted_mean", "mode", "min", "max")
 NOMINAL_STRATEGIES = ("mode", "weighted_mode", "unanimous")
 ABSTAIN_STRATEGIES = ("skip", "zero", "partial", "fail")
 
-#: Dimension tables (criteria, judges, thresholds) are broadcast up to this many rows.
-MAX_BROADCAST_ROWS = 20_000
+#: Dimension tables (criteria, judges, thresholds) are broadcast up to this many rows and bytes.
+MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES = 20_000, 8 << 20
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a literal of the plan: no Python worker reads them, and the optimizer knows their size."""
+    names = [f.name for f in T.StructType.fromDDL(schema).fields]
+    text = json.dumps([dict(zip(names, _plain(r, T.StructType.fromDDL(schema)))) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema}>>")))
+
+
+def _plain(row: tuple, schema: T.StructType) -> list:
+    """A row's values with structs, given as tuples, as dicts."""
+
+    def one(v, kind):
+        if v is None:
+            return None
+        if isinstance(kind, T.StructType):
+            return dict(zip(kind.names, _plain(v, kind)))
+        return [one(x, kind.elementType) for x in v] if isinstance(kind, T.ArrayType) else v
+
+    return [one(v, f.dataType) for v, f in zip(row, schema.fields)]
 
 
 def dimension(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it is as small as a dimension should be, else as it is."""
-    return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
+    """``df`` marked for broadcast if it is as small as a dimension should be, else as it is: by the
+    optimizer's estimate, or where that is large, by counting rows and bytes."""
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= MAX_BROADCAST_BYTES:
+        return F.broadcast(df)
+    held = df.limit(MAX_BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.sum(F.length(F.to_json(F.struct(*df.columns)))).alias("b")).first()
+    return F.broadcast(df) if held["n"] <= MAX_BROADCAST_ROWS and (held["b"] or 0) <= MAX_BROADCAST_BYTES else df
 
 
 def criteria_problems(criteria: DataFrame) -> DataFrame:
