@@ -35,8 +35,9 @@ def with_examples(prompt: Column, examples: Column) -> Column:
 
 
 def shuffled_order(seed: int, item: Column, criterion: Column, judge: Column, options: Column) -> Column:
-    """A permutation of option indices for a judge, by hash of (seed, item, criterion, judge, option)."""
-    keyed = F.transform(options, lambda o: F.struct(F.xxhash64(F.lit(seed), item, criterion, judge, o["idx"]).alias("h"), o["idx"].alias("i")))
+    """A permutation of option indices for a judge, by MD5 of (seed, item, criterion, judge, option)."""
+    own = lambda i: F.md5(F.concat_ws(":", F.lit(seed), item.cast("string"), criterion.cast("string"), judge, i.cast("string")).cast("binary"))
+    keyed = F.transform(options, lambda o: F.struct(own(o["idx"]).alias("h"), o["idx"].alias("i")))
     return F.transform(F.array_sort(keyed), lambda x: x["i"])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exprs as X
-from ..schema import CANNOT_ASSESS, MET, UNMET, dimension
+from ..schema import CANNOT_ASSESS, MET, UNMET, dimension, with_criteria
 
 KEYS = ["item_idx", "criterion_idx"]
 MODES = ("exclude", "as_unmet", "as_category")
@@ -15,11 +15,10 @@ MODES = ("exclude", "as_unmet", "as_category")
 
 def resolved_labels(labels: DataFrame, criteria: DataFrame) -> DataFrame:
     """Labels with an item dropped whole if one of its labels is no verdict or no option index."""
-    small = dimension(criteria.select("criterion_idx", "options"))
     fine = F.when(F.col("options").isNull(), F.col("verdict").isin(MET, UNMET, CANNOT_ASSESS)).otherwise(
         (F.col("option_idx") >= 0) & (F.col("option_idx") < F.size("options"))
     )
-    checked = labels.join(small, "criterion_idx").withColumn("_fine", F.coalesce(fine, F.lit(False)))
+    checked = with_criteria(labels, criteria, "options").withColumn("_fine", F.coalesce(fine, F.lit(False)))
     whole = F.bool_and("_fine").over(Window.partitionBy("item_idx"))
     return checked.withColumn("_whole", whole).where("_whole").select(*labels.columns)
 
@@ -27,10 +26,9 @@ def resolved_labels(labels: DataFrame, criteria: DataFrame) -> DataFrame:
 def cells(reports: DataFrame, labels: DataFrame, criteria: DataFrame) -> DataFrame:
     """One row per labelled, reported cell: scale, pred and true (verdicts), pred_idx and true_idx
     (options), failed, and the values of both."""
-    small = dimension(criteria.select("criterion_idx", "scale", "weight", "options"))
     left = reports.select(*KEYS, F.col("final_verdict").alias("pred"), F.col("option_idx").alias("pred_idx"), F.col("error").isNotNull().alias("failed"))
     right = labels.select(*KEYS, F.col("verdict").alias("true"), F.col("option_idx").alias("true_idx"))
-    joined = left.join(right, KEYS).join(small, "criterion_idx")
+    joined = with_criteria(left.join(right, KEYS), criteria, "scale", "weight", "options")
     value = lambda i: X.option_value(F.col("options"), F.col(i))
     return joined.withColumn("pred_value", value("pred_idx")).withColumn("true_value", value("true_idx"))
 
@@ -42,8 +40,7 @@ def judge_cells(votes: DataFrame, labels: DataFrame, criteria: DataFrame, judges
         "judge_id", F.explode(F.array(*[F.lit(r["judge_id"]) for r in judges.select("judge_id").orderBy("judge_id").collect()]))
     )
     cast = votes.select(*KEYS, "judge_id", F.col("verdict").alias("pred"), F.col("option_idx").alias("pred_idx"), F.col("error").isNotNull().alias("failed"), F.lit(True).alias("_there"))
-    small = dimension(criteria.select("criterion_idx", "scale", "weight", "options"))
-    joined = grid.join(cast, [*KEYS, "judge_id"], "left").join(small, "criterion_idx")
+    joined = with_criteria(grid.join(cast, [*KEYS, "judge_id"], "left"), criteria, "scale", "weight", "options")
     value = lambda i: X.option_value(F.col("options"), F.col(i))
     return joined.withColumn("missing", F.col("_there").isNull()).drop("_there").withColumn("pred_value", value("pred_idx")).withColumn("true_value", value("true_idx"))
 
@@ -54,6 +51,18 @@ def judged(frame: DataFrame) -> DataFrame:
     return out.where(~F.col("missing")) if "missing" in frame.columns else out
 
 
+def item_sets(results: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_idx, where): items that only the results or only the data set has."""
+    a, b = results.select("item_idx").distinct(), items.select("item_idx").distinct()
+    return a.join(b, "item_idx", "left_anti").withColumn("where", F.lit("results only")).unionByName(b.join(a, "item_idx", "left_anti").withColumn("where", F.lit("items only")))
+
+
+def errored_items(reports: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """Items whose every judgment failed, and those of ``errors`` (item_idx, error)."""
+    own = reports.groupBy("item_idx").agg(F.bool_and(F.col("error").isNotNull()).alias("_all")).where("_all").select("item_idx")
+    return own if errors is None else own.unionByName(errors.where("error is not null").select("item_idx")).distinct()
+
+
 def _na(index: str) -> Column:
     return F.col(index).isNull() | F.coalesce(F.get(F.col("options"), F.col(index))["na"], F.lit(True))
 

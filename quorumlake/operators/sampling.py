@@ -128,3 +128,19 @@ def timing(durations: DataFrame, column: str) -> DataFrame:
         F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.try_divide(F.sum(F.col("v") * F.col("k")), F.sum("k")).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"),
         at(F.floor(n / 2)).alias("p50"), at(F.least(F.floor(n * 0.95), n - 1)).alias("p95"),
     )
+
+
+def covered(items: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Items that have labels, in order."""
+    return items.join(labelled.select("item_idx").distinct(), "item_idx", "left_semi").orderBy("item_idx")
+
+
+def repeated_judges(votes: DataFrame) -> DataFrame:
+    """Judges with several votes on a cell, superseded ones apart, and how many cells."""
+    own = votes.where(~F.coalesce(F.col("superseded"), F.lit(False))).groupBy("item_idx", "criterion_idx", "judge_id").agg(F.count("*").alias("n")).where("n > 1")
+    return own.groupBy("judge_id").agg(F.count("*").alias("n_cells"))
+
+
+def degenerate(classed: DataFrame) -> DataFrame:
+    """Criteria whose judged labels are of one class: kappa is undefined there."""
+    return classed.groupBy("criterion_idx").agg(F.count_distinct("t").alias("n_classes"), F.count("*").alias("n")).where("n_classes < 2")

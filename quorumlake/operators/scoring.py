@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..schema import ABSTAIN_STRATEGIES, dimension
+from ..schema import ABSTAIN_STRATEGIES, with_criteria
 
 
 def contribution(strategy: str = "skip", partial_credit: float = 0.5) -> Column:
@@ -56,7 +56,7 @@ def item_reports(reports: DataFrame, strategy: str = "skip", partial_credit: flo
 
 def as_reports(cells: DataFrame, criteria: DataFrame) -> DataFrame:
     """Labels or one judge's votes (verdict or option_idx by cell) in the form of criterion reports."""
-    joined = cells.join(dimension(criteria.select("criterion_idx", "weight", "options")), "criterion_idx")
+    joined = with_criteria(cells, criteria, "weight", "options")
     opt = F.get(F.col("options"), F.col("option_idx"))
     mc = F.col("options").isNotNull()
     return joined.withColumn("final_verdict", F.when(~mc, F.col("verdict"))).withColumn("value", F.when(mc, F.coalesce(opt["value"], F.lit(0.0)))).withColumn(

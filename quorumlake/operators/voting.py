@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..schema import BINARY_STRATEGIES, CANNOT_ASSESS, MET, NOMINAL_STRATEGIES, ORDINAL_STRATEGIES, UNMET, dimension
+from ..schema import BINARY_STRATEGIES, CANNOT_ASSESS, MET, NOMINAL_STRATEGIES, ORDINAL_STRATEGIES, UNMET, with_criteria
 
 CELL = ["item_idx", "criterion_idx"]
 
@@ -20,7 +20,7 @@ def _one_of(name: str, value: str, allowed: tuple[str, ...]) -> str:
 def routed_votes(votes: DataFrame, criteria: DataFrame) -> DataFrame:
     """What a failed call votes: an infrastructure or parse failure abstains, into the NA option where
     there is one; any other failure takes the worst case by the sign of the criterion's weight."""
-    known = votes.join(dimension(criteria.select("criterion_idx", "weight", "options")), "criterion_idx")
+    known = with_criteria(votes, criteria, "weight", "options")
     abstains = F.col("error").rlike("^(infrastructure|parse)")
     mc = F.col("options").isNotNull()
     verdict = F.when(F.col("error").isNull(), F.col("verdict")).when(~mc, F.when(abstains, CANNOT_ASSESS).otherwise(X.binary_worst(F.col("weight"))))
@@ -49,18 +49,18 @@ def _choices() -> Column:
 
 def aggregate_votes(votes: DataFrame, criteria: DataFrame, binary: str = "majority", ordinal: str = "mean", nominal: str = "mode") -> DataFrame:
     """One row per cell with votes: final_verdict (binary), option_idx, value, na, aggregated_value,
-    n_votes, agreement, error, final_reason.
+    n_votes, agreement, error, final_reason, warning.
 
     ``votes`` are routed (see ``routed_votes``); superseded ones are set aside. A criterion's own
     ``aggregation`` overrides the scale's strategy. Ties go to the worst case by the sign of the
     criterion's weight. One shuffle, on the item, serves this and any later step by item.
     """
     _one_of("binary", binary, BINARY_STRATEGIES), _one_of("ordinal", ordinal, ORDINAL_STRATEGIES), _one_of("nominal", nominal, NOMINAL_STRATEGIES)
-    small = dimension(criteria.select("criterion_idx", "weight", "scale", "aggregation", "options"))
+    columns = ("weight", "scale", "aggregation", "options")
     live = votes.where(~F.coalesce(F.col("superseded"), F.lit(False))).repartition("item_idx")
     options, weight = F.col("options"), F.col("weight")
-    joined = live.join(small, "criterion_idx").withColumn("opt", F.get(options, F.col("option_idx")))
-    cell = (
+    joined = with_criteria(live, criteria, *columns).withColumn("opt", F.get(options, F.col("option_idx")))
+    cell = with_criteria(
         joined.withColumn("value", F.col("opt.value"))
         .withColumn("chosen", options.isNotNull() & F.col("option_idx").isNotNull() & ~F.coalesce(F.col("opt.na"), F.lit(True)))
         .groupBy(*CELL)
@@ -74,8 +74,8 @@ def aggregate_votes(votes: DataFrame, criteria: DataFrame, binary: str = "majori
             F.min(F.when(F.col("option_idx").isNotNull(), F.struct("judge_ord", "option_idx")))["option_idx"].alias("first_idx"),
             F.bool_and(F.col("error").isNotNull()).alias("all_failed"),
             F.array_sort(F.collect_list(F.struct("judge_ord", "judge_id", "verdict", "option_idx", "error", "reason"))).alias("cast"),
-        )
-        .join(small, "criterion_idx")
+        ),
+        criteria, *columns,
     )
     field = lambda name: F.transform("choices", lambda x: x[name])
     idxs, vals, ws = field("option_idx"), field("value"), field("w")
@@ -115,7 +115,11 @@ def aggregate_votes(votes: DataFrame, criteria: DataFrame, binary: str = "majori
         *CELL, "weight", "scale", "options", "final_verdict", "option_idx", "value", "na", "aggregated_value", "n_votes",
         F.try_divide(F.size(same), F.size("cast")).alias("agreement"),
         F.when(F.col("all_failed"), F.array_join(F.transform("cast", lambda v: F.concat(v["judge_id"], F.lit(": "), v["error"])), " | ")).alias("error"),
-        F.when(F.size(told) > 0, F.array_join(F.transform(told, lambda v: F.concat(v["judge_id"], F.lit(": "), v["reason"])), "\n")).alias("final_reason"),
+        F.when(~mc & (F.col("n_votes") == 0), "No votes").when(~mc & F.col("na"), "All judges voted CANNOT_ASSESS").when(
+            F.size(told) > 0, F.array_join(F.transform(told, lambda v: F.concat(v["judge_id"], F.lit(": "), v["reason"])), "\n")
+        ).alias("final_reason"),
+        F.when((F.col("scale") == "nominal") & (strategy == "unanimous") & (F.size(F.array_distinct(idxs)) > 1) & X.na_index(options).isNull(),
+               "judges disagree and no option abstains: the most common option stands").alias("warning"),
     )
 
 

@@ -8,21 +8,28 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import content as CT
 from .functions import exprs as X
 from .functions import prompts as P
 from .operators import agreement as A
 from .operators import bootstrap as B
 from .operators import cascade as C
 from .operators import cells as K
+from .operators import decision as DM
 from .operators import correlation as R
 from .operators import distribution as D
 from .operators import irr as I
+from .operators import pooled as PL
 from .operators import sampling as T
 from .operators import scoring as S
+from .operators import single_call as SC
+from .operators import usage as U
 from .operators import voting as V
+from .operators.bootstrap import hash32
 from .plans import fixture as fx
+from .plans import validation as VD
 from .plans.reports_sql import REPORTS, SQL, VERDICT, scored
-from .schema import CANNOT_ASSESS, MET
+from .schema import MET
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -584,9 +591,220 @@ def _improve(spark, d):
 _register("p_values", _p_values)
 _register("remote_judge_fake", _remote)
 _register("improve_loop", _improve)
+
+_SHOWN = """WITH o AS (SELECT doc_id, idx, label, row_number() OVER (PARTITION BY doc_id ORDER BY md5('3:' || doc_id || ':2:ja:' || idx)) AS place
+  FROM documents, (VALUES (0, 'short'), (1, 'medium'), (2, 'long'), (3, 'Cannot assess / not applicable')) x(idx, label))
+"""
 _register(
     "prompts",
     lambda s, d: s.read.parquet(f"{d}/documents.parquet").join(F.broadcast(fx.criteria(s).where("criterion_idx = 2")), F.lit(True)).select(
         "doc_id", F.sha2(P.choice_prompt(F.col("requirement"), P.presented(F.col("options"), P.shuffled_order(3, F.col("doc_id"), F.col("criterion_idx"), F.lit("ja"), F.col("options"))), F.col("text"), F.lit("Judge it."), F.lit(None).cast("string"), F.lit(None).cast("string")), 256).alias("prompt_sha256")
     ),
+    _SHOWN + r"""SELECT doc_id, sha256('<task>' || chr(10) || 'Judge it.' || chr(10) || '</task>' || chr(10) || chr(10) ||
+      CASE WHEN regexp_matches(coalesce(text, ''), '\S') THEN '<submission>' || chr(10) || text || chr(10) || '</submission>' || chr(10) || chr(10) ELSE '' END
+      || 'Question: How long is the text?' || chr(10) || 'Options:' || chr(10) || opts || chr(10) || 'Answer with the number of one option.') AS prompt_sha256
+    FROM documents JOIN (SELECT doc_id, string_agg(place || '. ' || label, chr(10) ORDER BY place) AS opts FROM o GROUP BY doc_id) USING (doc_id)""",
+)
+_register(
+    "shown_options",
+    lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id").join(F.broadcast(fx.criteria(s).where("criterion_idx = 2")), F.lit(True)).select(
+        "doc_id", P.shuffled_order(3, F.col("doc_id"), F.col("criterion_idx"), F.lit("ja"), F.col("options")).alias("order")
+    ).select("doc_id", "order", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("answer")).select("doc_id", "answer", P.original_index(F.col("order"), F.col("answer")).alias("option_idx")),
+    _SHOWN + "SELECT doc_id, place::INT AS answer, idx::INT AS option_idx FROM o",
+)
+
+# --- usage, decision models, single calls, documents ----------------------------------------------
+
+
+def _calls(spark, d):
+    unknown = F.pmod("doc_id", F.lit(3)) == 0
+    return spark.read.parquet(f"{d}/documents.parquet").select(
+        "lang", *[F.when(~unknown & (F.col("lang") != "es"), (F.col("n_chars") * k).cast("long")).alias(c) for k, c in ((1, "prompt_tokens"), (2, "completion_tokens"), (3, "total_tokens"))],
+        F.when(F.col("lang") == "de", 0.0).when(F.col("lang") == "en", F.col("n_chars") / 4.0).alias("completion_cost"),
+    )
+
+
+_register(
+    "usage_sums", lambda s, d: U.usage_sums(_calls(s, d), ["lang"]).select("lang", "prompt_tokens", "completion_tokens", "total_tokens", _r("completion_cost")),
+    """WITH c AS (SELECT lang, CASE WHEN doc_id % 3 <> 0 AND lang <> 'es' THEN n_chars END AS n, CASE lang WHEN 'de' THEN 0.0 WHEN 'en' THEN n_chars / 4.0 END AS cost FROM documents)
+    SELECT lang, sum(n)::BIGINT AS prompt_tokens, sum(2 * n)::BIGINT AS completion_tokens, sum(3 * n)::BIGINT AS total_tokens, round(nullif(sum(cost), 0), 6)::DOUBLE AS completion_cost FROM c GROUP BY lang""",
+)
+
+
+def _costs(spark, d, per_item):
+    dm, _, _ = _runs(spark, d)
+    cells = dm.select("item_idx", "criterion_idx", F.struct("error", "na", "confidence").alias("dm"))
+    i = F.col("item_idx")
+    runs = dm.select("item_idx").distinct().select(
+        "item_idx", F.when(F.pmod(i, F.lit(5)) > 0, F.pmod(i, F.lit(7)) / 8.0).alias("dm_cost"), F.lit(0.5).alias("dm_seconds"),
+        F.when(F.pmod(i, F.lit(4)) > 0, F.pmod(i, F.lit(11)) / 4.0).alias("llm_cost"), F.lit(4.0).alias("llm_seconds"),
+    )
+    return U.replayed_costs(cells, runs, F.lit(0.5), per_item).select("item_idx", "n_escalated", _r("share"), _r("cost"), _r("seconds"))
+
+
+for _how, _share in {"criterion": "u / n::DOUBLE", "item": "least(u, 1)::DOUBLE"}.items():
+    _register(
+        f"cascade_costs_per_{_how}", partial(_costs, per_item=_how == "item"),
+        _DM + f""", e AS (SELECT i, count(*) AS n, sum((na OR conf IS NULL OR conf < 0.5)::INT)::BIGINT AS u FROM dm GROUP BY i),
+        s AS (SELECT i, u, {_share} AS share, CASE WHEN i % 5 > 0 THEN (i % 7) / 8.0 END AS a, CASE WHEN i % 4 > 0 THEN (i % 11) / 4.0 END AS b FROM e),
+        t AS (SELECT *, coalesce(a, 0) + coalesce(b * share, 0) AS cost FROM s)
+        SELECT i AS item_idx, u AS n_escalated, round(share, 6) AS share, CASE WHEN cost > 0 THEN round(cost, 6) END::DOUBLE AS cost, round(0.5 + 4 * share, 6)::DOUBLE AS seconds FROM t""",
+    )
+
+
+def _answers(spark, d):
+    """Answers of a decision model made up from a hash: some missing, of a wrong kind or without a label."""
+    h = F.pmod(hash32(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("answer"))), F.lit(1000)).cast("int")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("item_idx"), h.alias("h"))
+    weigh = lambda keys, values: F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*map(F.lit, values)))
+    null = lambda t: F.lit(None).cast(t)
+    one = lambda c, kind, noul=null("double"), choice=null("string"), score=null("double"), p=null("map<string,double>"): F.struct(
+        F.lit(c).alias("criterion_idx"), F.lit(kind).alias("type"), noul.cast("double").alias("noul"), choice.alias("choice"), score.cast("double").alias("score"), p.alias("probabilities"))
+    p = F.pmod("h", F.lit(101)) / 100
+    met = one(0, "noul", p)
+    toxic = F.when(F.pmod("h", F.lit(10)) > 0, one(1, "noul", F.when(F.pmod("h", F.lit(17)) == 0, 1.5).otherwise(F.pmod("h", F.lit(5)) / 4)))
+    length = one(2, "score", score=F.pmod("h", F.lit(40)) / 10 - 0.5, p=F.when(F.pmod("h", F.lit(11)) == 0, weigh("01", (0.5, 0.5))).otherwise(weigh("012", (0.2, 0.3, 0.5))))
+    tongue = one(3, "choice", choice=F.element_at(F.array(*map(F.lit, (*fx.LANGUAGES, "xx"))), F.pmod("h", F.lit(5)) + 1), p=weigh(fx.LANGUAGES, (0.1, 0.2, 0.3, 0.4)))
+    return docs.select("item_idx", F.array_compact(F.array(met, toxic, length, tongue)).alias("answers"))
+
+
+_register(
+    "decision_answers",
+    lambda s, d: DM.answer_votes(_answers(s, d), fx.criteria(s)).select("item_idx", "criterion_idx", "verdict", "option_idx", _r("confidence"), "error", F.round(F.try_element_at("probabilities", F.lit("1")), 6).alias("p1")),
+    """WITH d AS (SELECT doc_id AS i, ('0x' || substr(md5(doc_id::VARCHAR || ':answer'), 1, 8))::BIGINT % 1000 AS h FROM documents),
+    a AS (SELECT i, h, (h % 101) / 100.0::DOUBLE AS p, (h % 5) / 4.0::DOUBLE AS q, (h % 40) / 10.0 - 0.5 AS s FROM d),
+    lv AS (SELECT *, greatest(0, least(2, round_even(s, 0)))::INT AS l FROM a)
+    SELECT i AS item_idx, 0 AS criterion_idx, CASE WHEN p > 0.5 THEN 'MET' ELSE 'UNMET' END AS verdict, NULL::INT AS option_idx, round(2 * greatest(p, 1 - p) - 1, 6) AS confidence, NULL AS error, NULL::DOUBLE AS p1 FROM a
+    UNION ALL SELECT i, 1, CASE WHEN h % 10 > 0 AND h % 17 > 0 THEN CASE WHEN q >= 0.5 THEN 'MET' ELSE 'UNMET' END END, NULL, CASE WHEN h % 10 > 0 AND h % 17 > 0 THEN round(2 * greatest(q, 1 - q) - 1, 6) END,
+      CASE WHEN h % 10 = 0 THEN 'parse: no answer' WHEN h % 17 = 0 THEN 'parse: its probability is not from 0 to 1' END, NULL FROM a
+    UNION ALL SELECT i, 2, NULL, CASE WHEN h % 11 > 0 THEN l END, CASE WHEN h % 11 > 0 THEN round(greatest(0.0, (3 * [0.2, 0.3, 0.5][l + 1] - 1) / 2), 6) END,
+      CASE WHEN h % 11 = 0 THEN 'parse: its probabilities do not cover what was offered' END, CASE WHEN h % 11 > 0 THEN 0.3 END FROM lv
+    UNION ALL SELECT i, 3, NULL, CASE WHEN h % 5 < 4 THEN h % 5 END::INT, CASE WHEN h % 5 < 4 THEN round(greatest(0.0, (4 * [0.1, 0.2, 0.3, 0.4][h % 5 + 1] - 1) / 3), 6) END,
+      CASE WHEN h % 5 = 4 THEN 'parse: its choice was not offered' END, CASE WHEN h % 5 < 4 THEN 0.2 END FROM a""",
+)
+_register(
+    "decision_requests",
+    lambda s, d: DM.requests(s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("item_idx"), F.lit("short").alias("submission"), F.lit(" ").alias("guidelines"), F.col("lang").alias("prompt")), fx.criteria(s).where("criterion_idx < 1")),
+    """SELECT doc_id AS item_idx, '{"input":"' || lang || '","submission":"short"}' AS state, '[{"criterion_idx":0,"kind":"noul","requirement":"The text is well formed."}]' AS questions FROM documents""",
+)
+
+
+def _replies(spark, d):
+    """Replies to one call about a whole rubric, some unusable in whole or in part."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("item_idx"), F.col("doc_id").alias("i"))
+    entry = lambda c, **f: F.struct(F.lit(c).alias("criterion_id"), *[v.alias(k) for k, v in f.items()])
+    text = lambda x: F.to_json(x)
+    first = text(entry("c1", criterion_status=F.when(F.pmod("i", F.lit(2)) == 0, MET).otherwise("UNMET"), explanation=F.lit("so"), affects=F.array(F.lit(2))))
+    second = F.when(F.pmod("i", F.lit(3)) > 0, text(entry("c2", criterion_status=F.lit("MAYBE"))))
+    third = text(entry("c3", selected_option=(F.pmod("i", F.lit(6))).cast("int")))
+    again = F.when(F.pmod("i", F.lit(5)) == 0, first)
+    whole = F.concat(F.lit('{"judgments": ['), F.array_join(F.array_compact(F.array(first, second, third, again)), ", "), F.lit("]}"))
+    return docs.select("item_idx", F.when(F.pmod("i", F.lit(7)) == 0, "sorry").otherwise(whole).alias("reply"))
+
+
+_register(
+    "single_call_votes", lambda s, d: SC.reply_votes(_replies(s, d), fx.criteria(s)).select("item_idx", "criterion_idx", "verdict", "option_idx", "reason", "error"),
+    """WITH d AS (SELECT doc_id AS i, doc_id % 7 = 0 AS bad FROM documents)
+    SELECT i AS item_idx, 0 AS criterion_idx, CASE WHEN NOT bad AND i % 5 > 0 THEN CASE WHEN i % 2 = 0 THEN 'MET' ELSE 'UNMET' END END AS verdict, NULL::INT AS option_idx,
+      CASE WHEN NOT bad AND i % 5 > 0 THEN '[Affects: #2] so' END AS reason, CASE WHEN bad THEN 'parse: the reply is no list of judgments' WHEN i % 5 = 0 THEN 'parse: several judgments with its id' END AS error FROM d
+    UNION ALL SELECT i, 1, NULL, NULL, NULL, CASE WHEN bad THEN 'parse: the reply is no list of judgments' WHEN i % 3 = 0 THEN 'parse: no judgment with its id' ELSE 'parse: it needs a criterion_status' END FROM d
+    UNION ALL SELECT i, 2, NULL, CASE WHEN NOT bad AND i % 6 BETWEEN 1 AND 4 THEN i % 6 - 1 END::INT, NULL, CASE WHEN bad THEN 'parse: the reply is no list of judgments' WHEN i % 6 NOT BETWEEN 1 AND 4 THEN 'parse: it needs a selected_option that was shown' END FROM d
+    UNION ALL SELECT i, 3, NULL, NULL, NULL, CASE WHEN bad THEN 'parse: the reply is no list of judgments' ELSE 'parse: no judgment with its id' END FROM d""",
+)
+
+
+def _documents_of_parts(spark, d):
+    part = lambda t, i: F.struct(t.cast("string").alias("text"), i.cast("string").alias("image"))
+    no = F.lit(None)
+    image = F.when(F.pmod("doc_id", F.lit(3)) > 0, part(no, F.concat(F.lit("a/b/"), F.col("doc_id").cast("string"), F.lit(".png"))))
+    raw = F.array_compact(F.array(part(F.lit(""), no), part(F.substring("text", 1, 5), no), part(F.substring("text", 6, 5), no), image, part(F.lit(""), no), part(F.col("lang"), no)))
+    return spark.read.parquet(f"{d}/documents.parquet").withColumn("parts", CT.normalized_parts(raw))
+
+
+_register(
+    "document_parts",
+    lambda s, d: _documents_of_parts(s, d).select("doc_id", F.size("parts").alias("n_parts"), CT.is_document(F.col("parts")).alias("has_image"), F.sha2(CT.content_text(F.col("parts")), 256).alias("text_sha256"), F.sha2(CT.content_preview(F.col("parts")), 256).alias("preview_sha256"), F.array_join(CT.images_of(F.col("parts")), "|").alias("images")),
+    """WITH d AS (SELECT doc_id, lang, substr(coalesce(text, ''), 1, 10) AS head, doc_id % 3 > 0 AS img FROM documents)
+    SELECT doc_id, (CASE WHEN img THEN 1 + (head <> '')::INT + 1 ELSE 1 END)::INT AS n_parts, img AS has_image, sha256(head || CASE WHEN img THEN chr(10) ELSE '' END || lang) AS text_sha256,
+      sha256(head || CASE WHEN img THEN '[image: ' || doc_id || '.png]' ELSE '' END || lang) AS preview_sha256, CASE WHEN img THEN 'a/b/' || doc_id || '.png' ELSE '' END AS images FROM d""",
+)
+
+# --- more metrics ---------------------------------------------------------------------------------
+
+_register(
+    "abstention_kappa", lambda s, d: A.abstention_agreement(_cells(s, d), ["scale"]).select("scale", "count_true", "count_pred", "false_positive", "false_negative", _r("kappa"), "band"),
+    _CELLS + f""", k AS (SELECT scale, coalesce({_NA.format('t')}, false)::INT AS t, coalesce({_NA.format('p')}, false)::INT AS p FROM cel WHERE NOT failed),
+    q AS (SELECT scale, sum(t)::BIGINT AS count_true, sum(p)::BIGINT AS count_pred, sum(p * (1 - t))::BIGINT AS false_positive, sum(t * (1 - p))::BIGINT AS false_negative, CASE WHEN max(greatest(t, p)) > min(least(t, p)) THEN true END AS two FROM k GROUP BY scale)
+    SELECT q.scale, count_true, count_pred, false_positive, false_negative, CASE WHEN two THEN round(kappa, 6) END AS kappa, CASE WHEN NOT two OR kappa IS NULL THEN NULL WHEN kappa >= 0.81 THEN 'almost perfect' WHEN kappa >= 0.61 THEN 'substantial'
+      WHEN kappa >= 0.41 THEN 'moderate' WHEN kappa >= 0.21 THEN 'fair' WHEN kappa >= 0 THEN 'slight' ELSE 'poor' END AS band FROM q JOIN {_kappa_sql('k', 'scale')} USING (scale)""",
+)
+
+
+def _pooled_points(spark, d):
+    out = PL.pooled(_cells(spark, d))
+    return out.select(F.col("of").alias("scale"), "n", "n_abstain", *map(_r, ("accuracy", "rmse", "mae", "spearman", "pearson", "kappa", "phi", "precision", "recall", "f1")))
+
+
+_register(
+    "pooled_points", _pooled_points,
+    _CELLS + f""", pt AS (SELECT cel.scale, na_p AS gone, CASE WHEN cel.c < 2 THEN (t = 1)::INT::DOUBLE ELSE coalesce(a.val, 0) END AS x, CASE WHEN cel.c < 2 THEN (p = 1)::INT::DOUBLE ELSE coalesce(b.val, 0) END AS y, (p = t)::INT AS hit
+      FROM (SELECT *, coalesce({_NA.format('p')}, false) AS na_p FROM cel) cel LEFT JOIN opt a ON a.c = cel.c AND a.idx = t LEFT JOIN opt b ON b.c = cel.c AND b.idx = p WHERE NOT failed),
+    al AS (SELECT * FROM pt UNION ALL SELECT 'all', gone, x, y, hit FROM pt), us AS (SELECT * FROM al WHERE NOT gone),
+    rk AS (SELECT scale, corr(rx, ry) AS sp, corr(x, y) AS pe FROM (SELECT scale, x, y, rank() OVER (PARTITION BY scale ORDER BY x) + (count(*) OVER (PARTITION BY scale, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY scale ORDER BY y) + (count(*) OVER (PARTITION BY scale, y) - 1) / 2.0 AS ry FROM us) GROUP BY scale),
+    bk AS (SELECT scale, x::INT AS t, y::INT AS p FROM us WHERE scale = 'binary'),
+    bm AS (SELECT scale, tp, fp, fn, tn FROM (SELECT scale, {_PRF} FROM bk GROUP BY scale)),
+    n AS (SELECT scale, sum((NOT gone)::INT)::BIGINT AS n, sum(gone::INT)::BIGINT AS n_abstain FROM al GROUP BY scale),
+    m AS (SELECT scale, avg(hit)::DOUBLE AS acc, sqrt(avg((y - x) ^ 2)) AS rmse, avg(abs(y - x)) AS mae FROM us GROUP BY scale)
+    SELECT scale, n, n_abstain, round(acc, 6) AS accuracy, round(rmse, 6) AS rmse, round(mae, 6) AS mae, round(sp, 6) AS spearman, round(pe, 6) AS pearson, round(kappa, 6) AS kappa,
+      round((tp::DOUBLE * tn - fp::DOUBLE * fn) / nullif(sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 0), 6) AS phi,
+      round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1
+    FROM n LEFT JOIN m USING (scale) LEFT JOIN rk USING (scale) LEFT JOIN bm USING (scale) LEFT JOIN {_kappa_sql('bk', 'scale')} USING (scale)""",
+)
+_register(
+    "binary_report_rates", lambda s, d: A.binary_rates(A.counts(K.classes(_cells(s, d)).where("scale = 'binary' and item_idx % 11 = 0"), ["criterion_idx"]), ["criterion_idx"], undefined="null").select("criterion_idx", "tp", "fp", "fn", "tn", _r("precision"), _r("recall"), _r("fpr"), _r("fnr")),
+    _CELLS + f"""SELECT c AS criterion_idx, tp, fp, fn, tn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(fp / nullif(fp + tn, 0), 6) AS fpr, round(fn / nullif(fn + tp, 0), 6) AS fnr
+    FROM (SELECT c, {_PRF} FROM {_class_sql('cel', 'exclude', 'exclude')} WHERE c < 2 AND i % 11 = 0 GROUP BY c)""",
+)
+_register(
+    "agreement_validity", lambda s, d: VD.agreement_validity(_reports(s, d), S.item_reports(_reports(s, d)), fx.criteria(s)).select("criterion", _r("agreement")),
+    _WITH_AGREED + f""", it AS (SELECT * FROM {scored('rep_a', 'i')} WHERE NOT gone)
+    SELECT NULL AS criterion, round(avg(agreed), 6) AS agreement FROM it UNION ALL
+    SELECT ['quality', 'toxic', 'length_band', 'language'][c + 1], round(avg(agreement), 6) FROM rep_a WHERE i IN (SELECT i FROM it) GROUP BY c""",
+)
+_register(
+    "ground_truth_validity", lambda s, d: VD.ground_truth_validity(_pairs(s, d).select("item_idx", F.col("pred").alias("score")), _pairs(s, d).select("item_idx", F.col("true").alias("score"))).select("n", _r("metric")),
+    _PAIRS + "SELECT count(*) AS n, round(corr(rx, ry), 6) AS metric FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM pairs)",
+)
+_register(
+    "held_out_validity", lambda s, d: VD.held_out_validity(_reports(s, d), fx.labels(s, d), fx.criteria(s))[0].where("scale = 'binary'").select("criterion_idx", "n_paired", "n_abstained", _r("coverage"), _r("abstention_rate"), "n", _r("accuracy"), _r("kappa"), _r("fpr"), _r("fnr")),
+    _CELLS + f""", k AS (SELECT * FROM {_class_sql('cel', 'exclude', 'exclude')} WHERE c < 2), raw AS (SELECT c, count(*) AS n_paired, sum((NOT failed AND (coalesce({_NA.format('t')}, false) OR coalesce({_NA.format('p')}, false)))::INT)::BIGINT AS gone,
+      sum((NOT failed AND NOT coalesce({_NA.format('t')}, false) AND NOT coalesce({_NA.format('p')}, false))::INT)::BIGINT AS used FROM cel WHERE c < 2 GROUP BY c)
+    SELECT c AS criterion_idx, n_paired, gone AS n_abstained, round(used / n_paired::DOUBLE, 6) AS coverage, round(gone / n_paired::DOUBLE, 6) AS abstention_rate, n, round(acc, 6) AS accuracy, round(kappa, 6) AS kappa, fpr, fnr
+    FROM raw JOIN (SELECT c, n, acc, {_RATES} FROM (SELECT c, count(*) AS n, avg((t = p)::INT)::DOUBLE AS acc, {_PRF} FROM k GROUP BY c)) USING (c) JOIN {_kappa_sql('k', 'c')} USING (c)""",
+)
+_register(
+    "held_out_exemplars", lambda s, d: VD.held_out_validity(_reports(s, d), fx.labels(s, d), fx.criteria(s))[1].select("criterion_idx", "item_idx", F.col("pick").cast("long").alias("pick")),
+    _CELLS + f"SELECT c AS criterion_idx, i AS item_idx, pick FROM (SELECT c, i, row_number() OVER (PARTITION BY c ORDER BY i) AS pick FROM {_class_sql('cel', 'exclude', 'exclude')} WHERE t <> p) WHERE pick <= 3",
+)
+_register(
+    "item_sets", lambda s, d: K.item_sets(fx.labels(s, d).where("item_idx % 5 <> 0"), s.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("item_idx")).where("item_idx % 7 <> 0")),
+    "SELECT doc_id AS item_idx, CASE WHEN doc_id % 5 = 0 THEN 'items only' ELSE 'results only' END AS \"where\" FROM labels WHERE (doc_id % 5 = 0) <> (doc_id % 7 = 0)",
+)
+_register(
+    "repeated_judges", lambda s, d: T.repeated_judges(fx.votes(s, d).unionByName(fx.votes(s, d).where("judge_id = 'jb' and item_idx % 3 = 0"))),
+    SQL + "SELECT 'jb' AS judge_id, count(*) AS n_cells FROM v WHERE j = 'jb' AND i % 3 = 0",
+)
+_register(
+    "unpaired_bias", lambda s, d: D.unpaired_bias(_pairs(s, d).where("g = 0").select(F.col("pred").alias("x")), _pairs(s, d).where("g = 1").select(F.col("pred").alias("x")), []).select("na", "nb", _r("mean_diff"), _r("std_error"), _r("t", 4), _r("df", 3), _r("effect", 5)),
+    _PAIRS + """, s AS (SELECT count(*) FILTER (g = 0) AS na, count(*) FILTER (g = 1) AS nb, avg(x) FILTER (g = 0) AS ma, avg(x) FILTER (g = 1) AS mb, var_samp(x) FILTER (g = 0) AS va, var_samp(x) FILTER (g = 1) AS vb FROM pairs)
+    SELECT na, nb, round(ma - mb, 6) AS mean_diff, round(sqrt(va / na + vb / nb), 6) AS std_error, round((ma - mb) / sqrt(va / na + vb / nb), 4) AS t,
+      round((va / na + vb / nb) ^ 2 / ((va / na) ^ 2 / (na - 1) + (vb / nb) ^ 2 / (nb - 1)), 3) AS df, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 5) AS effect FROM s""",
+)
+_register(
+    "bands", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", (F.pmod("event_id", F.lit(200)) / 100 - 1).alias("x")).select(
+        "event_id", X.correlation_band(F.col("x")).alias("correlation"), X.kappa_band(F.col("x")).alias("kappa"), X.effect_band(F.col("x")).alias("effect"), X.emd_band(F.col("x")).alias("emd")),
+    """SELECT event_id, CASE WHEN abs(x) >= 0.9 THEN 'very strong' WHEN abs(x) >= 0.7 THEN 'strong' WHEN abs(x) >= 0.5 THEN 'moderate' WHEN abs(x) >= 0.3 THEN 'weak' ELSE 'negligible' END AS correlation,
+      CASE WHEN x >= 0.81 THEN 'almost perfect' WHEN x >= 0.61 THEN 'substantial' WHEN x >= 0.41 THEN 'moderate' WHEN x >= 0.21 THEN 'fair' WHEN x >= 0 THEN 'slight' ELSE 'poor' END AS kappa,
+      CASE WHEN abs(x) >= 0.8 THEN 'large' WHEN abs(x) >= 0.5 THEN 'medium' WHEN abs(x) >= 0.2 THEN 'small' ELSE 'negligible' END AS effect,
+      CASE WHEN x >= 0.2 THEN 'large' WHEN x >= 0.1 THEN 'moderate' WHEN x >= 0.05 THEN 'small' ELSE 'negligible' END AS emd FROM (SELECT event_id, (event_id % 200) / 100.0::DOUBLE - 1 AS x FROM events)""",
 )

@@ -57,6 +57,19 @@ def dimension(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if held["n"] <= MAX_BROADCAST_ROWS and (held["b"] or 0) <= MAX_BROADCAST_BYTES else df
 
 
+def criterion_keys(criteria: DataFrame) -> list[str]:
+    """What names a criterion: its index, and its item where items have rubrics of their own."""
+    return ["item_idx", "criterion_idx"] if "item_idx" in criteria.columns else ["criterion_idx"]
+
+
+def with_criteria(frame: DataFrame, criteria: DataFrame, *columns: str) -> DataFrame:
+    """``frame`` with the named columns of its criteria: a shared rubric is broadcast, rubrics of the items
+    are joined on item and index."""
+    keys = criterion_keys(criteria)
+    own = criteria.select(*keys, *columns)
+    return frame.join(dimension(own) if len(keys) == 1 else own, keys)
+
+
 def criteria_problems(criteria: DataFrame) -> DataFrame:
     """(criterion_idx, problem) of each broken rule: scales, option counts, values and labels."""
     normal = F.transform("options", lambda o: F.lower(F.trim(o["label"])))

@@ -16,10 +16,6 @@ DATASET = (
     "name string, prompt string, reference_submission string, rubric string, "
     "items array<struct<submission:string,description:string,ground_truth:array<string>,ground_truth_reasons:array<string>,rubric:string,reference_submission:string,prompt:string>>"
 )
-REPORT = (
-    "item_idx bigint, duration_seconds double, error string, report struct<score:double,raw_score:double,error:string,cannot_assess_count:bigint,mean_agreement:double,"
-    "completion_cost:double,report_type:string,judge_scores:map<string,double>>"
-)
 
 
 def _entries(text: Column) -> Column:
@@ -125,17 +121,6 @@ def _filled(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-def write_reports(reports: DataFrame, path: str, run_id: str) -> None:
-    """Append item reports, a folder for each run."""
-    reports.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").json(path)
-
-
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Item records of a run's JSON lines, flat."""
-    return spark.read.schema(REPORT).json(path).select("item_idx", "duration_seconds", F.coalesce("error", "report.error").alias("error"), "report.score", "report.raw_score",
-                                                        "report.mean_agreement", "report.cannot_assess_count", "report.completion_cost", "report.judge_scores")
-
-
 def images(spark: SparkSession, path: str) -> DataFrame:
     """Image files with digest and the type their first bytes say."""
     files = spark.read.format("binaryFile").load(path)

@@ -4,12 +4,14 @@ transport injected."""
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.bootstrap import hash32
@@ -74,20 +76,38 @@ class ConfigurationError(Exception):
     """A transport raises this where every call would fail; the job fails with it."""
 
 
+#: Public client libraries' exceptions by the name of their class.
+_INFRASTRUCTURE = ("APIConnectionError", "APITimeoutError", "InternalServerError", "RateLimitError", "ServiceUnavailableError", "Timeout")
+_PARSE = ("JSONDecodeError", "ValidationError")
+_CONFIGURATION = ("AuthenticationError", "BadRequestError", "NotFoundError", "PermissionDeniedError")
+
+
 def error_category(e: BaseException) -> str:
-    """infrastructure (time-outs and broken connections), parse (bad values) or unknown."""
-    if isinstance(e, (TimeoutError, ConnectionError, OSError)):
+    """infrastructure (time-outs, limits and broken connections), parse (bad values), configuration (every
+    call would fail) or unknown; an exception is what it or a class above it is."""
+    names = {c.__name__ for c in type(e).__mro__}
+    if isinstance(e, (ConfigurationError, ImportError, PermissionError)) or names & set(_CONFIGURATION):
+        return "configuration"
+    if isinstance(e, (TimeoutError, ConnectionError, OSError)) or names & set(_INFRASTRUCTURE):
         return "infrastructure"
-    return "parse" if isinstance(e, (ValueError, KeyError, TypeError)) else "unknown"
+    return "parse" if isinstance(e, (ValueError, KeyError, TypeError)) or names & set(_PARSE) else "unknown"
+
+
+def _as_given(answer) -> dict:
+    return answer
 
 
 @dataclass(frozen=True)
 class RemoteJudge:
-    """A judge behind ``transport(prompt) -> {"verdict" | "option_idx", "reason", "confidence"}``.
-
-    Identical prompts are asked once per partition, failures are retried with doubling pauses, and
-    what fails at last is a failed vote. ``concurrency`` bounds the tasks that call at once; ``cache``,
-    a table (prompt_sha256 and the vote's columns), is looked up first.
+    """A judge behind ``transport(prompt) -> {"verdict" | "option_idx", "reason", "confidence"}``; ``parse`` may
+    turn another form of answer into this one.
+
+    Identical prompts are asked once, failures are retried with doubling pauses, and what fails at last
+    is a failed vote. ``concurrency`` bounds the tasks that call at once. Calls are paid for, so their
+    answers are stored before anything reads them: with ``cache_path``, in that table, where answers not
+    older than ``cache_seconds`` are looked up first, by judge and prompt, and new ones are added; failures
+    are asked again another time. ``cache`` is a further table (prompt_sha256 and the vote's columns).
+    Without ``cache_path`` the answers are computed when they are read, each time.
     """
 
     judge_id: str
@@ -97,42 +117,67 @@ class RemoteJudge:
     pause: float = 0.5
     concurrency: int = 8
     cache: DataFrame | None = None
+    cache_path: str | None = None
+    cache_seconds: int | None = None
+    parse: Callable[[object], dict] = _as_given
 
     def vote(self, cells: DataFrame) -> DataFrame:
         asked = cells.select("item_idx", "criterion_idx", self.prompt.alias("prompt")).withColumn("prompt_sha256", F.sha2("prompt", 256))
-        known = None
+        known = self._stored(cells.sparkSession)
         if self.cache is not None:
-            kept = self.cache.select("prompt_sha256", "verdict", "option_idx", "reason", "confidence").dropDuplicates(["prompt_sha256"])
-            known = asked.join(kept, "prompt_sha256").select("item_idx", "criterion_idx", F.lit(self.judge_id).alias("judge_id"), "verdict", "option_idx", F.lit(None).cast("string").alias("error"), "reason", "confidence")
-            asked = asked.join(kept.select("prompt_sha256"), "prompt_sha256", "left_anti")
-        transport, attempts, pause, judge_id = self.transport, self.attempts, self.pause, self.judge_id
+            kept = self.cache.select("prompt_sha256", "verdict", "option_idx", F.lit(None).cast("string").alias("error"), "reason", "confidence").dropDuplicates(["prompt_sha256"])
+            known = kept if known is None else known.unionByName(kept).dropDuplicates(["prompt_sha256"])
+        todo = asked if known is None else asked.join(known.select("prompt_sha256"), "prompt_sha256", "left_anti")
+        answers = self._called(todo.select("prompt_sha256", "prompt").dropDuplicates(["prompt_sha256"]))
+        if self.cache_path is not None:
+            new = f"{self.cache_path}/call={uuid.uuid4().hex}"
+            answers.withColumns({"judge_id": F.lit(self.judge_id), "at": F.current_timestamp()}).write.parquet(new)
+            answers = cells.sparkSession.read.parquet(new).drop("judge_id", "at")
+        if known is not None:
+            answers = known.unionByName(answers)
+        return asked.join(answers, "prompt_sha256").select(
+            "item_idx", "criterion_idx", F.lit(self.judge_id).alias("judge_id"), "verdict", "option_idx", "error", "reason", "confidence"
+        )
 
-        def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            seen: dict[str, dict] = {}
+    def _stored(self, spark: SparkSession) -> DataFrame | None:
+        if self.cache_path is None:
+            return None
+        try:
+            rows = spark.read.parquet(self.cache_path)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return None
+        rows = rows.where((F.col("judge_id") == self.judge_id) & F.col("error").isNull())
+        if self.cache_seconds is not None:
+            rows = rows.where(F.col("at") >= F.current_timestamp() - F.make_interval(secs=F.lit(self.cache_seconds)))
+        last = F.max_by(F.struct("verdict", "option_idx", "error", "reason", "confidence"), "at").alias("r")
+        return rows.groupBy("prompt_sha256").agg(last).select("prompt_sha256", "r.*")
+
+    def _called(self, prompts: DataFrame) -> DataFrame:
+        transport, attempts, pause, parse = self.transport, self.attempts, self.pause, self.parse
 
+        def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             def answer(prompt: str) -> dict:
                 for k in range(attempts):
                     try:
-                        return transport(prompt)
-                    except ConfigurationError:
-                        raise
+                        return parse(transport(prompt))
                     except Exception as e:
-                        failure = {"error": f"{error_category(e)}: {e}"}
+                        kind = error_category(e)
+                        if kind == "configuration":
+                            raise
+                        failure = {"error": f"{kind}: {e}"}
                         if k + 1 < attempts:
                             time.sleep(pause * 2**k)
                 return failure
 
             for pdf in batches:
-                out = []
-                for item, criterion, prompt, key in zip(pdf["item_idx"], pdf["criterion_idx"], pdf["prompt"], pdf["prompt_sha256"]):
-                    if key not in seen:
-                        seen[key] = answer(prompt)
-                    a = seen[key]
-                    out.append((item, criterion, judge_id, a.get("verdict"), a.get("option_idx"), a.get("error"), a.get("reason"), a.get("confidence")))
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in VOTE.split(", ")]).astype({"option_idx": "Int32"})
-
-        called = asked.repartition(self.concurrency, "prompt_sha256").mapInPandas(ask, VOTE)
-        return called if known is None else known.unionByName(called)
+                out = [(key, a.get("verdict"), a.get("option_idx"), a.get("error"), a.get("reason"), a.get("confidence"))
+                       for key, prompt in zip(pdf["prompt_sha256"], pdf["prompt"]) for a in [answer(prompt)]]
+                yield pd.DataFrame(out, columns=["prompt_sha256", "verdict", "option_idx", "error", "reason", "confidence"]).astype({"option_idx": "Int32"})
+
+        schema = "prompt_sha256 string, verdict string, option_idx int, error string, reason string, confidence double"
+        return prompts.repartition(self.concurrency, "prompt_sha256").mapInPandas(ask, schema)
 
 
 def panel_votes(cells: DataFrame, judges: list[tuple[Judge, float]], role: str = "primary") -> DataFrame:

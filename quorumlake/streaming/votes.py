@@ -9,24 +9,31 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.voting import aggregate_votes
 from ..schema import VOTES
 
+#: Parts of the stored votes, by hash of the item: a batch reads the parts of its own items only.
+BUCKETS = 64
+
 
 def vote_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(VOTES).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def aggregate_stream(votes: DataFrame, criteria: DataFrame, store: str, sink: str, checkpoint: str, **how) -> StreamingQuery:
-    """Keeps all votes in ``store`` and appends to ``sink`` the new reports of the cells that a batch
-    touches, with the batch's number: the last one of a cell counts.
+def aggregate_stream(votes: DataFrame, criteria: DataFrame, store: str, sink: str, checkpoint: str, buckets: int = BUCKETS, **how) -> StreamingQuery:
+    """Keeps all votes in ``store``, by bucket of the item, and appends to ``sink`` the new reports of the
+    cells that a batch touches, with the batch's number: the last one of a cell counts.
 
-    A batch that is run again writes the same folders again, so nothing is counted twice.
+    A batch that is run again writes the same folders again, so nothing is counted twice. It reads the
+    buckets of its items, not the whole history.
     """
 
     def batch(new: DataFrame, number: int) -> None:
         spark = new.sparkSession
-        new.write.mode("overwrite").parquet(f"{store}/batch={number}")
-        touched = new.select("item_idx", "criterion_idx").distinct()
-        seen = spark.read.parquet(store).where(F.col("batch") <= number).drop("batch")
-        reports = aggregate_votes(seen.join(touched, ["item_idx", "criterion_idx"], "left_semi"), criteria, **how)
+        bucket = F.pmod(F.xxhash64("item_idx"), F.lit(buckets)).cast("int")
+        new.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch={number}")
+        own = spark.read.parquet(f"{store}/batch={number}")
+        touched = own.select("bucket", "item_idx", "criterion_idx").distinct()
+        parts = [r[0] for r in touched.select("bucket").distinct().collect()]  # at most ``buckets``
+        seen = spark.read.parquet(store).where((F.col("batch") <= number) & F.col("bucket").isin(parts)).drop("batch", "bucket")
+        reports = aggregate_votes(seen.join(touched.drop("bucket"), ["item_idx", "criterion_idx"], "left_semi"), criteria, **how)
         reports.drop("options").write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return votes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
