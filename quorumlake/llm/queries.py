@@ -47,7 +47,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(documents(spark, sf_dir))
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality_rules.quality_rules(documents(spark, sf_dir)).select(*columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,5 +73,6 @@ ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op3_repeats": repeats.OP3_SQL,
     "op4_near_dedup": near_dedup.OP4_SQL,
+    "op9_quality_rules": quality_rules.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
