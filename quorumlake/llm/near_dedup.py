@@ -34,13 +34,15 @@ UNSEEN = 1e-4
 #: A bucket of more nodes than two blocks is compared in pairs of blocks of about BLOCK nodes; where
 #: their texts are needed too, of at most about BLOCK_BYTES of them.
 BLOCK = 1024
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: A bucket of at most this many nodes sends all its surviving pairs. Of a larger one, each node sends
 #: those with its PARTNERS most similar partners; the rest, where its ends are not connected by then,
 #: are verified inside the bucket, which gets the texts of such ends and sends links only. A pair
 #: belongs to its first large bucket.
 SMALL = 32
 PARTNERS = 4
+#: Characters of texts whose words are numbered together when links are verified.
+VERIFIED_CHARS = 1 << 19
 
 _KEY = ["bucket", "lo", "hi"]
 _rng = np.random.default_rng(20240229)
@@ -92,15 +94,16 @@ def signatures(sets: list[np.ndarray], in_band: int = ROWS) -> tuple[np.ndarray,
     return ((least * np.uint32(0x85EBCA6B)) >> np.uint32(24)).astype(np.uint8), bands.view(np.int64)
 
 
-def _chunks(sets: list[np.ndarray], most: int = 1 << 18):
+def _chunks(sizes: list[int], most: int):
+    """Runs of rows of at most ``most`` in all, or of one row."""
     begin, size = 0, 0
-    for i, s in enumerate(sets):
-        if size + len(s) > most and i > begin:
+    for i, n in enumerate(sizes):
+        if size + n > most and i > begin:
             yield begin, i
             begin, size = i, 0
-        size += len(s)
-    if begin < len(sets):
-        yield begin, len(sets)
+        size += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
 def _described(batches: Iterator[pd.Series], in_band: int) -> Iterator[pd.DataFrame]:
@@ -110,7 +113,7 @@ def _described(batches: Iterator[pd.Series], in_band: int) -> Iterator[pd.DataFr
         fp, sig, bands = ([None] * len(sets) for _ in range(3))
         full = np.flatnonzero(n)
         own = [sets[i] for i in full]
-        for b, e in _chunks(own):
+        for b, e in _chunks([len(x) for x in own], 1 << 17):
             s, hashes = signatures(own[b:e], in_band)
             for i, at in enumerate(full[b:e].tolist()):
                 fp[at] = set_digest(own[b + i])
@@ -302,9 +305,11 @@ def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _verified(batches, percent: int):
     for pdf in batches:
-        n = len(pdf)
-        sets = exact_sets(pdf["ta"].tolist() + pdf["tb"].tolist())
-        on = np.array([_alike(sets[k], sets[n + k], percent) for k in range(n)], bool)
+        ta, tb = pdf["ta"].tolist(), pdf["tb"].tolist()
+        on = np.zeros(len(pdf), bool)
+        for b, e in _chunks([x + y for x, y in zip(map(len, ta), map(len, tb))], VERIFIED_CHARS):
+            sets = exact_sets(ta[b:e] + tb[b:e])
+            on[b:e] = [_alike(sets[k], sets[e - b + k], percent) for k in range(e - b)]
         yield pdf.loc[on, ["na", "nb"]].rename(columns={"na": "a", "nb": "b"})
     released()
 
