@@ -808,3 +808,100 @@ _register(
       CASE WHEN abs(x) >= 0.8 THEN 'large' WHEN abs(x) >= 0.5 THEN 'medium' WHEN abs(x) >= 0.2 THEN 'small' ELSE 'negligible' END AS effect,
       CASE WHEN x >= 0.2 THEN 'large' WHEN x >= 0.1 THEN 'moderate' WHEN x >= 0.05 THEN 'small' ELSE 'negligible' END AS emd FROM (SELECT event_id, (event_id % 200) / 100.0::DOUBLE - 1 AS x FROM events)""",
 )
+
+
+# --- runs -----------------------------------------------------------------------------------------
+
+
+def _live_votes(spark, d):
+    """Votes of a cheap judge on the first three criteria; of the third it sometimes picks the NA option, and is sure of it."""
+    binary = fx.unsure_judge(spark, d).select("item_idx", "criterion_idx", F.when(F.col("error").isNull(), F.col("final_verdict")).alias("verdict"), F.lit(None).cast("int").alias("option_idx"), "error", "confidence")
+    h = hash32(F.concat_ws(":", F.col("item_idx").cast("string"), F.lit("live")))
+    na = F.pmod(h, F.lit(13)) == 0
+    choice = fx.truth(spark, d).where("criterion_idx = 2").select(
+        "item_idx", "criterion_idx", F.lit(None).cast("string").alias("verdict"), F.when(na, 3).otherwise(F.col("t")).cast("int").alias("option_idx"), F.lit(None).cast("string").alias("error"),
+        F.when(na, 0.99).otherwise(F.pmod(h, F.lit(101)) / 100).alias("confidence"),
+    )
+    return binary.unionByName(choice).withColumns({"judge_id": F.lit("dm"), "reason": F.lit(None).cast("string")})
+
+
+def _live_grader(spark, d):
+    from .plans.runner import Grader
+    from .sources.judges import RecordedJudge
+
+    return Grader([(RecordedJudge("dm", _live_votes(spark, d)), 1.0)], escalation=[(RecordedJudge("ja", fx.votes(spark, d)), 1.0)], threshold=0.5, thresholds={"toxic": 0.8})
+
+
+def _items(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("item_idx"))
+
+
+_LIVE_SQL = _DM + f""", lv AS (SELECT i, c, na OR conf IS NULL OR conf < CASE c WHEN 0 THEN 0.5 ELSE 0.8 END AS up, p FROM dm
+  UNION ALL SELECT i, c, h % 13 = 0 OR (h % 101) / 100.0::DOUBLE < 0.5, t FROM (SELECT i, c, t, {_hash_sql("i", "':live'")} AS h FROM tr WHERE c = 2)),
+fin AS (SELECT lv.i, lv.c, up, CASE WHEN up THEN v.pick ELSE p END AS pick FROM lv JOIN v ON v.i = lv.i AND v.c = lv.c AND v.j = 'ja')
+"""
+_register(
+    "cascade_live", lambda s, d: _live_grader(s, d).grade(_items(s, d), fx.criteria(s).where("criterion_idx < 3"))[1].select("item_idx", "criterion_idx", "final_verdict", "option_idx"),
+    _LIVE_SQL + f"SELECT i AS item_idx, c AS criterion_idx, CASE WHEN c < 2 THEN {VERDICT.format('pick')} END AS final_verdict, CASE WHEN c = 2 THEN pick END AS option_idx FROM fin",
+)
+
+
+def _folder(spark) -> str:
+    """A new folder that all machines share, or, where the session names none, one of this machine."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{root.rstrip('/')}/quorumlake-run-{uuid.uuid4().hex}"
+
+
+def _round_trip(spark, d):
+    """Evaluated in two goes, written as JSON lines, read back, and counted by criterion and verdict."""
+    from .plans.runner import evaluate
+    from .sources import runs
+
+    path, criteria, items = _folder(spark), fx.criteria(spark).where("criterion_idx < 3"), _items(spark, d)
+    evaluate(items.where("item_idx % 2 = 0"), criteria, _live_grader(spark, d), path, "a")
+    scores = evaluate(items, criteria, _live_grader(spark, d), path, "a")
+    rows = runs.records(scores, runs.read(spark, path, "reports", "a"), runs.read(spark, path, "votes", "a"))
+    runs.write_records(rows, f"{path}/lines", "a")
+    back = runs.read_records(spark, f"{path}/lines", "a")
+    votes = back["votes"].groupBy("item_idx", "criterion_idx").agg(F.count_if("superseded").alias("n_superseded"))
+    return back["reports"].join(votes, ["item_idx", "criterion_idx"]).select("item_idx", "criterion_idx", "final_verdict", "option_idx", "n_votes", "n_superseded")
+
+
+_register(
+    "run_round_trip", _round_trip,
+    _LIVE_SQL + f"SELECT i AS item_idx, c AS criterion_idx, CASE WHEN c < 2 THEN {VERDICT.format('pick')} END AS final_verdict, CASE WHEN c = 2 THEN pick END AS option_idx, 1::BIGINT AS n_votes, up::INT::BIGINT AS n_superseded FROM fin",
+)
+
+
+def _added_na(spark, d):
+    """Options of choices under a grader that may add an NA option: only where a judged cell names it."""
+    bare = fx.criteria(spark).withColumn("options", F.filter("options", lambda o: ~o["na"]))
+    frame = K.cells(_reports(spark, d), fx.labels(spark, d), bare)
+    return K.effective_criteria(bare, frame).select("criterion_idx", F.coalesce(F.size("options"), F.lit(0)).alias("n_options"))
+
+
+_register(
+    "effective_options", _added_na,
+    _CELLS + """SELECT crit.c AS criterion_idx, (CASE WHEN crit.c < 2 THEN 0 ELSE crit.k + coalesce(needs, false)::INT END)::INT AS n_options
+    FROM crit LEFT JOIN (SELECT c, bool_or(p IS NULL OR p >= k OR coalesce(t >= k, false)) AS needs FROM cel WHERE NOT failed AND c >= 2 GROUP BY c) USING (c)""",
+)
+_register(
+    "thinking_round_trip", lambda s, d: _conversations(s, d).select("conv_id", "turn", F.sha2(X.tagged(X.thinking_section(F.col("text")), X.output_section(F.col("text"))), 256).alias("tagged"), X.has_sections(F.col("text")).alias("has"), X.blank_to_null(X.thinking_section(F.col("text"))).isNull().alias("blank")),
+    _TURNS + r"""SELECT conv_id, turn, sha256(CASE WHEN thinking = '' THEN output ELSE '<thinking>' || thinking || '</thinking><output>' || output || '</output>' END) AS tagged, turn % 3 < 2 AS has, NOT regexp_matches(thinking, '\S') AS blank FROM sec""",
+)
+_register(
+    "affected_criteria", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", X.affects(F.pmod("event_id", F.lit(9)), F.concat(F.lit("then "), X.affects(F.pmod("event_id", F.lit(4)), F.lit("end")))).alias("text")).select("event_id", F.array_join(X.affected(F.col("text")).cast("array<string>"), ",").alias("found")),
+    "SELECT event_id, (event_id % 9) || ',' || (event_id % 4) AS found FROM events",
+)
+_register(
+    "stratified_split", lambda s, d: T.stratified_split(T.signatures(fx.labels(s, d).where("criterion_idx < 2")), 40, seed=7).select("item_idx", "signature", "split"),
+    SQL + f""", sg AS (SELECT i, string_agg({VERDICT.format('t')}, '|' ORDER BY c) AS signature FROM lab WHERE c < 2 GROUP BY i),
+    z AS (SELECT signature, count(*) AS n, row_number() OVER (ORDER BY signature) AS k FROM sg GROUP BY signature),
+    q AS (WITH RECURSIVE f AS (SELECT 0::BIGINT AS k, NULL::VARCHAR AS signature, 0::BIGINT AS quota, (SELECT sum(n) FROM z)::BIGINT AS rest, 40::BIGINT AS train
+      UNION ALL SELECT z.k, z.signature, greatest(0, least(z.n, round_even(z.n * f.train / f.rest::DOUBLE, 0)))::BIGINT, (f.rest - z.n)::BIGINT,
+        (f.train - greatest(0, least(z.n, round_even(z.n * f.train / f.rest::DOUBLE, 0))))::BIGINT FROM f JOIN z ON z.k = f.k + 1) SELECT * FROM f WHERE k > 0)
+    SELECT i AS item_idx, signature, CASE WHEN row_number() OVER (PARTITION BY signature ORDER BY {_hash_sql("'7:'", 'i')}, i) <= quota THEN 'train' ELSE 'test' END AS split FROM sg JOIN q USING (signature)""",
+)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,10 +13,10 @@ from pyspark.sql import functions as F
 from quorumlake import schema
 from quorumlake.functions import exprs as X
 from quorumlake.functions import special
-from quorumlake.operators import agreement, cells, correlation, irr, sampling, scoring, voting
-from quorumlake.plans import improve, metrics, runner
+from quorumlake.operators import agreement, bootstrap, cells, correlation, irr, sampling, scoring, voting
+from quorumlake.plans import improve, metrics, runner, validation
 from quorumlake.rubric import Criterion, Option, Rubric
-from quorumlake.sources import datasets, judges
+from quorumlake.sources import configs, datasets, judges, runs
 from quorumlake.streaming import votes as stream
 
 STANDARD = (Option("bad", 0.0), Option("fair", 0.5), Option("good", 1.0), Option("none", 0.0, True))
@@ -292,7 +294,7 @@ def test_metrics_and_improvement(spark):
     reports = noisy(rubric).reports(votes, table)
     got = metrics.compute_metrics(reports, votes, labels, table, spark.createDataFrame([("b",)], "judge_id string"), replicates=10)
     a, j = got.criterion.first(), got.judge.first()
-    assert a["accuracy"] == j["accuracy"] and a["kappa"] == j["kappa"] and got.bootstrap.count() == 2
+    assert a["accuracy"] == j["accuracy"] and a["kappa"] == j["kappa"] and got.bootstrap.count() == 3
     assert {r["level"] for r in got.to_dataframe().collect()} == {"aggregate", "criterion", "judge"} and "accuracy" in got.summary()
     steps = improve.improve(rubric, items, labels, noisy, lambda r, wrong: Rubric(r.criteria, "read closely"), iterations=2)
     assert len(steps) == 2 and steps[1].accepted and steps[1].scores["accuracy"] == 1.0
@@ -300,6 +302,158 @@ def test_metrics_and_improvement(spark):
     assert cells.resolved_labels(labels.withColumn("verdict", F.lit("odd")), table).count() == 0
 
 
+def test_remote_calls_are_made_once(spark, tmp_path):
+    """A cascade and a second run read stored votes and answers: each prompt is called once."""
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def transport(prompt):
+        (log / str(time.time_ns())).write_text(prompt)
+        return {"verdict": "MET", "confidence": 0.1}
+
+    rubric = Rubric((Criterion("good?"),)).table(spark)
+    items = spark.createDataFrame([(0, "good")], "item_idx long, submission string")
+    judge = judges.RemoteJudge("r", transport, F.col("submission"), attempts=1, pause=0.0, cache_path=str(tmp_path / "cache"))
+    grader = runner.Grader([(judge, 1.0)], escalation=[(word_judge("llm"), 1.0)])
+    runner.evaluate(items, rubric, grader, str(tmp_path / "runs"), "a").collect()
+    assert len(list(log.iterdir())) == 1
+    assert judge.vote(items.join(rubric, F.lit(True))).first()["verdict"] == "MET" and len(list(log.iterdir())) == 1
+    old = dataclasses.replace(judge, cache_seconds=0)
+    assert old.vote(items.join(rubric, F.lit(True))).count() == 1 and len(list(log.iterdir())) >= 2
+    plain = dataclasses.replace(judge, cache_path=None)
+    before = len(list(log.iterdir()))
+    runner.evaluate(items, rubric, runner.Grader([(plain, 1.0)], escalation=[(word_judge("llm"), 1.0)]), str(tmp_path / "runs"), "b").collect()
+    assert len(list(log.iterdir())) == before + 1
+
+
+def test_configuration_errors_stop_the_job(spark):
+    class AuthenticationError(Exception):
+        pass
+
+    def refused(prompt):
+        raise AuthenticationError("no key")
+
+    items = spark.createDataFrame([(0, 0, "x")], "item_idx long, criterion_idx int, submission string")
+    with pytest.raises(Exception, match="no key"):
+        judges.RemoteJudge("r", refused, F.col("submission"), pause=0.0).vote(items).collect()
+    class RateLimitError(Exception):
+        pass
+
+    assert [judges.error_category(e) for e in (RateLimitError(), TimeoutError(), ValueError(), RuntimeError(), judges.ConfigurationError())] == ["infrastructure", "infrastructure", "parse", "unknown", "configuration"]
+
+
+def test_run_is_stored_and_read_back(spark, tmp_path):
+    rubric = Rubric((Criterion("good?"), Criterion("long?", options=STANDARD[:3]))).table(spark)
+    items = spark.createDataFrame([(i, "good" if i % 2 else "poor") for i in range(4)], "item_idx long, submission string")
+    pick = judges.RuleJudge("a", F.when(F.col("options").isNull(), F.when(F.col("submission") == "good", "MET").otherwise("UNMET")), F.when(F.col("options").isNotNull(), 2))
+    path = str(tmp_path / "runs")
+    assert runs.manifest(spark, path, "r", 4)["status"] == "pending"
+    scores = runner.evaluate(items.where("item_idx < 2"), rubric, runner.Grader([(pick, 1.0)]), path, "r")
+    assert runs.manifest(spark, path, "r", 4) == {"run_id": "r", "status": "running", "total_items": 4, "completed": 2, "failed": 0}
+    rows = runs.records(scores, runs.read(spark, path, "reports", "r"), runs.read(spark, path, "votes", "r"), scoring.judge_scores(runs.read(spark, path, "votes", "r"), rubric))
+    runs.write_records(rows, str(tmp_path / "lines"), "r")
+    back = runs.read_records(spark, str(tmp_path / "lines"), "r")
+    a = back["scores"].where("item_idx = 1").first()
+    b = scores.where("item_idx = 1").first()
+    assert (a["score"], a["raw_score"], a["mean_agreement"], a["cannot_assess_count"], a["report_type"]) == (b["score"], b["raw_score"], 1.0, 0, "single") and a["judge_scores"] == {"a": b["score"]}
+    assert back["reports"].count() == 4 and {r["option_idx"] for r in back["votes"].collect()} == {None, 2}
+    assert runs.successful(scores, scored=True).count() == 2 and runs.failed(scores).count() == 0
+    with pytest.raises(ValueError, match="scores"):
+        runs.read(spark, path, "other", "r")
+
+
+def test_rubrics_of_items(spark):
+    """Items with rubrics of their own are voted on, scored and pooled by these."""
+    rows = [(0, 0, "a", None, 1.0, "binary", None, None), (0, 1, "b", None, 3.0, "binary", None, None), (1, 0, "c", None, 1.0, "ordinal", None, [(0, "no", 0.0, False), (1, "yes", 1.0, False)])]
+    criteria = schema.local_table(spark, rows, "item_idx long, criterion_idx int, requirement string, name string, weight double, scale string, aggregation string, options array<struct<idx:int,label:string,value:double,na:boolean>>")
+    votes = spark.createDataFrame(
+        [(0, 0, "j", 0, 1.0, "primary", "MET", None, None, None, None, None, False), (0, 1, "j", 0, 1.0, "primary", "UNMET", None, None, None, None, None, False), (1, 0, "j", 0, 1.0, "primary", None, 1, None, None, None, None, False)], schema.VOTES)
+    reports = voting.aggregate_votes(voting.routed_votes(votes, criteria), criteria)
+    assert {r["item_idx"]: r["score"] for r in scoring.item_reports(reports).collect()} == {0: 0.25, 1: 1.0}
+    labels = spark.createDataFrame([(0, 0, "MET", None), (0, 1, "MET", None), (1, 0, None, 1)], "item_idx long, criterion_idx int, verdict string, option_idx int")
+    got = metrics.compute_metrics(reports, votes, labels, criteria, spark.createDataFrame([("j",)], "judge_id string"))
+    pooled = {r["of"]: r for r in got.pooled.collect()}
+    assert got.criterion is None and (pooled["binary"]["n"], pooled["binary"]["accuracy"]) == (2, 0.5) and pooled["ordinal"]["accuracy"] == 1.0 and pooled["all"]["n"] == 3
+    assert pooled["binary"]["recall"] == 0.5 and any("own" in w for w in got.warnings) and "all" in got.summary()
+
+
+def test_added_na_option_and_categories(spark):
+    options = STANDARD[:3]
+    table = Rubric((Criterion("q", options=options),)).table(spark)
+    reports = spark.createDataFrame([(0, 0, None, 3, None), (1, 0, None, 1, None), (2, 0, None, None, "infrastructure: x")], "item_idx long, criterion_idx int, final_verdict string, option_idx int, error string")
+    labels = spark.createDataFrame([(i, 0, None, 1) for i in range(3)], "item_idx long, criterion_idx int, verdict string, option_idx int")
+    frame = cells.cells(reports, labels, table)
+    shown = cells.effective_criteria(table, frame)
+    assert len(shown.first()["options"]) == 4
+    own = cells.with_effective_options(frame, shown)
+    assert agreement.coverage(own, ["criterion_idx"]).first()["n_used"] == 1 and agreement.coverage(own, []).first()["n_cells"] == 3
+    with pytest.raises(Exception, match="ordinal"):
+        cells.classes(own, na="as_category").collect()
+    assert [r["item_idx"] for r in cells.errored_items(reports).collect()] == [2]
+    assert {(r["item_idx"], r["where"]) for r in cells.item_sets(reports, labels.where("item_idx > 0")).collect()} == {(0, "results only")}
+
+
+def test_unanimous_choices_and_overrides(spark):
+    """Dissent becomes the NA option where there is one; a criterion's own strategy comes first."""
+    with_na = (*STANDARD[:3], Option("none", 0.0, True))
+    table = Rubric((Criterion("x", options=with_na, scale_type="nominal"), Criterion("y", options=STANDARD[:3], scale_type="nominal"), Criterion("z", options=STANDARD[:3], aggregation="max"))).table(spark)
+    rows = [(0, c, j, k, 1.0, "primary", None, o, None, None, None, None, False) for c in range(3) for k, (j, o) in enumerate((("a", 0), ("b", 2), ("c", 0)))]
+    got = {r["criterion_idx"]: r for r in voting.aggregate_votes(spark.createDataFrame(rows, schema.VOTES), table, nominal="unanimous").collect()}
+    assert (got[0]["option_idx"], got[0]["na"], got[0]["warning"]) == (3, True, None)
+    assert got[1]["option_idx"] == 0 and "disagree" in got[1]["warning"] and got[2]["option_idx"] == 2
+
+
+def test_errors_and_reasons_of_votes(spark):
+    table = Rubric((Criterion("x"),)).table(spark)
+    vote = lambda j, k, v, e, r: (0, 0, j, k, 1.0, "primary", v, None, e, r, None, None, False)
+    both = spark.createDataFrame([vote("b", 1, "CANNOT_ASSESS", "parse: y", None), vote("a", 0, "CANNOT_ASSESS", "infrastructure: x", None)], schema.VOTES)
+    row = voting.aggregate_votes(both, table).first()
+    assert (row["error"], row["final_reason"]) == ("a: infrastructure: x | b: parse: y", "All judges voted CANNOT_ASSESS")
+    row = voting.aggregate_votes(spark.createDataFrame([vote("b", 1, "MET", None, "fine"), vote("a", 0, "MET", None, None)], schema.VOTES), table).first()
+    assert (row["error"], row["final_reason"]) == (None, "b: fine")
+
+
+def test_single_text_and_rubric_of_rubrics(spark):
+    rubric = Rubric((Criterion("good?"),))
+    score, criteria = runner.grade_text(spark, "good", rubric.table(spark), runner.Grader([(word_judge("a"), 1.0)]))
+    assert score["score"] == 1.0 and criteria[0]["final_verdict"] == "MET"
+    scores, _ = validation.evaluate_rubrics(spark, [rubric, Rubric((Criterion("bad?"),))], runner.Grader([(word_judge("a"), 1.0)]))
+    assert {r["item_idx"]: r["score"] for r in scores.collect()} == {0: 5 / 7, 1: 0.0}
+
+
+def test_configs_and_capabilities():
+    config = configs.JudgeConfig.from_dict({"model": "m", "attempts": 5, "base_url": "x"})
+    assert config.to_dict() == {"model": "m", "attempts": 5, "extra": {"base_url": "x"}} and configs.JudgeConfig.from_dict(config.to_dict()) == config
+    with pytest.raises(ValueError, match="model"):
+        configs.JudgeConfig("")
+    assert configs.strictest([None, 8, 3]) == 3 and configs.strictest([None]) is None
+    registry = {"dm": {"provider": "p", "images": False}}
+    assert configs.capabilities("dm", registry) == configs.capabilities("p/dm", registry) == registry["dm"] and configs.capabilities("q/dm", registry) is None
+
+
+def test_sampling_helpers(spark):
+    items = spark.createDataFrame([(i, f"text {i}") for i in (3, 1, 2)], "item_idx long, submission string")
+    assert [r["item_idx"] for r in sampling.covered(items, items.where("item_idx > 1")).collect()] == [2, 3]
+    table = Rubric((Criterion("good?"),)).table(spark)
+    assert runner.calibration_fingerprint(items, table) == runner.calibration_fingerprint(items.repartition(3), table) != runner.calibration_fingerprint(items.where("item_idx > 1"), table)
+    classed = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (1, 1)], "criterion_idx int, t int")
+    assert [r["criterion_idx"] for r in sampling.degenerate(classed).collect()] == [0]
+    assert [s for s in validation.recent([1, 2, 3], 2)] == [2, 3] and validation.recent([1], 0) == []
+
+
+def test_dimension_tables_know_their_size(spark):
+    small = Rubric((Criterion("good?"),)).table(spark)
+    assert small.first()["requirement"] == "good?"
+    joined = spark.range(10).join(schema.dimension(small), F.lit(True))
+    assert "BroadcastExchange" in joined._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+
+
+def test_bootstrap_draws(spark):
+    drawn = bootstrap.drawn(spark.range(2000).select(F.col("id").alias("item_idx")), 10, seed=1)
+    per = [r["n"] for r in drawn.groupBy("replicate").agg(F.sum("times").alias("n")).collect()]
+    assert len(per) == 10 and all(1850 < n < 2150 for n in per)
+
+
 def test_entry_without_corpus_operators():
     import __spark_entry__ as entry
 
