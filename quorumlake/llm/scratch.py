@@ -24,18 +24,32 @@ ARROW_BYTES = 4 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one of this machine only if the session names none."""
+    """The folder all executors share; where the session names none, a temporary one, of this machine and so
+    for a local master only."""
     root = spark.sparkContext.getConf().get(_SETTING) or spark.conf.get(_SETTING, None)
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"{_SETTING} must name a folder that all executors of {master} share")
     if not _local_root:
         _local_root.append(tempfile.mkdtemp(prefix="quorumlake-"))
         atexit.register(shutil.rmtree, _local_root[0], True)
     return _local_root[0]
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/quorumlake/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/quorumlake/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder: for when its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

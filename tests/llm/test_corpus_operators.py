@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from pyspark.sql import functions as F
 
-from quorumlake.llm import bloom, bpe, components, exact_dedup, mixing, near_dedup, packing, quality_model, quality_rules, repeats, sharding, suffix_sort, tokens, toxicity
+from quorumlake.llm import bloom, bpe, components, exact_dedup, mixing, near_dedup, packing, quality_model, quality_rules, repeats, scratch, sharding, suffix_sort, tokens, toxicity
 from quorumlake.llm import shingles as shingles_module
 from quorumlake.llm.queries import TOKENIZER
 
@@ -461,3 +461,143 @@ def test_filters_in_rounds(spark):
     twice = {r["h"] for r in frame.groupBy("h").count().where("count > 1").collect()}
     maybe = {r["h"] for r in got.where("maybe").collect()}
     assert twice <= maybe and len(maybe) < 2500
+
+
+def test_model_scores_are_sums_of_table_entries():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(int)
+    model = quality_model.AdditiveModel.fit(x, y, rounds=20, pair_rounds=20, n_pairs=2)
+    for row, got in zip(x[:50], model.scores(x[:50])):
+        z = model.base
+        for k, (edges, table) in enumerate(zip(model.edges, model.tables)):
+            z += table[sum(row[k] >= e for e in edges)]
+        for (i, j), table in zip(model.pairs, model.pair_tables):
+            a, b = (sum(row[k] >= e for e in model.pair_edges[k]) for k in (i, j))
+            z += table[a * (len(model.pair_edges[j]) + 1) + b]
+        assert got == pytest.approx(1 / (1 + np.exp(-z)))
+    assert ((model.scores(x) > 0.5) == (y == 1)).mean() > 0.9
+    assert (0, 1) in model.pairs
+
+
+def test_label_model_is_a_tree_of_chances():
+    rng = np.random.default_rng(5)
+    truth = rng.random(3000) < 0.2
+    right = lambda a: np.where(rng.random(3000) < a, truth, ~truth)
+    a, b, c = right(0.9), right(0.85), right(0.8)
+    votes = np.where(np.column_stack([a, b, c, c]), 1, -1)
+    votes[rng.random(3000) < 0.3, 0] = 0
+    y = np.where(rng.random(3000) < 0.1, truth.astype(float), np.nan)
+    p, model = toxicity.label_model(votes, y, 0.2)
+    assert model.parent[3] == 2 or model.parent[2] == 3  # the copy depends on its original
+    assert np.abs(model.accuracy(votes, p) - [0.9, 0.85, 0.8, 0.8]).max() < 0.06
+    for i in range(20):
+        z = np.log(model.prior / (1 - model.prior))
+        for j, up in enumerate(model.parent):
+            if votes[i, j]:
+                above = votes[i, up] + 1 if up >= 0 else 0
+                z += np.log(model.chances[j][1, above, votes[i, j] + 1] / model.chances[j][0, above, votes[i, j] + 1])
+        known = 0 if np.isnan(y[i]) else (1 if y[i] else -1) * np.log(toxicity.TRUST / (1 - toxicity.TRUST))
+        assert p[i] == pytest.approx(1 / (1 + np.exp(-(z + known))), abs=1e-3)
+    assert ((p > 0.5) == truth).mean() > 0.9
+
+
+def test_rule_estimates_equal_a_plain_loop(spark):
+    rng = np.random.default_rng(7)
+    good = rng.random(600) < 0.8
+    names = ["a", "b", "c"]
+    votes = np.column_stack([np.where(~good & (rng.random(600) < 0.5), -1, 0), np.where(rng.random(600) < np.where(good, 0.9, 0.5), 1, np.where(~good, -1, 0)), np.where(~good & (rng.random(600) < 0.3), -1, 1)])
+    prior, tables = quality_rules.estimated(spark.createDataFrame([tuple(map(int, r)) for r in votes], "a int, b int, c int"), names)
+    hit, k, n = np.concatenate([votes == -1, votes == 1], 1), 3, 600
+    start = [np.repeat([e[c] for e in quality_rules.EXPECTED], k) for c in (0, 1)]
+    (bad, fine), share, w = start, quality_rules.GOOD, quality_rules.WEIGHT * n
+    for _ in range(quality_rules.MOST):
+        p = 1 / (1 + np.exp(-(np.log(share / (1 - share)) + hit @ np.log(fine / bad))))
+        wg, wb = w * quality_rules.GOOD, w * (1 - quality_rules.GOOD)
+        new = ((1 - p) @ hit + wb * start[0]) / (n - p.sum() + wb), (p @ hit + wg * start[1]) / (p.sum() + wg), (p.sum() + wg) / (n + w)
+        moved = max(np.abs(new[0] - bad).max(), np.abs(new[1] - fine).max(), abs(new[2] - share))
+        bad, fine, share = new
+        if moved < quality_rules.CLOSE:
+            break
+    assert prior == pytest.approx(share, abs=1e-6)
+    for i, name in enumerate(names):
+        assert np.ravel(tables[name]) == pytest.approx([bad[i], fine[i], bad[i + k], fine[i + k]], abs=1e-6)
+
+
+def test_rule_lines_and_verdicts(docs, corpus):
+    lines = lambda t: [x for x in (t or "").split("\n") if x.encode().split()]
+    got = quality_rules.text_statistics(docs).collect()
+    assert sorted((r["n_words"], r["n_dup_lines"]) for r in got) == sorted((len((t or "").encode().split()), len(lines(t)) - len(set(lines(t)))) for t in (r[1] for r in corpus))
+    for r in quality_rules.quality_rules(docs).collect():
+        assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
+        assert r["kept"] == (not r["base_failed"] and r["p_good"] >= 0.5)
+
+
+def test_shard_columns(docs, corpus):
+    got = sharding.shard(docs, 3).collect()
+    want = collections.Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in corpus)
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+    assert {r["law"] for r in got} == {"bytes"} and {r["grown_shard"] for r in got} == {None}
+
+
+def test_slot_map_versions_stay(spark, tmp_path):
+    one = sharding.SlotMap.balanced([3, 1, 2], [1, 1, 1], 4)  # more shards than slots: some are empty
+    one.save(spark, str(tmp_path / "map"))
+    assert sharding.SlotMap.load(spark, str(tmp_path / "map")) == one
+    with pytest.raises(ValueError, match="is there"):
+        one.save(spark, str(tmp_path / "map"))
+
+
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: 5])
+def test_mix_of_rows_with_one_key(spark, ids):
+    """A third of all rows with one key, or with none, are taken to the word."""
+    rows = [(ids(i), f"w{i % 3} " * 5, "en", "s", 15, "x", "y") for i in range(60)] + [(100 + i, "a b c", "en", "t", 5, "x", "y") for i in range(60)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    _, size, target = brute_mix([(r[0], r[1], None, r[3]) for r in rows])
+    for got, n in ((mixing.mix(frame, range_rows=7), lambda r: r["taken"]), (mixing.mixed_documents(frame, range_rows=7), lambda r: len(r["text"].split()))):
+        assert sum(n(r) for r in got.collect()) == sum(int(t) for t in target.values())
+
+
+def test_pipeline(spark, tmp_path):
+    """Every stage against brute force, on what the one before kept."""
+    import corpus_pipeline as pipeline
+
+    rnd = random.Random(12)
+    base = [words(rnd, rnd.randrange(20, 90)) for _ in range(60)]
+    junk = [" ".join(w.upper() + "!!" for w in words(rnd, 40).split()) for _ in range(20)]
+    texts = base + junk + base[:5] + [base[7] + " tail", None, "", words(rnd, 5000)]
+    rows = [(i, t, "en", rnd.choice(["a", "b", None]), len(t or ""), "clash") for i, t in enumerate(texts)] + [(None, base[9], "en", "a", 5, "clash"), (0, base[0], "en", "a", 5, "clash")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i < 60)) for i in range(80)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for k, (_, stage) in enumerate(pipeline.STAGES[:-1]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / f"s{k}"))
+        before, docs = docs, spark.read.parquet(str(tmp_path / f"s{k}"))
+        kept.append((before.collect(), docs.collect()))
+        assert stage(spark, before.limit(0), str(tmp_path)).count() == 0
+    (_, a), (_, b), (_, c), (_, d) = kept
+    assert {r["text"] for r in a} >= set(base) and not {r["text"] for r in a} & set(junk)
+    groups = collections.defaultdict(list)
+    for r in a:
+        groups[r["text"] or ""].append(r["doc_id"])
+    assert sorted((r["text"] or "", str(r["doc_id"])) for r in b) == sorted((t, str(max((i for i in ids if i is not None), default=None))) for t, ids in groups.items())
+    wanted = {x[2] for x in brute_components([(r["doc_id"], r["text"]) for r in b])}
+    assert {str(r["doc_id"]) for r in c} == wanted and len(c) == len(wanted)
+    _, _, target = brute_mix([(r["doc_id"], r["text"], None, r["source"]) for r in c])
+    taken = collections.Counter()
+    for r in d:
+        taken[r["source"]] += len(r["text"].encode().split())
+    assert all(taken[s] == int(t) for s, t in target.items())
+    packed = pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sum(r["length"] for r in packed) == sum(len(LIBRARY.encode(r["text"], add_special_tokens=False).ids) + 1 for r in d)
+    assert pipeline.run(spark, str(tmp_path)).count() == len(packed)
+
+
+def test_scratch_is_cleared(spark):
+    held = scratch.stored(spark.range(3), "three")
+    assert held.count() == 3
+    scratch.clear_scratch(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(scratch._own_folder(spark))
