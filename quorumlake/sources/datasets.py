@@ -38,13 +38,14 @@ def parsed_rubric(text: Column) -> Column:
     return F.when(text.isNotNull(), F.struct(F.when(F.trim(guidelines) != "", guidelines).alias("guidelines"), flat.alias("criteria")))
 
 
-def read_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def read_dataset(spark: SparkSession, path: str, strict: bool = False) -> dict[str, DataFrame]:
     """``items``, ``criteria`` and ``labels`` of dataset files: one file, or a folder of them.
 
     An item's own rubric, prompt and reference come before the dataset's, and its own rubric's
     guidelines, even none, before those of the dataset's rubric. Labels are verdicts, or
     option labels that are matched whatever their case and outer space; one that matches nothing has
-    neither verdict nor option.
+    neither verdict nor option, or, with ``strict``, is an error, as are as many labels as there are no criteria
+    and an item without a rubric or a prompt of its own or its dataset's.
     """
     files = spark.read.schema(DATASET).json(path, multiLine=True).withColumn("dataset", F.col("_metadata.file_path"))
     each = files.select("dataset", "name", "prompt", "reference_submission", "rubric", F.posexplode("items").alias("pos", "item"))
@@ -63,6 +64,13 @@ def read_dataset(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     options = F.get("rubric", F.col("criterion_idx"))["options"]
     normal = lambda c: F.lower(F.trim(c))
     at = F.filter(F.transform(options, lambda o, i: F.struct(normal(o["label"]).alias("l"), i.cast("int").alias("i"))), lambda o: o["l"] == normal(F.col("label")))
+    if strict:
+        matched = F.when(options.isNull(), F.col("label").isin(MET, UNMET, CANNOT_ASSESS)).otherwise(F.size(at) > 0)
+        told = F.concat(F.lit("item "), F.col("item_idx"), F.lit(", criterion "), F.col("criterion_idx"), F.lit(": no such label: "), F.coalesce("label", F.lit("null")))
+        truth = truth.withColumn("label", F.when(F.coalesce(matched, F.lit(False)), F.col("label")).otherwise(F.raise_error(told)))
+        uneven = F.size("ground_truth") != F.size("rubric")
+        problem = F.when(F.col("rubric").isNull(), "no rubric").when(F.col("prompt").isNull(), "no prompt").when(F.coalesce(uneven, F.lit(False)), "labels and criteria differ in number")
+        items = items.withColumn("item_idx", F.when(problem.isNull(), F.col("item_idx")).otherwise(F.raise_error(F.concat(F.lit("item "), F.col("item_idx"), F.lit(": "), problem))))
     labels = truth.select(
         "dataset", "item_idx", "criterion_idx", F.when(options.isNull() & F.col("label").isin(MET, UNMET, CANNOT_ASSESS), F.col("label")).alias("verdict"),
         F.get(at, F.lit(0))["i"].alias("option_idx"), F.get("ground_truth_reasons", F.col("criterion_idx")).alias("reason"),

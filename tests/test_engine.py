@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import hashlib
 import json
 import math
 import time
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from quorumlake import schema
 from quorumlake.functions import exprs as X
-from quorumlake.functions import special
-from quorumlake.operators import agreement, bootstrap, cells, correlation, irr, sampling, scoring, voting
+from quorumlake.functions import content, prompts, special
+from quorumlake.operators import agreement, bootstrap, cascade, cells, correlation, distribution, irr, sampling, scoring, voting
 from quorumlake.plans import improve, metrics, runner, validation
 from quorumlake.rubric import Criterion, Option, Rubric
 from quorumlake.sources import configs, datasets, judges, runs
@@ -431,6 +432,71 @@ def test_configs_and_capabilities():
     assert configs.capabilities("dm", registry) == configs.capabilities("p/dm", registry) == registry["dm"] and configs.capabilities("q/dm", registry) is None
 
 
+def test_strict_datasets(spark, tmp_path):
+    data = {"name": "d", "prompt": "p", "rubric": [{"requirement": "a"}, {"requirement": "b", "options": [{"label": "No", "value": 0}, {"label": "Yes", "value": 1}]}],
+            "items": [{"submission": "x", "ground_truth": ["MET", " yes "]}, {"submission": "y", "ground_truth": ["MET", "maybe"]}]}
+    path = tmp_path / "d.json"
+    path.write_text(json.dumps(data))
+    loose = datasets.read_dataset(spark, str(path))["labels"].collect()
+    assert {(r["item_idx"], r["criterion_idx"], r["verdict"], r["option_idx"]) for r in loose} == {(0, 0, "MET", None), (0, 1, None, 1), (1, 0, "MET", None), (1, 1, None, None)}
+    with pytest.raises(Exception, match="no such label: maybe"):
+        datasets.read_dataset(spark, str(path), strict=True)["labels"].collect()
+    del data["prompt"], data["items"][1]
+    path.write_text(json.dumps(data))
+    with pytest.raises(Exception, match="no prompt"):
+        datasets.read_dataset(spark, str(path), strict=True)["items"].collect()
+
+
+def test_images(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n0000")
+    (tmp_path / "b.bin").write_bytes(b"RIFF0000WEBP")
+    got = {r["path"].rsplit("/", 1)[1]: r for r in datasets.images(spark, str(tmp_path)).collect()}
+    assert (got["a.png"]["media_type"], got["b.bin"]["media_type"]) == ("image/png", "image/webp")
+    assert got["a.png"]["digest"] == hashlib.sha256(b"\x89PNG\r\n\x1a\n0000").hexdigest()
+
+
+def test_fitted_thresholds_and_one_sample_distance(spark):
+    rows = [(i, 0, "MET" if i % 2 else "UNMET", False, None, 0.9 if i % 4 < 2 else 0.1) for i in range(80)]
+    dm = spark.createDataFrame(rows, "item_idx long, criterion_idx int, final_verdict string, na boolean, error string, confidence double")
+    truth = dm.select("item_idx", "criterion_idx", F.when((F.col("confidence") > 0.5) == (F.col("final_verdict") == "MET"), "MET").otherwise("UNMET").alias("true"))
+    llm = dm.drop("final_verdict").join(truth.withColumnRenamed("true", "final_verdict"), ["item_idx", "criterion_idx"])
+    table = Rubric((Criterion("x", name="c"),)).table(spark)
+    assert cascade.fitted_thresholds(dm, llm, truth, table) == {"c": pytest.approx(0.12)}
+    assert cascade.fitted_thresholds(dm, llm, truth, table, min_pairs=100) == {}
+    got = distribution.ks_normal(spark.createDataFrame([(float(x),) for x in range(11)], "x double"))
+    assert 0.05 < got["statistic"] < 0.2 and got["p_value"] > 0.5
+    assert distribution.ks_p(0.0, 10, 10) == 1.0 and special.kendall_p(45, 10, [], []) < 0.01
+    tied = voting.top_tied(spark.createDataFrame([(0, "a", 2), (0, "b", 2), (0, "c", 1)], "i int, k string, n int"), ["i"], "k", "n")
+    assert {r["k"] for r in tied.collect()} == {"a", "b"}
+
+
+def test_prompts_with_examples(spark):
+    row = spark.range(1).select(
+        prompts.with_examples(F.lit("ask"), F.array(F.struct(F.lit("s").alias("submission"), F.lit("MET").alias("answer")))).alias("a"),
+        prompts.with_examples(F.lit("ask"), F.array().cast("array<struct<submission:string,answer:string>>")).alias("b"),
+        prompts.request_state(x=F.lit(1)).alias("c"), X.checked_option_value(F.array(F.struct(F.lit(0.5).alias("value"))), F.lit(0)).alias("d"),
+        X.scale_of(F.lit(None).cast("array<int>"), F.lit("ordinal")).alias("e"), X.content_digest(F.lit("x")).alias("f"), content.without_prefix(F.lit("abc"), F.lit("ab")).alias("g"),
+        content.content_key(F.array(F.struct(F.lit("a").alias("text"), F.lit(None).cast("string").alias("image")), F.struct(F.lit("b").alias("text"), F.lit(None).cast("string").alias("image")))).alias("h"),
+        content.content_key(F.array(F.struct(F.lit("ab").alias("text"), F.lit(None).cast("string").alias("image")))).alias("i"),
+    ).first()
+    assert row["a"].startswith("Example 1:\ns\nAnswer: MET") and (row["b"], row["c"], row["d"], row["e"]) == ("ask", '{"x":1}', 0.5, "binary")
+    assert row["f"] == hashlib.sha256(b"x").hexdigest() and row["g"] == "c" and row["h"] == row["i"]
+    with pytest.raises(Exception, match="out of range"):
+        spark.range(1).select(X.checked_option_value(F.array(F.struct(F.lit(0.5).alias("value"))), F.lit(1))).collect()
+
+
+def test_metrics_to_file(spark, tmp_path):
+    table = Rubric((Criterion("a"), Criterion("b", options=STANDARD[:3]))).table(spark)
+    rows = [(i, c, "j", 0, 1.0, "primary", "MET" if c == 0 and i % 2 else "UNMET" if c == 0 else None, None if c == 0 else i % 3, None, None, None, None, False) for i in range(12) for c in (0, 1)]
+    votes = spark.createDataFrame(rows, schema.VOTES)
+    labels = spark.createDataFrame([(i, c, "MET" if c == 0 else None, None if c == 0 else i % 2) for i in range(12) for c in (0, 1)], "item_idx long, criterion_idx int, verdict string, option_idx int")
+    got = metrics.compute_metrics(voting.aggregate_votes(votes, table), votes, labels, table, spark.createDataFrame([("j",)], "judge_id string"))
+    got.to_file(tmp_path / "m.json")
+    data = json.loads((tmp_path / "m.json").read_text())
+    assert len(data["option"]) == 3 and len(data["confusion"]) == 4 + 9 and any("one class" in w for w in data["warnings"])
+    assert data["judge"][0]["n"] == data["criterion"][0]["n"] == 12 and data["aggregate"][0]["accuracy"] == 0.5
+
+
 def test_sampling_helpers(spark):
     items = spark.createDataFrame([(i, f"text {i}") for i in (3, 1, 2)], "item_idx long, submission string")
     assert [r["item_idx"] for r in sampling.covered(items, items.where("item_idx > 1")).collect()] == [2, 3]
