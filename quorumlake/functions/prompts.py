@@ -28,6 +28,21 @@ def choice_prompt(requirement: Column, options: Column, submission: Column, prom
     return _joined(_block("guidelines", guidelines), _block("task", prompt), _block("reference", reference), _block("submission", submission), ask)
 
 
+def rubric_prompt(criteria: Column, submission: Column, prompt: Column, reference: Column, guidelines: Column) -> Column:
+    """One question about a whole rubric: ``criteria`` is an array of (criterion_idx, requirement, options)."""
+
+    def shown(c: Column) -> Column:
+        options = F.array_join(F.transform(c["options"], lambda o, i: F.concat(F.lit("\n  "), (i + 1).cast("string"), F.lit(". "), o["label"])), "")
+        kind = F.when(c["options"].isNull(), F.lit(" (criterion_status: MET, UNMET or CANNOT_ASSESS)")).otherwise(F.concat(F.lit(" (selected_option: a number)"), options))
+        return F.concat(F.lit("c"), (c["criterion_idx"] + 1).cast("string"), F.lit(": "), c["requirement"], kind)
+
+    ask = F.concat(
+        F.lit("Criteria:\n"), F.array_join(F.transform(criteria, shown), "\n"),
+        F.lit('\nAnswer with JSON: {"judgments": [{"criterion_id": "c1", "criterion_status": ..., "selected_option": ..., "explanation": ...}, ...]}, one judgment for each criterion.'),
+    )
+    return _joined(_block("guidelines", guidelines), _block("task", prompt), _block("reference", reference), _block("submission", submission), ask)
+
+
 def with_examples(prompt: Column, examples: Column) -> Column:
     """The prompt after (submission, answer) examples."""
     shown = F.array_join(F.transform(examples, lambda e, i: F.concat(F.lit("Example "), (i + 1).cast("string"), F.lit(":\n"), e["submission"], F.lit("\nAnswer: "), e["answer"])), "\n\n")

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..schema import CANNOT_ASSESS, MET, UNMET, dimension
+from ..schema import CANNOT_ASSESS, MET, UNMET, with_rubric
 
-ANSWER = "criterion_idx int, type string, noul double, choice string, score double, probabilities map<string,double>"
+ANSWER = "criterion_idx:int,type:string,noul:double,choice:string,score:double,probabilities:map<string,double>"
 VERDICTS = (MET, UNMET, CANNOT_ASSESS)
 
 
@@ -56,7 +56,7 @@ def answer_votes(answers: DataFrame, criteria: DataFrame, threshold: float = 0.5
     criterion, another kind than was asked, a choice that was not offered, probabilities that do not
     cover what was offered or are none. A level is rounded half to even; a score never abstains.
     """
-    every = answers.select("item_idx", "answers").join(dimension(criteria.select("criterion_idx", "weight", "scale", "options")), F.lit(True))
+    every = with_rubric(answers.select("item_idx", "answers"), criteria, "weight", "scale", "options")
     kind = question_kind(F.col("options"), F.col("scale"), binary, ordinal)
     own = every.withColumn("kind", kind).withColumn("mine", F.filter("answers", lambda a: a["criterion_idx"] == F.col("criterion_idx"))).withColumn("a", F.get("mine", F.lit(0)))
     offered = _offered(F.col("kind"))

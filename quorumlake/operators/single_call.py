@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions import prompts as P
-from ..schema import CANNOT_ASSESS, MET, UNMET, dimension
+from ..schema import CANNOT_ASSESS, MET, UNMET, with_rubric
 
 #: A reply's judgments as text, so that one that is malformed spoils itself only.
 _REPLY = "struct<judgments:array<string>>"
@@ -26,9 +26,8 @@ def reply_votes(replies: DataFrame, criteria: DataFrame, order: DataFrame | None
     ``order`` (item_idx, criterion_idx, order) has their permutation, by default none. A judgment's ``affects``
     go into its reason as tags.
     """
-    small = dimension(criteria.select("criterion_idx", "options"))
     parsed = replies.withColumn("judgments", F.from_json("reply", _REPLY, {"mode": "PERMISSIVE"})["judgments"])
-    own = parsed.join(small, F.lit(True)).withColumn("cid", criterion_id(F.col("criterion_idx")))
+    own = with_rubric(parsed, criteria, "options").withColumn("cid", criterion_id(F.col("criterion_idx")))
     if order is not None:
         own = own.join(order, ["item_idx", "criterion_idx"], "left")
     else:

@@ -44,8 +44,9 @@ def held_out_scores(reports: DataFrame, labels: DataFrame, criteria: DataFrame)
 
 
 def improve(rubric: Rubric, items: DataFrame, labels: DataFrame, grader_for: Callable[[Rubric], Grader], revise: Callable[[Rubric, list[tuple[str, int]]], Rubric],
-            iterations: int = 5, patience: int = 2, target: float | None = None, tolerance: float = 0.0) -> list[Step]:
-    """Steps of the loop, the first with the rubric as it came. Each is one grading job."""
+            iterations: int = 5, patience: int = 2, target: float | None = None, tolerance: float = 0.0, stop: Callable[[list[Step]], bool] | None = None) -> list[Step]:
+    """Steps of the loop, the first with the rubric as it came. Each is one grading job. ``stop`` decides
+    instead of ``converged``, where given."""
     spark = items.sparkSession
     steps: list[Step] = []
     current, candidate = rubric, rubric
@@ -57,7 +58,7 @@ def improve(rubric: Rubric, items: DataFrame, labels: DataFrame, grader_for: Cal
         ok = last is None or pareto_accept(last.scores, scores, tolerance)
         steps.append(Step(k, candidate, scores, ok, wrong))
         current = candidate if ok else current
-        if not wrong or converged(steps, patience, target, "accuracy"):
+        if not wrong or (stop(steps) if stop else converged(steps, patience, target, "accuracy")):
             break
         candidate = revise(current, wrong)
         if len(candidate.criteria) != len(current.criteria):

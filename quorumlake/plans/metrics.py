@@ -132,7 +132,7 @@ def compute_metrics(reports: DataFrame, votes: DataFrame, labels: DataFrame, cri
         criterion = criterion.join(I.fleiss_kappa(rated, ["criterion_idx"], ["item_idx"], n_judges).select("criterion_idx", "fleiss_kappa"), "criterion_idx", "left")
     aggregate = aggregate_table(classed, frame, criterion, []).join(criterion.agg(F.avg("alpha").alias("mean_alpha")), F.lit(True), "left")
     tp = A.counts(classed, ["criterion_idx"])
-    sizes = shown.select("criterion_idx", F.coalesce(F.size("options"), F.lit(3 if cannot_assess == "as_category" else 2)).alias("_k"))
+    sizes = shown.select("criterion_idx", F.col("options").isNotNull().alias("_choice"), F.coalesce(F.size("options"), F.lit(3 if cannot_assess == "as_category" else 2)).alias("_k"))
     sized = tp.join(F.broadcast(sizes), "criterion_idx")  # as many rows as a rubric has criteria
     by_judge = criterion_table(judged, ["judge_id"])
     own = S.judge_scores(votes, criteria).select("item_idx", "judge_id", F.col("score").alias("pred")).join(pairs.select("item_idx", "true"), "item_idx").where("pred is not null")
@@ -146,7 +146,7 @@ def compute_metrics(reports: DataFrame, votes: DataFrame, labels: DataFrame, cri
         notes.append("expected scores have at most two different values: correlations of scores say little")
     covered = A.coverage(frame, ["criterion_idx"]) if cannot_assess == na == "exclude" else None
     return Metrics(
-        score, criterion, A.per_option(sized.where("_k > 0"), ["criterion_idx", "_k"], F.col("_k")).drop("_k"), A.confusion(sized, ["criterion_idx", "_k"], F.col("_k")).drop("_k"),
+        score, criterion, A.per_option(sized.where("_choice"), ["criterion_idx", "_k"], F.col("_k")).drop("_k"), A.confusion(sized, ["criterion_idx", "_k"], F.col("_k")).drop("_k"),
         aggregate, by_judge, aggregate_table(judged, grid, by_judge, ["judge_id"]), score_table(own, ["judge_id"]), covered,
         A.abstention_agreement(frame, ["scale"]), None, boot, notes,
     )

@@ -13,7 +13,7 @@ from ..functions import exprs as X
 from ..operators.cascade import escalates
 from ..operators.scoring import item_reports, penalised
 from ..operators.voting import aggregate_votes, routed_votes
-from ..schema import with_criteria
+from ..schema import with_criteria, with_rubric
 from ..sources import runs
 from ..sources.judges import Judge, panel_votes
 
@@ -75,9 +75,7 @@ class Grader:
     def cells(self, items: DataFrame, criteria: DataFrame) -> DataFrame:
         """Each item with each criterion of its rubric."""
         own = self.effective(criteria)
-        if "item_idx" in criteria.columns:
-            return items.join(own, "item_idx")
-        return items.join(F.broadcast(own), F.lit(True))  # a rubric's criteria are few
+        return with_rubric(items, own, *[c for c in own.columns if c not in ("item_idx", "criterion_idx")])
 
     def scores(self, reports: DataFrame, items: DataFrame) -> DataFrame:
         out = item_reports(reports, self.abstain, self.partial_credit)

@@ -70,6 +70,14 @@ def with_criteria(frame: DataFrame, criteria: DataFrame, *columns: str) -> DataF
     return frame.join(dimension(own) if len(keys) == 1 else own, keys)
 
 
+def with_rubric(items: DataFrame, criteria: DataFrame, *columns: str) -> DataFrame:
+    """Each of ``items`` with the named columns of each criterion of its rubric."""
+    own = criteria.select(*criterion_keys(criteria), *columns)
+    if "item_idx" in criteria.columns:
+        return items.join(own, "item_idx")
+    return items.join(dimension(own), F.lit(True))
+
+
 def criteria_problems(criteria: DataFrame) -> DataFrame:
     """(criterion_idx, problem) of each broken rule: scales, option counts, values and labels."""
     normal = F.transform("options", lambda o: F.lower(F.trim(o["label"])))

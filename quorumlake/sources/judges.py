@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.bootstrap import hash32
+from ..operators.decision import ANSWER, answer_votes
+from ..operators.single_call import reply_votes
 from ..schema import CANNOT_ASSESS, MET, UNMET
 
 VOTE = "item_idx long, criterion_idx int, judge_id string, verdict string, option_idx int, error string, reason string, confidence double"
@@ -180,6 +182,52 @@ class RemoteJudge:
         return prompts.repartition(self.concurrency, "prompt_sha256").mapInPandas(ask, schema)
 
 
+def _as_reply(text) -> dict:
+    return {"reason": text}
+
+
+@dataclass(frozen=True)
+class ItemJudge:
+    """A judge that is asked once for an item, about its whole rubric.
+
+    ``prompt`` is over items with what their cells have in common and ``criteria``, the array of their
+    criteria; ``transport`` answers with text, and ``read(replies, cells)`` turns replies (item_idx, reply) into
+    votes, such as ``read_judgments`` or ``read_answers``. A call that fails, fails all of the item's votes.
+    Calls are made and stored as by RemoteJudge, which ``how`` is passed to.
+    """
+
+    judge_id: str
+    transport: Callable[[str], str]
+    prompt: Column
+    read: Callable[[DataFrame, DataFrame], DataFrame]
+    how: tuple[tuple[str, object], ...] = ()
+
+    def vote(self, cells: DataFrame) -> DataFrame:
+        of_criterion = ("criterion_idx", "name", "requirement", "weight", "scale", "aggregation", "options")
+        own = F.struct(*[c for c in of_criterion if c in cells.columns])
+        shared = [c for c in cells.columns if c not in of_criterion and c != "item_idx"]
+        items = cells.groupBy("item_idx").agg(F.sort_array(F.collect_list(own)).alias("criteria"), *[F.first(c).alias(c) for c in shared])
+        remote = RemoteJudge(self.judge_id, self.transport, self.prompt, parse=_as_reply, **dict(self.how))
+        replies = remote.vote(items.withColumn("criterion_idx", F.lit(0))).select("item_idx", F.col("reason").alias("reply"), F.col("error").alias("_failed"))
+        votes = self.read(replies.select("item_idx", "reply"), cells)
+        given = lambda c, kind: F.col(c) if c in votes.columns else F.lit(None).cast(kind)
+        return votes.join(replies.select("item_idx", "_failed"), "item_idx").select(
+            "item_idx", "criterion_idx", F.lit(self.judge_id).alias("judge_id"), "verdict", "option_idx", F.coalesce("_failed", "error").alias("error"),
+            given("reason", "string").alias("reason"), given("confidence", "double").alias("confidence"),
+        )
+
+
+def read_judgments(replies: DataFrame, cells: DataFrame) -> DataFrame:
+    """Votes from a reply with a judgment for each criterion."""
+    return reply_votes(replies, cells.select("item_idx", "criterion_idx", "options"))
+
+
+def read_answers(replies: DataFrame, cells: DataFrame) -> DataFrame:
+    """Votes from a decision model's answers, a JSON list."""
+    answers = replies.select("item_idx", F.coalesce(F.from_json("reply", f"array<struct<{ANSWER}>>"), F.array().cast(f"array<struct<{ANSWER}>>")).alias("answers"))
+    return answer_votes(answers, cells.select("item_idx", "criterion_idx", "weight", "scale", "options"))
+
+
 def panel_votes(cells: DataFrame, judges: list[tuple[Judge, float]], role: str = "primary") -> DataFrame:
     """Votes of all judges on all cells, with order, weight and role."""
     out = None

@@ -432,6 +432,33 @@ def test_configs_and_capabilities():
     assert configs.capabilities("dm", registry) == configs.capabilities("p/dm", registry) == registry["dm"] and configs.capabilities("q/dm", registry) is None
 
 
+def test_judges_of_whole_rubrics(spark):
+    """One call for an item: judgments by criterion, or a decision model's answers; a failed call fails all of them."""
+    table = Rubric((Criterion("good?"), Criterion("how?", options=STANDARD[:3]))).table(spark)
+    items = spark.createDataFrame([(0, "good"), (1, "slow"), (2, "odd")], "item_idx long, submission string")
+
+    def reply(prompt):
+        if "slow" in prompt:
+            raise TimeoutError("late")
+        assert "c1: good?" in prompt and "2. fair" in prompt
+        second = [] if "odd" in prompt else [{"criterion_id": "c2", "selected_option": 2}]
+        return json.dumps({"judgments": [{"criterion_id": "c1", "criterion_status": "MET", "explanation": "yes"}, *second]})
+
+    null = F.lit(None).cast("string")
+    ask = prompts.rubric_prompt(F.col("criteria"), F.col("submission"), null, null, null)
+    one = judges.ItemJudge("j", reply, ask, judges.read_judgments, (("attempts", 1), ("pause", 0.0)))
+    _, reports = runner.Grader([(one, 1.0)]).grade(items, table)
+    got = {(r["item_idx"], r["criterion_idx"]): (r["final_verdict"], r["option_idx"], r["error"]) for r in reports.collect()}
+    assert got[0, 0] == ("MET", None, None) and got[0, 1] == (None, 1, None) and got[2, 0][0] == "MET"
+    assert got[1, 0] == ("CANNOT_ASSESS", None, "j: infrastructure: late") and got[1, 1][1] == 3 and got[2, 1][2] == "j: parse: no judgment with its id"
+
+    def answer(prompt):
+        return json.dumps([{"criterion_idx": 0, "type": "noul", "noul": 0.25}, {"criterion_idx": 1, "type": "score", "score": 1.5, "probabilities": {"0": 0.1, "1": 0.2, "2": 0.7}}])
+
+    votes = judges.ItemJudge("d", answer, F.col("submission"), judges.read_answers).vote(runner.Grader([(one, 1.0)]).cells(items, table)).collect()
+    assert {(r["criterion_idx"], r["verdict"], r["option_idx"]) for r in votes} == {(0, "UNMET", None), (1, None, 2)} and {round(r["confidence"], 2) for r in votes} == {0.5, 0.55}
+
+
 def test_strict_datasets(spark, tmp_path):
     data = {"name": "d", "prompt": "p", "rubric": [{"requirement": "a"}, {"requirement": "b", "options": [{"label": "No", "value": 0}, {"label": "Yes", "value": 1}]}],
             "items": [{"submission": "x", "ground_truth": ["MET", " yes "]}, {"submission": "y", "ground_truth": ["MET", "maybe"]}]}
