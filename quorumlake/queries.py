@@ -255,7 +255,12 @@ for _how, _weights in {"ordinal": "quadratic", "nominal": "none"}.items():
         SELECT c AS criterion_idx, n, round(acc, 6) AS accuracy, round(adj, 6) AS adjacent, round(kappa, 6) AS kappa, round(rmse, 6) AS rmse, round(mae, 6) AS mae FROM (SELECT c, count(*) AS n, avg((t = p)::INT)::DOUBLE AS acc,
         avg((abs(t - p) <= 1)::INT)::DOUBLE AS adj, sqrt(avg((pv - tv) ^ 2)) AS rmse, avg(abs(pv - tv)) AS mae FROM k GROUP BY c) JOIN {_kappa_sql('k', 'c', _weights)} USING (c)""",
     )
-_N_OPTIONS = F.when(F.col("criterion_idx") < 2, 2).otherwise(4)
+
+
+def _n_options():
+    return F.when(F.col("criterion_idx") < 2, 2).otherwise(4)
+
+
 _register(
     "per_option_metrics",
     lambda s, d: A.per_option(A.counts(K.classes(_cells(s, d)).where("options is not null"), ["criterion_idx"]), ["criterion_idx"], F.lit(4)).select("criterion_idx", "class", _r("precision"), _r("recall"), _r("f1"), "support", "support_pred"),
@@ -265,7 +270,7 @@ _register(
 )
 _register(
     "confusion_matrix",
-    lambda s, d: A.confusion(A.counts(K.classes(_cells(s, d)), ["criterion_idx"]), ["criterion_idx"], _N_OPTIONS).select("criterion_idx", "t", "p", "n"),
+    lambda s, d: A.confusion(A.counts(K.classes(_cells(s, d)), ["criterion_idx"]), ["criterion_idx"], _n_options()).select("criterion_idx", "t", "p", "n"),
     _CELLS + f""", k AS (SELECT * FROM {_class_sql('cel', 'exclude', 'exclude')}), g AS (SELECT c, t, p FROM crit, (SELECT unnest(range(4))::INT AS t) x, (SELECT unnest(range(4))::INT AS p) y WHERE c >= 2 OR t < 2 AND p < 2)
     SELECT g.c AS criterion_idx, g.t, g.p, count(k.i) AS n FROM g LEFT JOIN k ON k.c = g.c AND k.t = g.t AND k.p = g.p GROUP BY ALL""",
 )

@@ -6,7 +6,10 @@ import dataclasses
 import hashlib
 import json
 import math
+import subprocess
+import sys
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -552,3 +555,10 @@ def test_entry_without_corpus_operators():
 
     names = set(entry.queries())
     assert set(entry.oracle_sql()) <= names and "doc_reports" in names
+
+
+def test_entry_can_be_imported_before_a_session():
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    root = str(Path(__file__).resolve().parents[1])
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[-2]) >= int(out[-1]) > 0
