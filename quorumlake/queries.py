@@ -535,10 +535,6 @@ _register(
     "train_test_split", lambda s, d: T.train_test(fx.labels(s, d).select("item_idx").distinct(), 50, seed=7),
     SQL + f"SELECT i AS item_idx, CASE WHEN row_number() OVER (ORDER BY {_hash_sql(chr(39) + '7:' + chr(39), 'i')}, i) <= 50 THEN 'train' ELSE 'test' END AS split FROM (SELECT DISTINCT i FROM lab)",
 )
-_register(
-    "stratified_split_counts",
-    lambda s, d: T.stratified_split(T.signatures(fx.labels(s, d).where("criterion_idx < 2")), 40, seed=7).groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("signature").alias("signatures")),
-)
 _register(
     "few_shot_balanced", lambda s, d: T.balanced_examples(fx.labels(s, d), 5, seed=1).select("criterion_idx", "item_idx", "class", F.col("pick").cast("long").alias("pick")),
     SQL + f""", o AS (SELECT c, i, CASE WHEN c < 2 THEN {VERDICT.format('t')} ELSE t::VARCHAR END AS class, {_hash_sql(chr(39) + '1:' + chr(39), 'c', chr(39) + ':' + chr(39), 'i')} AS h FROM lab),
@@ -594,7 +590,11 @@ def _improve(spark, d):
 
 
 _register("p_values", _p_values)
-_register("remote_judge_fake", _remote)
+_register(
+    "remote_judge_fake", _remote,
+    """SELECT doc_id AS item_idx, 0 AS criterion_idx, 'remote' AS judge_id, CASE WHEN doc_id % 10 <> 7 THEN CASE WHEN (6 + length(doc_id::VARCHAR)) % 2 = 1 THEN 'MET' ELSE 'UNMET' END END AS verdict, NULL::INT AS option_idx,
+      CASE WHEN doc_id % 10 = 7 THEN 'infrastructure: no answer' END AS error, NULL::VARCHAR AS reason, CASE WHEN doc_id % 10 <> 7 THEN 0.9::DOUBLE END AS confidence FROM documents""",
+)
 _register("improve_loop", _improve)
 
 _SHOWN = """WITH o AS (SELECT doc_id, idx, label, row_number() OVER (PARTITION BY doc_id ORDER BY md5('3:' || doc_id || ':2:ja:' || idx)) AS place
@@ -901,12 +901,20 @@ _register(
     "affected_criteria", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", X.affects(F.pmod("event_id", F.lit(9)), F.concat(F.lit("then "), X.affects(F.pmod("event_id", F.lit(4)), F.lit("end")))).alias("text")).select("event_id", F.array_join(X.affected(F.col("text")).cast("array<string>"), ",").alias("found")),
     "SELECT event_id, (event_id % 9) || ',' || (event_id % 4) AS found FROM events",
 )
-_register(
-    "stratified_split", lambda s, d: T.stratified_split(T.signatures(fx.labels(s, d).where("criterion_idx < 2")), 40, seed=7).select("item_idx", "signature", "split"),
-    SQL + f""", sg AS (SELECT i, string_agg({VERDICT.format('t')}, '|' ORDER BY c) AS signature FROM lab WHERE c < 2 GROUP BY i),
+_STRATA = SQL + f""", sg AS (SELECT i, string_agg({VERDICT.format('t')}, '|' ORDER BY c) AS signature FROM lab WHERE c < 2 GROUP BY i),
     z AS (SELECT signature, count(*) AS n, row_number() OVER (ORDER BY signature) AS k FROM sg GROUP BY signature),
     q AS (WITH RECURSIVE f AS (SELECT 0::BIGINT AS k, NULL::VARCHAR AS signature, 0::BIGINT AS quota, (SELECT sum(n) FROM z)::BIGINT AS rest, 40::BIGINT AS train
       UNION ALL SELECT z.k, z.signature, greatest(0, least(z.n, round_even(z.n * f.train / f.rest::DOUBLE, 0)))::BIGINT, (f.rest - z.n)::BIGINT,
         (f.train - greatest(0, least(z.n, round_even(z.n * f.train / f.rest::DOUBLE, 0))))::BIGINT FROM f JOIN z ON z.k = f.k + 1) SELECT * FROM f WHERE k > 0)
-    SELECT i AS item_idx, signature, CASE WHEN row_number() OVER (PARTITION BY signature ORDER BY {_hash_sql("'7:'", 'i')}, i) <= quota THEN 'train' ELSE 'test' END AS split FROM sg JOIN q USING (signature)""",
+    SELECT i AS item_idx, signature, CASE WHEN row_number() OVER (PARTITION BY signature ORDER BY {_hash_sql("'7:'", 'i')}, i) <= quota THEN 'train' ELSE 'test' END AS split FROM sg JOIN q USING (signature)"""
+
+
+def _strata(s, d):
+    return T.stratified_split(T.signatures(fx.labels(s, d).where("criterion_idx < 2")), 40, seed=7).select("item_idx", "signature", "split")
+
+
+_register("stratified_split", _strata, _STRATA)
+_register(
+    "stratified_split_counts", lambda s, d: _strata(s, d).groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("signature").alias("signatures")),
+    f"SELECT split, count(*) AS n, count(DISTINCT signature) AS signatures FROM ({_STRATA}) st GROUP BY split",
 )
