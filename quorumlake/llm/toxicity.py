@@ -37,8 +37,6 @@ LABELLED = (2.5, 0.7, 7.0)
 POSTERIOR = (6.0, 0.9, 15.0)
 #: How far the label of a row that may be learnt from is trusted.
 TRUST = 0.95
-#: Words whose terms are held at once.
-MAX_WORDS = 200_000
 
 
 def part_of(word: str, kind: int) -> str | None:
@@ -82,43 +80,36 @@ def mined_terms(sample: DataFrame, need: tuple[float, float, float] = LABELLED)
     return out
 
 
-class _Hits(dict):
-    """The lexicons that a word hits, found once for each word."""
-
-    def __init__(self, lexicons: list[tuple[int, set[str]]]):
-        super().__init__()
-        self.lexicons = lexicons
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        own = tuple(i for i, (kind, terms) in enumerate(self.lexicons) if part_of(word, kind) in terms)
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        self[word] = own
-        return own
-
-
 @dataclass
 class Voters:
     """The lexicons: the part of words that each looks at, and its terms."""
 
     lexicons: list[tuple[int, set[str]]]
 
-    def __getstate__(self):
-        return self.lexicons
-
-    def __setstate__(self, lexicons):
-        self.lexicons = lexicons
+    def _tables(self) -> list[tuple[int, dict[str, list[int]]]]:
+        """For each kind, the lexicons that a part of a word hits."""
+        out: dict[int, dict[str, list[int]]] = {}
+        for i, (kind, terms) in enumerate(self.lexicons):
+            for t in terms:
+                out.setdefault(kind, {}).setdefault(t.strip("*"), []).append(i)
+        return list(out.items())
 
     def seen(self, texts: list[str]) -> np.ndarray:
         """By text: words hit by each lexicon, different words, shares of capitals and of exclamation and
-        question marks, and the longest run of such marks."""
-        held = self.__dict__.setdefault("held", _Hits(self.lexicons))
+        question marks, and whether such marks come in runs."""
+        tables = self._tables()
         out = np.zeros((len(texts), len(self.lexicons) + 4))
         for i, text in enumerate(texts):
             words = set(WORDS.findall(text.lower()))
-            for w in words:
-                for k in held[w]:
-                    out[i, k] += 1
+            for kind, table in tables:
+                if kind == 0:
+                    found = [table[w] for w in words if w in table]
+                elif kind > 0:
+                    found = [table[p] for w in words if (p := w[:kind]) in table and len(w) > kind]
+                else:
+                    found = [table[p] for w in words if (p := w[kind:]) in table and len(w) > -kind]
+                for own in found:
+                    out[i, own] += 1
             kinds = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
             upper, lower = kinds[65:91].sum(), kinds[97:123].sum()
             out[i, -4:] = len(words), upper / max(1, upper + lower), (kinds[33] + kinds[63]) / max(1, len(words)), "!!" in text or "??" in text
