@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, quality_model, quality_rules, repeats, sharding, tokens, toxicity
+from . import exact_dedup, licenses, mixing, near_dedup, packing, quality_model, quality_rules, repeats, sharding, tokens, toxicity
 from .scratch import bounded_batches, documents, labels
 
 #: The tokenizer that the queries use; operators take any file as a parameter.
@@ -56,6 +56,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_quality_model": op1_quality_model,
     "op2_exact_dedup": op2_exact_dedup,
@@ -67,6 +71,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
+    "op11_license_scan": op11_license_scan,
 }
 
 ORACLE_SQL = {
@@ -75,4 +80,5 @@ ORACLE_SQL = {
     "op4_near_dedup": near_dedup.OP4_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op11_license_scan": licenses.OP11_SQL,
 }
