@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, near_dedup, packing, quality_model, quality_rules, repeats, sharding, tokens, toxicity
+from . import exact_dedup, licenses, mixing, near_dedup, packing, quality_model, quality_rules, repeats, sharding, tokens, toxicity, whitening
 from .scratch import bounded_batches, documents, labels
 
 #: The tokenizer that the queries use; operators take any file as a parameter.
@@ -60,6 +60,11 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select(*columns)
+
+
 QUERIES = {
     "op1_quality_model": op1_quality_model,
     "op2_exact_dedup": op2_exact_dedup,
@@ -72,6 +77,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_mixing": op10_mixing,
     "op11_license_scan": op11_license_scan,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLE_SQL = {
