@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, near_dedup, packing, quality_model, quality_rules, repeats, sharding, tokens, toxicity, whitening
+from . import exact_dedup, licenses, mixing, near_dedup, packing, prefix_trie, quality_model, quality_rules, repeats, sharding, tokens, toxicity, whitening
 from .scratch import bounded_batches, documents, labels
 
 #: The tokenizer that the queries use; operators take any file as a parameter.
@@ -65,6 +65,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select(*columns)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_quality_model": op1_quality_model,
     "op2_exact_dedup": op2_exact_dedup,
@@ -78,6 +82,7 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_license_scan": op11_license_scan,
     "op12_whitening": op12_whitening,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL = {
