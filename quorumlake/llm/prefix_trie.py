@@ -201,8 +201,8 @@ def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = quicksorted(rows, depth)
         for conv, d, parent, n, children, leaves, saved, sha in nodes:
             out.append((conv, d, None if parent < 0 else nodes[parent][0], n, children, leaves, saved, sha, bucket if parent < 0 else None))
-    frame = pd.DataFrame(out, columns=[c.split()[0] for c in NODES.split(", ")])
-    return frame.astype({c: "Int64" for c in ("parent_conv_id", "bucket")})
+    columns = dict(zip([c.split()[0] for c in NODES.split(", ")], zip(*out)))
+    return pd.DataFrame({c: pd.array(v, dtype="string" if c == "ends_sha256" else "Int64") for c, v in columns.items()})
 
 
 def _common(least: Column, most: Column) -> Column:
@@ -308,3 +308,23 @@ def _chains(spans: DataFrame, parents: DataFrame, below: DataFrame) -> DataFrame
         (F.col("saved") + (F.col("n") - 1) * rest).alias("saved_tokens"), F.when(end, F.coalesce("sha", F.lit(_NONE))).otherwise(_NONE).alias("ends_sha256"),
         F.lit(None).cast("long").alias("bucket"),
     ).withColumnsRenamed({"conv": "conv_id", "d": "depth"})
+
+
+#: Brute force over all prefixes as lists of turns; crc32 bit by bit.
+OP13_SQL = f"""
+WITH t AS (SELECT conv_id, {{'r': coalesce(role, ''), 'x': coalesce(text, '')}} AS u,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn ASC NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+           FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(u ORDER BY p) AS own FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, own, xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+        lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: xor(x >> 1, 3988292384::BIGINT * (x & 1))))) % {SHARED} AS h FROM o),
+b AS (SELECT a.conv_id, list_concat(coalesce(f.own[1 : a.h], []), a.own[a.h + 1 :]) AS seq FROM h a LEFT JOIN o f ON f.conv_id = a.conv_id - a.conv_id % {FAMILY}),
+pre AS (SELECT conv_id, d, seq[1 : d] AS p, d = len(seq) AS ends FROM (SELECT *, unnest(range(len(seq) + 1)) AS d FROM b)),
+n AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM pre GROUP BY p, d),
+k AS (SELECT p[1 : d - 1] AS p, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+w AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * strlen(p[d].x) END AS own FROM n LEFT JOIN k USING (p)),
+s AS (SELECT p[1 : a] AS p, sum(own) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(d + 1)) AS a FROM w) GROUP BY ALL)
+SELECT w.conv_id, w.d::BIGINT AS depth, up.conv_id AS parent_conv_id, w.n_convs::BIGINT AS n_convs, w.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, w.ends_sha256
+FROM w JOIN s ON w.p = s.p LEFT JOIN n up ON w.d > 0 AND up.p = w.p[1 : w.d - 1]
+"""

@@ -92,4 +92,5 @@ ORACLE_SQL = {
     "op9_quality_rules": quality_rules.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
     "op11_license_scan": licenses.OP11_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }

@@ -155,7 +155,7 @@ def fit(vectors: DataFrame, vector_col: str = "embedding", components: int = COM
     fanout = int(max(2, min(64, MERGED_BYTES // (8 * dims * dims))))
     left = parts.where(F.col("dims") == dims)
     while last:
-        left = left.groupBy(F.floor(F.col("part") / fanout).alias("group")).applyInPandas(partial(_merge_group, fanout=fanout), SUMMARY)
+        left = left.groupBy(F.floor(F.col("part") / fanout).alias("group")).applyInPandas(lambda pdf: _merge_group(pdf, fanout), SUMMARY)
         last //= fanout
     row = left.first()
     n, sums, weighted = _held(dims, row["n"], row["sums"], row["weighted"])
