@@ -315,7 +315,7 @@ def _verified(batches, percent: int):
 
 
 def _text_key(text: Column) -> Column:
-    return F.md5(text.cast("binary"))
+    return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
 def _texts_of(wanted: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
@@ -366,7 +366,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), utf8(text_col))
+    """What tells rows apart: the id itself, null or not, and the SHA-256 of the text."""
+    own = F.col(id_col).cast("string")
+    return F.concat(F.when(own.isNull(), F.lit("null")).otherwise(F.concat(F.lit("id "), own)).cast("binary"), _text_key(utf8(text_col)))
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, miss: float) -> DataFrame:
@@ -438,29 +440,30 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns kept.
 
     The row with the least id stays, one with a null id only where all are null; of several with that id,
-    the one with the least hash of id and text, and any one of those that have both in common.
+    the one with the least SHA-256 of the text, and any one of those that have both in common.
 
     Rows to keep pass straight through; only those that a filter of the dropped and the repeated rows
-    may hold are shuffled.
+    may hold are shuffled. The filters go by 64-bit hashes, which only let more rows through; what goes and
+    what stays is decided by id and SHA-256.
     """
     grouped = _grouped(docs, id_col, text_col, percent, miss)
     linked = stored(grouped.where("group_rows > 1").select("row_key", "root", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("first")), "near-linked")
     stay = linked.where("first").groupBy("root").agg(F.min("row_key").alias("row_key")).select("row_key", F.lit(True).alias("stays"))
     keys = linked.groupBy("row_key").agg(F.count("*").alias("n")).join(stay, "row_key", "left").withColumn("stays", F.col("stays").isNotNull())
-    held = stored(keys.where("n > 1 or not stays").select("row_key", "stays"), "near-dropped")
+    held = stored(keys.where("n > 1 or not stays").select("row_key", "stays", F.xxhash64("row_key").alias("h")), "near-dropped")
     key, maybe = fresh(docs, "key", "maybe")
-    may_be_held = possibly_in(held, "row_key", held.count())
+    may_be_held = possibly_in(held, "h", held.count())
     marked = docs.withColumn(key, _row_key(id_col, text_col))
-    split = marked.withColumn(maybe, may_be_held(F.col(key)))
+    split = marked.withColumn(maybe, may_be_held(F.xxhash64(key)))
     own = [F.col(f"`{c}`") for c in marked.columns]
     kept = split.where(~F.col(maybe)).select(*own).unionByName(
         split.where(F.col(maybe)).join(held.select(F.col("row_key").alias(key)), key, "left_anti").select(*own)
     )
-    repeated = held.where("stays").select("row_key")
+    repeated = held.where("stays").select("row_key", "h")
     if n := repeated.count():
-        may_be_repeated = possibly_in(repeated, "row_key", n)
-        single = marked.where(may_be_repeated(F.col(key))).dropDuplicates([key])
-        kept = kept.unionByName(single.join(repeated.withColumnRenamed("row_key", key), key, "left_semi").select(*own))
+        may_be_repeated = possibly_in(repeated, "h", n)
+        single = marked.where(may_be_repeated(F.xxhash64(key))).dropDuplicates([key])
+        kept = kept.unionByName(single.join(repeated.select(F.col("row_key").alias(key)), key, "left_semi").select(*own))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -37,18 +37,30 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = utf8(text_col)
     read = docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).withColumn("w", F.regexp_extract_all("t", F.lit(WORD), 0))
     n = F.size("w")
-    window = F.when(
-        n >= 3,
-        F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).alias("h"), i.alias("i"))),
-    ).otherwise(F.expr("cast(array() as array<struct<h: bigint, i: int>>)"))
-    windows = read.withColumn("s", F.sort_array(window))
-    again = F.filter(
-        "s",
-        lambda x, k: F.coalesce(F.get("s", k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("s", k + 1)["h"] == x["h"], F.lit(False)),
-    )
-    places = F.sort_array(F.transform(again, lambda x: x["i"]))
+    starts = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
+
+    def keyed(key: Callable[[Column], Column]) -> Column:
+        """The windows with their keys, in order of these."""
+        return F.sort_array(F.transform(starts, lambda i: F.struct(key(i).alias("h"), i.alias("i"))))
+
+    def repeated(s: Column) -> Column:
+        """Of windows in order, those whose key another one has."""
+        same = lambda x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
+        return F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1))
+
+    def differs(x: Column, y: Column) -> Column:
+        return (x["h"] == y["h"]) & ~(
+            (F.get("w", x["i"]) == F.get("w", y["i"])) & (F.get("w", x["i"] + 1) == F.get("w", y["i"] + 1)) & (F.get("w", x["i"] + 2) == F.get("w", y["i"] + 2))
+        )
+
+    three = [lambda i: F.get("w", i), lambda i: F.get("w", i + 1), lambda i: F.get("w", i + 2)]
+    by_hash = read.withColumn("s", keyed(lambda i: F.xxhash64(*[word(i) for word in three]))).withColumn("again", repeated(F.col("s")))
+    # where windows of one hash differ, which is next to never, that text's windows are compared as they are
+    clash = F.size(F.filter("again", lambda x, k: (k > 0) & F.coalesce(differs(x, F.get("again", k - 1)), F.lit(False)))) > 0
+    as_text = repeated(keyed(lambda i: F.concat_ws(" ", *[word(i) for word in three])))
+    places = F.sort_array(F.when(clash, F.transform(as_text, lambda x: x["i"])).otherwise(F.transform("again", lambda x: x["i"])))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD))
-    held = windows.select("doc_id", "t", "w", places.alias("places"), lines.alias("lines"))
+    held = by_hash.select("doc_id", "t", "w", places.alias("places"), lines.alias("lines"))
     # a window covers three words, less those that the next repeated one covers
     covered = F.aggregate(F.transform("places", lambda i, k: F.least(F.coalesce(F.get("places", k + 1) - i, F.lit(3)), F.lit(3))), F.lit(0), lambda s, x: s + x)
     count = lambda pattern: F.regexp_count("t", F.lit(pattern)).cast("long")
@@ -83,7 +95,8 @@ def rules() -> dict[str, Column]:
         "repeats": _vote(c("n_repeat_words") > 0.4 * n, never),
         "lines": _vote(c("n_dup_lines") > 0.5 * c("n_lines"), never),
         "letters": _vote(words & (c("n_letters") < 0.7 * c("word_chars")), never),
-        "variety": _vote((n >= 50) & (c("n_distinct") < 0.1 * n) & (n <= 2000), (n >= 20) & (c("n_distinct") >= 0.3 * n)),
+        # different words grow with the root of all: their square over all does not depend on the length
+        "variety": _vote((n >= 50) & (c("n_distinct") * c("n_distinct") < 2 * n), (n >= 20) & (c("n_distinct") * c("n_distinct") >= 10 * n)),
         "word_length": _vote(words & ((c("word_chars") < 2 * n) | (c("word_chars") > 15 * n)), words & c("word_chars").between(3 * n, 11 * n)),
         "stops": _vote((n >= 50) & (c("n_stops") < 0.002 * n), c("n_stops").between(0.01 * n, 0.4 * n) & words),
     }
@@ -165,7 +178,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A null or empty text has no words and fails the base test. Rows are judged one by one, so null
     and repeated ids do not matter; texts are read whole, whatever their length, and other columns,
     whatever their names, are not read. An empty table gives no rows. Repeated word windows are found by
-    64-bit hashes within one text.
+    64-bit hashes within one text and compared word for word.
     """
     named = rules()
     votes = stored(text_statistics(docs, id_col, text_col).withColumns({f"vote_{k}": v for k, v in named.items()}), "rule-votes")
@@ -189,8 +202,8 @@ s AS (SELECT r, doc_id, len(w)::BIGINT AS n, length(array_to_string(w, ''))::BIG
       coalesce(rep.n, 0) AS rw, len(list_distinct(w)) AS nd, len(regexp_extract_all(t, '\p{Lu}')) AS up, len(regexp_extract_all(t, '\p{L}')) AS le, len(regexp_extract_all(t, '!')) AS ex, len(regexp_extract_all(t, '[.?!…。]')) AS st
       FROM d LEFT JOIN rep USING (r) LEFT JOIN ln USING (r)),
 v AS (SELECT *, (n > 0 AND sy > 0.1 * n) AS b0, up > 0.4 * le AS b1, (n > 0 AND ex > 0.1 * n) AS b2, rw > 0.4 * n AS b3, dl > 0.5 * nl AS b4, (n > 0 AND le < 0.7 * wc) AS b5,
-      (n >= 50 AND nd < 0.1 * n AND n <= 2000) AS b6, (n > 0 AND (wc < 2 * n OR wc > 15 * n)) AS b7, (n >= 50 AND st < 0.002 * n) AS b8,
-      (n >= 20 AND nd >= 0.3 * n) AS g6, (n > 0 AND wc BETWEEN 3 * n AND 11 * n) AS g7, (n > 0 AND st BETWEEN 0.01 * n AND 0.4 * n) AS g8 FROM s),
+      (n >= 50 AND nd * nd < 2 * n) AS b6, (n > 0 AND (wc < 2 * n OR wc > 15 * n)) AS b7, (n >= 50 AND st < 0.002 * n) AS b8,
+      (n >= 20 AND nd * nd >= 10 * n) AS g6, (n > 0 AND wc BETWEEN 3 * n AND 11 * n) AS g7, (n > 0 AND st BETWEEN 0.01 * n AND 0.4 * n) AS g8 FROM s),
 c AS (SELECT *, list_filter([CASE WHEN b0 THEN 1 END, CASE WHEN b1 THEN 2 END, CASE WHEN b2 THEN 3 END, CASE WHEN b3 THEN 4 END, CASE WHEN b4 THEN 5 END, CASE WHEN b5 THEN 6 END, CASE WHEN b6 THEN 7 END, CASE WHEN b7 THEN 8 END, CASE WHEN b8 THEN 9 END,
       CASE WHEN NOT b6 AND g6 THEN 16 END, CASE WHEN NOT b7 AND g7 THEN 17 END, CASE WHEN NOT b8 AND g8 THEN 18 END], lambda x: x IS NOT NULL) AS votes FROM v),
 pat AS (SELECT list({'votes': votes, 'n': k}) AS ps, sum(k) AS total FROM (SELECT votes, count(*)::DOUBLE AS k FROM c GROUP BY votes)),

@@ -601,3 +601,30 @@ def test_scratch_is_cleared(spark):
     scratch.clear_scratch(spark)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(scratch._own_folder(spark))
+
+
+def test_windows_of_one_hash_are_told_apart(spark):
+    """xxhash64 of ``north wind sunlightoverhill`` is that of the last three words."""
+    text = "north wind sunlightoverhill and then bright lamp dwdnboel.7svK?AM"
+    frame = spark.createDataFrame([(1, text), (2, f"{text} {text}"), (3, f"{text} x north wind sunlightoverhill")], "doc_id long, text string")
+    w = F.split("text", " ")
+    one, other = (F.xxhash64(*[F.get(w, i + k) for k in range(3)]) for i in (0, 5))
+    assert frame.where("doc_id = 1").select(one == other).first()[0]
+    got = {r.doc_id: r.n_repeat_words for r in quality_rules.text_statistics(frame).collect()}
+    assert got == {1: 0, 2: 16, 3: 6}
+
+
+def test_near_dedup_rows_without_ids(spark):
+    """Groups of rows with null and repeated ids keep one row each, and no group is lost."""
+    rnd = random.Random(31)
+    rows, groups = [], []
+    for g in range(12):
+        own = words(rnd, 60).split()
+        texts = [" ".join(own)] + [" ".join(own[:k] + ["zz"] + own[k + 1 :]) for k in rnd.sample(range(60), 2)] + [" ".join(own)] * (g % 3)
+        ids = [[None, None, None], [None, 5, None], [7, 7, 7], [None, 7, 5]][g % 4] + [None] * (g % 3)
+        rows += list(zip(ids, texts))
+        groups.append((ids, set(texts)))
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for ids, texts in groups:
+        assert [r.doc_id for r in got if r.text in texts] == [min((i for i in ids if i is not None), default=None)]
+    assert len(got) == len(groups)
