@@ -108,18 +108,9 @@ def best(curve: DataFrame, max_rate: float | None = None, tolerance: float = 0.0
 
 
 def fitted_thresholds(dm: DataFrame, llm: DataFrame, truth: DataFrame, criteria: DataFrame, min_pairs: int = 20, tolerance: float = 0.0,
-                      steps: tuple[float, ...] = SWEEP, metric: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, float]:
-    """A threshold for each named criterion with at least ``min_pairs`` labelled pairs.
+                      steps: tuple[float, ...] = SWEEP, metric: str | Callable = "criterion_accuracy") -> dict[str, float]:
+    """A threshold for each named criterion with at least ``min_pairs`` labelled pairs, by coordinate ascent on the
+    cascade's ``metric``: see ``calibration.calibrate``, which measures the curve too."""
+    from .calibration import calibrate
 
-    Cells of different criteria do not share a term of the metric, so coordinate ascent has each
-    criterion take the best of its own sweep. ``metric`` may reorder or filter a curve first.
-    """
-    out = {}
-    known = truth.groupBy("criterion_idx").agg(F.count("*").alias("n")).where(F.col("n") >= min_pairs)
-    for r in criteria.where("name is not null").join(known, "criterion_idx").orderBy("criterion_idx").select("criterion_idx", "name").collect():
-        own = [df.where(F.col("criterion_idx") == r["criterion_idx"]) for df in (dm, llm, truth)]
-        curve = sweep(*own, steps=steps)
-        row = best(metric(curve) if metric else curve, tolerance=tolerance).first()
-        if row is not None:
-            out[r["name"]] = row["threshold"]
-    return out
+    return calibrate(dm, llm, truth, criteria, steps, metric, per_criterion=True, min_pairs=min_pairs, tolerance=tolerance).fitted

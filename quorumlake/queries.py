@@ -13,6 +13,7 @@ from .functions import exprs as X
 from .functions import prompts as P
 from .operators import agreement as A
 from .operators import bootstrap as B
+from .operators import calibration as CL
 from .operators import cascade as C
 from .operators import cells as K
 from .operators import decision as DM
@@ -509,6 +510,69 @@ _register(
     SELECT q.i AS item_idx, round(score, 6) AS score, nas::BIGINT AS cannot_assess_count, n_escalated FROM {scored('oc', 'i')} q JOIN (SELECT i, sum(up::INT)::BIGINT AS n_escalated FROM oc GROUP BY i) USING (i)""",
 )
 
+_CAL = _DM + """, cb AS (SELECT dm.i, dm.c, dm.w, dm.p AS dp, CASE WHEN rep.failed THEN NULL ELSE rep.pick END AS lp, rep.pick AS shown, rep.failed AS lf, na, conf, lab.t FROM dm JOIN rep USING (i, c) LEFT JOIN lab USING (i, c)),
+th AS (SELECT unnest(range(51)) AS k), e AS (SELECT k, cb.*, na OR conf IS NULL OR conf < k / 50.0::DOUBLE AS up, CASE WHEN i % 4 > 0 THEN (i % 11) / 8.0 ELSE 0 END AS cost FROM cb, th),
+pr AS (SELECT *, CASE WHEN up THEN lp ELSE dp END AS p FROM e),
+base AS (SELECT sum(CASE WHEN i % 5 > 0 THEN (i % 7) / 8.0 ELSE 0 END) AS cost, sum(0.5) AS seconds FROM (SELECT DISTINCT i FROM dm)),
+pt AS (SELECT k, avg(up::INT) AS r, avg((dp = t)::INT) FILTER (NOT up AND t < 2 AND dp < 2) AS ka, avg((dp = t)::INT) FILTER (up AND t < 2 AND dp < 2 AND lp < 2) AS ea, avg((lp = t)::INT) FILTER (up AND t < 2 AND dp < 2 AND lp < 2) AS la,
+       (SELECT cost FROM base) + sum(CASE WHEN up THEN cost ELSE 0 END) AS cost, (SELECT seconds FROM base) + sum(CASE WHEN up THEN 2 ELSE 0 END) AS seconds FROM pr GROUP BY k),
+kc AS (SELECT k, c, avg((p = t)::INT) AS a, avg(t) AS mt, avg(p) AS mp, avg(t) * avg(p) + (1 - avg(t)) * (1 - avg(p)) AS ch FROM pr WHERE t < 2 AND p < 2 GROUP BY k, c),
+kk AS (SELECT k, c, CASE WHEN (mt + mp) IN (0, 2) THEN NULL ELSE 1 - (1 - a) / (1 - ch) END AS kappa FROM kc),
+ov AS (SELECT k, 2.0 * count(*) FILTER (t = 1 AND p = 1) / (count(*) FILTER (t = 1) + count(*) FILTER (p = 1)) AS f1 FROM pr WHERE t < 2 AND p < 2 GROUP BY k),
+"""
+_CURVE = "k / 50.0::DOUBLE AS threshold, round(r, 6) AS escalation_rate, round(ka, 6) AS kept_accuracy, round(ea, 6) AS escalated_dm_accuracy, round(la, 6) AS escalated_llm_accuracy, round(cost, 6)::DOUBLE AS cost, round(seconds, 6)::DOUBLE AS seconds"
+#: Coordinate ascent over a grid of both thresholds: g (k0, k1, m), picks by rate, metric and threshold.
+_ASCENT = """, gm AS (SELECT k0, k1, round(m, 12) AS m, (SELECT sum(n) FROM rt WHERE rt.c = 0 AND rt.k = k0) + (SELECT sum(n) FROM rt WHERE rt.c = 1 AND rt.k = k1) AS r FROM g),
+s0 AS (SELECT k0 AS k FROM gm WHERE k0 = k1 QUALIFY m = max(m) OVER () ORDER BY r, k0 LIMIT 1),
+f0 AS (SELECT k0 AS k FROM gm WHERE k1 = (SELECT k FROM s0) QUALIFY m = max(m) OVER () ORDER BY r, k0 LIMIT 1),
+f1 AS (SELECT k1 AS k FROM gm WHERE k0 = (SELECT k FROM f0) QUALIFY m = max(m) OVER () ORDER BY r, k1 LIMIT 1)
+SELECT 'quality' AS name, k / 50.0::DOUBLE AS threshold FROM f0 UNION ALL SELECT 'toxic', k / 50.0::DOUBLE FROM f1"""
+
+
+def _calibrate(spark, d, **how):
+    own = fx.criteria(spark).where("criterion_idx < 2")
+    i = F.col("item_idx")
+    dm, llm, true = _runs(spark, d)
+    runs = dm.select("item_idx").distinct().select(
+        "item_idx", F.when(F.pmod(i, F.lit(5)) > 0, F.pmod(i, F.lit(7)) / 8.0).alias("dm_cost"), F.lit(0.5).alias("dm_seconds"),
+        F.when(F.pmod(i, F.lit(4)) > 0, F.pmod(i, F.lit(11)) / 4.0).alias("llm_cost"), F.lit(4.0).alias("llm_seconds"),
+    )
+    expected = S.label_scores(fx.labels(spark, d).where("criterion_idx < 2"), own)
+    return CL.calibrate(dm, llm, true, own, runs=runs, expected=expected, **how)
+
+
+def _curve(spark, d, metric):
+    columns = ("escalation_rate", "kept_accuracy", "escalated_dm_accuracy", "escalated_llm_accuracy", "metric", "cost", "seconds")
+    return _calibrate(spark, d, metric=metric).to_dataframe(spark).select("threshold", *map(_r, columns))
+
+
+def _fitted(spark, d, metric):
+    got = _calibrate(spark, d, metric=metric, per_criterion=True).fitted
+    return spark.createDataFrame(sorted(got.items()), "name string, threshold double")
+
+
+_LABEL_2 = "lr2 AS (SELECT i, c, w, t = 2 AS na, (t = 1)::INT::DOUBLE AS val, false AS failed, NULL::DOUBLE AS agreement FROM lab WHERE c < 2)"
+_RATES = "rt AS (SELECT k, c, count(*) FILTER (up) AS n FROM pr GROUP BY k, c)"
+_register("cascade_sweep_kappa", partial(_curve, metric="mean_kappa"), _CAL + f"mk AS (SELECT k, avg(kappa) AS m FROM kk GROUP BY k) SELECT {_CURVE}, round(m, 6) AS metric FROM pt JOIN mk USING (k)")
+_register("cascade_sweep_f1", partial(_curve, metric="criterion_f1"), _CAL + f"mk AS (SELECT k, f1 AS m FROM ov) SELECT {_CURVE}, round(m, 6) AS metric FROM pt JOIN mk USING (k)")
+_register(
+    "cascade_sweep_rmse", partial(_curve, metric=CL.SCORE_RMSE),
+    _CAL + f"""{_LABEL_2}, oc AS (SELECT i, k, c, w, coalesce(CASE WHEN up THEN shown ELSE dp END, 2) = 2 AS na, coalesce((CASE WHEN up THEN shown ELSE dp END = 1)::INT, 0)::DOUBLE AS val, up AND lf AS failed, NULL::DOUBLE AS agreement FROM pr),
+    sc AS (SELECT o.k, sqrt(avg((o.score - x.score) ^ 2)) AS m FROM {scored('oc', 'i, k')} o JOIN {scored('lr2', 'i')} x USING (i) WHERE o.score IS NOT NULL AND x.score IS NOT NULL GROUP BY o.k)
+    SELECT {_CURVE}, round(-m, 6) AS metric FROM pt JOIN sc USING (k)""",
+)
+_register(
+    "calibrated_thresholds", partial(_fitted, metric="mean_kappa"),
+    _CAL + f"{_RATES}, g AS (SELECT a.k AS k0, b.k AS k1, (a.kappa + b.kappa) / 2 AS m FROM kk a, kk b WHERE a.c = 0 AND b.c = 1)" + _ASCENT,
+)
+_register(
+    "calibrated_thresholds_rmse", partial(_fitted, metric=CL.SCORE_RMSE),
+    _CAL + f"""{_RATES}, {_LABEL_2}, oc AS (SELECT i, k, c, w, coalesce(CASE WHEN up THEN shown ELSE dp END, 2) = 2 AS na, coalesce((CASE WHEN up THEN shown ELSE dp END = 1)::INT, 0)::DOUBLE AS val, up AND lf AS failed, NULL::DOUBLE AS agreement
+      FROM pr WHERE i IN (SELECT i FROM lab)),
+    gr AS (SELECT o.*, o.k AS k0, b.k AS k1 FROM oc o, th b WHERE c = 0 UNION ALL SELECT o.*, a.k AS k0, o.k AS k1 FROM oc o, th a WHERE c = 1),
+    g AS (SELECT k0, k1, -sqrt(avg((o.score - x.score) ^ 2)) AS m FROM {scored('gr', 'i, k0, k1')} o JOIN {scored('lr2', 'i')} x USING (i) WHERE o.score IS NOT NULL AND x.score IS NOT NULL GROUP BY k0, k1)""" + _ASCENT,
+)
+
 # --- sampling, diagnostics, runs ------------------------------------------------------------------
 
 _register(
