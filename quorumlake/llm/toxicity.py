@@ -1,17 +1,16 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
 Each lexicon looks at one part of words: the word, its first four, five or six letters, or its last
-five. Lexicons are mined twice, first from labels that may be learnt from, then from the posteriors
-that the label model gives to all documents, each half of them by itself, so that two lexicons of a
+five. Lexicons are mined twice, from labels that may be learnt from and then from the posteriors that
+the label model gives to these documents, each half of them by itself, so that two lexicons of a
 kind have seen different documents. Patterns of form vote by themselves. The label model is a tree: a
 voter's votes have chances that depend on the class and on the vote of one other voter, the one that
 it is most correlated with beyond the class. Expectation-maximisation over the counts of vote patterns
-estimates the chances, and from them accuracies and correlations. Its posteriors are the labels on
+of all documents, labelled or not, estimates the chances, and from them accuracies and correlations. Its posteriors are the labels on
 which the linear classifier is trained, by Newton's method on sums over all documents.
 
-Texts are read three times besides the labelled ones: for the patterns of the first votes, for the terms
-of their posteriors, and for what all voters see, which is stored and serves the classifier's fit
-and, where the same documents are scored, the scores.
+Texts are read once besides the labelled ones: what all voters see in a document, a few numbers, is stored
+and serves the label model, the classifier's fit and, where the same documents are scored, the scores.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ from .quality_model import fold, labelled_sample
 from .scratch import bounded_batches, released, stored, utf8
 from .text_features import WORDS
 
-#: The most labelled rows that are learnt from; texts without a label are learnt from whole.
+#: The most labelled rows that lexicons are mined from. Both models are fitted on all rows outside the held-out fold.
 MAX_FIT_ROWS = 20_000
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
@@ -43,11 +42,8 @@ COLUMNS = 9
 #: mined from labels, and from posteriors, which ask for more.
 LABELLED = (2.5, 0.7, 7.0)
 POSTERIOR = (6.0, 0.9, 15.0)
-#: A term mined from posteriors is also in one of so many documents: lexicons together have at most this many times
-#: the terms of an average document, however many documents there are.
-RARE = 20_000
-#: Words whose parts, and terms whose counts, a task keeps before it starts again or hands them on.
-KEPT_WORDS = 500_000
+#: Words whose terms' counts a task keeps before it hands them on.
+KEPT_WORDS = 50_000
 #: How far the label of a row that may be learnt from is trusted.
 TRUST = 0.95
 
@@ -63,7 +59,7 @@ class _Terms:
 
     def __init__(self):
         self.words: dict[str, int] = {}
-        self.parts: list[list[int]] = []  # by word, the number of its term of each kind
+        self.parts = np.zeros((1024, len(KINDS)), np.int32)  # by word, the number of its term of each kind
         self.terms: dict[tuple[int, str], int] = {}
         self.n, self.toxic = np.zeros((2, 0)), np.zeros((2, 0))
         self.documents = np.zeros((2, 2))  # by half: how many, and the sum of ``p``
@@ -71,9 +67,11 @@ class _Terms:
     def number(self, word: str) -> int:
         at = self.words.get(word)
         if at is None:
-            at = self.words[word] = len(self.parts)
+            at = self.words[word] = len(self.words)
+            if at == len(self.parts):
+                self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
             own = ((k, part_of(word, kind)) for k, kind in enumerate(KINDS))
-            self.parts.append([-1 if t is None else self.terms.setdefault((k, t), len(self.terms)) for k, t in own])
+            self.parts[at] = [-1 if t is None else self.terms.setdefault((k, t), len(self.terms)) for k, t in own]
         return at
 
     def add(self, sets: list[set[str]], p: np.ndarray, half: np.ndarray) -> None:
@@ -83,19 +81,20 @@ class _Terms:
         if not len(ids):
             return
         doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        parts = np.array(self.parts, np.int64)
-        short = [np.zeros((2, len(self.terms) - self.n.shape[1]))] * 2
-        self.n, self.toxic = np.hstack([self.n, short[0]]), np.hstack([self.toxic, short[1]])
+        if len(self.terms) > self.n.shape[1]:
+            more = np.zeros((2, 2 * len(self.terms) - self.n.shape[1]))
+            self.n, self.toxic = np.hstack([self.n, more]), np.hstack([self.toxic, more])
+        size = self.n.shape[1]
         for k in range(len(KINDS)):
-            term = parts[ids, k]
+            term = self.parts[ids, k].astype(np.int64)
             own, term = doc[term >= 0], term[term >= 0]
             if KINDS[k]:  # several words of a document may have the part in common
-                key = np.unique(own * len(self.terms) + term)
-                own, term = key // len(self.terms), key % len(self.terms)
+                key = np.unique(own * size + term)
+                own, term = key // size, key % size
             for h in (0, 1):
                 on = half[own] == h
-                self.n[h] += np.bincount(term[on], minlength=len(self.terms))
-                self.toxic[h] += np.bincount(term[on], p[own[on]], len(self.terms))
+                self.n[h] += np.bincount(term[on], minlength=size)
+                self.toxic[h] += np.bincount(term[on], p[own[on]], size)
 
     def rows(self) -> pd.DataFrame:
         names = list(self.terms)
@@ -122,7 +121,7 @@ def _counted(batches: Iterator[pd.DataFrame], posterior=None) -> Iterator[pd.Dat
     released()
 
 
-def mined_terms(rows: DataFrame, need: tuple[float, float, float] = LABELLED, posterior=None, rare: int | None = None) -> dict[tuple[int, int], set[str]]:
+def mined_terms(rows: DataFrame, need: tuple[float, float, float] = LABELLED, posterior=None) -> dict[tuple[int, int], set[str]]:
     """The terms of each (half, kind) that qualify. ``rows`` has a text, a half (0 or 1) and p, how toxic it is held
     to be; with ``posterior``, which is given texts, their words and p, that says so, and p is a label or null."""
     counted = rows.select("text", F.col("p").cast("double").alias("p"), "half").mapInPandas(lambda b: _counted(b, posterior), "half int, kind int, term string, n long, toxic double")
@@ -135,8 +134,7 @@ def mined_terms(rows: DataFrame, need: tuple[float, float, float] = LABELLED, po
         share = min(max(p / n, 1e-3), 0.5)
         # log likelihood ratio of the term's own share of toxic documents against the share of all
         ratio = F.col("toxic") * F.log(own / share) + F.when(clean > 0, clean * F.log(clean / F.col("n") / (1 - share))).otherwise(0.0)
-        support = max(need[0], n / rare if rare else 0)
-        good = good | ((F.col("half") == half) & (F.col("kind") >= 0) & (F.col("toxic") >= support) & (F.col("toxic") / (F.col("n") + 0.5) >= need[1]) & (ratio >= need[2]))
+        good = good | ((F.col("half") == half) & (F.col("kind") >= 0) & (F.col("toxic") >= need[0]) & (F.col("toxic") / (F.col("n") + 0.5) >= need[1]) & (ratio >= need[2]))
     for r in counted.where(good).select("half", "kind", "term").collect():
         out[r["half"], r["kind"]].add(r["term"])
     return out
@@ -147,30 +145,25 @@ class Voters:
     """The lexicons: the part of words that each looks at, and its terms."""
 
     lexicons: list[tuple[int, set[str]]]
-    #: Words looked up so far, and the lexicons of those that some hold.
-    known: set[str] = field(default_factory=set, repr=False)
-    hits: dict[str, list[int]] = field(default_factory=dict, repr=False)
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-            self.hits.clear()
-        for w in words - self.known:
-            if own := [i for i, (kind, terms) in enumerate(self.lexicons) if part_of(w, kind) in terms]:
-                self.hits[w] = own
-        self.known |= words
+
+    def __post_init__(self):
+        """The first four and the last five letters that a word must have to be in any lexicon."""
+        self.heads = {t[:4] for kind, terms in self.lexicons if kind >= 0 for t in terms}
+        self.tails = {t[kind:] for kind, terms in self.lexicons if kind < 0 for t in terms}
+
+    def hits(self, word: str) -> list[int]:
+        return [i for i, (kind, terms) in enumerate(self.lexicons) if part_of(word, kind) in terms]
 
     def seen(self, texts: list[str], sets: list[set[str]] | None = None) -> np.ndarray:
         """By text: words hit by each lexicon, words hit by any, different words, shares of capitals and of exclamation and
-        question marks, and whether such marks come in runs. Each word is looked up once, and sets of words meet
-        those that were hit."""
+        question marks, and whether such marks come in runs."""
+        heads, tails, hits = self.heads, self.tails, self.hits
         out = np.zeros((len(texts), len(self.lexicons) + 5))
         sets = [set(WORDS.findall(t.lower())) for t in texts] if sets is None else sets
         for i, (text, words) in enumerate(zip(texts, sets)):
-            self._learn(words)
-            found = self.hits.keys() & words
-            for w in found:
-                out[i, self.hits[w]] += 1
+            found = [own for w in words if (w[:4] in heads or w[-5:] in tails) and (own := hits(w))]
+            for own in found:
+                out[i, own] += 1
             kinds = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
             upper, lower = kinds[65:91].sum(), kinds[97:123].sum()
             out[i, -5:] = len(found), len(words), upper / max(1, upper + lower), (kinds[33] + kinds[63]) / max(1, len(words)), "!!" in text or "??" in text
@@ -372,6 +365,10 @@ def _fitted(patterns: DataFrame, prior: float) -> LabelModel:
     return label_model(v, y, prior, counts=np.array([r["n"] for r in got], float))[1]
 
 
+def _counts(patterns: DataFrame) -> DataFrame:
+    return patterns.groupBy("pattern", "y").agg(F.count("*").alias("n"))
+
+
 def _patterns(seen: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in (votes(seen) + 1).astype(np.int8)]
 
@@ -383,23 +380,17 @@ def _learnt(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_co
     may = fold("doc_id", FOLDS) != HELD_OUT
     drawn = labelled_sample(labels.select(F.col("doc_id").alias("id")).distinct(), labels, label, "id", may, most).where("y in (0, 1)")
     read = docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(2)).cast("int").alias("half"))
-    marked = read.join(F.broadcast(drawn), "id", "left")  # at most about ``most`` ids
-    taught = stored(read.join(F.broadcast(drawn), "id").withColumn("half", F.lit(0)), "toxic-sample")
+    drawn = F.broadcast(drawn)  # at most about ``most`` ids
+    taught = stored(read.join(drawn, "id").repartition(spark.sparkContext.defaultParallelism, "id"), "toxic-sample")
     n_toxic, n_known = taught.agg(F.sum("y"), F.count("*")).first()
     prior = ((n_toxic or 0) + 1) / (n_known + 10)
     if not n_toxic:
         return ToxicityModel(Voters([]), float(np.log(prior / (1 - prior))), np.zeros(COLUMNS), np.ones(COLUMNS)), None
-    learning = marked.where(F.col("id").isNotNull() & (fold("id", FOLDS) != HELD_OUT))
-    first = Voters([(KINDS[k], terms) for (_, k), terms in sorted(mined_terms(taught.withColumn("p", F.col("y"))).items())])
-
-    def first_votes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(_patterns(first.seen(texts.tolist())))
-        released()
-
-    voted = learning.select("y", F.pandas_udf(first_votes, "binary")("text").alias("pattern"))
-    model = _fitted(voted.groupBy("pattern", "y").agg(F.count("*").alias("n")), prior)
-    again = mined_terms(learning.withColumn("p", F.col("y")), POSTERIOR, lambda texts, sets, y: model.posterior(votes(first.seen(texts, sets)), y), RARE)
+    labelled = taught.withColumn("p", F.col("y").cast("double"))
+    first = Voters([(KINDS[k], terms) for (_, k), terms in sorted(mined_terms(labelled.withColumn("half", F.lit(0))).items())])
+    pattern = lambda of: F.pandas_udf(lambda s: pd.Series(_patterns(of(s.tolist()))), "binary")
+    model = _fitted(_counts(taught.select("y", pattern(first.seen)("text").alias("pattern"))), prior)
+    again = mined_terms(labelled, POSTERIOR, lambda texts, sets, y: model.posterior(votes(first.seen(texts, sets)), y))
     voters = Voters(first.lexicons + [(KINDS[k], terms) for (_, k), terms in sorted(again.items())])
 
     def numbers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -408,17 +399,17 @@ def _learnt(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_co
         released()
 
     held_out = (fold("id", FOLDS) == HELD_OUT).alias("held_out")
+    marked = read.join(drawn, "id", "left")
     held = stored(marked.select(F.col("id").alias("doc_id"), held_out, F.col("y").cast("double").alias("y"), F.pandas_udf(numbers, "array<float>")("text").alias("seen")), "toxic-seen")
     own = held.where(F.col("doc_id").isNotNull() & ~F.col("held_out"))
-    pattern = F.pandas_udf(lambda s: pd.Series(_patterns(np.stack(s.tolist()).astype(float))), "binary")
-    model = _fitted(own.select("y", pattern("seen").alias("pattern")).groupBy("pattern", "y").agg(F.count("*").alias("n")), prior)
+    model = _fitted(_counts(own.select("y", pattern(lambda rows: np.stack(rows).astype(float))("seen").alias("pattern"))), prior)
     bias, weights, scale = _logistic(own, model)
     return ToxicityModel(voters, bias, weights, scale, model), held
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_FIT_ROWS) -> ToxicityModel:
-    """Mines the lexicons and fits both models on at most about ``most`` labelled rows outside the held-out
-    fold and on all rows of ``docs`` outside it without their labels.
+    """Mines the lexicons from at most about ``most`` labelled rows outside the held-out fold, and fits both models on
+    all rows of ``docs`` outside it.
 
     The driver gets the qualifying terms, counts of vote patterns and sums, no texts.
     """

@@ -39,16 +39,7 @@ def test_terms_are_counted_once_a_document(spark, monkeypatch, kept):
             assert got[half, k] == {t for t in n if toxic[t] >= 2.0 - 1e-12 and toxic[t] / (n[t] + 0.5) >= 0.3}
 
 
-def test_rare_terms_do_not_enter(spark):
-    rows = [("bad rare" if i < 10 else "bad", 1.0, 0) for i in range(50)] + [("fine", 0.0, 0)] * 50
-    frame = spark.createDataFrame(rows, "text string, p double, half int")
-    assert toxicity.mined_terms(frame, (2.0, 0.5, 1.0))[0, 0] == {"bad", "rare"}
-    assert toxicity.mined_terms(frame, (2.0, 0.5, 1.0), rare=5)[0, 0] == {"bad"}
-
-
-@pytest.mark.parametrize("kept", [toxicity.KEPT_WORDS, 10])
-def test_voters_see_what_a_loop_sees(monkeypatch, kept):
-    monkeypatch.setattr(toxicity, "KEPT_WORDS", kept)
+def test_voters_see_what_a_loop_sees():
     own = texts(80, seed=9)
     known = sorted({w for t in own for w in WORD.findall(t.lower())})
     lexicons = [(kind, {p for w in known[k::9] if (p := toxicity.part_of(w, kind))}) for k, kind in enumerate(toxicity.KINDS)]
