@@ -138,6 +138,8 @@ def _key(criteria: DataFrame) -> DataFrame:
 def _both(dm: DataFrame, llm: DataFrame, truth: DataFrame, criteria: DataFrame, steps: tuple[float, ...]) -> DataFrame:
     given = truth if "true_idx" in truth.columns else truth.withColumn("true_idx", F.lit(None).cast("int"))
     joined = paired(dm, llm).join(given.select(*CELL, "true", "true_idx"), CELL, "left")
+    if "rubric_id" in dm.columns:
+        joined = joined.withColumn("rubric_id", F.col("dm.rubric_id"))
     return with_criteria(joined, _key(criteria), "key", "name", "weight", "scale", "options").withColumn("first", first_index("dm", steps))
 
 

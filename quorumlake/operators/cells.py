@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exprs as X
-from ..schema import CANNOT_ASSESS, MET, UNMET, dimension, with_criteria
+from ..schema import CANNOT_ASSESS, MET, UNMET, cell_keys, dimension, with_criteria
 
 KEYS = ["item_idx", "criterion_idx"]
 MODES = ("exclude", "as_unmet", "as_category")
@@ -23,12 +23,21 @@ def resolved_labels(labels: DataFrame, criteria: DataFrame) -> DataFrame:
     return checked.withColumn("_whole", whole).where("_whole").select(*labels.columns)
 
 
-def cells(reports: DataFrame, labels: DataFrame, criteria: DataFrame) -> DataFrame:
+def cells(reports: DataFrame, labels: DataFrame, criteria: DataFrame, graded: DataFrame | None = None) -> DataFrame:
     """One row per labelled, reported cell: scale, pred and true (verdicts), pred_idx and true_idx
-    (options), failed, and the values of both."""
+    (options), failed, and the values of both.
+
+    ``graded`` (item_idx) are items of which a result is there: a labelled one without any report counts as UNMET
+    on binary criteria, and as no option, which is an abstention, on choices.
+    """
     left = reports.select(*KEYS, F.col("final_verdict").alias("pred"), F.col("option_idx").alias("pred_idx"), F.col("error").isNotNull().alias("failed"))
-    right = labels.select(*KEYS, F.col("verdict").alias("true"), F.col("option_idx").alias("true_idx"))
-    joined = with_criteria(left.join(right, KEYS), criteria, "scale", "weight", "options")
+    right = labels.select(*cell_keys(labels), F.col("verdict").alias("true"), F.col("option_idx").alias("true_idx"))
+    both = left.join(right, KEYS)
+    if graded is not None:
+        bare = graded.select("item_idx").distinct().join(reports.select("item_idx").distinct(), "item_idx", "left_anti")
+        verdict = F.when(F.col("true").isNotNull(), UNMET)
+        both = both.unionByName(right.join(bare, "item_idx").withColumns({"pred": verdict, "pred_idx": F.lit(None).cast("int"), "failed": F.lit(False)}))
+    joined = with_criteria(both, criteria, "scale", "weight", "options")
     value = lambda i: X.option_value(F.col("options"), F.col(i))
     return joined.withColumn("pred_value", value("pred_idx")).withColumn("true_value", value("true_idx"))
 
@@ -36,7 +45,7 @@ def cells(reports: DataFrame, labels: DataFrame, criteria: DataFrame) -> DataFra
 def judge_cells(votes: DataFrame, labels: DataFrame, criteria: DataFrame, judges: DataFrame) -> DataFrame:
     """The same for every judge, on the full grid of labelled cells and judges: a cell without a vote
     is ``missing``. Superseded votes count for the judge that cast them."""
-    grid = labels.select(*KEYS, F.col("verdict").alias("true"), F.col("option_idx").alias("true_idx")).withColumn(
+    grid = labels.select(*cell_keys(labels), F.col("verdict").alias("true"), F.col("option_idx").alias("true_idx")).withColumn(
         "judge_id", F.explode(F.array(*[F.lit(r["judge_id"]) for r in judges.select("judge_id").orderBy("judge_id").collect()]))
     )
     cast = votes.select(*KEYS, "judge_id", F.col("verdict").alias("pred"), F.col("option_idx").alias("pred_idx"), F.col("error").isNotNull().alias("failed"), F.lit(True).alias("_there"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..schema import CANNOT_ASSESS, MET, UNMET, with_rubric
+from ..schema import CANNOT_ASSESS, MET, UNMET, criterion_keys, with_rubric
 
 ANSWER = "criterion_idx:int,type:string,noul:double,choice:string,score:double,probabilities:map<string,double>"
 VERDICTS = (MET, UNMET, CANNOT_ASSESS)
@@ -29,7 +29,7 @@ def _offered(kind: Column) -> Column:
 
 
 def requests(items: DataFrame, criteria: DataFrame, binary: str = "noul", ordinal: str = "score") -> DataFrame:
-    """(item_idx, state, questions): one request for each item, whatever the number of criteria.
+    """(item_idx, state, questions): one request for each item about the criteria of its own rubric, whatever their number.
 
     ``items`` has item_idx, submission and perhaps prompt, reference_submission and guidelines. The state is
     what all questions see; a submission with sections is sent as these. Blank fields are left out.
@@ -42,11 +42,11 @@ def requests(items: DataFrame, criteria: DataFrame, binary: str = "noul", ordina
         F.when(parts, X.thinking_section(text)).alias("thinking"), F.when(parts, X.output_section(text)).alias("output"), F.when(~parts, text).alias("submission"),
     )
     kind = question_kind(F.col("options"), F.col("scale"), binary, ordinal)
-    asked = criteria.withColumn("kind", kind).select(
-        F.struct("criterion_idx", "kind", "requirement", F.when(F.col("kind") != "noul", _offered(F.col("kind"))).alias("outcomes")).alias("q")
-    )
-    questions = asked.agg(F.to_json(F.array_sort(F.collect_list("q"))).alias("questions"))  # one row: a rubric's questions
-    return items.select("item_idx", F.to_json(own).alias("state")).join(F.broadcast(questions), F.lit(True))
+    keys = criterion_keys(criteria)
+    q = F.struct("criterion_idx", "kind", "requirement", F.when(F.col("kind") != "noul", _offered(F.col("kind"))).alias("outcomes"))
+    asked = criteria.withColumn("kind", kind).groupBy(*keys[:-1]).agg(F.to_json(F.array_sort(F.collect_list(q))).alias("questions"))  # one row for each rubric
+    carried = ["item_idx", *[c for c in ("rubric_id",) if c in items.columns]]
+    return with_rubric(items.select(*carried, F.to_json(own).alias("state")), asked.withColumn("criterion_idx", F.lit(0)), "questions").select(*carried, "state", "questions")
 
 
 def answer_votes(answers: DataFrame, criteria: DataFrame, threshold: float = 0.5, binary: str = "noul", ordinal: str = "score") -> DataFrame:
@@ -56,7 +56,8 @@ def answer_votes(answers: DataFrame, criteria: DataFrame, threshold: float = 0.5
     criterion, another kind than was asked, a choice that was not offered, probabilities that do not
     cover what was offered or are none. A level is rounded half to even; a score never abstains.
     """
-    every = with_rubric(answers.select("item_idx", "answers"), criteria, "weight", "scale", "options")
+    carried = [c for c in ("rubric_id",) if c in answers.columns]
+    every = with_rubric(answers.select("item_idx", *carried, "answers"), criteria, "weight", "scale", "options")
     kind = question_kind(F.col("options"), F.col("scale"), binary, ordinal)
     own = every.withColumn("kind", kind).withColumn("mine", F.filter("answers", lambda a: a["criterion_idx"] == F.col("criterion_idx"))).withColumn("a", F.get("mine", F.lit(0)))
     offered = _offered(F.col("kind"))
@@ -85,7 +86,7 @@ def answer_votes(answers: DataFrame, criteria: DataFrame, threshold: float = 0.5
         .withColumn("option_idx", F.when(usable & F.col("options").isNotNull(), of_choice).cast("int"))
         .withColumn("probabilities", F.when(usable, known))
         .withColumn("outcomes", F.when(F.col("kind") == "noul", 2).otherwise(k))
-        .select("item_idx", "criterion_idx", "verdict", "option_idx", "probabilities",
+        .select("item_idx", "criterion_idx", *carried, "verdict", "option_idx", "probabilities",
                 F.when(usable, X.selection_confidence(F.try_element_at("probabilities", picked), F.col("outcomes"))).alias("confidence"),
                 F.when(~usable, F.concat(F.lit("parse: "), F.col("problem"))).alias("error"))
     )

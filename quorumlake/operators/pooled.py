@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..schema import CANNOT_ASSESS, MET
+from ..schema import CANNOT_ASSESS, MET, criterion_keys
 from . import agreement as A
 from . import correlation as R
 from .cells import judged
@@ -47,9 +47,28 @@ def pooled(frame: DataFrame) -> DataFrame:
     return n.join(rank, "of", "left").join(two.withColumn("f1", f1), "of", "left")
 
 
-def heterogeneous(criteria: DataFrame) -> bool:
-    """Whether items have rubrics of different structure; ``criteria`` has item_idx beside its columns."""
-    if "item_idx" not in criteria.columns:
+def signatures(criteria: DataFrame) -> DataFrame:
+    """(rubric_id or item_idx, signature): the structure of each rubric, which is the requirement, the scale and the
+    options' labels of its criteria in order. Weights, values and names are not part of it."""
+    key = criterion_keys(criteria)[0]
+    labels = F.coalesce(F.transform("options", lambda o: o["label"]), F.array().cast("array<string>"))
+    shape = F.array_sort(F.collect_list(F.struct("criterion_idx", "requirement", "scale", labels.alias("labels"))))
+    return criteria.where(F.col(key).isNotNull()).groupBy(key).agg(F.sha2(F.to_json(shape), 256).alias("signature"))
+
+
+def heterogeneous(criteria: DataFrame, items: DataFrame | None = None) -> bool:
+    """Whether items have rubrics of different structure; ``items`` (rubric_id or item_idx) says which rubrics count."""
+    key = criterion_keys(criteria)[0]
+    if key == "criterion_idx":
         return False
-    shape = F.array_sort(F.collect_list(F.struct("criterion_idx", "scale", "weight", "requirement")))
-    return criteria.where("item_idx is not null").groupBy("item_idx").agg(F.xxhash64(shape.cast("string")).alias("h")).select("h").distinct().limit(2).count() > 1
+    own = signatures(criteria) if items is None else signatures(criteria.join(items.select(key).distinct(), key, "left_semi"))
+    return own.select("signature").distinct().limit(2).count() > 1
+
+
+def common_rubric(criteria: DataFrame) -> DataFrame:
+    """One rubric of several of the same structure, for tables by criterion: that of the least key."""
+    key = criterion_keys(criteria)[0]
+    if key == "criterion_idx":
+        return criteria
+    first = criteria.where(F.col(key).isNotNull()).agg(F.min(key).alias(key))
+    return criteria.join(F.broadcast(first), key, "left_semi").drop("rubric_id", "item_idx")

@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..schema import BINARY_STRATEGIES, CANNOT_ASSESS, MET, NOMINAL_STRATEGIES, ORDINAL_STRATEGIES, UNMET, with_criteria
-
-CELL = ["item_idx", "criterion_idx"]
+from ..schema import BINARY_STRATEGIES, CANNOT_ASSESS, MET, NOMINAL_STRATEGIES, ORDINAL_STRATEGIES, UNMET, cell_keys, with_criteria
 
 
 def _one_of(name: str, value: str, allowed: tuple[str, ...]) -> str:
@@ -63,7 +61,7 @@ def aggregate_votes(votes: DataFrame, criteria: DataFrame, binary: str = "majori
     cell = with_criteria(
         joined.withColumn("value", F.col("opt.value"))
         .withColumn("chosen", options.isNotNull() & F.col("option_idx").isNotNull() & ~F.coalesce(F.col("opt.na"), F.lit(True)))
-        .groupBy(*CELL)
+        .groupBy(*cell_keys(votes))
         .agg(
             F.count("*").alias("n_votes"),
             F.count_if(F.col("verdict") == MET).alias("met_n"),
@@ -112,7 +110,7 @@ def aggregate_votes(votes: DataFrame, criteria: DataFrame, binary: str = "majori
     same = F.filter("cast", lambda v: F.when(options.isNull(), v["verdict"] == F.col("final_verdict")).otherwise(v["option_idx"].eqNullSafe(F.col("option_idx"))))
     told = F.filter("cast", lambda v: v["reason"].isNotNull())
     return out.select(
-        *CELL, "weight", "scale", "options", "final_verdict", "option_idx", "value", "na", "aggregated_value", "n_votes",
+        *cell_keys(votes), "weight", "scale", "options", "final_verdict", "option_idx", "value", "na", "aggregated_value", "n_votes",
         F.try_divide(F.size(same), F.size("cast")).alias("agreement"),
         F.when(F.col("all_failed"), F.array_join(F.transform("cast", lambda v: F.concat(v["judge_id"], F.lit(": "), v["error"])), " | ")).alias("error"),
         F.when(~mc & (F.col("n_votes") == 0), "No votes").when(~mc & F.col("na"), "All judges voted CANNOT_ASSESS").when(

@@ -102,22 +102,24 @@ def score_table(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def compute_metrics(reports: DataFrame, votes: DataFrame, labels: DataFrame, criteria: DataFrame, judges: DataFrame, cannot_assess: str = "exclude", na: str = "exclude",
-                    replicates: int = 0, seed: int = 0) -> Metrics:
+                    replicates: int = 0, seed: int = 0, graded: DataFrame | None = None) -> Metrics:
     """Metrics of ``reports`` (and of each judge's ``votes``) on the labelled cells.
 
-    Criteria with item_idx are rubrics of the items: where these differ, rubric points are pooled. An NA
+    Criteria with rubric_id or item_idx are several rubrics: where those of the items differ in structure, rubric points
+    are pooled. ``graded`` are items with a result, be it without a report: see ``cells.cells``. An NA
     option that the grader added counts as one where a judged cell names it.
     """
     known = K.resolved_labels(labels, criteria)
-    frame = K.cells(reports, known, criteria)
+    frame = K.cells(reports, known, criteria, graded)
     notes = _notes(reports, labels, known, frame)
     pairs = S.item_reports(reports).select("item_idx", F.col("score").alias("pred")).join(S.label_scores(known, criteria).select("item_idx", F.col("score").alias("true")), "item_idx")
     pairs = pairs.where("pred is not null and true is not null")
     score = score_table(pairs, [])
-    if P.heterogeneous(criteria):
+    if P.heterogeneous(criteria, frame):
         notes.append("items have rubrics of their own: rubric points are pooled, and there is no table by criterion")
         return Metrics(score, pooled=P.pooled(frame), warnings=notes)
     grid = K.judge_cells(votes, known, criteria, judges)
+    own_criteria, criteria = criteria, P.common_rubric(criteria)
     shown = K.effective_criteria(criteria, frame, grid)
     frame, grid = K.with_effective_options(frame, shown), K.with_effective_options(grid, shown)
     classed, judged = K.classes(frame, cannot_assess, na), K.classes(grid, cannot_assess, na)
@@ -135,7 +137,7 @@ def compute_metrics(reports: DataFrame, votes: DataFrame, labels: DataFrame, cri
     sizes = shown.select("criterion_idx", F.col("options").isNotNull().alias("_choice"), F.coalesce(F.size("options"), F.lit(3 if cannot_assess == "as_category" else 2)).alias("_k"))
     sized = tp.join(F.broadcast(sizes), "criterion_idx")  # as many rows as a rubric has criteria
     by_judge = criterion_table(judged, ["judge_id"])
-    own = S.judge_scores(votes, criteria).select("item_idx", "judge_id", F.col("score").alias("pred")).join(pairs.select("item_idx", "true"), "item_idx").where("pred is not null")
+    own = S.judge_scores(votes, own_criteria).select("item_idx", "judge_id", F.col("score").alias("pred")).join(pairs.select("item_idx", "true"), "item_idx").where("pred is not null")
     boot = None
     if replicates:
         reps = B.replicate_metrics(classed, replicates, seed)

@@ -75,7 +75,7 @@ class Grader:
     def cells(self, items: DataFrame, criteria: DataFrame) -> DataFrame:
         """Each item with each criterion of its rubric."""
         own = self.effective(criteria)
-        return with_rubric(items, own, *[c for c in own.columns if c not in ("item_idx", "criterion_idx")])
+        return with_rubric(items, own, *[c for c in own.columns if c not in ("item_idx", "rubric_id", "criterion_idx")])
 
     def scores(self, reports: DataFrame, items: DataFrame) -> DataFrame:
         out = item_reports(reports, self.abstain, self.partial_credit)

@@ -573,6 +573,81 @@ _register(
     g AS (SELECT k0, k1, -sqrt(avg((o.score - x.score) ^ 2)) AS m FROM {scored('gr', 'i, k0, k1')} o JOIN {scored('lr2', 'i')} x USING (i) WHERE o.score IS NOT NULL AND x.score IS NOT NULL GROUP BY k0, k1)""" + _ASCENT,
 )
 
+# --- several rubrics ------------------------------------------------------------------------------
+
+#: Of rubric "b": the fixture's criterion that stands at each place, and its weight there.
+_PLACES = ((1, -4.0), (2, 5.0), (3, 1.0))
+
+
+def _mixed(spark, d):
+    """Criteria of two rubrics, and the frame -> frame that puts cells under the rubric of their item: German and
+    French documents have "b", the others "a", the fixture's first two criteria."""
+    own = fx.criteria(spark)
+    at = F.create_map(*[x for k, (c, _) in enumerate(_PLACES) for x in (F.lit(c), F.lit(k))])
+    weight = F.create_map(*[x for c, w in _PLACES for x in (F.lit(c), F.lit(w))])
+    b = own.where("criterion_idx > 0").withColumns({"rubric_id": F.lit("b"), "weight": weight[F.col("criterion_idx")], "criterion_idx": at[F.col("criterion_idx")]})
+    criteria = own.where("criterion_idx < 2").withColumn("rubric_id", F.lit("a")).unionByName(b)
+    rubric = F.when(F.col("lang").isin("de", "fr"), "b").otherwise("a").alias("rubric_id")
+    items = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("item_idx"), rubric)
+
+    def placed(frame):
+        cells = frame.join(items, "item_idx").where(F.when(F.col("rubric_id") == "a", F.col("criterion_idx") < 2).otherwise(F.col("criterion_idx") > 0))
+        return cells.withColumn("criterion_idx", F.when(F.col("rubric_id") == "a", F.col("criterion_idx")).otherwise(at[F.col("criterion_idx")]))
+
+    return criteria, placed
+
+
+def _mixed_scores(spark, d):
+    criteria, placed = _mixed(spark, d)
+    reports = V.aggregate_votes(placed(fx.votes(spark, d)), criteria)
+    known = K.resolved_labels(placed(fx.labels(spark, d)), criteria)
+    true = S.label_scores(known, criteria).select("item_idx", _r("score")).withColumnRenamed("score", "expected")
+    n = reports.groupBy("item_idx", "rubric_id").agg(F.count("*").alias("n_criteria"))
+    return S.item_reports(reports).select("item_idx", _r("score")).join(n, "item_idx").join(true, "item_idx", "left")
+
+
+def _mixed_pooled(spark, d):
+    criteria, placed = _mixed(spark, d)
+    frame = K.cells(V.aggregate_votes(placed(fx.votes(spark, d)), criteria), placed(fx.labels(spark, d)), criteria)
+    out = PL.pooled(frame).where(F.lit(PL.heterogeneous(criteria, frame)))
+    return out.select("of", "n", "n_abstain", *map(_r, ("accuracy", "rmse", "mae")))
+
+
+_MIXED = REPORTS + """, r2 AS (SELECT doc_id AS i, CASE WHEN lang IN ('de', 'fr') THEN 'b' ELSE 'a' END AS rb FROM documents),
+mix AS (SELECT f.i, f.c, rb, CASE WHEN rb = 'a' THEN f.w ELSE CASE f.c WHEN 1 THEN -4.0 WHEN 2 THEN 5.0 ELSE 1.0 END END::DOUBLE AS w, na, val, pick, failed, NULL::DOUBLE AS agreement, oval
+        FROM full_rep f JOIN r2 USING (i) WHERE CASE WHEN rb = 'a' THEN f.c < 2 ELSE f.c > 0 END),
+lmix AS (SELECT lab.i, lab.c, rb, lab.t, CASE WHEN rb = 'a' THEN lab.w ELSE CASE lab.c WHEN 1 THEN -4.0 WHEN 2 THEN 5.0 ELSE 1.0 END END::DOUBLE AS w, CASE WHEN lab.c < 2 THEN lab.t = 2 ELSE opt.na END AS na,
+         CASE WHEN lab.c < 2 THEN (lab.t = 1)::INT::DOUBLE ELSE opt.val END AS val, false AS failed, NULL::DOUBLE AS agreement FROM lab JOIN r2 USING (i) LEFT JOIN opt ON opt.c = lab.c AND opt.idx = lab.t
+         WHERE CASE WHEN rb = 'a' THEN lab.c < 2 ELSE lab.c > 0 END)
+"""
+_register(
+    "dataset_mixed_rubrics", _mixed_scores,
+    _MIXED + f"""SELECT q.i AS item_idx, round(q.score, 6) AS score, n.rb AS rubric_id, n.n AS n_criteria, round(x.score, 6) AS expected FROM {scored('mix', 'i')} q
+    JOIN (SELECT i, rb, count(*) AS n FROM mix GROUP BY i, rb) n USING (i) LEFT JOIN {scored('lmix', 'i')} x USING (i)""",
+)
+_register(
+    "pooled_mixed_rubrics", _mixed_pooled,
+    _MIXED + """, pt AS (SELECT CASE WHEN m.c < 2 THEN 'binary' WHEN m.c = 2 THEN 'ordinal' ELSE 'nominal' END AS sc, m.na AS ab, CASE WHEN m.c < 2 THEN (l.t = 1)::INT::DOUBLE ELSE l.val END AS x, m.val AS y, m.pick = l.t AS exact
+      FROM mix m JOIN lmix l USING (i, c) WHERE NOT m.failed), lv AS (SELECT sc AS of, ab, x, y, exact FROM pt UNION ALL SELECT 'all', ab, x, y, exact FROM pt)
+    SELECT of, count(*) FILTER (NOT ab) AS n, count(*) FILTER (ab) AS n_abstain, round(avg(exact::INT) FILTER (NOT ab), 6) AS accuracy, round(sqrt(avg((x - y) ^ 2) FILTER (NOT ab)), 6) AS rmse, round(avg(abs(x - y)) FILTER (NOT ab), 6) AS mae
+    FROM lv GROUP BY of""",
+)
+
+
+def _mixed_requests(spark, d):
+    criteria, _ = _mixed(spark, d)
+    rubric = F.when(F.col("lang").isin("de", "fr"), "b").otherwise("a").alias("rubric_id")
+    items = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("item_idx"), rubric, F.md5(F.coalesce("text", F.lit(""))).alias("submission"))
+    return DM.requests(items, criteria.select("rubric_id", "criterion_idx", "requirement", "scale", "options"))
+
+
+_register(
+    "decision_requests_mixed_rubrics", _mixed_requests,
+    """SELECT doc_id AS item_idx, CASE WHEN lang IN ('de', 'fr') THEN 'b' ELSE 'a' END AS rubric_id, '{"submission":"' || md5(coalesce(text, '')) || '"}' AS state,
+    CASE WHEN lang IN ('de', 'fr') THEN '[{"criterion_idx":0,"kind":"noul","requirement":"The text insults."},{"criterion_idx":1,"kind":"score","requirement":"How long is the text?","outcomes":["0","1","2"]},{"criterion_idx":2,"kind":"choice","requirement":"Which language is it?","outcomes":["de","en","es","fr"]}]'
+    ELSE '[{"criterion_idx":0,"kind":"noul","requirement":"The text is well formed."},{"criterion_idx":1,"kind":"noul","requirement":"The text insults."}]' END AS questions FROM documents""",
+)
+
 # --- sampling, diagnostics, runs ------------------------------------------------------------------
 
 _register(

@@ -58,24 +58,39 @@ def dimension(df: DataFrame) -> DataFrame:
 
 
 def criterion_keys(criteria: DataFrame) -> list[str]:
-    """What names a criterion: its index, and its item where items have rubrics of their own."""
-    return ["item_idx", "criterion_idx"] if "item_idx" in criteria.columns else ["criterion_idx"]
+    """What names a criterion: its index, and beside it its rubric where there are several, or its item where
+    items have criteria of their own. Tables of several rubrics may have item_idx too, which then names nothing."""
+    several = [c for c in ("rubric_id", "item_idx") if c in criteria.columns][:1]
+    return [*several, "criterion_idx"]
+
+
+def cell_keys(frame: DataFrame) -> list[str]:
+    """What names a cell of ``frame``: item and criterion, and the item's rubric where the frame carries it."""
+    return ["item_idx", "criterion_idx", *[c for c in ("rubric_id",) if c in frame.columns]]
+
+
+def _of_rubric(frame: DataFrame, keys: list[str]) -> None:
+    if "rubric_id" in keys and "rubric_id" not in frame.columns:
+        raise ValueError("criteria of several rubrics need frames with the rubric_id of their items")
 
 
 def with_criteria(frame: DataFrame, criteria: DataFrame, *columns: str) -> DataFrame:
-    """``frame`` with the named columns of its criteria: a shared rubric is broadcast, rubrics of the items
-    are joined on item and index."""
+    """``frame`` with the named columns of its criteria: rubrics, one or several, are broadcast if they are as small as
+    dimensions are; criteria of single items are joined on item and index."""
     keys = criterion_keys(criteria)
+    _of_rubric(frame, keys)
     own = criteria.select(*keys, *columns)
-    return frame.join(dimension(own) if len(keys) == 1 else own, keys)
+    return frame.join(own if "item_idx" in keys else dimension(own), keys)
 
 
 def with_rubric(items: DataFrame, criteria: DataFrame, *columns: str) -> DataFrame:
     """Each of ``items`` with the named columns of each criterion of its rubric."""
-    own = criteria.select(*criterion_keys(criteria), *columns)
-    if "item_idx" in criteria.columns:
-        return items.join(own, "item_idx")
-    return items.join(dimension(own), F.lit(True))
+    keys = criterion_keys(criteria)
+    _of_rubric(items, keys)
+    own = criteria.select(*keys, *columns)
+    if keys[0] == "criterion_idx":
+        return items.join(dimension(own), F.lit(True))
+    return items.join(own if "item_idx" in keys else dimension(own), keys[0])
 
 
 def criteria_problems(criteria: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..operators.bootstrap import hash32
 from ..operators.decision import ANSWER, answer_votes
 from ..operators.single_call import reply_votes
-from ..schema import CANNOT_ASSESS, MET, UNMET
+from ..schema import CANNOT_ASSESS, MET, UNMET, cell_keys
 
 VOTE = "item_idx long, criterion_idx int, judge_id string, verdict string, option_idx int, error string, reason string, confidence double"
 
@@ -38,7 +38,7 @@ class RuleJudge:
     def vote(self, cells: DataFrame) -> DataFrame:
         null = lambda t: F.lit(None).cast(t)
         return cells.select(
-            "item_idx", "criterion_idx", F.lit(self.judge_id).alias("judge_id"), (null("string") if self.verdict is None else self.verdict).alias("verdict"),
+            *cell_keys(cells), F.lit(self.judge_id).alias("judge_id"), (null("string") if self.verdict is None else self.verdict).alias("verdict"),
             (null("int") if self.option_idx is None else self.option_idx).cast("int").alias("option_idx"), null("string").alias("error"), null("string").alias("reason"), null("double").alias("confidence"),
         )
 
@@ -52,9 +52,9 @@ class RecordedJudge:
 
     def vote(self, cells: DataFrame) -> DataFrame:
         own = self.votes.where(F.col("judge_id") == self.judge_id).select("item_idx", "criterion_idx", "verdict", "option_idx", "error", "reason", "confidence", F.lit(True).alias("_there"))
-        joined = cells.select("item_idx", "criterion_idx").join(own, ["item_idx", "criterion_idx"], "left")
+        joined = cells.select(*cell_keys(cells)).join(own, ["item_idx", "criterion_idx"], "left")
         error = F.when(F.col("_there").isNull(), F.lit("infrastructure: not recorded")).otherwise(F.col("error"))
-        return joined.select("item_idx", "criterion_idx", F.lit(self.judge_id).alias("judge_id"), "verdict", "option_idx", error.alias("error"), "reason", "confidence")
+        return joined.select(*cell_keys(cells), F.lit(self.judge_id).alias("judge_id"), "verdict", "option_idx", error.alias("error"), "reason", "confidence")
 
 
 @dataclass(frozen=True)
@@ -124,7 +124,7 @@ class RemoteJudge:
     parse: Callable[[object], dict] = _as_given
 
     def vote(self, cells: DataFrame) -> DataFrame:
-        asked = cells.select("item_idx", "criterion_idx", self.prompt.alias("prompt")).withColumn("prompt_sha256", F.sha2("prompt", 256))
+        asked = cells.select(*cell_keys(cells), self.prompt.alias("prompt")).withColumn("prompt_sha256", F.sha2("prompt", 256))
         known = self._stored(cells.sparkSession)
         if self.cache is not None:
             kept = self.cache.select("prompt_sha256", "verdict", "option_idx", F.lit(None).cast("string").alias("error"), "reason", "confidence").dropDuplicates(["prompt_sha256"])
@@ -138,7 +138,7 @@ class RemoteJudge:
         if known is not None:
             answers = known.unionByName(answers)
         return asked.join(answers, "prompt_sha256").select(
-            "item_idx", "criterion_idx", F.lit(self.judge_id).alias("judge_id"), "verdict", "option_idx", "error", "reason", "confidence"
+            *cell_keys(cells), F.lit(self.judge_id).alias("judge_id"), "verdict", "option_idx", "error", "reason", "confidence"
         )
 
     def _stored(self, spark: SparkSession) -> DataFrame | None:
@@ -234,7 +234,10 @@ def panel_votes(cells: DataFrame, judges: list[tuple[Judge, float]], role: str =
     for k, (judge, weight) in enumerate(judges):
         if not 0 < weight < float("inf"):
             raise ValueError(f"the weight of judge {k} must be positive and finite")
-        own = judge.vote(cells).withColumn("judge_ord", F.lit(k)).withColumn("judge_weight", F.lit(float(weight))).withColumn("role", F.lit(role)).withColumn("superseded", F.lit(False))
+        own = judge.vote(cells)
+        if "rubric_id" in cells.columns and "rubric_id" not in own.columns:
+            own = own.join(cells.select("item_idx", "criterion_idx", "rubric_id"), ["item_idx", "criterion_idx"])
+        own = own.withColumn("judge_ord", F.lit(k)).withColumn("judge_weight", F.lit(float(weight))).withColumn("role", F.lit(role)).withColumn("superseded", F.lit(False))
         out = own if out is None else out.unionByName(own)
     if out is None:
         raise ValueError("a panel needs a judge")
