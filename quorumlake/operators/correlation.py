@@ -5,10 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import exprs as X
 from ..functions.special import correlation_p
+from .ordered import concordance, edges, running
 
 
 def _r(x: Column, y: Column) -> Column:
@@ -27,18 +27,17 @@ def _counted(pairs: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return own.groupBy(*by, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("w"))
 
 
-def _ranked(counted: DataFrame, by: list[str], column: str) -> DataFrame:
+def _ranked(counted: DataFrame, by: list[str], column: str, cuts: list[float]) -> DataFrame:
     """Average rank of each distinct value: ranks are taken over distinct values and their counts."""
-    keys = [F.col(c) for c in by] or [F.lit(0)]
-    order = Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
     total = counted.groupBy(*by, column).agg(F.sum("w").alias("wv"))
-    return total.withColumn(f"r{column}", F.coalesce(F.sum("wv").over(order), F.lit(0)) + (F.col("wv") + 1) / 2).drop("wv")
+    return running(total, by, column, ["wv"], cuts).select(*by, column, (F.col("wv_before") + (F.col("wv") + 1) / 2).alias(f"r{column}"))
 
 
 def spearman(pairs: DataFrame, by: list[str], x: str = "x", y: str = "y") -> DataFrame:
     """n and rho, Pearson's r of average ranks weighted by counts; null as for Pearson."""
     counted = _counted(pairs, by, x, y)
-    ranked = counted.join(_ranked(counted, by, "x"), [*by, "x"]).join(_ranked(counted, by, "y"), [*by, "y"])
+    cut_x, cut_y = edges(counted, "x", "y")
+    ranked = counted.join(_ranked(counted, by, "x", cut_x), [*by, "x"]).join(_ranked(counted, by, "y", cut_y), [*by, "y"])
     w, a, b = F.col("w"), F.col("rx"), F.col("ry")
     s = ranked.groupBy(*by).agg(
         F.sum(w).alias("n"), F.sum(w * a).alias("sa"), F.sum(w * b).alias("sb"), F.sum(w * a * a).alias("saa"), F.sum(w * b * b).alias("sbb"), F.sum(w * a * b).alias("sab")
@@ -49,13 +48,9 @@ def spearman(pairs: DataFrame, by: list[str], x: str = "x", y: str = "y") -> Dat
 
 
 def kendall(pairs: DataFrame, by: list[str], x: str = "x", y: str = "y") -> DataFrame:
-    """n and tau-b from the table of distinct (x, y) and their counts: for scores of few values. With
-    many distinct values the pairs of distinct points are as many as their square."""
+    """n and tau-b from the table of distinct (x, y) and their counts, in n log n of these."""
     counted = _counted(pairs, by, x, y)
-    other = counted.select(*by, F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("w").alias("w2"))
-    both = counted.join(other, by) if by else counted.join(other, F.col("x").isNotNull() | F.col("x2").isNotNull())
-    sign = F.signum((F.col("x") - F.col("x2")) * (F.col("y") - F.col("y2")))
-    s = both.groupBy(*by).agg((F.sum(F.col("w") * F.col("w2") * sign) / 2).alias("s"))
+    s = concordance(counted, by)
     n = counted.groupBy(*by).agg(F.sum("w").alias("n"))
     half = lambda c: counted.groupBy(*by, c).agg(F.sum("w").alias("w")).groupBy(*by).agg((F.sum(F.col("w") * (F.col("w") - 1)) / 2).alias(f"t{c}"))
     out = n

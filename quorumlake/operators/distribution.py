@@ -7,10 +7,10 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import exprs as X
 from ..functions import special
+from .ordered import edges, percentiles, running
 
 
 def score_errors(pairs: DataFrame, by: list[str], pred: str = "pred", true: str = "true") -> DataFrame:
@@ -63,11 +63,12 @@ def score_distribution(values: DataFrame, by: list[str], column: str = "x") -> D
     """n, mean, sd and variance (n - 1), extremes, linear percentiles, interquartile range, biased
     skewness (n > 2) and excess kurtosis (n > 3)."""
     x = F.col(column)
-    q = F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75))))
+    q = percentiles(values, by, column, (0.25, 0.5, 0.75))
     s = values.where(x.isNotNull()).groupBy(*by).agg(
         F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.var_samp(x).alias("variance"), F.min(x).alias("min"), F.max(x).alias("max"),
-        q.alias("q"), F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurt"),
+        F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurt"),
     )
+    s = s.join(q, by) if by else s.join(q, F.lit(True))
     return s.select(
         *by, "n", "mean", "std", "variance", "min", "max", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"),
         (F.col("q")[2] - F.col("q")[0]).alias("iqr"), F.when(F.col("n") > 2, F.col("skew")).alias("skewness"), F.when(F.col("n") > 3, F.col("kurt")).alias("kurtosis"),
@@ -84,11 +85,9 @@ def _steps(values: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Both cumulative distributions at each distinct value, and the distance to the next one."""
     long = values.select(*by, F.explode(F.array(F.struct(F.col(a).alias("v"), F.lit(1).alias("a")), F.struct(F.col(b).alias("v"), F.lit(0).alias("a")))).alias("s"))
     at = long.where(F.col("s.v").isNotNull()).groupBy(*by, F.col("s.v").alias("v")).agg(F.sum("s.a").alias("na"), F.sum(1 - F.col("s.a")).alias("nb"))
-    keys = [F.col(c) for c in by] or [F.lit(0)]
-    group = Window.partitionBy(*keys)
-    run = group.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    share = lambda c: F.try_divide(F.sum(c).over(run).cast("double"), F.sum(c).over(group))
-    return at.select(*by, "v", (share("na") - share("nb")).alias("gap"), (F.lead("v").over(group.orderBy("v")) - F.col("v")).alias("step"))
+    run = running(at, by, "v", ["na", "nb"], edges(at, "v")[0], follow=True)
+    share = lambda c: F.try_divide((F.col(f"{c}_before") + F.col(c)).cast("double"), F.col(f"{c}_all"))
+    return run.select(*by, "v", (share("na") - share("nb")).alias("gap"), (F.col("_next") - F.col("v")).alias("step"))
 
 
 def distances(values: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
@@ -118,7 +117,6 @@ def ks_normal(values: DataFrame, column: str = "x") -> dict:
     def cdf(v: pd.Series) -> pd.Series:
         return v.map(lambda x: special.normal_cdf((x - m) / sd))
 
-    run = Window.partitionBy(F.lit(0)).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    up = at.withColumn("up", F.sum("k").over(run) / s["n"]).withColumn("c", cdf("v"))
+    up = running(at, [], "v", ["k"], edges(at, "v")[0]).withColumn("up", (F.col("k_before") + F.col("k")) / s["n"]).withColumn("c", cdf("v"))
     d = up.agg(F.max(F.greatest(F.abs(F.col("up") - F.col("c")), F.abs(F.col("c") - (F.col("up") - F.col("k") / s["n"]))))).first()[0]
     return {"statistic": d, "p_value": special.kolmogorov_p(d, s["n"])}

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..schema import dimension
 from .bootstrap import hash32
+from .ordered import edges, running
 
 
 def seeded(seed: int, *parts: str) -> Column:
@@ -32,24 +34,42 @@ def signatures(labels: DataFrame) -> DataFrame:
     return labels.groupBy("item_idx").agg(F.array_join(F.transform(parts, lambda x: x["v"]), "|").alias("signature"))
 
 
+#: Leading bits of the hash by which a stratum is cut.
+_CUT_BITS = 10
+
+
 def stratified_split(signed: DataFrame, n_train: int, seed: int = 0) -> DataFrame:
     """Items with ``split``, each signature giving its share of ``n_train``.
 
     Signatures in order take round(size * train left / items left), halves to even, so the shares add
-    up to ``n_train``. The fold over signatures is sequential and runs on the driver, which needs their
-    number to be small, as the product of the criteria's classes is; it is checked.
+    up to ``n_train``: a fold over the sizes of signatures, in one row of a table that has one for each. A
+    signature's items before its cut in hash order are train; the cut is found from counts by leading bits of the hash, and
+    only the items whose bits are the cut's are put in order, so a signature of any size is split over tasks.
     """
-    sizes = signed.groupBy("signature").agg(F.count("*").alias("n")).orderBy("signature").limit(100_001).collect()
-    if len(sizes) > 100_000:
-        raise ValueError("more than 100000 label signatures: split without strata instead")
-    left, train, quota = sum(r["n"] for r in sizes), n_train, []
-    for r in sizes:
-        own = max(0, min(r["n"], round(r["n"] * train / left))) if left else 0
-        quota.append((r["signature"], own))
-        left, train = left - r["n"], train - own
-    table = signed.sparkSession.createDataFrame(quota, "signature string, quota long")
-    rank = F.row_number().over(Window.partitionBy("signature").orderBy(seeded(seed, "item_idx"), "item_idx"))
-    return signed.withColumn("_r", rank).join(table, "signature").withColumn("split", F.when(F.col("_r") <= F.col("quota"), "train").otherwise("test")).drop("_r", "quota")
+    keyed = signed.withColumn("_h", seeded(seed, "item_idx"))
+    bits = F.shiftright("_h", 32 - _CUT_BITS).cast("int")
+    blocks = keyed.groupBy("signature", bits.alias("_b")).agg(F.count("*").alias("_n"))
+    sizes = blocks.groupBy("signature").agg(F.sum("_n").alias("n"))
+    listed = sizes.agg(F.array_sort(F.collect_list(F.struct("signature", "n"))).alias("all"), F.sum("n").alias("total"))
+    start = F.struct(F.col("total").alias("left"), F.lit(n_train).cast("long").alias("train"), F.array().cast("array<struct<signature:string,quota:bigint>>").alias("quota"))
+
+    def share(s: Column, x: Column) -> Column:
+        own = F.greatest(F.lit(0).cast("long"), F.least(x["n"], F.bround(x["n"] * s["train"] / s["left"]).cast("long")))
+        return F.struct((s["left"] - x["n"]).alias("left"), (s["train"] - own).alias("train"), F.concat(s["quota"], F.array(F.struct(x["signature"].alias("signature"), own.alias("quota")))).alias("quota"))
+
+    quotas = listed.select(F.inline(F.aggregate("all", start, share, lambda s: s["quota"])))
+    before = F.sum("_n").over(Window.partitionBy("signature").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    counted = blocks.withColumn("_before", F.coalesce(before, F.lit(0))).join(quotas, "signature")
+    # of each signature: blocks below the cut are train, and of the cut's own block the first ``_rest`` items
+    cut = counted.where((F.col("_before") < F.col("quota")) & (F.col("_before") + F.col("_n") > F.col("quota"))).select("signature", F.col("_b").alias("_cut"), (F.col("quota") - F.col("_before")).alias("_rest"))
+    whole = counted.where(F.col("_before") + F.col("_n") <= F.col("quota")).groupBy("signature").agg(F.max("_b").alias("_last"))
+    known = sizes.select("signature").join(whole, "signature", "left").join(cut, "signature", "left").select("signature", F.coalesce("_last", F.lit(-1)).alias("_last"), "_cut", "_rest")
+    placed = keyed.withColumn("_b", bits).join(dimension(known), "signature")
+    at_cut = F.coalesce(F.col("_b") == F.col("_cut"), F.lit(False))
+    plain = placed.where(~at_cut).withColumn("split", F.when(F.col("_b") <= F.col("_last"), "train").otherwise("test"))
+    rank = F.row_number().over(Window.partitionBy("signature").orderBy("_h", "item_idx"))
+    edge = placed.where(at_cut).withColumn("split", F.when(rank <= F.col("_rest"), "train").otherwise("test"))
+    return plain.unionByName(edge).drop("_h", "_b", "_last", "_cut", "_rest")
 
 
 def balanced_examples(labels: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -120,8 +140,7 @@ def timing(durations: DataFrame, column: str) -> DataFrame:
     running count of the distinct durations.
     """
     x = durations.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("k"))
-    one = Window.partitionBy(F.lit(0))
-    run = x.withColumn("up", F.sum("k").over(one.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("n", F.sum("k").over(one))
+    run = running(x, [], "v", ["k"], edges(x, "v")[0]).select("v", "k", (F.col("k_before") + F.col("k")).alias("up"), F.col("k_all").alias("n"))
     at = lambda i: F.min(F.when(F.col("up") > i, F.col("v")))
     n = F.col("n")
     return run.agg(

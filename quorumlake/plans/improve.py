@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import agreement as A
 from ..operators import cells as K
 from ..rubric import Rubric
-from .runner import Grader
+from .runner import Grader, Kept
 
 
 @dataclass
@@ -52,8 +52,9 @@ def improve(rubric: Rubric, items: DataFrame, labels: DataFrame, grader_for: Cal
     current, candidate = rubric, rubric
     for k in range(iterations + 1):
         table = candidate.table(spark)
-        _, reports = grader_for(candidate).grade(items, table)
-        scores, wrong = held_out_scores(reports, labels, table)
+        with Kept() as kept:
+            _, reports = grader_for(candidate).grade(items, table, kept)
+            scores, wrong = held_out_scores(reports, labels, table)
         last = next((s for s in reversed(steps) if s.accepted), None)
         ok = last is None or pareto_accept(last.scores, scores, tolerance)
         steps.append(Step(k, candidate, scores, ok, wrong))

@@ -20,9 +20,26 @@ from ..sources.judges import Judge, panel_votes
 Keep = Callable[[DataFrame, str], DataFrame]
 
 
-def persisted(df: DataFrame, name: str) -> DataFrame:
-    """Keeps votes for one grading that is not stored."""
-    return df.persist()
+class Kept:
+    """Keeps votes in memory for gradings that are not stored, until ``close``."""
+
+    def __init__(self):
+        self.held: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.held.append(df.persist())
+        return df
+
+    def close(self) -> None:
+        for df in self.held:
+            df.unpersist()
+        self.held.clear()
+
+    def __enter__(self) -> Kept:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
 
 @dataclass
@@ -49,12 +66,13 @@ class Grader:
         """The criteria as judges see them."""
         return criteria.withColumn("options", X.with_na_option(F.col("options"))) if self.auto_na else criteria
 
-    def votes(self, cells: DataFrame, criteria: DataFrame, keep: Keep = persisted) -> DataFrame:
+    def votes(self, cells: DataFrame, criteria: DataFrame, keep: Keep | None = None) -> DataFrame:
         """Votes of the panel; with a cascade, the unsure cells' votes are superseded by the second panel's.
 
         ``keep`` stores each panel's votes before anything reads them: both the choice of cells and the
-        result do, and a judge may be paid by call.
+        result do, and a judge may be paid by call. By default they are kept in memory as long as the session is.
         """
+        keep = keep or Kept()
         first = keep(routed_votes(panel_votes(cells, self.judges), criteria), "primary")
         if not self.escalation:
             return first
@@ -81,8 +99,9 @@ class Grader:
         out = item_reports(reports, self.abstain, self.partial_credit)
         return out if self.penalty is None else penalised(out, items, self.penalty)
 
-    def grade(self, items: DataFrame, criteria: DataFrame, keep: Keep = persisted) -> tuple[DataFrame, DataFrame]:
-        """(item reports, criterion reports) of ``items`` (item_idx and what the judges read)."""
+    def grade(self, items: DataFrame, criteria: DataFrame, keep: Keep | None = None) -> tuple[DataFrame, DataFrame]:
+        """(item reports, criterion reports) of ``items`` (item_idx and what the judges read). A ``Kept`` that is closed
+        afterwards frees the votes."""
         own = self.effective(criteria)
         reports = self.reports(self.votes(self.cells(items, criteria), own, keep), own)
         return self.scores(reports, items), reports
@@ -97,28 +116,24 @@ def finished(spark, path: str, run_id: str) -> DataFrame | None:
 def evaluate(items: DataFrame, criteria: DataFrame, grader: Grader, path: str, run_id: str) -> DataFrame:
     """Grades the items that the sink does not have yet, appends them, and returns the run's item reports.
 
-    Votes are stored first, then the criteria's reports made of them, then the scores, which say that an item
-    is done. A run that stops between two of these grades its items again, and ``runs`` keeps what the last
-    attempt stored. Tables are partitioned by run, so reading a run back prunes the others.
+    Each panel's votes are written once, as they are cast, then the criteria's reports made of them, then the scores, and
+    last the record that commits the attempt: what a stopped attempt wrote is not read, and its items are graded
+    again. Tables are partitioned by run and attempt, so reading a run back prunes the others.
     """
     spark = items.sparkSession
     done = finished(spark, path, run_id)
     pending = items if done is None else items.join(done, "item_idx", "left_anti")
-    own = grader.effective(criteria)
-    attempt = {}
+    own, attempt = grader.effective(criteria), uuid.uuid4().hex
 
     def keep(df: DataFrame, name: str) -> DataFrame:
-        folder = f"{path}/attempts/{run_id}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(folder)
-        attempt[name] = spark.read.schema(df.schema).parquet(folder)
-        return attempt[name]
-
-    votes = keep(grader.votes(grader.cells(pending, criteria), own, keep), "votes")
-    reports = keep(grader.reports(votes, own), "reports")
-    scores = keep(grader.scores(reports, pending), "scores")
-    runs.append(votes, path, "votes", run_id)
-    runs.append(reports, path, "reports", run_id)
-    return runs.append(scores, path, "scores", run_id)
+        runs.append(df, path, "votes", run_id, attempt)
+        kept = runs.written(spark, path, "votes", run_id, attempt, df.drop("superseded")).where(F.col("role") == name)
+        return kept.withColumn("superseded", F.lit(False)).select(*df.columns)
+
+    reports = runs.append(grader.reports(grader.votes(grader.cells(pending, criteria), own, keep), own), path, "reports", run_id, attempt)
+    runs.append(grader.scores(reports, pending), path, "scores", run_id, attempt)
+    runs.commit(spark, path, run_id, attempt)
+    return runs.read(spark, path, "scores", run_id)
 
 
 def grade_text(spark, text: str, criteria: DataFrame, grader: Grader, prompt: str | None = None, reference: str | None = None) -> tuple[dict, list[dict]]:

@@ -990,13 +990,17 @@ _register(
 )
 
 
-def _folder(spark) -> str:
-    """A new folder that all machines share, or, where the session names none, one of this machine."""
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all executors share: below spark.checkpoint.dir, or with a local master a temporary one."""
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{root.rstrip('/')}/quorumlake-run-{uuid.uuid4().hex}"
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return f"{root.rstrip('/')}/quorumlake-runs/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="quorumlake-runs-")
 
 
 def _round_trip(spark, d):
@@ -1014,6 +1018,30 @@ def _round_trip(spark, d):
     return back["reports"].join(votes, ["item_idx", "criterion_idx"]).select("item_idx", "criterion_idx", "final_verdict", "option_idx", "n_votes", "n_superseded")
 
 
+def _after_stop(spark, d):
+    """A run whose second attempt stopped between votes and commit, then finished: by cell, its votes and reports."""
+    from .plans.runner import evaluate
+    from .sources import runs
+
+    path, criteria, items = _folder(spark), fx.criteria(spark).where("criterion_idx < 3"), _items(spark, d)
+    grader = _live_grader(spark, d)
+    evaluate(items.where("item_idx % 2 = 0"), criteria, grader, path, "a")
+    own = grader.effective(criteria)
+    lost = grader.votes(grader.cells(items.where("item_idx % 3 = 1"), criteria), own)
+    runs.append(lost, path, "votes", "a", attempt="stopped")
+    runs.append(grader.reports(lost, own), path, "reports", "a", attempt="stopped")
+    scores = evaluate(items, criteria, grader, path, "a")
+    votes, reports = runs.read(spark, path, "votes", "a"), runs.read(spark, path, "reports", "a")
+    cast = votes.groupBy("item_idx", "criterion_idx").agg(F.count("*").alias("n_votes"), F.count_if("superseded").alias("n_superseded"))
+    told = reports.groupBy("item_idx", "criterion_idx").agg(F.count("*").alias("n_reports"), F.max("final_verdict").alias("final_verdict"))
+    per = scores.groupBy("item_idx").agg(F.count("*").alias("n_scores"))
+    return cast.join(told, ["item_idx", "criterion_idx"], "full").join(per, "item_idx", "left")
+
+
+_register(
+    "run_after_stop", _after_stop,
+    _LIVE_SQL + f"SELECT i AS item_idx, c AS criterion_idx, 1 + up::INT::BIGINT AS n_votes, up::INT::BIGINT AS n_superseded, 1::BIGINT AS n_reports, CASE WHEN c < 2 THEN {VERDICT.format('pick')} END AS final_verdict, 1::BIGINT AS n_scores FROM fin",
+)
 _register(
     "run_round_trip", _round_trip,
     _LIVE_SQL + f"SELECT i AS item_idx, c AS criterion_idx, CASE WHEN c < 2 THEN {VERDICT.format('pick')} END AS final_verdict, CASE WHEN c = 2 THEN pick END AS option_idx, 1::BIGINT AS n_votes, up::INT::BIGINT AS n_superseded FROM fin",

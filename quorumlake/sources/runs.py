@@ -1,10 +1,17 @@
-"""Runs: votes, criterion reports and item scores of an evaluation, as tables and as JSON lines."""
+"""Runs: votes, criterion reports and item scores of an evaluation, as tables and as JSON lines.
+
+Tables are partitioned by run and attempt. What an attempt writes does not count until its commit record is there,
+which is written last: a run that stops at any moment and is taken up again has every vote once.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 TABLES = ("scores", "reports", "votes")
 _CAST = ("judge_ord", "judge_id", "verdict", "option_idx", "error", "reason", "confidence", "superseded", "judge_weight", "role")
@@ -21,24 +28,70 @@ RECORD = (
 )
 
 
-def append(df: DataFrame, path: str, table: str, run_id: str) -> DataFrame:
-    """Adds rows to a table of the run and returns the run's rows of it: what is there is done."""
-    df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{path}/{table}")
-    return read(df.sparkSession, path, table, run_id)
+def append(df: DataFrame, path: str, table: str, run_id: str, attempt: str | None = None) -> DataFrame:
+    """Adds rows to a table of the run. They count once their attempt is committed (see ``commit``); without an
+    ``attempt`` they are one by themselves, and the run's rows of the table are returned."""
+    own = attempt or uuid.uuid4().hex
+    df.drop("superseded").withColumns({"run_id": F.lit(run_id), "attempt": F.lit(own)}).write.mode("append").partitionBy("run_id", "attempt").parquet(f"{path}/{table}")
+    if attempt is None:
+        commit(df.sparkSession, path, run_id, own)
+        return read(df.sparkSession, path, table, run_id)
+    return written(df.sparkSession, path, table, run_id, attempt, df.drop("superseded"))
 
 
-def read(spark: SparkSession, path: str, table: str, run_id: str) -> DataFrame | None:
-    """The run's rows of a table, or None where there is no such table; other runs are not read."""
-    if table not in TABLES:
-        raise ValueError(f"a run has {', '.join(TABLES)}, not {table!r}")
+def written(spark: SparkSession, path: str, table: str, run_id: str, attempt: str, like: DataFrame) -> DataFrame:
+    """What an attempt has written of a table, committed or not."""
+    own = _there(lambda: spark.read.schema(like.schema).parquet(f"{path}/{table}/run_id={run_id}/attempt={attempt}"))
+    return spark.createDataFrame([], like.schema) if own is None else own
+
+
+def commit(spark: SparkSession, path: str, run_id: str, attempt: str) -> None:
+    """Makes all rows that the attempt wrote, in all tables, rows of the run, at once: one record, written last."""
+    record = spark.range(1).select(F.lit(attempt).alias("attempt"), F.current_timestamp().alias("at"), F.lit(run_id).alias("run_id"))
+    record.coalesce(1).write.mode("append").partitionBy("run_id").parquet(f"{path}/commits")
+
+
+def committed(spark: SparkSession, path: str, run_id: str) -> list[str]:
+    """The attempts of the run that have come to their end; there are as many as times it was taken up again."""
+    rows = _there(lambda: spark.read.schema("attempt string, at timestamp, run_id string").parquet(f"{path}/commits").where(F.col("run_id") == run_id).select("attempt").distinct().collect())
+    return sorted(r["attempt"] for r in rows or [])
+
+
+def _there(load):
+    """What ``load`` gives, or None where there is no such path."""
     try:
-        return spark.read.parquet(f"{path}/{table}").where(F.col("run_id") == run_id).drop("run_id")
+        return load()
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
 
 
+def read(spark: SparkSession, path: str, table: str, run_id: str) -> DataFrame | None:
+    """The run's rows of a table, or None where there is none; rows of attempts that stopped, and other runs, are not read.
+
+    A vote is superseded where the escalation panel has voted on its cell.
+    """
+    if table not in TABLES:
+        raise ValueError(f"a run has {', '.join(TABLES)}, not {table!r}")
+    done = committed(spark, path, run_id)
+    if not done:
+        return None
+    rows = _there(lambda: spark.read.option("mergeSchema", True).parquet(f"{path}/{table}"))
+    if rows is None:
+        return None
+    own = rows.where((F.col("run_id") == run_id) & F.col("attempt").isin(done)).drop("run_id", "attempt")
+    return with_superseded(own) if table == "votes" else own
+
+
+def with_superseded(votes: DataFrame) -> DataFrame:
+    """Votes with superseded: of a cell that the escalation panel has voted on, the first panel's are."""
+    if "role" not in votes.columns:
+        return votes.withColumn("superseded", F.lit(False))
+    again = F.max(F.when(F.col("role") == "escalation", 1).otherwise(0)).over(Window.partitionBy("item_idx", "criterion_idx"))
+    return votes.withColumn("superseded", (F.col("role") != "escalation") & (again == 1))
+
+
 def manifest(spark: SparkSession, path: str, run_id: str, total: int) -> dict:
     """Status, items done and failed and the last of them, from what the run has stored: nothing else is kept
     that could disagree with it."""
