@@ -11,6 +11,7 @@ rounds by hash: each round is a part of a written table, so that its filter read
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ CELLS_PER_ROW, LEAST_PER_ROW = 16, 2
 MAX_CELLS = 1 << 28
 SLICE = 1 << 20
 _FLUSH = 1 << 21
+#: Rounds that run at the same time, each with a filter of its own.
+ROUNDS_AT_ONCE = 4
 
 
 def _cells(h: np.ndarray, log2: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,8 +108,10 @@ def possibly_repeated(hashes: DataFrame, name: str, rows: int, max_cells: int =
     """First pass over ``hashes[name]`` (non-null longs); returns the second pass's test, a function
     from a hash Column to a boolean Column that is false only for hashes that occur once.
 
-    One filter, however many ``rows``: with more than it serves well, more hashes pass the test.
+    One filter: where there are more ``rows`` than it serves, all hashes pass (see ``in_rounds``).
     """
+    if rounds_for(rows, max_cells) > 1:
+        return lambda h: F.lit(True)
     log2 = _log2_for(rows, max_cells)
     bits = _hit(hashes, name, log2)
     return lambda h: _member(hashes.sparkSession, h, bits, log2)
@@ -116,28 +121,37 @@ def in_rounds(hashes: DataFrame, name: str, rows: int, max_cells: int = MAX_CELL
     """``hashes`` with ``maybe``, false only for rows whose hash occurs once.
 
     What one filter cannot serve is written by round, and each round's part is filtered, tested and
-    written by itself: a row is read three times whatever the number of rounds, and one filter is in
-    memory at a time.
+    written by itself, ROUNDS_AT_ONCE of them at a time: a row is read three times whatever the number of rounds.
     """
     rounds = rounds_for(rows, max_cells)
     if rounds == 1:
         return hashes.withColumn("maybe", possibly_repeated(hashes, name, rows, max_cells)(F.col(name)))
     spark = hashes.sparkSession
     path, out = scratch_path(spark, "rounds"), scratch_path(spark, "tested")
-    hashes.withColumn("round", round_of(F.col(name), rounds)).write.partitionBy("round").parquet(path)
-    for r in range(rounds):
+    # each round's rows are dealt over a few tasks, so that files are as many as tasks and not tasks times rounds
+    salts = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // rounds))
+    dealt = hashes.withColumn("round", round_of(F.col(name), rounds)).repartition(rounds * salts, "round", F.pmod(F.col(name), F.lit(salts)))
+    dealt.write.partitionBy("round").parquet(path)
+
+    def one(r: int) -> None:
         try:
             own = spark.read.schema(hashes.schema).parquet(f"{path}/round={r}")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            continue
-        own.withColumn("maybe", possibly_repeated(own, name, -(-rows // rounds), max_cells)(F.col(name))).write.mode("append").parquet(out)
-    return spark.read.schema(hashes.withColumn("maybe", F.lit(True)).schema).parquet(out)
+            return
+        own.withColumn("maybe", possibly_repeated(own, name, -(-rows // rounds), max_cells)(F.col(name))).write.parquet(f"{out}/round={r}")
+
+    with ThreadPoolExecutor(ROUNDS_AT_ONCE) as pool:
+        list(pool.map(one, range(rounds)))
+    return spark.read.schema(hashes.withColumn("maybe", F.lit(True)).schema).option("recursiveFileLookup", True).parquet(out)
 
 
 def possibly_in(hashes: DataFrame, name: str, rows: int, max_cells: int = MAX_CELLS):
-    """An ordinary Bloom filter of ``hashes[name]``: the test is false only for hashes not in it."""
+    """An ordinary Bloom filter of ``hashes[name]``: the test is false only for hashes not in it, and for none where
+    there are more than one filter serves."""
+    if rounds_for(rows, max_cells) > 1:
+        return lambda h: F.lit(True)
     log2 = _log2_for(rows, max_cells)
     bits = _hit(hashes, name, log2, most=1)
     return lambda h: _member(hashes.sparkSession, h, bits, log2)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import possibly_in, possibly_repeated
+from .bloom import MAX_CELLS, in_rounds, possibly_in
 from .scratch import bounded_batches, join_keyed, released, stored, utf8
 from .shingles import PRIME, mixed, prime_powers
 from .suffix_sort import sorted_with_prefixes
@@ -240,7 +240,7 @@ def _cut(raws: pd.Series, spans: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept"])
 
 
-def repeats_removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, piece: int = _PIECE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats_removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST, piece: int = _PIECE, id_col: str = "doc_id", text_col: str = "text", max_cells: int = MAX_CELLS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes left) of every row of ``docs``.
 
     Removed is each byte covered by a ``length``-byte string that also starts elsewhere in any
@@ -249,7 +249,7 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
     matter; repeated rows repeat each other's strings. Very long texts are read in overlapping pieces and
     give what they would as a whole; other columns, whatever their names, are not read. An empty table
     gives no rows. ``most`` bounds the contexts of one sort, and
-    ``piece`` the bytes of one pass, not the result.
+    ``piece`` the bytes of one pass, not the result. ``max_cells`` bounds a filter of anchors: more are filtered in rounds.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -260,7 +260,7 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
         texts.select("rid", "raw").mapInPandas(partial(_anchors, length=length, gram=gram, most_bytes=piece), "h long, ctx long, ctx2 long, rid long, pos long, lo int, hi int"), "anchors"
     )
     total = anchors.count()
-    shared = anchors.where(possibly_repeated(anchors, "h", total)(F.col("h")))
+    shared = in_rounds(anchors, "h", total, max_cells).where("maybe").drop("maybe")
     contexts = stored(
         shared.groupBy(*_CONTEXT).agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos", "lo", "hi")).alias("at")).select(*_CONTEXT, "n", "at.*"), "contexts"
     )

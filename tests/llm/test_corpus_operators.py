@@ -628,3 +628,18 @@ def test_near_dedup_rows_without_ids(spark):
     for ids, texts in groups:
         assert [r.doc_id for r in got if r.text in texts] == [min((i for i in ids if i is not None), default=None)]
     assert len(got) == len(groups)
+
+
+def test_repeats_with_filters_in_rounds(spark, docs):
+    """A filter far too small for the anchors is not one that lets all pass, but several: the result stays."""
+    long = spark.createDataFrame([(i, "en", words(random.Random(i % 7), 400) + str(i)) for i in range(40)], "doc_id long, lang string, text string")
+    want = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeats.repeats_removed(long).collect())
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeats.repeats_removed(long, max_cells=1 << 10).collect())
+    assert got == want and sum(r[2] for r in got) > 0
+
+
+def test_a_filter_that_cannot_serve_is_not_built(spark, monkeypatch):
+    monkeypatch.setattr(bloom, "_hit", lambda *_, **__: pytest.fail("built"))
+    frame = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    for build in (bloom.possibly_in, bloom.possibly_repeated):
+        assert frame.where(build(frame, "h", 5000, 1 << 10)(F.col("h"))).count() == 5000
