@@ -1018,6 +1018,24 @@ def _round_trip(spark, d):
     return back["reports"].join(votes, ["item_idx", "criterion_idx"]).select("item_idx", "criterion_idx", "final_verdict", "option_idx", "n_votes", "n_superseded")
 
 
+def _streamed(spark, d):
+    """The default reports, of votes that arrive judge by judge, the first judge's twice."""
+    from .streaming import votes as ST
+
+    folder, own = _folder(spark), fx.votes(spark, d)
+    for judge in ("ja", "jb", "ja", "jc"):
+        own.where(F.col("judge_id") == judge).write.mode("append").parquet(f"{folder}/in")
+    ST.aggregate_cells(ST.vote_stream(spark, f"{folder}/in", 4), fx.criteria(spark), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    got = ST.latest_reports(spark, f"{folder}/out")
+    return got.select("item_idx", "criterion_idx", "final_verdict", F.when(F.col("scale") != "binary", F.col("option_idx")).alias("option_idx"), "n_votes")
+
+
+_register(
+    "streamed_votes", _streamed,
+    REPORTS + f"SELECT i AS item_idx, c AS criterion_idx, CASE WHEN c < 2 THEN {VERDICT.format('pick')} END AS final_verdict, CASE WHEN c >= 2 THEN pick END AS option_idx, n::BIGINT AS n_votes FROM rep",
+)
+
+
 def _after_stop(spark, d):
     """A run whose second attempt stopped between votes and commit, then finished: by cell, its votes and reports."""
     from .plans.runner import evaluate

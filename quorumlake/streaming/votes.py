@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.voting import aggregate_votes
 from ..schema import VOTES
@@ -39,6 +45,50 @@ def aggregate_stream(votes: DataFrame, criteria: DataFrame, store: str, sink: st
     return votes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: A vote without its cell, which is the state's key.
+_OWN = [f.strip().split()[0] for f in VOTES.replace("map<string,double>", "map").split(",")][2:]
+
+
+def cell_votes(votes: DataFrame) -> DataFrame:
+    """Of a stream of votes, for each cell that a batch touches, all votes that count so far.
+
+    The state of a cell is one vote of each judge and role, whatever the number of votes that came: a vote that
+    comes again, or late, takes the place of the one before it, and a null role is the primary panel's. A
+    batch reads and writes the states of its own cells, so its cost does not depend on the history.
+    """
+    fields = ", ".join(f for f in VOTES.split(", ") if not f.startswith("probabilities")) + ", probabilities string"
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {}
+        for pdf in batches:
+            for vote in json.loads(pdf[_OWN].to_json(orient="records")):
+                held[f"{vote['role'] or 'primary'}:{vote['judge_id']}"] = vote
+        state.update((json.dumps(held),))
+        rows = pd.DataFrame(list(held.values()), columns=_OWN)
+        rows.insert(0, "item_idx", key[0])
+        rows.insert(1, "criterion_idx", key[1])
+        yield rows.astype({"judge_ord": "Int32", "option_idx": "Int32", "judge_weight": float, "confidence": float, "superseded": "boolean"})[[f.split()[0] for f in fields.split(", ")]]
+
+    plain = votes.withColumn("probabilities", F.to_json("probabilities"))
+    out = plain.groupBy("item_idx", "criterion_idx").applyInPandasWithState(update, fields, "votes string", "update", GroupStateTimeout.NoTimeout)
+    return out.withColumn("probabilities", F.from_json("probabilities", "map<string,double>")).select(*votes.columns)
+
+
+def aggregate_cells(votes: DataFrame, criteria: DataFrame, sink: str, checkpoint: str, **how) -> StreamingQuery:
+    """Appends to ``sink`` the new reports of the cells that a batch touches, from their states (``cell_votes``), with the
+    batch's number: the last one of a cell counts. A batch that is run again writes the same folder again."""
+
+    def batch(cells: DataFrame, number: int) -> None:
+        aggregate_votes(cells, criteria, **how).drop("options").write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    return cell_votes(votes).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def compact_reports(spark: SparkSession, sink: str, into: str) -> None:
+    """The last report of each cell, as the first batch of a new sink: what later batches are added to."""
+    latest_reports(spark, sink).write.mode("overwrite").parquet(f"{into}/batch=-1")
+
+
 def latest_reports(spark: SparkSession, sink: str) -> DataFrame:
     """The last report of each cell."""
     rows = spark.read.parquet(sink)
