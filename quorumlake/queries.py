@@ -20,6 +20,7 @@ from .operators import decision as DM
 from .operators import correlation as R
 from .operators import distribution as D
 from .operators import irr as I
+from .operators import issues as IS
 from .operators import pooled as PL
 from .operators import sampling as T
 from .operators import scoring as S
@@ -1036,6 +1037,31 @@ _register(
 )
 
 
+_SAID = ("[Affects: #1, #3] ", "see [AFFECTS: All] ", "[affects: #9] criterion 2: ", "its Length_Band and #4: ", "index 1, criteria 3: ", "is THE TEXT IS WELL FORMED? ", "it asks how long is the tex: ", "nothing ")
+
+
+def _issue_matches(spark, d):
+    """Feedback made of what documents say, whole, after a phrase that names criteria in one of several ways."""
+    said = F.get(F.array(*map(F.lit, _SAID)), F.pmod("doc_id", F.lit(len(_SAID))).cast("int"))
+    issues = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat(said, F.coalesce("text", F.lit(""))).alias("feedback"))
+    return IS.matched(issues, fx.criteria(spark)).select("doc_id", F.array_join(F.col("criteria").cast("array<string>"), ",").alias("criteria"))
+
+
+_SAID_LIST = ", ".join(f"'{s}'" for s in _SAID)
+_register(
+    "issue_matches", _issue_matches,
+    rf"""WITH cr AS (SELECT * FROM (VALUES (1, 'quality', 'the text is well formed.'), (2, 'toxic', 'the text insults.'), (3, 'length_band', 'how long is the text?'), (4, 'language', 'which language is it?')) x(k, name, req)),
+    t AS (SELECT doc_id, lower([{_SAID_LIST}][doc_id % {len(_SAID)} + 1] || coalesce(text, '')) AS t FROM documents),
+    g AS (SELECT *, trim(regexp_extract(t, '\[affects:\s*(.+?)\]', 1)) AS tag FROM t),
+    tg AS (SELECT doc_id, t, CASE WHEN tag = 'all' THEN [1, 2, 3, 4] ELSE list_filter(list_transform(regexp_extract_all(tag, '#?(\d+)', 1), lambda x: try_cast(x AS INT)), lambda k: k BETWEEN 1 AND 4) END AS tagged FROM g),
+    w AS (SELECT k, substr(req, s + 1, 20) AS win FROM (SELECT k, req, unnest(range(0, length(req) - 19, 10)) AS s FROM cr WHERE length(req) >= 20)),
+    fit AS (SELECT doc_id, k FROM tg, cr WHERE contains(t, name) UNION SELECT doc_id, k FROM tg, w WHERE contains(t, win)
+      UNION SELECT doc_id, k FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(t, '(?:criteri(?:on|a)\s+|#|index\s+)(\d+)', 1), lambda x: try_cast(x AS INT))) AS k FROM tg) WHERE k BETWEEN 1 AND 4),
+    f AS (SELECT doc_id, list_sort(list(k)) AS ks FROM fit GROUP BY doc_id)
+    SELECT doc_id, array_to_string(CASE WHEN len(tagged) > 0 THEN list_sort(list_distinct(tagged)) ELSE coalesce(ks, []) END, ',') AS criteria FROM tg LEFT JOIN f USING (doc_id)""",
+)
+
+
 def _after_stop(spark, d):
     """A run whose second attempt stopped between votes and commit, then finished: by cell, its votes and reports."""
     from .plans.runner import evaluate
