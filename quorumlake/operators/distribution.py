@@ -98,6 +98,29 @@ def distances(values: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     )
 
 
+def earth_movers(values: DataFrame, by: list[str], a: str, b: str, normalize: bool = True) -> DataFrame:
+    """emd, mean_diff and std_diff (population) of ``a`` less ``b``, bias_direction (higher, lower or none, within
+    0.01), bias_magnitude and interpretation. ``normalize`` scales both by the range that they have together, which
+    changes nothing where that is 0. Null where a side has no value.
+    """
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    s = values.groupBy(*by).agg(
+        F.count(x).alias("na"), F.count(y).alias("nb"), F.avg(x).alias("ma"), F.avg(y).alias("mb"), F.stddev_pop(x).alias("sa"), F.stddev_pop(y).alias("sb"),
+        (F.greatest(F.max(x), F.max(y)) - F.least(F.min(x), F.min(y))).alias("range"),
+    )
+    moved = distances(values, by, a, b).select(*by, "emd")
+    joined = s.join(moved, by, "left") if by else s.join(moved, F.lit(True), "left")
+    scale = F.when(F.col("range") > 0, F.col("range")).otherwise(1.0) if normalize else F.lit(1.0)
+    there = (F.col("na") > 0) & (F.col("nb") > 0)
+    diff = F.when(there, (F.col("ma") - F.col("mb")) / scale)
+    emd = F.when(there, F.col("emd") / scale)
+    return joined.select(
+        *by, emd.alias("emd"), diff.alias("mean_diff"), F.when(there, (F.col("sa") - F.col("sb")) / scale).alias("std_diff"),
+        F.when(diff > 0.01, "higher").when(diff < -0.01, "lower").otherwise("none").alias("bias_direction"), F.abs(diff).alias("bias_magnitude"),
+        F.when(there, X.emd_band(emd)).otherwise("insufficient data").alias("interpretation"),
+    )
+
+
 def ks_p(statistic: float, n: int, m: int) -> float:
     return special.kolmogorov_p(statistic, n * m / (n + m))
 

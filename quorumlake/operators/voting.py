@@ -55,6 +55,9 @@ def aggregate_votes(votes: DataFrame, criteria: DataFrame, binary: str = "majori
     """
     _one_of("binary", binary, BINARY_STRATEGIES), _one_of("ordinal", ordinal, ORDINAL_STRATEGIES), _one_of("nominal", nominal, NOMINAL_STRATEGIES)
     columns = ("weight", "scale", "aggregation", "options")
+    # the strategies in use, which are few, so that the plan has no branch that no criterion takes
+    used = {(r["scale"], r["aggregation"]) for r in criteria.select("scale", "aggregation").distinct().collect()}
+    ordinals, nominals = ({a or default for scale, a in used if scale == kind} for kind, default in (("ordinal", ordinal), ("nominal", nominal)))
     live = votes.where(~F.coalesce(F.col("superseded"), F.lit(False))).repartition("item_idx")
     options, weight = F.col("options"), F.col("weight")
     joined = with_criteria(live, criteria, *columns).withColumn("opt", F.get(options, F.col("option_idx")))
@@ -79,25 +82,31 @@ def aggregate_votes(votes: DataFrame, criteria: DataFrame, binary: str = "majori
     idxs, vals, ws = field("option_idx"), field("value"), field("w")
     n = F.size("choices")
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    mean = F.try_divide(total(vals), n)
-    rising = F.array_sort(vals)
-    median = (F.get(rising, F.floor((n - 1) / 2).cast("int")) + F.get(rising, F.floor(n / 2).cast("int"))) / 2
-    weighted = F.coalesce(F.try_divide(total(F.zip_with(vals, ws, lambda v, w: v * w)), total(ws)), mean)
     strategy = F.when(F.col("scale") == "ordinal", F.coalesce("aggregation", F.lit(ordinal))).when(F.col("scale") == "nominal", F.coalesce("aggregation", F.lit(nominal)))
-    common, common_w = X.most_common(options, weight, idxs), X.most_common(options, weight, idxs, ws)
-    lowest = F.array_min(F.transform("choices", lambda x: F.struct(x["value"], x["option_idx"].alias("i"))))["i"]
-    highest = -F.array_max(F.transform("choices", lambda x: F.struct(x["value"], (-x["option_idx"]).alias("i"))))["i"]
-    agreed = F.when(F.size(F.array_distinct(idxs)) == 1, F.get(idxs, F.lit(0))).otherwise(F.coalesce(X.na_index(options), common))
-    continuous = F.when(strategy == "median", median).when(strategy == "weighted_mean", weighted).otherwise(mean)
-    is_mean = (F.col("scale") == "ordinal") & ~strategy.isin("mode", "min", "max")
-    picked = (
-        F.when(n == 0, F.col("first_idx"))
-        .when(is_mean, X.snapped(options, weight, continuous))
-        .when(strategy == "min", lowest).when(strategy == "max", highest)
-        .when(strategy == "weighted_mode", common_w)
-        .when((F.col("scale") == "nominal") & (strategy == "unanimous"), agreed)
-        .otherwise(common)
-    )
+    continuous = F.try_divide(total(vals), n)
+    if "weighted_mean" in ordinals:
+        weighted = F.coalesce(F.try_divide(total(F.zip_with(vals, ws, lambda v, w: v * w)), total(ws)), continuous)
+        continuous = F.when(strategy == "weighted_mean", weighted).otherwise(continuous)
+    if "median" in ordinals:
+        rising = F.array_sort(vals)
+        median = (F.get(rising, F.floor((n - 1) / 2).cast("int")) + F.get(rising, F.floor(n / 2).cast("int"))) / 2
+        continuous = F.when(strategy == "median", median).otherwise(continuous)
+    means = bool(ordinals - {"mode", "min", "max"})
+    is_mean = (F.col("scale") == "ordinal") & ~strategy.isin("mode", "min", "max") if means else F.lit(False)
+    common = X.most_common(options, weight, idxs) if ordinals & {"mode"} or nominals & {"mode", "unanimous"} else F.lit(None).cast("int")
+    picked = F.when(n == 0, F.col("first_idx"))
+    if means:
+        picked = picked.when(is_mean, X.snapped(options, weight, continuous))
+    if "min" in ordinals:
+        picked = picked.when(strategy == "min", F.array_min(F.transform("choices", lambda x: F.struct(x["value"], x["option_idx"].alias("i"))))["i"])
+    if "max" in ordinals:
+        picked = picked.when(strategy == "max", -F.array_max(F.transform("choices", lambda x: F.struct(x["value"], (-x["option_idx"]).alias("i"))))["i"])
+    if "weighted_mode" in nominals:
+        picked = picked.when(strategy == "weighted_mode", X.most_common(options, weight, idxs, ws))
+    if "unanimous" in nominals:
+        agreed = F.when(F.size(F.array_distinct(idxs)) == 1, F.get(idxs, F.lit(0))).otherwise(F.coalesce(X.na_index(options), common))
+        picked = picked.when((F.col("scale") == "nominal") & (strategy == "unanimous"), agreed)
+    picked = picked.otherwise(common)
     mc = options.isNotNull()
     out = (
         cell.withColumn("final_verdict", F.when(~mc, _binary(binary, weight)))
@@ -116,8 +125,8 @@ def aggregate_votes(votes: DataFrame, criteria: DataFrame, binary: str = "majori
         F.when(~mc & (F.col("n_votes") == 0), "No votes").when(~mc & F.col("na"), "All judges voted CANNOT_ASSESS").when(
             F.size(told) > 0, F.array_join(F.transform(told, lambda v: F.concat(v["judge_id"], F.lit(": "), v["reason"])), "\n")
         ).alias("final_reason"),
-        F.when((F.col("scale") == "nominal") & (strategy == "unanimous") & (F.size(F.array_distinct(idxs)) > 1) & X.na_index(options).isNull(),
-               "judges disagree and no option abstains: the most common option stands").alias("warning"),
+        (F.when((F.col("scale") == "nominal") & (strategy == "unanimous") & (F.size(F.array_distinct(idxs)) > 1) & X.na_index(options).isNull(),
+                "judges disagree and no option abstains: the most common option stands") if "unanimous" in nominals else F.lit(None).cast("string")).alias("warning"),
     )
 
 

@@ -429,6 +429,19 @@ _register(
 )
 
 
+_register(
+    "earth_movers_normalised",
+    lambda s, d: D.earth_movers(_pairs(s, d).withColumns({"pred": F.col("pred") * 4 - 1, "true": F.col("true") * 4 - 1}), ["g"], "pred", "true").select(
+        "g", *map(_r, ("emd", "mean_diff", "std_diff", "bias_magnitude")), "bias_direction", "interpretation"),
+    _PAIRS + """, w AS (SELECT g, 4 * x - 1 AS x, 4 * y - 1 AS y FROM pairs), b AS (SELECT g, greatest(max(x), max(y)) AS hi, least(min(x), min(y)) AS lo FROM w GROUP BY g), n AS (SELECT g, (x - lo) / (hi - lo) AS x, (y - lo) / (hi - lo) AS y FROM w JOIN b USING (g)),
+    l AS (SELECT g, x AS v, 1 AS a FROM n UNION ALL SELECT g, y, 0 FROM n), q AS (SELECT g, v, sum(a) AS na, sum(1 - a) AS nb FROM l GROUP BY g, v),
+    c AS (SELECT g, v, sum(na) OVER r / sum(na) OVER (PARTITION BY g) - sum(nb) OVER r / sum(nb) OVER (PARTITION BY g) AS gap, lead(v) OVER (PARTITION BY g ORDER BY v) - v AS step FROM q WINDOW r AS (PARTITION BY g ORDER BY v)),
+    e AS (SELECT g, sum(abs(gap) * coalesce(step, 0)) AS emd FROM c GROUP BY g), m AS (SELECT g, avg(x) - avg(y) AS d, stddev_pop(x) - stddev_pop(y) AS sd FROM n GROUP BY g)
+    SELECT g, round(emd, 6) AS emd, round(d, 6) AS mean_diff, round(sd, 6) AS std_diff, round(abs(d), 6) AS bias_magnitude, CASE WHEN d > 0.01 THEN 'higher' WHEN d < -0.01 THEN 'lower' ELSE 'none' END AS bias_direction,
+    CASE WHEN emd >= 0.2 THEN 'large' WHEN emd >= 0.1 THEN 'moderate' WHEN emd >= 0.05 THEN 'small' ELSE 'negligible' END AS interpretation FROM e JOIN m USING (g)""",
+)
+
+
 _REPLICATES = 1000
 
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -105,7 +106,8 @@ class RemoteJudge:
     turn another form of answer into this one.
 
     Identical prompts are asked once, failures are retried with doubling pauses, and what fails at last
-    is a failed vote. ``concurrency`` bounds the tasks that call at once. Calls are paid for, so their
+    is a failed vote. ``concurrency`` bounds the calls at once: ``threads`` of each of as many tasks as that allows; judges
+    of one provider in a panel are given a share of its limit each. Calls are paid for, so their
     answers are stored before anything reads them: with ``cache_path``, in that table, where answers not
     older than ``cache_seconds`` are looked up first, by judge and prompt, and new ones are added; failures
     are asked again another time. ``cache`` is a further table (prompt_sha256 and the vote's columns).
@@ -118,6 +120,7 @@ class RemoteJudge:
     attempts: int = 3
     pause: float = 0.5
     concurrency: int = 8
+    threads: int = 4
     cache: DataFrame | None = None
     cache_path: str | None = None
     cache_seconds: int | None = None
@@ -158,6 +161,7 @@ class RemoteJudge:
 
     def _called(self, prompts: DataFrame) -> DataFrame:
         transport, attempts, pause, parse = self.transport, self.attempts, self.pause, self.parse
+        threads = max(1, min(self.threads, self.concurrency))
 
         def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             def answer(prompt: str) -> dict:
@@ -173,13 +177,14 @@ class RemoteJudge:
                             time.sleep(pause * 2**k)
                 return failure
 
-            for pdf in batches:
-                out = [(key, a.get("verdict"), a.get("option_idx"), a.get("error"), a.get("reason"), a.get("confidence"))
-                       for key, prompt in zip(pdf["prompt_sha256"], pdf["prompt"]) for a in [answer(prompt)]]
-                yield pd.DataFrame(out, columns=["prompt_sha256", "verdict", "option_idx", "error", "reason", "confidence"]).astype({"option_idx": "Int32"})
+            with ThreadPoolExecutor(threads) as pool:  # a call mostly waits
+                for pdf in batches:
+                    out = [(key, a.get("verdict"), a.get("option_idx"), a.get("error"), a.get("reason"), a.get("confidence"))
+                           for key, a in zip(pdf["prompt_sha256"], pool.map(answer, pdf["prompt"]))]
+                    yield pd.DataFrame(out, columns=["prompt_sha256", "verdict", "option_idx", "error", "reason", "confidence"]).astype({"option_idx": "Int32"})
 
         schema = "prompt_sha256 string, verdict string, option_idx int, error string, reason string, confidence double"
-        return prompts.repartition(self.concurrency, "prompt_sha256").mapInPandas(ask, schema)
+        return prompts.repartition(max(1, self.concurrency // threads), "prompt_sha256").mapInPandas(ask, schema)
 
 
 def _as_reply(text) -> dict:
