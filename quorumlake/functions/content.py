@@ -3,7 +3,7 @@ its file or digest."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PART = "struct<text:string,image:string>"
@@ -48,6 +48,26 @@ def content_key(parts: Column) -> Column:
     return F.sha2(F.to_json(normalized_parts(parts)).cast("binary"), 256)
 
 
+def content_identities(docs: DataFrame, files: DataFrame, by: list[str], parts_col: str = "parts") -> DataFrame:
+    """``docs`` (``by``, which names a row, and its parts) with ``identity``: SHA-256 over the parts in order, in which an
+    image stands as the digest of its bytes. ``files`` has path and digest, as ``datasets.images`` gives them.
+
+    Equal content is equal however its text was cut and wherever its images lie, and another image is
+    another content. An image without a file is an error. Only documents with images meet the files.
+    """
+    own = docs.withColumn("_parts", normalized_parts(F.col(parts_col)))
+    wanted = own.select(*by, F.explode(F.array_distinct(images_of(F.col("_parts")))).alias("path"))
+    known = wanted.join(files.select("path", "digest").dropDuplicates(["path"]), "path", "left")
+    found = F.when(F.col("digest").isNotNull(), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("no file of the image "), F.col("path"))))
+    per = known.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("path", found.alias("digest")))).alias("_digests"))
+    joined = own.join(per, by, "left")
+
+    def told(p: Column) -> Column:
+        return F.when(p["image"].isNull(), F.concat(F.lit("t"), F.octet_length(p["text"]).cast("string"), F.lit(":"), p["text"])).otherwise(F.concat(F.lit("i"), F.try_element_at(F.col("_digests"), p["image"])))
+
+    return joined.withColumn("identity", F.sha2(F.array_join(F.transform("_parts", told), ""), 256)).drop("_parts", "_digests")
+
+
 def without_prefix(text: Column, prefix: Column) -> Column:
     """What follows ``prefix`` in ``text``; null if it does not start with it."""
     return F.when(text.startswith(prefix), F.substring(text, F.char_length(prefix) + 1, F.char_length(text)))

@@ -842,8 +842,8 @@ _register(
 )
 _register(
     "decision_requests",
-    lambda s, d: DM.requests(s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("item_idx"), F.lit("short").alias("submission"), F.lit(" ").alias("guidelines"), F.col("lang").alias("prompt")), fx.criteria(s).where("criterion_idx < 1")),
-    """SELECT doc_id AS item_idx, '{"input":"' || lang || '","submission":"short"}' AS state, '[{"criterion_idx":0,"kind":"noul","requirement":"The text is well formed."}]' AS questions FROM documents""",
+    lambda s, d: DM.requests(s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("item_idx"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("submission"), F.lit(" ").alias("guidelines"), F.col("lang").alias("prompt")), fx.criteria(s).where("criterion_idx < 1")),
+    """SELECT doc_id AS item_idx, '{"input":"' || lang || '","submission":"' || md5(coalesce(text, '')) || '"}' AS state, '[{"criterion_idx":0,"kind":"noul","requirement":"The text is well formed."}]' AS questions FROM documents""",
 )
 
 
@@ -875,18 +875,31 @@ def _documents_of_parts(spark, d):
     part = lambda t, i: F.struct(t.cast("string").alias("text"), i.cast("string").alias("image"))
     no = F.lit(None)
     image = F.when(F.pmod("doc_id", F.lit(3)) > 0, part(no, F.concat(F.lit("a/b/"), F.col("doc_id").cast("string"), F.lit(".png"))))
-    raw = F.array_compact(F.array(part(F.lit(""), no), part(F.substring("text", 1, 5), no), part(F.substring("text", 6, 5), no), image, part(F.lit(""), no), part(F.col("lang"), no)))
+    raw = F.array_compact(F.array(part(F.lit(""), no), part(F.substring("text", 1, 5), no), part(F.expr("substring(text, 6)"), no), image, part(F.lit(""), no), part(F.col("lang"), no)))
     return spark.read.parquet(f"{d}/documents.parquet").withColumn("parts", CT.normalized_parts(raw))
 
 
 _register(
     "document_parts",
     lambda s, d: _documents_of_parts(s, d).select("doc_id", F.size("parts").alias("n_parts"), CT.is_document(F.col("parts")).alias("has_image"), F.sha2(CT.content_text(F.col("parts")), 256).alias("text_sha256"), F.sha2(CT.content_preview(F.col("parts")), 256).alias("preview_sha256"), F.array_join(CT.images_of(F.col("parts")), "|").alias("images")),
-    """WITH d AS (SELECT doc_id, lang, substr(coalesce(text, ''), 1, 10) AS head, doc_id % 3 > 0 AS img FROM documents)
+    """WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS head, doc_id % 3 > 0 AS img FROM documents)
     SELECT doc_id, (CASE WHEN img THEN 1 + (head <> '')::INT + 1 ELSE 1 END)::INT AS n_parts, img AS has_image, sha256(head || CASE WHEN img THEN chr(10) ELSE '' END || lang) AS text_sha256,
       sha256(head || CASE WHEN img THEN '[image: ' || doc_id || '.png]' ELSE '' END || lang) AS preview_sha256, CASE WHEN img THEN 'a/b/' || doc_id || '.png' ELSE '' END AS images FROM d""",
 )
 
+def _content_identity(spark, d):
+    """Documents of whole texts and an image, of which every ten have one that is equal but for its path."""
+    docs = _documents_of_parts(spark, d).select("doc_id", "parts")
+    files = docs.select(F.explode(CT.images_of(F.col("parts"))).alias("path"), F.sha2(F.pmod("doc_id", F.lit(10)).cast("string"), 256).alias("digest"))
+    return CT.content_identities(docs, files, ["doc_id"]).select("doc_id", "identity")
+
+
+_register(
+    "content_identity", _content_identity,
+    """WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS head, doc_id % 3 > 0 AS img FROM documents)
+    SELECT doc_id, sha256(CASE WHEN img THEN CASE WHEN head <> '' THEN 't' || strlen(head) || ':' || head ELSE '' END || 'i' || sha256((doc_id % 10)::VARCHAR) || 't' || strlen(lang) || ':' || lang ELSE 't' || strlen(head || lang) || ':' || head || lang END) AS identity FROM d""",
+)
+
 # --- more metrics ---------------------------------------------------------------------------------
 
 _register(
@@ -919,9 +932,9 @@ _register(
     FROM n LEFT JOIN m USING (scale) LEFT JOIN rk USING (scale) LEFT JOIN bm USING (scale) LEFT JOIN {_kappa_sql('bk', 'scale')} USING (scale)""",
 )
 _register(
-    "binary_report_rates", lambda s, d: A.binary_rates(A.counts(K.classes(_cells(s, d)).where("scale = 'binary' and item_idx % 11 = 0"), ["criterion_idx"]), ["criterion_idx"], undefined="null").select("criterion_idx", "tp", "fp", "fn", "tn", _r("precision"), _r("recall"), _r("fpr"), _r("fnr")),
+    "binary_report_rates", lambda s, d: A.binary_rates(A.counts(K.classes(_cells(s, d)).where("scale = 'binary'"), ["criterion_idx"]), ["criterion_idx"], undefined="null").select("criterion_idx", "tp", "fp", "fn", "tn", _r("precision"), _r("recall"), _r("fpr"), _r("fnr")),
     _CELLS + f"""SELECT c AS criterion_idx, tp, fp, fn, tn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(fp / nullif(fp + tn, 0), 6) AS fpr, round(fn / nullif(fn + tp, 0), 6) AS fnr
-    FROM (SELECT c, {_PRF} FROM {_class_sql('cel', 'exclude', 'exclude')} WHERE c < 2 AND i % 11 = 0 GROUP BY c)""",
+    FROM (SELECT c, {_PRF} FROM {_class_sql('cel', 'exclude', 'exclude')} WHERE c < 2 GROUP BY c)""",
 )
 _register(
     "agreement_validity", lambda s, d: VD.agreement_validity(_reports(s, d), S.item_reports(_reports(s, d)), fx.criteria(s)).select("criterion", _r("agreement")),
@@ -1125,7 +1138,7 @@ _register(
     "affected_criteria", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", X.affects(F.pmod("event_id", F.lit(9)), F.concat(F.lit("then "), X.affects(F.pmod("event_id", F.lit(4)), F.lit("end")))).alias("text")).select("event_id", F.array_join(X.affected(F.col("text")).cast("array<string>"), ",").alias("found")),
     "SELECT event_id, (event_id % 9) || ',' || (event_id % 4) AS found FROM events",
 )
-_STRATA = SQL + f""", sg AS (SELECT i, string_agg({VERDICT.format('t')}, '|' ORDER BY c) AS signature FROM lab WHERE c < 2 GROUP BY i),
+_STRATA = SQL + f""", sg AS (SELECT i, string_agg(CASE WHEN c < 2 THEN {VERDICT.format('t')} ELSE t::VARCHAR END, '|' ORDER BY c) AS signature FROM lab GROUP BY i),
     z AS (SELECT signature, count(*) AS n, row_number() OVER (ORDER BY signature) AS k FROM sg GROUP BY signature),
     q AS (WITH RECURSIVE f AS (SELECT 0::BIGINT AS k, NULL::VARCHAR AS signature, 0::BIGINT AS quota, (SELECT sum(n) FROM z)::BIGINT AS rest, 40::BIGINT AS train
       UNION ALL SELECT z.k, z.signature, greatest(0, least(z.n, round_even(z.n * f.train / f.rest::DOUBLE, 0)))::BIGINT, (f.rest - z.n)::BIGINT,
@@ -1134,7 +1147,7 @@ _STRATA = SQL + f""", sg AS (SELECT i, string_agg({VERDICT.format('t')}, '|' ORD
 
 
 def _strata(s, d):
-    return T.stratified_split(T.signatures(fx.labels(s, d).where("criterion_idx < 2")), 40, seed=7).select("item_idx", "signature", "split")
+    return T.stratified_split(T.signatures(fx.labels(s, d)), 40, seed=7).select("item_idx", "signature", "split")
 
 
 _register("stratified_split", _strata, _STRATA)
