@@ -141,7 +141,7 @@ def compute_metrics(reports: DataFrame, votes: DataFrame, labels: DataFrame, cri
     boot = None
     if replicates:
         reps = B.replicate_metrics(classed, replicates, seed)
-        boot = B.interval(reps, "accuracy").unionByName(B.interval(reps, "mean_kappa")).unionByName(B.interval(B.replicate_errors(pairs, replicates, seed), "rmse"))
+        boot = B.interval(reps, "accuracy", "mean_kappa").unionByName(B.interval(B.replicate_errors(pairs, replicates, seed), "rmse"))
     for r in T.degenerate(classed).orderBy("criterion_idx").collect():
         notes.append(f"criterion {r['criterion_idx']}: all {r['n']} labels are of one class")
     if pairs.select("true").distinct().limit(3).count() <= 2:
